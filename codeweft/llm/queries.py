@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from codeweft.llm import exact_dedup, secrets, sharding
+from codeweft.llm import exact_dedup, language_id, secrets, sharding, topk
 
 QUERIES = {
+    "op1_language_bitmask": language_id.op1_language_bitmask,
     "op2_minimax_shards": sharding.op2_minimax_shards,
     "op3_secret_ledger": secrets.op3_secret_ledger,
+    "op7_norm_bucket_topk": topk.op7_norm_bucket_topk,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES = {
     "op3_secret_ledger": secrets.SQL,
+    "op7_norm_bucket_topk": topk.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
