@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from codeweft.llm import exact_dedup, language_id, packing, secrets, sharding, tokenizing, topk
+from codeweft.llm import exact_dedup, jaccard_join, language_id, packing, secrets, sharding, tokenizing, topk
 
 QUERIES = {
     "op1_language_bitmask": language_id.op1_language_bitmask,
     "op2_minimax_shards": sharding.op2_minimax_shards,
     "op3_secret_ledger": secrets.op3_secret_ledger,
+    "op4_signature_tree_join": jaccard_join.op4_signature_tree_join,
     "op5_tiered_packing": packing.op5_tiered_packing,
     "op7_norm_bucket_topk": topk.op7_norm_bucket_topk,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
