@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from codeweft.llm import exact_dedup, jaccard_join, language_id, packing, secrets, sharding, tokenizing, topk
+from codeweft.llm import (
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    packing,
+    secrets,
+    sharding,
+    suffix_index,
+    tokenizing,
+    topk,
+    toxicity,
+)
 
 QUERIES = {
     "op1_language_bitmask": language_id.op1_language_bitmask,
@@ -10,9 +21,11 @@ QUERIES = {
     "op3_secret_ledger": secrets.op3_secret_ledger,
     "op4_signature_tree_join": jaccard_join.op4_signature_tree_join,
     "op5_tiered_packing": packing.op5_tiered_packing,
+    "op6_suffix_family": suffix_index.op6_suffix_family,
     "op7_norm_bucket_topk": topk.op7_norm_bucket_topk,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_bpe_automaton": tokenizing.op9_bpe_automaton,
+    "op10_toxicity_neighbours": toxicity.op10_toxicity_neighbours,
 }
 
 ORACLES = {
