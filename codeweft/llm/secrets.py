@@ -40,6 +40,7 @@ RULES = (
 )
 
 FINDINGS = "array<struct<start:int,end:int>>"
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def find(text: Column, rule: Rule) -> Column:
@@ -102,12 +103,19 @@ def scan_secrets(
     ledger_rows = materialize(scan_blobs(blobs, ledger, rules), "ledger")
     if ledger is not None:
         ledger_rows = ledger.unionByName(ledger_rows)
+    paths = rows.select("_id", blob.alias("blob"))
+    findings = paths.join(current_spans(ledger_rows, rules), "blob", "left")
+    return findings.select(F.col("_id").alias("doc_id"), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), ledger_rows
+
+
+def current_spans(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob, spans`` for the blobs in which the rules, at their present versions, found something."""
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     current = F.lit(False)
     for r in rules:
         current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    per_blob = (
-        ledger_rows.where(current & (F.size("found") > 0))
+    return (
+        ledger.where(current & (F.size("found") > 0))
         .withColumn("rank", rank[F.col("kind")])
         .groupBy("blob")
         .agg(
@@ -116,10 +124,6 @@ def scan_secrets(
             ).alias("spans")
         )
     )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    paths = rows.select("_id", blob.alias("blob"))
-    findings = paths.join(per_blob, "blob", "left").select(F.col("_id").alias("doc_id"), "blob", F.coalesce("spans", none).alias("spans"))
-    return findings, ledger_rows
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -140,6 +144,17 @@ def redact(text: Column, spans: Column) -> Column:
     )
 
 
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows with every finding replaced by a mark of its kind; all columns stay, null texts too."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    blob = F.sha2(F.coalesce("_text", F.lit("")), 256)
+    blobs = rows.groupBy(blob.alias("blob")).agg(F.first(F.coalesce("_text", F.lit(""))).alias("body"))
+    spans = current_spans(materialize(scan_blobs(blobs, None, rules), "ledger"), rules)
+    found = rows.withColumn("blob", blob).join(spans, "blob", "left")
+    text = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(redact(F.col("_text"), F.coalesce("spans", F.array().cast(SPANS))))
+    return found.select(F.col("_row").withField(f"`{text_col}`", text).alias("_row")).select("_row.*")
+
+
 def op3_secret_ledger(spark, sf_dir: str) -> DataFrame:
     findings, _ = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
