@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max index.
 
-Terms are lower-cased words and their beginnings of four and six bytes. The examples are a bounded
+Terms are lower-cased words and their beginnings of four, six and eight bytes. The examples are a bounded
 sample of labelled rows (``EXAMPLES_PER_CLASS`` of each class, chosen by a hash of the id); the
 vocabulary is the terms that the sample ties to toxic rows (chi-square), ``MAX_TERMS`` at most.
 Document frequencies are counted over all documents.
@@ -31,10 +31,10 @@ from codeweft.llm.common import crc32_of_id, materialize, table
 
 EXAMPLES_PER_CLASS = 2000
 MAX_TERMS = 5000
-LEAST_CHI_SQUARE = 20.0
-LEAST_TOXIC = 3
-BEGINNINGS = (4, 6)
-NEIGHBOURS = 15
+LEAST_CHI_SQUARE = 40.0
+LEAST_TOXIC = 4
+BEGINNINGS = (4, 6, 8)
+NEIGHBOURS = 31
 BLOCK = 64
 THRESHOLD = 0.3
 
