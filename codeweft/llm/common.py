@@ -52,6 +52,30 @@ def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
 
+#: Words of 64 bits in a bit table: 2**16 words are 512 KB wherever it is sent.
+TABLE_WORDS = 1 << 16
+
+
+def _place(code) -> tuple[F.Column, F.Column]:
+    word = F.pmod(F.shiftrightunsigned(code, 6), F.lit(TABLE_WORDS)).cast("int")
+    return word, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(code, F.lit(64)).cast("int"))
+
+
+def bit_table(keys: DataFrame, code: F.Column, name: str) -> DataFrame:
+    """One row of fixed size that marks the 64-bit codes of all ``keys``; unmarked codes are surely absent."""
+    word, bit = _place(code)
+    none = keys.sparkSession.range(TABLE_WORDS).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("bits"))
+    words = keys.select(word.alias("w"), bit.alias("bits")).unionByName(none).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    marks = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("m"))
+    return materialize(marks, name)
+
+
+def marked(marks: DataFrame, code: F.Column) -> F.Column:
+    """Whether a code is marked; by chance a few are that no key has."""
+    word, bit = _place(code)
+    return F.get(marks.scalar(), word).bitwiseAND(bit) != 0
+
+
 def crc32_of_id(col) -> F.Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(col.cast("string").cast("binary"))

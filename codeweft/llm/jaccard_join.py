@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeweft.llm.arrays import U64, mixed, over_slices, signed, text_bytes
-from codeweft.llm.common import materialize, narrowed, table
+from codeweft.llm.common import bit_table, marked, materialize, narrowed, table
 from codeweft.llm.components import components
 from codeweft.llm.shingles import Shingler
 from codeweft.llm.signature_tree import link_within
@@ -137,7 +137,9 @@ def jaccard_groups(
     members = known.join(clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")), "set").where("_id IS NOT NULL")
     members = materialize(_units(members, num, den), "members")
 
-    chosen = rows.where("_text IS NOT NULL AND _id IS NOT NULL").join(members, "_id").select("unit", "part", "set", "_text")
+    # The bit table keeps most texts that no cluster asks for out of the shuffle.
+    asked = marked(bit_table(members, F.xxhash64("_id"), "asked"), F.xxhash64("_id"))
+    chosen = rows.where("_text IS NOT NULL AND _id IS NOT NULL").where(asked).join(members, "_id").select("unit", "part", "set", "_text")
 
     def make_members():
         shingler = Shingler(words)
