@@ -23,10 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import materialize, narrowed
+from codeweft.llm.common import bit_table, marked, materialize, narrowed
 
-#: Words of 64 bits in the table of undecided groups: 2**16 words are 512 KB wherever it is sent.
-FILTER_WORDS = 1 << 16
 PREFIX_CHARS = 256
 
 
@@ -34,14 +32,6 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _word(length: Column, prefix: Column) -> tuple[Column, Column]:
-    spread = F.xxhash64(length, prefix)
-    return (
-        F.pmod(F.shiftrightunsigned(spread, 6), F.lit(FILTER_WORDS)).cast("int"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spread, F.lit(64)).cast("int")),
-    )
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -65,17 +55,10 @@ def exact_dedup(
     undecided = (
         by_prefix.where("n > 1").join(by_length.where("of_length > 1").select("len"), "len", "left_semi").select("len", "pre")
     )
-    word, bit = _word(F.col("len"), F.col("pre"))
-    words = undecided.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits"))
-    marks = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("m")
-    )
-    marks = materialize(marks, "dedup-marks")
+    marks = bit_table(undecided, F.xxhash64("len", "pre"), "dedup-marks")
 
     # Stage 3: full digests of what is left. The table of marks has one row of fixed size.
-    word, bit = _word(F.col("_len"), F.col("_pre"))
-    signed = rows.withColumns({"_len": length, "_pre": prefix})
-    signed = signed.withColumn("_marked", F.get(marks.scalar(), word).bitwiseAND(bit) != 0)
+    signed = rows.withColumns({"_len": length, "_pre": prefix}).withColumn("_marked", marked(marks, F.xxhash64("_len", "_pre")))
     signed = signed.select(
         "_id",
         "_len",
