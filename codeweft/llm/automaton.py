@@ -34,17 +34,19 @@ class Automaton:
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
+        symbols = lambda s: len(s) - len(word_end) * (len(s) > len(word_end) and s.endswith(word_end))
+        self.base = {i for s, i in vocab.items() if symbols(s) == 1}
         for number, (a, b) in enumerate(merges):
             self._gadget(number, vocab[a], vocab[b], vocab[a + b])
-        symbols = lambda s: len(s) - len(word_end) * (len(s) > len(word_end) and s.endswith(word_end))
         #: Labels that some arc has: base symbols, and what a gadget made.
-        self.live = {s: i for s, i in vocab.items() if i in self.made or symbols(s) == 1}
+        self.live = {s: i for s, i in vocab.items() if i in self.made or i in self.base}
         self.longest = max(map(symbols, self.live), default=1)
         self.table: dict[tuple[int, int], bool] = {}
 
     def _gadget(self, number: int, a: int, b: int, c: int) -> None:
         """Add one merge: cut the arc a-b and record what c's arcs copy."""
-        if not self._has_arc(a, b, number):
+        known = all(x in self.base or x in self.made for x in (a, b))
+        if not known or not self._has_arc(a, b, number):
             return  # no state has this pair of arcs, so no text reaches the merge
         if c in self.made:
             raise ValueError(f"two merges make {self.labels[c]!r}")

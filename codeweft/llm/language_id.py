@@ -163,9 +163,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_ngrams: int = M
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """``keep`` columns of each row, then ``lang_pred, score, coverage``."""
     keep = keep if keep is not None else [F.col("doc_id")]
-    rows = docs.select(*keep, F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    names = rows.columns[:-2]
-    schema = T.StructType([f for f in rows.schema.fields[:-2]] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
+    rows = docs.select(F.struct(*keep).alias("_keep"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    schema = T.StructType([rows.schema.fields[0]] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -180,12 +179,11 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                 lang, score, held = own.predict(ngrams, batch.column("_text").to_pylist())
                 lang = [x if ok else "und" for x, ok in zip(lang, letters, strict=True)]
                 score, held = np.where(letters, score, 0.0), np.where(letters, held, 0.0)
-            arrays = [batch.column(i) for i in range(len(names))]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(lang, pa.string()), pa.array(score), pa.array(held)], [f.name for f in schema.fields])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(held)], schema.names)
 
         return work
 
-    return rows.mapInArrow(over_slices("_text", make), schema)
+    return rows.mapInArrow(over_slices("_text", make), schema).select("_keep.*", "lang_pred", "score", "coverage")
 
 
 def op1_language_bitmask(spark, sf_dir: str) -> DataFrame:

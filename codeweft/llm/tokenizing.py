@@ -118,20 +118,19 @@ class WordTokenizer:
 
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """``keep`` columns and ``ids``: the tokens as little-endian unsigned 32-bit integers."""
-    rows = docs.select(*(keep if keep is not None else [F.col("doc_id")]), F.col(f"`{text_col}`").alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.BinaryType())])
+    rows = docs.select(F.struct(*(keep if keep is not None else [F.col("doc_id")])).alias("_keep"), F.col(f"`{text_col}`").alias("_text"))
+    schema = T.StructType([rows.schema.fields[0], T.StructField("ids", T.BinaryType())])
 
     def make():
         own = WordTokenizer.of(tokenizer)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = own.encode(batch.column("_text").to_pylist())
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], schema.names)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], schema.names)
 
         return work
 
-    return rows.mapInArrow(over_slices("_text", make), schema)
+    return rows.mapInArrow(over_slices("_text", make), schema).select("_keep.*", "ids")
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:

@@ -249,10 +249,10 @@ def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndar
 
 def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """``keep`` columns, then ``score, evidence``: the voting examples with cosine and label."""
-    rows = docs.select(*(keep if keep is not None else [F.col("doc_id")]), F.col(f"`{text_col}`").alias("_text"))
+    rows = docs.select(F.struct(*(keep if keep is not None else [F.col("doc_id")])).alias("_keep"), F.col(f"`{text_col}`").alias("_text"))
     id_type = T.LongType() if model is None or not model.ids or isinstance(model.ids[0], int) else T.StringType()
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", id_type), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
+    schema = T.StructType([rows.schema.fields[0], T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
     arrow_id = pa.int64() if isinstance(id_type, T.LongType) else pa.string()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -270,12 +270,11 @@ def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text",
                     found, cosine = own.index.nearest(t, w, NEIGHBOURS) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
                     scores[i] = own.score(own.vote(found, cosine))
                     why[i] = [{"doc_id": own.ids[j], "cosine": c, "toxic": int(own.toxic[j])} for j, c in zip(found.tolist(), cosine.tolist(), strict=True)]
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(scores), pa.array(why, kind)], schema.names)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(why, kind)], schema.names)
 
         return work
 
-    return rows.mapInArrow(over_slices("_text", make), schema)
+    return rows.mapInArrow(over_slices("_text", make), schema).select("_keep.*", "score", "evidence")
 
 
 def op10_toxicity_neighbours(spark, sf_dir: str) -> DataFrame:
