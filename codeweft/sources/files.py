@@ -15,7 +15,8 @@ EXCLUDED_DIRS = [".git", ".idea", ".gradle", "target", "build", "node_modules",
 def read_tree(spark: SparkSession, root: str, excluded: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``relative_path, size_bytes, content`` of files below a folder of any file system Spark reads.
 
-    Folders of excluded names and files beyond the size are dropped on their metadata.
+    Folders of excluded names and files beyond the size are dropped on their metadata. Empty files
+    hold nothing to read and Spark's reader leaves them out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")

@@ -506,7 +506,10 @@ class Parser:
                 k = end + 1
                 continue
             if t.kind == "name" and self.tokens[k + 1].text == "(" and t.text not in NOT_CALLS:
-                count, literal, _ = self.arguments(k + 1)
+                count, literal, end = self.arguments(k + 1)
+                if self.tokens[end + 1].text in ("{", "throws"):  # a method of an anonymous class
+                    k = end + 1
+                    continue
                 add("call", t.text, k, receiver=self.receiver(k, a + 1), count=count, literal=literal)
             elif t.kind == "name" and self.tokens[k - 1].text in ("{", "}", ";", "final") and t.text not in STATEMENT_WORDS:
                 self.i = k

@@ -150,7 +150,7 @@ def test_git_head(tmp_path):
 
 
 def test_read_tree(spark, tmp_path):
-    for p, t in {"src/main/java/A.java": "class A {}\n", ".git/x": "no", "big.txt": "x" * 50, "a.txt": ""}.items():
+    for p, t in {"src/main/java/A.java": "class A {}\n", ".git/x": "no", "big.txt": "x" * 50, "a.txt": "x"}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(t)
     got = {r["relative_path"]: (r["kind"], r["lines"]) for r in inventory(read_tree(spark, tmp_path.as_uri(), max_bytes=40)).collect()}
