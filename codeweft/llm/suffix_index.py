@@ -126,7 +126,8 @@ class Family:
             repeats.append(own[before & fresh])
             fresh &= ~before & ~same
         own = own[fresh]
-        self.levels.append(own)
+        if len(own):
+            self.levels.append(own)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             small = self.levels.pop()
             merged, late = suffix_array(np.concatenate([self.levels.pop(), small]))
@@ -137,8 +138,6 @@ class Family:
     @staticmethod
     def _scan(level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each entry of the batch has its context in the level, and whether it is there."""
-        if not len(level):
-            return np.zeros(len(batch), np.int64), np.zeros(len(batch), bool)
         code = lambda x: x["key"] ^ mixed(x["full"])
         order = np.argsort(code(level))
         at = np.searchsorted(code(level)[order], code(batch))
