@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators import frameworks, spans
+from codeweft.operators import frameworks, reports, spans
 from codeweft.operators.javagraph import JavaTables, java_graph as build_graph
 from codeweft.plans.samples import DIFF, FILES
 from codeweft.sources import build, config, files, git, java, sqltext
+from codeweft.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +168,45 @@ def change_impact(spark, sf):
 @query()
 def code_chunks(spark, sf):
     return frameworks.chunks(tables(spark), sources(spark, ".java"))
+
+
+@query("col0 AS package, CAST(col1 AS BIGINT) AS files, CAST(col2 AS BIGINT) AS types", "('shop.web', 1, 1), ('shop.core', 2, 5), ('shop.data', 1, 1), ('shop.batch', 1, 1)")
+def package_rollup(spark, sf):
+    return reports.package_rollup(build_graph(tables(spark))[1])
+
+
+@query("col0 AS what, CAST(col1 AS BIGINT) AS n", "('direct_callers', 1), ('callers', 1), ('callees', 1), ('tests', 0)")
+def impact_summary(spark, sf):
+    nodes, edges = build_graph(tables(spark))
+    nodes, edges = materialize(nodes, "nodes"), materialize(edges, "edges")
+    seed = spark.createDataFrame([("method:shop.core.BaseService#check(Order)",)], "id string")
+    found = reports.find_impact(nodes, edges.where("confidence = 'HIGH'"), seed)
+    return reports.impact_summary(found)
+
+
+@query("col0 AS exception, col1 AS thrown_by, col2 AS caught_by", """('type:shop.core.OrderError', ['method:shop.core.OrderService#place(String,int)', 'method:shop.web.OrderController#add(String)'], ['method:shop.core.OrderService#place(String,int)']),
+('type:IllegalStateException', [], ['method:shop.core.OrderService#place(String,int)'])""")
+def exception_pages(spark, sf):
+    return reports.exception_pages(build_graph(tables(spark))[1])
+
+
+@query("col0 AS layer, col1 AS status, CAST(col2 AS BIGINT) AS types", "('web', 'observed', 1), ('service', 'observed', 1), ('data', 'observed', 1), ('other', 'unknown', 5)")
+def code_layers(spark, sf):
+    j = tables(spark)
+    return reports.layers(j.types, frameworks.stereotypes(j)).select("layer", "status", "types")
+
+
+@query("col0 AS id", "('type:IllegalStateException')")
+def unresolved_types(spark, sf):
+    nodes, edges = build_graph(tables(spark))
+    named = edges.where("type IN ('CATCHES', 'THROWS')").select(F.col("dst").alias("id"))
+    return reports.unresolved(nodes).join(named, "id", "left_semi").select("id")
+
+
+@query("col0 AS endpoint, CAST(col1 AS BIGINT) AS steps, CAST(col2 AS INTEGER) AS deepest", "('endpoint:GET /orders/{id}', 2, 1), ('endpoint:POST /orders', 9, 2)")
+def endpoint_flows(spark, sf):
+    j = tables(spark)
+    nodes, edges = build_graph(j)
+    mapped = frameworks.endpoints(j).select(F.lit("MAPPED_TO").alias("type"), F.col("id").alias("src"), F.concat(F.lit("method:"), "handler").alias("dst"), F.lit("HIGH").alias("confidence"))
+    flows = reports.endpoint_flows(nodes, materialize(edges.select(*mapped.columns).unionByName(mapped), "edges"))
+    return flows.groupBy("endpoint").agg(F.count("*").alias("steps"), F.max("depth").alias("deepest"))
