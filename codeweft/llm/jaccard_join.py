@@ -1,10 +1,12 @@
 """Near-duplicate groups by an exact Jaccard join of word shingles over signature trees.
 
 1. One pass turns each text into its set of shingle hashes and, from it, a set id and segment
-   signatures. Token hashes are cut into m equal ranges; sets of at most d differing tokens agree
-   in at least m - d ranges, so with m = d + 1 + e a linked pair shares the signature of a range with
-   tokens, or else 1 + e ranges that are empty in both. d follows from the threshold for each class of
-   sizes; a linked pair lies in one class or in two neighbouring ones. No link can be missed.
+   signatures. Token hashes are cut into m equal ranges. Two sets with at most d differing tokens
+   differ in at most d ranges, so if one of them has tokens in more than d ranges, they share the
+   signature of one of those. m is chosen so that nearly all sets do; the few others of a class share
+   one signature. A set keeps its d + 1 rarest signatures only: of those that two linked sets share, the
+   rarest is among both's. d follows from the threshold for each class of sizes; a linked pair lies in one class
+   or in two neighbouring ones. No link can be missed.
 2. Set ids with a signature in common fall into one cluster (connected components of narrow
    rows). Equal sets have one id and are one node, so copies never multiply.
 3. Every cluster's sets go into signature trees (:mod:`codeweft.llm.signature_tree`), which find
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from codeweft.llm.shingles import Shingler
 from codeweft.llm.signature_tree import link_within
 
 UNIT_SETS = 4096
-MOST_EXTRA = 3
+#: Occupied ranges a set should have, as a multiple of those needed: the spare ones need no comparison.
+SPARE = 1.2
 
 
 class Classes:
@@ -46,6 +48,7 @@ class Classes:
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
         self.first = [1]  # smallest size of each class
+        self.schemes: dict[int, tuple[int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.first[-1] <= size:
@@ -53,43 +56,61 @@ class Classes:
         return int(np.searchsorted(self.first, size, side="right")) - 1
 
     def scheme(self, k: int) -> tuple[int, int]:
-        """(ranges, extra ranges) for pairs whose smaller set is of class ``k``; (0, 0) if only equal sets link."""
-        self.of(self.first[min(k, len(self.first) - 1)])
-        while len(self.first) <= k + 1:
-            self.of(self.first[-1])
-        differing = (self.first[k + 1] - 1) * (self.den - self.num) // self.num
-        if differing == 0:
-            return 0, 0
-        for extra in range(1, MOST_EXTRA + 1):
-            m = differing + 1 + extra
-            if math.exp(-self.first[k] / m * (1 + extra)) <= 1e-6:
-                break
-        return m, extra
-
-
-def signatures(tokens: np.ndarray, classes: Classes) -> np.ndarray:
-    """Signatures of a sorted token set under the schemes of its class and of the one below."""
+        """(ranges, occupied ranges needed) for pairs whose smaller set is of class ``k``.
+
+        (0, 0) if only equal sets link; no ranges if no number of them leaves enough occupied.
+        """
+        if k not in self.schemes:
+            while len(self.first) <= k + 1:
+                self.of(self.first[-1])
+            differing = (self.first[k + 1] - 1) * (self.den - self.num) // self.num
+            self.schemes[k] = (0, 0) if differing == 0 else (self._ranges(self.first[k], differing + 1), differing + 1)
+        return self.schemes[k]
+
+    @staticmethod
+    def _ranges(size: int, needed: int) -> int:
+        """Ranges of which a set of ``size`` tokens occupies enough, but for one in 3000 or so, and some to spare."""
+        m, found = needed, 0
+        while m <= 4 * size:
+            if size <= 256:  # the exact distribution of the number of occupied ranges
+                occupied = np.zeros(needed + 1)
+                occupied[0] = 1.0
+                for _ in range(size):
+                    move = occupied[:-1] * (m - np.arange(needed)) / m
+                    occupied[:-1] -= move
+                    occupied[1:] += move
+                enough = occupied[:-1].sum() <= 3e-4
+            else:
+                empty = math.exp(-size / m)
+                spread = math.sqrt(max(0.0, m * empty * (1 - (1 + size / m) * empty)))
+                enough = m * (1 - empty) - 3.5 * spread >= needed
+            found = found or (m if enough else 0)
+            if found and m * (1 - math.exp(-size / m)) >= SPARE * needed:
+                return m
+            m += max(1, m // 64)
+        return found
+
+
+def signatures(tokens: np.ndarray, classes: Classes) -> tuple[np.ndarray, list[int]]:
+    """(signatures of a sorted token set under the schemes of its class and of the one below; spare ones).
+
+    The lowest bit of a signature is its scheme's parity; spare ones are counted by parity.
+    """
     own = classes.of(len(tokens))
-    out = []
+    out, spare = [], [0, 0]
     for k in (own, own - 1):
-        if k < 0:
-            continue
-        m, extra = classes.scheme(k)
-        if not m:
-            continue
-        of_range = ((tokens >> U64(32)) * U64(m)) >> U64(32)
-        starts = np.flatnonzero(np.diff(of_range, prepend=U64(m)))
-        place = of_range[starts]
-        value = np.add.reduceat(mixed(tokens ^ U64(0x2545F4914F6CDD1D)), starts)
-        out.append(mixed(value + mixed(place + U64(k) * U64(1 << 32) + U64(1 << 63))))
-        if m - len(place) > extra:
-            empty = np.setdiff1d(np.arange(m, dtype=U64), place, assume_unique=True)
-            rows = np.array(list(combinations(empty.tolist(), 1 + extra)), dtype=U64)
-            value = np.full(len(rows), k, dtype=U64)
-            for column in rows.T:
-                value = mixed(value * U64(0x9E3779B97F4A7C15) + column + U64(1))
-            out.append(value)
-    return np.concatenate(out) if out else np.zeros(0, U64)
+        m, needed = classes.scheme(k) if k >= 0 else (0, 0)
+        place = np.zeros(0, U64)
+        if m:
+            of_range = ((tokens >> U64(32)) * U64(m)) >> U64(32)
+            starts = np.flatnonzero(np.diff(of_range, prepend=U64(m)))
+            place = of_range[starts]
+            value = np.add.reduceat(mixed(tokens ^ U64(0x2545F4914F6CDD1D)), starts)
+            out.append((mixed(value + mixed(place + U64(k) * U64(1 << 32) + U64(1 << 63))) & ~U64(1)) | U64(k & 1))
+        if len(place) < needed:  # too few occupied ranges: it meets the others of its kind
+            out.append((mixed(np.array([k], dtype=U64) + U64(0x6C62272E07BB0142)) & ~U64(1)) | U64(k & 1))
+        spare[k & 1] = max(0, len(place) - needed)
+    return np.concatenate(out) if out else np.zeros(0, U64), spare
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -108,7 +129,8 @@ def jaccard_groups(
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingler.of(*text_bytes(batch.column("_text")))
-            signs = [signed(signatures(s, classes)) if len(s) else np.zeros(0, np.int64) for s in sets]
+            found = [signatures(s, classes) if len(s) else (np.zeros(0, U64), [0, 0]) for s in sets]
+            signs = [signed(x) for x, _ in found]
             ends = np.cumsum([0, *map(len, signs)], dtype=np.int32)
             return pa.RecordBatch.from_arrays(
                 [
@@ -116,20 +138,27 @@ def jaccard_groups(
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64))),
+                    *(pa.array([spare[i] for _, spare in found], pa.int32()) for i in (0, 1)),
                 ],
-                ["_id", "n", "set", "signs"],
+                ["_id", "n", "set", "signs", "spare0", "spare1"],
             )
 
         return work
 
     schema = T.StructType(
-        [T.StructField("_id", kind), T.StructField("n", T.LongType()), T.StructField("set", T.LongType()), T.StructField("signs", T.ArrayType(T.LongType()))]
+        [T.StructField("_id", kind), T.StructField("n", T.LongType()), T.StructField("set", T.LongType()), T.StructField("signs", T.ArrayType(T.LongType())), T.StructField("spare0", T.IntegerType()), T.StructField("spare1", T.IntegerType())]
     )
     sets = materialize(rows.mapInArrow(over_slices("_text", make_sets), schema), "sets")
 
-    # Clusters: sets that share a signature, by stars around the least set of each signature.
-    signs = sets.where("set IS NOT NULL").select("set", F.explode("signs").alias("sign"))
-    stars = signs.withColumn("least", F.min("set").over(Window.partitionBy("sign"))).where("set > least")
+    # Clusters: sets that share a signature, by stars around the least set of each signature. The most
+    # frequent ones of a set are left out as far as it has spare ones; signatures of one set never count.
+    odd = F.col("sign").bitwiseAND(F.lit(1)) != 0
+    signs = sets.where("set IS NOT NULL").select("set", "spare0", "spare1", F.explode("signs").alias("sign")).select("set", "sign", F.when(odd, F.col("spare1")).otherwise(F.col("spare0")).alias("spare"))
+    of_sign = Window.partitionBy("sign")
+    shared = signs.withColumns({"least": F.min("set").over(of_sign), "most": F.max("set").over(of_sign), "c": F.count("*").over(of_sign)}).where("least < most")
+    rarest = Window.partitionBy("set", odd).orderBy(F.desc("c"), F.desc("sign"))
+    kept = shared.withColumn("frequent", F.dense_rank().over(rarest)).where(F.col("frequent") > F.col("spare"))
+    stars = kept.select("set", "sign").withColumn("least", F.min("set").over(of_sign)).where("set > least")
     clusters = components(stars.select(F.col("set").alias("big"), F.col("least").alias("small")))
 
     # One row for every set of a cluster, with its place in the units of work.
@@ -162,7 +191,7 @@ def jaccard_groups(
     named = known.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = named.groupBy("root").agg(F.min("_id").alias("component"))
     of_set = named.join(least, "root").select("set", "component")
-    return sets.drop("signs").join(of_set, "set", "left").select(
+    return sets.select("_id", "n", "set").join(of_set, "set", "left").select(
         F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id")
     )
 
