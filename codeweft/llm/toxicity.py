@@ -1,18 +1,20 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max index.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over an index of all their terms.
 
 Terms are lower-cased words and their beginnings of four, six and eight bytes. The examples are a bounded
-sample of labelled rows (``EXAMPLES_PER_CLASS`` of each class, chosen by a hash of the id); the
-vocabulary is the terms that the sample ties to toxic rows (chi-square), ``MAX_TERMS`` at most.
-Document frequencies are counted over all documents.
-
-The index holds, for each term, the examples with their weights, cut into blocks of ``BLOCK``
-examples, and the largest weight of each block. A text's terms bound the cosine that a block's
-examples can reach; blocks are taken by falling bound until the k-th best cosine is at least the
-next bound, so the neighbours are exact. They vote with weight 1 / (1.05 - cosine), each class
-scaled to its share of all labelled rows, and the vote is calibrated by isotonic regression on the
-examples themselves, each scored without itself. The neighbours are the evidence.
-
-Defined results: texts without a term of the vocabulary (null and empty ones too) have no neighbour
+sample of labelled rows (``EXAMPLES_PER_CLASS`` of each class, chosen by a hash of the id), indexed
+with all their terms. A term weighs (1 + log times) * idf * relevance: document frequencies are
+counted over all documents, and the relevance log2(2 + rate among toxic / rate among clean examples)
+is at least 1. Every term of a text counts in its norm; one that no example holds weighs as if it were in
+one document.
+
+The index holds, for each term, the examples with their weights, and a table of examples and the terms that
+many of them hold. Of the latter a single-precision product gives, for a slice of texts at once, sums whose
+error is bounded by ``ROUGH``; with the exact sums of the other terms they bound every cosine, and the examples
+whose bound reaches the k-th best are taken exactly, so the neighbours are exact. They vote with weight
+1 / (1.05 - cosine), each class scaled to its share of all labelled rows, and the vote is calibrated by
+isotonic regression on the examples themselves, each scored without itself. The neighbours are the evidence.
+
+Defined results: texts without a term of an example (null and empty ones too) have no neighbour
 and get the share of toxic rows among such examples; without any labelled row every score is 0;
 repeated label rows count once, as toxic if one of them is; repeated rows get equal results; empty
 tables give no rows; extra columns are ignored.
@@ -20,6 +22,8 @@ tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,12 +34,12 @@ from codeweft.llm.arrays import U64, Powers, over_slices, signed, slices, text_b
 from codeweft.llm.common import crc32_of_id, materialize, table
 
 EXAMPLES_PER_CLASS = 2000
-MAX_TERMS = 5000
-LEAST_CHI_SQUARE = 40.0
-LEAST_TOXIC = 4
 BEGINNINGS = (4, 6, 8)
 NEIGHBOURS = 31
-BLOCK = 64
+#: A term is one of many examples if more than this share of them hold it.
+MANY = 0.08
+ROUGH = 1e-4
+SLICE_TEXTS = 512
 THRESHOLD = 0.3
 
 
@@ -48,12 +52,12 @@ class Terms:
         self.letter[97:123] = True
         self.letter[128:] = True
 
-    def of(self, texts: list[str | None], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, times) of the distinct terms of each text; ``only`` is a sorted vocabulary."""
+    def all_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, term) of every term of each text, as often as it is there."""
         column = pa.array([(t or "").lower() for t in texts], pa.large_string())
         data, offsets = text_bytes(column)
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, U64)
         letter = self.letter[data]
         start = letter.copy()
         start[1:] &= ~letter[:-1]
@@ -70,59 +74,125 @@ class Terms:
             long = end - at > n
             terms.append(self.powers.of_spans(prefix, at[long], at[long] + n) ^ U64(n))
             rows.append(row[long])
-        term, row = np.concatenate(terms), np.concatenate(rows)
-        if only is not None:
-            if not len(only):
-                return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-            place = np.searchsorted(only, term)
-            place[place == len(only)] = 0
-            known = only[place] == term
-            term, row = term[known], row[known]
-        order = np.lexsort((term, row))
-        term, row = term[order], row[order]
-        head = np.ones(len(term), dtype=bool)
-        head[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
-        first = np.flatnonzero(head)
-        return row[first], term[first], np.diff(np.append(first, len(term)))
+        return np.concatenate(rows), np.concatenate(terms)
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, times) of the distinct terms of each text."""
+        return distinct(*self.all_of(texts))
+
+    def among(self, texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, times) of the distinct terms of the vocabulary; (row, times) of all others."""
+        row, term = self.all_of(texts)
+        place = vocabulary.places(term)
+        other = place < 0
+        key, times = np.unique(row[~other] * np.int64(len(vocabulary.terms) + 1) + place[~other], return_counts=True)
+        other_row, _, other_times = distinct(row[other], term[other])
+        return *np.divmod(key, len(vocabulary.terms) + 1), times, other_row, other_times
+
+
+def distinct(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((term, row))
+    term, row = term[order], row[order]
+    head = np.ones(len(term), dtype=bool)
+    head[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(head)
+    return row[first], term[first], np.diff(np.append(first, len(term)))
+
+
+class Vocabulary:
+    """Sorted hashes of terms; the leading bits of a hash tell where to look."""
+
+    def __init__(self, terms: np.ndarray) -> None:
+        bits = max(1, len(terms).bit_length())
+        self.terms, self.shift = terms, U64(64 - bits)
+        lead = np.searchsorted(terms >> self.shift, np.arange((1 << bits) + 1, dtype=U64))
+        self.start, self.longest = lead.astype(np.int32), int(np.diff(lead).max(initial=0))
+
+    def places(self, term: np.ndarray) -> np.ndarray:
+        """The number of each term, -1 for those not held."""
+        out = np.full(len(term), -1, dtype=np.int64)
+        lead = (term >> self.shift).astype(np.int64)
+        at, end = self.start[lead], self.start[lead + 1]
+        left = np.flatnonzero(at < end)
+        for k in range(self.longest):
+            here = at[left] + k
+            same = self.terms[here] == term[left]
+            out[left[same]] = here[same]
+            left = left[~same & (here + 1 < end[left])]
+        return out
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples as inverted lists with block maxima."""
+    """Unit vectors of examples as inverted lists, and as a table of the terms that many examples hold."""
 
-    def __init__(self, idf: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> None:
-        self.idf, self.n = idf, n
-        self.blocks = max(1, -(-n // BLOCK))
+    def __init__(self, idf: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, beyond: float = 0.0) -> None:
+        self.idf, self.n, self.beyond = idf, n, beyond
         weight = self.weights(row, term, times, n)
         order = np.lexsort((row, term))
         self.term_start = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.rows, self.values = row[order], weight[order]
-        self.most = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.most, (term, row // BLOCK), weight)
-
-    def weights(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        self.rows, self.values = row[order].astype(np.int32), weight[order]
+        self._fill()
+
+    def _fill(self) -> None:
+        size = np.diff(self.term_start)
+        many = np.flatnonzero(size > max(1, MANY * self.n))
+        self.many = np.full(len(self.idf), -1, dtype=np.int32)
+        self.many[many] = np.arange(len(many))
+        column = np.repeat(self.many, size)
+        self.full = np.zeros((self.n, len(many)))
+        self.full[self.rows[column >= 0], column[column >= 0]] = self.values[column >= 0]
+        self.single = self.full.T.astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("many", "full", "single")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._fill()
+
+    def weights(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, other_row: np.ndarray | None = None, other_times: np.ndarray | None = None) -> np.ndarray:
+        """Of unit vectors; ``other_*`` are terms that no example holds."""
         weight = (1 + np.log(times)) * self.idf[term]
-        norm = np.sqrt(np.bincount(row, weight**2, minlength=n))
-        return weight / norm[row]
+        norm = np.bincount(row, weight**2, minlength=n)
+        if other_row is not None:
+            norm = norm + np.bincount(other_row, ((1 + np.log(other_times)) * self.beyond) ** 2, minlength=n)
+        return weight / np.sqrt(norm)[row]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each (terms, weights): :meth:`nearest`, if asked without the example of its own number."""
+        for first in range(0, len(vectors), SLICE_TEXTS):
+            part = vectors[first : first + SLICE_TEXTS]
+            table = np.zeros((len(part), len(self.single)), dtype=np.float32)
+            for i, (term, weight) in enumerate(part):
+                held = self.many[term] >= 0
+                table[i, self.many[term[held]]] = weight[held]
+            for i, ((term, weight), rough) in enumerate(zip(part, table @ self.single, strict=True)):
+                yield self._nearest(term, weight, k, first + i if leave_out else -1, rough)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a term in common, best first, ties by number."""
-        bound = weight @ self.most[term]
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and cosine[-1] > bound[block] * (1 + 1e-12)):
-                break
-            first = block * BLOCK
-            total = np.zeros(BLOCK)
-            for t, w in zip(term, weight, strict=True):
-                a, b = self.term_start[t], self.term_start[t + 1]
-                a, b = a + np.searchsorted(self.rows[a:b], (first, first + BLOCK))
-                total[self.rows[a:b] - first] += w * self.values[a:b]
-            found = np.flatnonzero(total > 0) + first
-            found = found[found != without]
-            best, cosine = np.concatenate([best, found]), np.concatenate([cosine, total[found - first]])
-            order = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[order], cosine[order]
-        return best, cosine
+        held = self.many[term] >= 0
+        return self._nearest(term, weight, k, without, weight[held].astype(np.float32) @ self.single[self.many[term[held]]])
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = self.many[term] >= 0
+        start = self.term_start[term[~held]]
+        size = self.term_start[term[~held] + 1] - start
+        at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        total = np.bincount(self.rows[at], self.values[at] * np.repeat(weight[~held], size), minlength=self.n)
+        about = total + rough
+        if without >= 0:
+            about[without] = 0.0
+        slack = ROUGH * max(1.0, float(rough.max(initial=0.0)))
+        floor = np.partition(about, -k)[-k] - 2 * slack if len(about) > k else 0.0
+        found = np.flatnonzero((about > 0) & (about >= floor))
+        cosine = total[found]
+        if held.any():
+            cosine = cosine + (self.full[np.ix_(found, self.many[term[held]])] * weight[held]).sum(axis=1)
+        good = found != without
+        found, cosine = found[good], cosine[good]
+        order = np.lexsort((found, -cosine))[:k]
+        return found[order], cosine[order]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,12 +210,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    def __init__(self, vocabulary: np.ndarray, index: BlockMaxIndex, ids: list, toxic: np.ndarray, scale: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, vocabulary: Vocabulary, index: BlockMaxIndex, ids: list, toxic: np.ndarray, scale: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.vocabulary, self.index, self.ids, self.toxic, self.scale = vocabulary, index, ids, toxic, scale
         some = np.array([len(t) > 0 for t, _ in own])
         without = scale * ~some
         self.none = float((without * toxic).sum() / without.sum()) if without.sum() else float((scale * toxic).sum() / scale.sum())
-        votes = np.array([self.vote(*index.nearest(t, w, NEIGHBOURS, i)) if len(t) else np.nan for i, (t, w) in enumerate(own)])
+        votes = np.array([self.vote(*found) for found in index.nearest_of(own, NEIGHBOURS, leave_out=True)])
         good = ~np.isnan(votes)
         self.knots = isotonic(votes[good], toxic[good].astype(float), scale[good]) if good.any() else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
@@ -162,8 +232,8 @@ class Model:
         return float(np.clip(0.9 * np.interp(vote, *self.knots) + 0.1 * vote, 0, 1))
 
 
-def _vectors(row: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, index: BlockMaxIndex) -> list[tuple[np.ndarray, np.ndarray]]:
-    weight = index.weights(row, term, times, n)
+def _vectors(row: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, index: BlockMaxIndex, *other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    weight = index.weights(row, term, times, n, *other)
     cuts = np.searchsorted(row, np.arange(n + 1))
     return [(term[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -179,71 +249,59 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     examples = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
     examples = materialize(examples, "examples")
 
-    def make_counts():
-        terms = Terms()
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, term, _ = terms.of(batch.column("_text").to_pylist())
-            toxic = np.array(batch.column("_toxic").to_pylist(), dtype=np.int64)[row]
-            return pa.RecordBatch.from_arrays([pa.array(signed(term)), pa.array(toxic)], ["term", "toxic"])
-
-        return work
-
     sizes = {r["_toxic"]: r["n"] for r in examples.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if n_toxic + n_clean == 0:
         return None
-    counts = examples.mapInArrow(over_slices("_text", make_counts), "term long, toxic long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b, n = F.col("a"), F.col("b"), float(n_toxic + n_clean)
-    chi = n * (a * (n_clean - b) - b * (n_toxic - a)) ** 2 / ((a + b) * (n - a - b) * n_toxic * n_clean + F.lit(1e-9))
-    tied = counts.withColumn("chi", chi).where((F.col("chi") >= LEAST_CHI_SQUARE) & (a >= LEAST_TOXIC) & (a * n_clean > b * n_toxic))
-    found = tied.orderBy(F.desc("chi"), "term").limit(MAX_TERMS).select("term").collect()
-    vocabulary = np.sort(np.array([r["term"] for r in found], dtype=np.int64).view(U64))
-
-    n_docs, frequency = _frequencies(texts, vocabulary)
-    idf = np.log((n_docs + 1) / (frequency + 1)) + 1
 
     def make_vectors():
         terms = Terms()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, term, times = terms.of(batch.column("_text").to_pylist(), vocabulary)
-            place = np.searchsorted(vocabulary, term).astype(np.int32)
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            arrays = [batch.column("_id"), batch.column("_toxic"), *(pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (place, times.astype(np.int32)))]
-            return pa.RecordBatch.from_arrays(arrays, ["_id", "_toxic", "term", "times"])
+            row, term, times = terms.of(batch.column("_text").to_pylist())
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            arrays = [pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (signed(term), times.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_toxic"), *arrays], ["_id", "_toxic", "term", "times"])
 
         return work
 
-    schema = T.StructType([examples.schema["_id"], examples.schema["_toxic"], T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
-    rows = sorted(examples.mapInArrow(over_slices("_text", make_vectors), schema).collect(), key=lambda r: r["_id"])  # 2 * per_class short rows
+    schema = T.StructType([examples.schema["_id"], examples.schema["_toxic"], T.StructField("term", T.BinaryType()), T.StructField("times", T.BinaryType())])
+    rows = sorted(examples.mapInArrow(over_slices("_text", make_vectors), schema).collect(), key=lambda r: r["_id"])  # 2 * per_class rows
     toxic = np.array([r["_toxic"] for r in rows])
     scale = np.where(toxic == 1, shares.get(1, 0) / max(1, n_toxic), shares.get(0, 0) / max(1, n_clean))
-    row = np.repeat(np.arange(len(rows)), [len(r["term"]) for r in rows])
-    term = np.array([t for r in rows for t in r["term"]], dtype=np.int64)
-    times = np.array([t for r in rows for t in r["times"]], dtype=np.float64)
-    index = BlockMaxIndex(idf, row, term, times, len(rows))
+    row = np.repeat(np.arange(len(rows)), [len(r["times"]) // 4 for r in rows])
+    hashes, term = np.unique(np.frombuffer(b"".join(r["term"] for r in rows), U64), return_inverse=True)
+    times = np.frombuffer(b"".join(r["times"] for r in rows), np.int32).astype(np.float64)
+    vocabulary = Vocabulary(hashes)
+
+    n_docs, frequency = _frequencies(texts, vocabulary)
+    in_toxic = np.bincount(term[toxic[row] == 1], minlength=len(hashes))
+    in_clean = np.bincount(term[toxic[row] == 0], minlength=len(hashes))
+    relevance = np.log2(2 + in_toxic / max(1, n_toxic) * n_clean / np.maximum(1, in_clean))
+    idf = np.log((n_docs + 1) / (frequency + 1)) + 1
+    index = BlockMaxIndex(idf * relevance, row, term, times, len(rows), float(np.log((n_docs + 1) / 2) + 1))
     return Model(vocabulary, index, [r["_id"] for r in rows], toxic, scale, _vectors(row, term, times, len(rows), index))
 
 
-def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+def _frequencies(texts: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """Number of all documents, and of those that hold each term."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        terms, total, n = Terms(), np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
+        terms, own, n = Terms(), shared.value, 0
+        total = np.zeros(len(own.terms) + 1, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "_text"):
-                _, term, _ = terms.of(part.column("_text").to_pylist(), vocabulary)
-                total[:-1] += np.bincount(np.searchsorted(vocabulary, term), minlength=len(vocabulary))
+                _, place, *_ = terms.among(part.column("_text").to_pylist(), own)
+                total[:-1] += np.bincount(place, minlength=len(own.terms))
                 n += part.num_rows
         total[-1] = n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "n"])
 
-    summed = texts.select("_text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # MAX_TERMS + 1 rows
-    out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for r in summed:
-        out[r["place"]] = r["n"]
+    summed = texts.select("_text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # a row for each term of the examples, and one
+    out = np.zeros(len(vocabulary.terms) + 1, dtype=np.int64)
+    out[summed["place"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
     return int(out[-1]), out[:-1]
 
 
@@ -264,10 +322,9 @@ def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text",
             n = batch.num_rows
             scores, why = np.zeros(n), [[] for _ in range(n)]
             if own is not None:
-                row, term, times = terms.of(batch.column("_text").to_pylist(), own.vocabulary)
-                vectors = _vectors(row, np.searchsorted(own.vocabulary, term), times, n, own.index)
-                for i, (t, w) in enumerate(vectors):
-                    found, cosine = own.index.nearest(t, w, NEIGHBOURS) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
+                row, term, times, *other = terms.among(batch.column("_text").to_pylist(), own.vocabulary)
+                vectors = _vectors(row, term, times, n, own.index, *other)
+                for i, (found, cosine) in enumerate(own.index.nearest_of(vectors, NEIGHBOURS)):
                     scores[i] = own.score(own.vote(found, cosine))
                     why[i] = [{"doc_id": own.ids[j], "cosine": c, "toxic": int(own.toxic[j])} for j, c in zip(found.tolist(), cosine.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(why, kind)], schema.names)

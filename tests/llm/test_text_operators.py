@@ -189,3 +189,51 @@ def test_topk_prunes_and_stays_exact():
         full = ints @ ints[query_id]
         want = [i for i in np.lexsort((ids, -full)) if i != query_id][:10]
         assert found.tolist() == want and scores.tolist() == full[want].tolist()
+
+
+def test_toxicity_keeps_rare_terms_and_norms_whole_texts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: letters[k // 26] * 2 + letters[k % 26] * 2
+    # 40 insults of two toxic examples each: none is in four of them.
+    rows = [(i, f"{name(i % 40)}zz plain common words", 1) for i in range(80)] + [(100 + i, f"plain common words {name(i)}yy", 0) for i in range(160)]
+    long = " ".join(f"{name(i)}yy" for i in range(120))
+    more = [(500, f"{name(7)}zz", None), (501, f"plain {name(7)}zz common {long}", None), (502, "unseen", None), (503, f"{name(7)}zz other", None)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert {e["doc_id"] for e in got[500]["evidence"]} >= {7, 47} and got[500]["score"] > toxicity.THRESHOLD and got[502]["evidence"] == []
+    nearest = lambda i: {e["doc_id"]: e["cosine"] for e in got[i]["evidence"]}
+    assert nearest(500)[7] > 3 * nearest(501).get(7, 0.0)
+    # Cosines by their definition, over every term of both texts.
+    terms = lambda t: [x for w in t.split() for x in (w, *(w[:n] + "*" for n in toxicity.BEGINNINGS if len(w) > n))]
+    bags = {i: terms(t) for i, t, _ in rows + more}
+    df, of = {}, lambda kind, x: sum(x in bags[i] for i, _, y in rows if y == kind)
+    for bag in bags.values():
+        for x in set(bag):
+            df[x] = df.get(x, 0) + 1
+    weigh = lambda x: (np.log((len(bags) + 1) / (df[x] + 1)) + 1) * np.log2(2 + of(1, x) / 80 * 160 / max(1, of(0, x)))
+    vectors = {i: {x: (1 + np.log(bags[i].count(x))) * weigh(x) for x in set(bags[i])} for i in (7, 47, 107, 500, 501, 503)}
+    size = lambda v: np.sqrt(sum(w * w for w in v.values()))
+    for q in (500, 501, 503):
+        for i, cosine in nearest(q).items():
+            if i in vectors:
+                assert cosine == pytest.approx(sum(w * vectors[i].get(x, 0) for x, w in vectors[q].items()) / size(vectors[q]) / size(vectors[i]))
+
+
+def test_search_with_few_and_many_holders_is_exact():
+    rng = np.random.default_rng(4)
+    n, terms = 700, 500
+    share = np.where(np.arange(terms) < 20, 0.5, 0.01)
+    row, term = np.nonzero(rng.random((n, terms)) < share)
+    index = toxicity.BlockMaxIndex(rng.uniform(1, 3, terms), row, term, rng.integers(1, 4, len(row)).astype(float), n)
+    assert 0 < index.full.shape[1] < terms
+    dense = np.zeros((n, terms))
+    for t in range(terms):
+        dense[index.rows[index.term_start[t] : index.term_start[t + 1]], t] = index.values[index.term_start[t] : index.term_start[t + 1]]
+    for without in range(20):
+        own = np.flatnonzero(rng.random(terms) < share * 2)
+        w = rng.uniform(0.1, 1, len(own))
+        full = dense[:, own] @ w
+        full[without] = 0
+        found, cosine = index.nearest(own, w, 9, without)
+        assert found.tolist() == np.lexsort((np.arange(n), -full))[:9].tolist() and np.allclose(cosine, full[found])
