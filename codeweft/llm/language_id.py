@@ -133,7 +133,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_ngrams: int = M
     languages = sorted(r["_lang"] for r in found)
     bit = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
     share = F.create_map(*[x for r in found for x in (F.lit(r["_lang"]), F.lit(min(1.0, sample_docs / r["n"])))])
-    chosen = labelled.where(F.col("_lang").isin(languages)).where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < share[F.col("_lang")] * (1 << 20))
+    chosen = labelled.where(F.col("_lang").isin(languages)).where(_drawn(share))
 
     def make():
         ngrams = NGrams()
@@ -157,7 +157,21 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_ngrams: int = M
     kept["rate"] = kept["n"] / kept.groupby("bit")["n"].transform("sum")
     kept = kept[kept["rate"] >= LEAST_SHARE * kept.groupby("gram")["rate"].transform("max")]
     grams = [kept["gram"].to_numpy()[kept["bit"].to_numpy() == i].astype(np.int64).view(U64) for i in range(len(languages))]
-    return Model(languages, found[0]["_lang"], grams)
+    model = Model(languages, found[0]["_lang"], grams)
+    model.share = {r["_lang"]: min(1.0, sample_docs / r["n"]) for r in found}
+    return model
+
+
+def _drawn(share: Column) -> Column:
+    return F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < share[F.col("_lang")] * (1 << 20)
+
+
+def usual_coverage(labelled: DataFrame, model: Model, low: float = 0.01) -> dict[str, float]:
+    """The coverage that all but a share ``low`` of each language's sampled texts with a letter reach."""
+    share = F.create_map(*[x for k, v in model.share.items() for x in (F.lit(k), F.lit(v))])
+    chosen = labelled.where(F.col("_lang").isin(model.languages) & F.col("_text").isNotNull()).where(_drawn(share))
+    found = identify(chosen, model, "_text", [F.col("_lang")]).where("lang_pred = _lang")
+    return {r["_lang"]: r["c"] for r in found.groupBy("_lang").agg(F.percentile("coverage", F.lit(low)).alias("c")).collect()}
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:

@@ -180,3 +180,21 @@ def test_pipeline_equals_brute_force(spark, docs):
     third = corpus_pipeline.near(spark, second, SF)
     want = sorted(i for _, i, _, c in brute_groups(sorted(seen.values()), 5, 80) if i == c)
     assert sorted(r[0] for r in third.select("doc_id").collect()) == want
+
+
+def test_language_stage_drops_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swojej godności i swych praw. Są oni obdarzeni rozumem.",
+        "xqzv kwjfh pqxz vvkjq zzxw hgfq wkxjv qpzx jjkwq xvzq fkqwx",
+    ]
+    clean = docs.where("lang IS NOT NULL AND length(text) BETWEEN 30 AND 400").orderBy("doc_id").limit(40)
+    added = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    rows = docs.unionByName(added.unionByName(clean.selectExpr("doc_id - 1000000 AS doc_id", "text")), allowMissingColumns=True)
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, rows, None).select("doc_id").collect()}
+    assert not got & {-1, -2, -3, -4}
+    assert {r["doc_id"] for r in clean.collect()} <= got and {r["doc_id"] - 1000000 for r in clean.collect()} <= got
+    labelled = docs.where("lang IS NOT NULL AND text RLIKE '[a-z]'").select("doc_id").collect()
+    assert sum(r["doc_id"] in got for r in labelled) >= 0.995 * len(labelled)
