@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,6 +55,36 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+#: Spans beyond this many bytes are hashed one by one, by BLAKE2b.
+LONG_SPAN = 512
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings start..end, equal for equal strings wherever they stand.
+
+    Eight bytes at a time are taken into the state by exclusive or, and every step mixes the whole
+    state; a hash is no sum over places, so words built from repeating patterns don't meet.
+    """
+    size = (end - start).astype(np.int64)
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 8,), dtype="<u8", buffer=padded.data, strides=(1,))
+    out = mixed(size.astype(U64) + U64(0x2545F4914F6CDD1D))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(live):
+        left = size[live] - done
+        part = eight[start[live] + done]
+        short = left < 8
+        part[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        out[live] = mixed(out[live] ^ part)
+        done += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Only where that setting is absent and everything runs in one process a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="codeweft-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -52,27 +55,32 @@ def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
 
-#: Words of 64 bits in a bit table: 2**16 words are 512 KB wherever it is sent.
-TABLE_WORDS = 1 << 16
+#: Words of 64 bits in a bit table, at least and at most: 2**19 words are 4 MB wherever it is sent.
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 19
 
 
-def _place(code) -> tuple[F.Column, F.Column]:
-    word = F.pmod(F.shiftrightunsigned(code, 6), F.lit(TABLE_WORDS)).cast("int")
+def table_words(keys: int) -> int:
+    """Words for about so many keys, eight bits for each. A fuller table marks more by chance and never less."""
+    return min(MOST_WORDS, max(LEAST_WORDS, 1 << max(0, keys // 8 - 1).bit_length()))
+
+
+def _place(code, words) -> tuple[F.Column, F.Column]:
+    word = F.pmod(F.shiftrightunsigned(code, 6), words).cast("int")
     return word, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(code, F.lit(64)).cast("int"))
 
 
-def bit_table(keys: DataFrame, code: F.Column, name: str) -> DataFrame:
-    """One row of fixed size that marks the 64-bit codes of all ``keys``; unmarked codes are surely absent."""
-    word, bit = _place(code)
-    none = keys.sparkSession.range(TABLE_WORDS).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("bits"))
-    words = keys.select(word.alias("w"), bit.alias("bits")).unionByName(none).groupBy("w").agg(F.bit_or("bits").alias("bits"))
-    marks = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("m"))
+def bit_table(keys: DataFrame, code: F.Column, name: str, words: int = 1 << 16) -> DataFrame:
+    """One row of ``words`` words that marks the 64-bit codes of all ``keys``; unmarked codes are surely absent."""
+    word, bit = _place(code, F.lit(words))
+    none = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("bits"))
+    found = keys.select(word.alias("w"), bit.alias("bits")).unionByName(none).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    marks = found.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("m"))
     return materialize(marks, name)
 
 
 def marked(marks: DataFrame, code: F.Column) -> F.Column:
     """Whether a code is marked; by chance a few are that no key has."""
-    word, bit = _place(code)
+    word, bit = _place(code, F.size(marks.scalar()))
     return F.get(marks.scalar(), word).bitwiseAND(bit) != 0
 
 

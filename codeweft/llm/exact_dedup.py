@@ -5,7 +5,7 @@ Every stage looks only at what the stage before left undecided:
 
 1. one narrow pass takes each text's normalised length and the hash of its first characters;
 2. lengths that occur once are settled; within the other lengths, prefix hashes are counted;
-3. groups that still hold two rows or more are marked in a bit table of fixed size, and the pass
+3. groups that still hold two rows or more are marked in a bit table of bounded size, and the pass
    that takes full SHA-256 digests does so only for rows whose (length, prefix hash) is marked.
    A bit shared by accident costs one digest too many and never changes the result.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import bit_table, marked, materialize, narrowed
+from codeweft.llm.common import bit_table, marked, materialize, narrowed, table_words
 
 PREFIX_CHARS = 256
 
@@ -55,9 +55,9 @@ def exact_dedup(
     undecided = (
         by_prefix.where("n > 1").join(by_length.where("of_length > 1").select("len"), "len", "left_semi").select("len", "pre")
     )
-    marks = bit_table(undecided, F.xxhash64("len", "pre"), "dedup-marks")
+    marks = bit_table(undecided, F.xxhash64("len", "pre"), "dedup-marks", table_words(docs.count()))
 
-    # Stage 3: full digests of what is left. The table of marks has one row of fixed size.
+    # Stage 3: full digests of what is left. The table of marks is one row of at most 4 MB.
     signed = rows.withColumns({"_len": length, "_pre": prefix}).withColumn("_marked", marked(marks, F.xxhash64("_len", "_pre")))
     signed = signed.select(
         "_id",

@@ -5,19 +5,20 @@
    differ in at most d ranges, so if one of them has tokens in more than d ranges, they share the
    signature of one of those. m is chosen so that nearly all sets do; the few others of a class share
    one signature. A set keeps its d + 1 rarest signatures only: of those that two linked sets share, the
-   rarest is among both's. d follows from the threshold for each class of sizes; a linked pair lies in one class
+   rarest is among both's. A task sends the signatures of equal sets once. d follows from the threshold for each class of sizes; a linked pair lies in one class
    or in two neighbouring ones. No link can be missed.
 2. Set ids with a signature in common fall into one cluster (connected components of narrow
    rows). Equal sets have one id and are one node, so copies never multiply.
 3. Every cluster's sets go into signature trees (:mod:`codeweft.llm.signature_tree`), which find
-   the links exactly. A cluster beyond ``UNIT_SETS`` sets is cut into parts by size class and hash, and
-   every pair of parts that can hold a link is a task of its own: memory stays bounded.
+   the links exactly. A cluster beyond ``UNIT_SETS`` sets or ``UNIT_TOKENS`` tokens is cut into parts by size
+   class and hash, and every pair of parts that can hold a link is a task of its own: memory stays bounded.
 4. Links are joined into components and joined back to all rows.
 
 Defined results: null, empty and white-space texts have an empty set (``n_shingles`` 0) and are
-linked with nothing; rows with equal sets are linked; repeated rows get equal results; a null id is
-never a component's id unless it stands alone; empty tables give no rows; extra columns are ignored.
-Set ids and tokens are 64-bit hashes.
+linked with nothing; rows with equal sets are linked; repeated rows get equal results; rows that repeat an
+id with other texts are rows of their own; a row without an id links others, but a null id is never a component's
+id unless no linked row has one; empty tables give no rows; extra columns are ignored. Set ids and tokens are
+64-bit hashes of the words' bytes, each word hashed by steps that mix the whole state.
 """
 
 from __future__ import annotations
@@ -27,17 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeweft.llm.arrays import U64, mixed, over_slices, signed, text_bytes
-from codeweft.llm.common import bit_table, marked, materialize, narrowed, table
+from codeweft.llm.common import bit_table, discard, marked, materialize, narrowed, table, table_words
 from codeweft.llm.components import components
 from codeweft.llm.shingles import Shingler
 from codeweft.llm.signature_tree import link_within
 
 UNIT_SETS = 4096
+#: Tokens of a unit's sets, 64 MB of them.
+UNIT_TOKENS = 1 << 23
 #: Occupied ranges a set should have, as a multiple of those needed: the spare ones need no comparison.
 SPARE = 1.2
 
@@ -117,43 +120,56 @@ def set_id(tokens: np.ndarray) -> int:
     return int(signed(mixed(np.array([mixed(tokens ^ U64(0x853C49E6748FEA9B)).sum() + U64(len(tokens))], dtype=U64)))[0])
 
 
-def jaccard_groups(
-    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``; links need similarity num / den."""
-    rows = narrowed(docs, id_col, text_col)
+def rooted_sets(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``_id, _key, n, set, root``; linked sets have one root.
+
+    ``_key`` is :func:`row_key` of the row; ``set`` and ``root`` are null without words.
+    """
+    spark = docs.sparkSession
+    rows = narrowed(docs, id_col, text_col).withColumn("_key", row_key(F.col("_id"), F.col("_text")))
     kind = rows.schema["_id"].dataType
 
     def make_sets():
         shingler, classes = Shingler(words), Classes(num, den)
+        met: set[int] = set()  # sets of this task so far: a copy sends no signatures again
+
+        def signs_of(tokens: np.ndarray, own: int | None) -> tuple[np.ndarray, list[int]]:
+            if own is None or own in met:
+                return np.zeros(0, U64), [0, 0]
+            met.add(own)
+            return signatures(tokens, classes)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingler.of(*text_bytes(batch.column("_text")))
-            found = [signatures(s, classes) if len(s) else (np.zeros(0, U64), [0, 0]) for s in sets]
+            ids = [set_id(s) if len(s) else None for s in sets]
+            found = [signs_of(s, i) for s, i in zip(sets, ids, strict=True)]
             signs = [signed(x) for x, _ in found]
             ends = np.cumsum([0, *map(len, signs)], dtype=np.int32)
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),
+                    batch.column("_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array(ids, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64))),
                     *(pa.array([spare[i] for _, spare in found], pa.int32()) for i in (0, 1)),
                 ],
-                ["_id", "n", "set", "signs", "spare0", "spare1"],
+                ["_id", "_key", "n", "set", "signs", "spare0", "spare1"],
             )
 
         return work
 
-    schema = T.StructType(
-        [T.StructField("_id", kind), T.StructField("n", T.LongType()), T.StructField("set", T.LongType()), T.StructField("signs", T.ArrayType(T.LongType())), T.StructField("spare0", T.IntegerType()), T.StructField("spare1", T.IntegerType())]
-    )
+    long, integer = T.LongType(), T.IntegerType()
+    fields = [("_id", kind), ("_key", long), ("n", long), ("set", long), ("signs", T.ArrayType(long)), ("spare0", integer), ("spare1", integer)]
+    schema = T.StructType([T.StructField(*f) for f in fields])
     sets = materialize(rows.mapInArrow(over_slices("_text", make_sets), schema), "sets")
 
     # Clusters: sets that share a signature, by stars around the least set of each signature. The most
     # frequent ones of a set are left out as far as it has spare ones; signatures of one set never count.
+    # Dealt by signature once, a set that several tasks met is reduced to one row before anything is counted.
     odd = F.col("sign").bitwiseAND(F.lit(1)) != 0
-    signs = sets.where("set IS NOT NULL").select("set", "spare0", "spare1", F.explode("signs").alias("sign")).select("set", "sign", F.when(odd, F.col("spare1")).otherwise(F.col("spare0")).alias("spare"))
+    signs = sets.select("set", "spare0", "spare1", F.explode("signs").alias("sign")).select("set", "sign", F.when(odd, F.col("spare1")).otherwise(F.col("spare0")).alias("spare"))
+    signs = signs.repartition("sign").groupBy("sign", "set").agg(F.min("spare").alias("spare"))
     of_sign = Window.partitionBy("sign")
     shared = signs.withColumns({"least": F.min("set").over(of_sign), "most": F.max("set").over(of_sign), "c": F.count("*").over(of_sign)}).where("least < most")
     rarest = Window.partitionBy("set", odd).orderBy(F.desc("c"), F.desc("sign"))
@@ -161,21 +177,21 @@ def jaccard_groups(
     stars = kept.select("set", "sign").withColumn("least", F.min("set").over(of_sign)).where("set > least")
     clusters = components(stars.select(F.col("set").alias("big"), F.col("least").alias("small")))
 
-    # One row for every set of a cluster, with its place in the units of work.
-    known = sets.where("set IS NOT NULL").groupBy("set").agg(F.min("_id").alias("_id"), F.first("n").alias("n"))
-    members = known.join(clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")), "set").where("_id IS NOT NULL")
+    # One row for every set of a cluster, with the row that its text is taken from and its place in the units of work.
+    known = sets.where("set IS NOT NULL").groupBy("set").agg(F.min("_key").alias("_key"), F.first("n").alias("n"))
+    members = known.join(clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")), "set")
     members = materialize(_units(members, num, den), "members")
 
     # The bit table keeps most texts that no cluster asks for out of the shuffle.
-    asked = marked(bit_table(members, F.xxhash64("_id"), "asked"), F.xxhash64("_id"))
-    chosen = rows.where("_text IS NOT NULL AND _id IS NOT NULL").where(asked).join(members, "_id").select("unit", "part", "set", "_text")
+    marks = bit_table(members, F.col("_key"), "asked", table_words(docs.count()))
+    chosen = rows.where("_text IS NOT NULL").where(marked(marks, F.col("_key"))).join(members, "_key").select("unit", "part", "set", "_text")
 
     def make_members():
         shingler = Shingler(words)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = shingler.of(*text_bytes(batch.column("_text")))
-            ok = [set_id(s) == i for s, i in zip(found, batch.column("set").to_pylist(), strict=True)]  # ids can repeat with other texts
+            ok = [len(s) > 0 and set_id(s) == i for s, i in zip(found, batch.column("set").to_pylist(), strict=True)]  # keys can collide
             blobs = [s.tobytes() if k else b"" for s, k in zip(found, ok, strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("part"), batch.column("set"), pa.array(blobs, pa.binary())], ["unit", "part", "set", "tokens"])
 
@@ -186,12 +202,25 @@ def jaccard_groups(
     placed = placed.repartition("unit").sortWithinPartitions("unit", "part", "set")
     links = placed.mapInArrow(_link_units(num, den), "big long, small long")
     roots = components(links)
+    discard(spark, members)
+    discard(spark, marks)
+    every = sets.select("_id", "_key", "n", "set").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
+    return every.select("_id", "_key", "n", "set", F.coalesce("root", "set").alias("root"))
 
-    # Components of sets, named by their least document, back to all rows.
-    named = known.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = named.groupBy("root").agg(F.min("_id").alias("component"))
-    of_set = named.join(least, "root").select("set", "component")
-    return sets.select("_id", "n", "set").join(of_set, "set", "left").select(
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A 64-bit hash of a row's id and text; a null id or text counts as well."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
+def jaccard_groups(
+    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``; links need similarity num / den."""
+    rows = rooted_sets(docs, words, num, den, id_col, text_col)
+    # Of each component only its least id goes back to the rows; equal sets are combined before the shuffle.
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("_id").alias("component"))
+    return rows.join(least, "root", "left").select(
         F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id")
     )
 
@@ -203,8 +232,10 @@ def _units(members: DataFrame, num: int, den: int) -> DataFrame:
         classes.of(classes.first[-1])
     bounds = F.array(*[F.lit(x).cast("long") for x in classes.first[1:]])
     members = members.withColumn("k", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
-    counts = members.groupBy("cluster", "k").agg(F.count("*").alias("c"))
-    totals = counts.groupBy("cluster").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("k", F.ceil(F.col("c") / (UNIT_SETS // 2)).cast("int")))).alias("parts"))
+    counts = members.groupBy("cluster", "k").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    cuts = F.ceil(F.greatest(F.col("c") / (UNIT_SETS // 2), F.col("t") / (UNIT_TOKENS // 2))).cast("int")
+    whole = (F.sum("c") <= UNIT_SETS) & (F.sum("t") <= UNIT_TOKENS)
+    totals = counts.groupBy("cluster").agg(whole.alias("whole"), F.map_from_entries(F.collect_list(F.struct("k", cuts))).alias("parts"))
     placed = members.join(totals, "cluster").withColumn("p", F.pmod(F.xxhash64("set"), F.coalesce(F.try_element_at("parts", F.col("k")), F.lit(1))).cast("int"))
     name = lambda k, p, k2, p2: F.concat_ws(":", F.col("cluster").cast("string"), k, p, k2, p2)
     text = lambda c: c.cast("string")
@@ -218,9 +249,9 @@ def _units(members: DataFrame, num: int, den: int) -> DataFrame:
         F.transform(upto(above), lambda q: F.struct(name(text(k), text(p), text(k + 1), text(q)).alias("unit"), F.lit(1).alias("part"))),
         F.transform(upto(below), lambda q: F.struct(name(text(k - 1), text(q), text(k), text(p)).alias("unit"), F.lit(2).alias("part"))),
     )
-    whole = F.array(F.struct(F.col("cluster").cast("string").alias("unit"), F.lit(0).alias("part")))
-    placed = placed.withColumn("u", F.when(F.col("total") <= UNIT_SETS, whole).otherwise(split))
-    return placed.select("_id", "set", F.transform("u", lambda x: x["unit"]).alias("unit"), F.transform("u", lambda x: x["part"]).alias("part"))
+    one = F.array(F.struct(F.col("cluster").cast("string").alias("unit"), F.lit(0).alias("part")))
+    placed = placed.withColumn("u", F.when(F.col("whole"), one).otherwise(split))
+    return placed.select("_key", "set", F.transform("u", lambda x: x["unit"]).alias("unit"), F.transform("u", lambda x: x["part"]).alias("part"))
 
 
 def _link_units(num: int, den: int):

@@ -13,7 +13,10 @@ MOST_IDS = 3_000_000
 
 
 class PieceTable:
-    """Ids of pieces by hash; hashes are over code points, with 64 bits and the length mixed in."""
+    """Ids of pieces. A 64-bit hash finds the place; the code points kept there decide.
+
+    A piece whose hash is taken by another piece is encoded on its own, so collisions cost time only.
+    """
 
     BASE = 0x9E3779B97F4A7C15
 
@@ -24,9 +27,13 @@ class PieceTable:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, U64)
-        self.where = np.zeros(0, np.int64)  # by key: place of the first id
+        self.entry = np.zeros(0, np.int64)  # by key: number of the piece
+        self.where = np.zeros(0, np.int64)  # by piece: place of the first id
         self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
+        self.text_at = np.zeros(0, np.int64)  # by piece: place of its code points
+        self.text_size = np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint16)
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
@@ -36,8 +43,32 @@ class PieceTable:
                 row[0] = 1
                 setattr(self, name, np.multiply.accumulate(row))
 
+    def _add(self, text: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encode pieces and keep them; their numbers."""
+        got = self.encode([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        sizes = np.fromiter((len(x) for x in got), np.int32, len(got))
+        first, lengths = len(self.where), end - start
+        self.where = np.concatenate([self.where, len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))])
+        self.text_at = np.concatenate([self.text_at, len(self.text) + np.cumsum(lengths) - lengths])
+        self.text_size = np.concatenate([self.text_size, lengths])
+        self.text = np.concatenate([self.text, codes[spread(start, lengths)].astype(np.uint16)])
+        return np.arange(first, len(self.where))
+
+    def _differ(self, entry: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces that are not what their entries hold."""
+        lengths = end - start
+        other = self.text_size[entry] != lengths
+        same = np.flatnonzero(~other)
+        mine, kept = codes[spread(start[same], lengths[same])], self.text[spread(self.text_at[entry[same]], lengths[same])]
+        off = np.flatnonzero(mine != kept)
+        if len(off):
+            other[same[np.searchsorted(np.cumsum(lengths[same]), off, side="right")]] = True
+        return np.flatnonzero(other)
+
     def lookup(self, text: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, size) in ``self.ids`` of each piece; ``text`` is what ``codes`` are the code points of."""
+        """(place, size) in ``self.ids`` of each piece; ``text`` is what ``codes``, all below 2**16, are the code points of."""
         self._grow(len(codes) + 1)
         prefix = np.zeros(len(codes) + 1, dtype=U64)
         np.cumsum(mixed(codes.astype(U64) + U64(0x51ED270B)) * self.up[: len(codes)], out=prefix[1:])
@@ -50,22 +81,27 @@ class PieceTable:
         if missing.any():
             fresh, first = np.unique(key[missing], return_index=True)
             place = np.flatnonzero(missing)[first]
-            got = self.encode([text[a:b] for a, b in zip(start[place].tolist(), end[place].tolist(), strict=True)])
-            sizes = np.fromiter((len(x) for x in got), np.int32, len(got))
-            begin = len(self.ids) + np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)])
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+            entry = self._add(text, codes, start[place], end[place])
             keys = np.concatenate([self.keys, fresh])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
-            self.where = np.concatenate([self.where, begin])[order]
-            self.size = np.concatenate([self.size, sizes])[order]
-            self.ids = np.concatenate([self.ids, flat])
+            self.entry = np.concatenate([self.entry, entry])[order]
             at = np.searchsorted(self.keys, key)
-        return self.where[at], self.size[at]
+        entry = self.entry[at]
+        wrong = self._differ(entry, codes, start, end)
+        if len(wrong):
+            entry[wrong] = self._add(text, codes, start[wrong], end[wrong])
+        return self.where[entry], self.size[entry]
 
     def gather(self, where: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' ids end to end, and the running count of ids before each piece."""
         before = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=before[1:])
-        index = np.arange(before[-1]) + np.repeat(where - before[:-1], size)
-        return self.ids[index], before
+        return self.ids[spread(where, size)], before
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size."""
+    size = size.astype(np.int64)
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)

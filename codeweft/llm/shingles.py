@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from codeweft.llm.arrays import U64, Powers, mixed
+from codeweft.llm.arrays import U64, mixed, span_hashes
 
 
 class Shingler:
@@ -12,7 +12,6 @@ class Shingler:
 
     def __init__(self, words: int) -> None:
         self.words = words
-        self.powers = Powers()
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
         self.white = np.zeros(256, dtype=bool)
@@ -34,8 +33,7 @@ class Shingler:
         stop[:-1] &= ~dark[1:]
         stop[begins[1:] - 1] = dark[begins[1:] - 1]
         at, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        prefix = self.powers.prefix(self.lower[data])
-        word = self.powers.of_spans(prefix, at, ends)
+        word = span_hashes(self.lower[data], at, ends)
         bounds = np.searchsorted(at, offsets)  # words of text i: bounds[i] to bounds[i + 1]
         k = self.words
         size = max(0, len(word) - k + 1)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.arrays import U64, Powers, over_slices, signed, slices, text_bytes
+from codeweft.llm.arrays import U64, over_slices, signed, slices, span_hashes, text_bytes
 from codeweft.llm.common import crc32_of_id, materialize, table
 
 EXAMPLES_PER_CLASS = 2000
@@ -47,7 +47,6 @@ class Terms:
     """Hashed terms of many texts at once."""
 
     def __init__(self) -> None:
-        self.powers = Powers()
         self.letter = np.zeros(256, dtype=bool)
         self.letter[97:123] = True
         self.letter[128:] = True
@@ -68,11 +67,10 @@ class Terms:
         stop[begins[1:] - 1] = letter[begins[1:] - 1]
         at, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
         row = np.searchsorted(offsets, at, side="right") - 1
-        prefix = self.powers.prefix(data)
-        terms, rows = [self.powers.of_spans(prefix, at, end)], [row]
+        terms, rows = [span_hashes(data, at, end)], [row]
         for n in BEGINNINGS:
             long = end - at > n
-            terms.append(self.powers.of_spans(prefix, at[long], at[long] + n) ^ U64(n))
+            terms.append(span_hashes(data, at[long], at[long] + n) ^ U64(n))
             rows.append(row[long])
         return np.concatenate(rows), np.concatenate(terms)
 

@@ -198,3 +198,27 @@ def test_language_stage_drops_unlearned_languages(spark):
     assert {r["doc_id"] for r in clean.collect()} <= got and {r["doc_id"] - 1000000 for r in clean.collect()} <= got
     labelled = docs.where("lang IS NOT NULL AND text RLIKE '[a-z]'").select("doc_id").collect()
     assert sum(r["doc_id"] in got for r in labelled) >= 0.995 * len(labelled)
+
+
+THUE_MORSE = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+OTHER = THUE_MORSE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_repeating_patterns_do_not_meet(spark):
+    """Two long words that sums of powers modulo 2**64 cannot tell apart; and a bridge without an id."""
+    middle = " ".join(f"w{k}" for k in range(118))
+    rows = [(1, THUE_MORSE), (2, OTHER), (3, f"x {THUE_MORSE} y"), (4, f"x {OTHER} y"), (5, f"a {middle} a"), (None, f"a {middle} b"), (6, f"b {middle} b")]
+    got = {r[0]: r[2] for r in jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 97, 100).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [1, 2, 3, 4] and got[6] == got[None] == got[5] == 5
+
+
+def test_pipeline_keeps_rows_that_share_an_id_or_have_none(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(3, text, "en"), (5, text + " more", "en"), (5, "something wholly different stands here", "en"), (None, text, "en"), (None, text, "en"), (3, text, "de"), (7, "one  text", "a"), (7, "one text", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = corpus_pipeline.exact(spark, docs, SF)
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in left.collect())
+    assert [g for g in got if g[0] != 7] == [(0, text), (0, text), (3, text), (5, "something wholly different stands here"), (5, text + " more")]
+    assert sum(g[0] == 7 for g in got) == 1
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near(spark, docs, SF).collect())
+    assert (5, "something wholly different stands here") in got and (5, text + " more") not in got and got.count((3, text)) == 2 and got.count((0, text)) == 2

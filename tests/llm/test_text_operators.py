@@ -105,6 +105,15 @@ def test_tokenizers_equal_the_library(libraries, texts):
     assert word.decode(np.array(ids)) == word_lib.decode(ids, skip_special_tokens=False)
 
 
+def test_tokenizers_tell_words_of_repeating_patterns_apart(libraries):
+    """Two 1024-letter words whose sums of powers modulo 2**64 are equal, in one batch, and one very long word."""
+    word_lib, word, byte_lib, byte = libraries
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), "x" * 20_000, one]
+    for lib, own in ((word_lib, word), (byte_lib, byte)):
+        assert [list(x) for x in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def merged(word, merges):
     parts = list(word)
     for a, b in merges:  # reference semantics: the lowest merge everywhere, left to right, again and again
