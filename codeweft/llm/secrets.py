@@ -6,7 +6,7 @@ ledger lacks for some rule at its present version, runs just those rules, append
 joins them back to all paths (rows) that hold the blob. Copies, however many, are scanned once.
 
 Positions come without Python: splitting a text at a rule's matches and listing the matches gives
-alternating pieces whose running lengths are the code-point offsets.
+alternating pieces whose running lengths, summed by a window over narrow rows, are the code-point offsets.
 
 Defined results: a null text is an empty text and has no findings; repeated rows each get their
 blob's findings; empty tables give no rows; extra columns are ignored. Texts are scanned whole.
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import materialize, narrowed, table
+from codeweft.llm.common import bit_table, discard, marked, materialize, narrowed, table, table_words
 
 
 @dataclass(frozen=True)
@@ -41,10 +41,11 @@ RULES = (
 
 FINDINGS = "array<struct<start:int,end:int>>"
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+CUTS = "array<struct<gap:int,len:int,counted:int>>"
 
 
-def find(text: Column, rule: Rule) -> Column:
-    """Array of (start, end) of the rule's findings, in code points, leftmost and non-overlapping."""
+def cuts(text: Column, rule: Rule) -> Column:
+    """Array of (gap, len, counted) of the rule's matches: the code points before each, its own, and those that count."""
     pieces = F.split(text, rule.pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
@@ -54,35 +55,61 @@ def find(text: Column, rule: Rule) -> Column:
         pairs,
         lambda gap, m: F.struct(F.length(gap).alias("gap"), m["len"].alias("len"), m["counted"].alias("counted")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("found"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["len"]).alias("at"),
-        F.when(
-            x["counted"] >= rule.least,
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))),
-        )
-        .otherwise(acc["found"])
-        .alias("found"),
-    )
-    found = F.aggregate(lengths, start, step, lambda acc: acc["found"])
-    return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(FINDINGS))
+    return F.when(F.size(pieces) > 1, lengths).otherwise(F.array().cast(CUTS))
+
+
+def _found(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ledger rows of scanned(blob, kind, version, cuts): lengths summed up to places, failing matches dropped.
+
+    Sums run over narrow rows, one for each match, so the work grows with the number of matches of a text.
+    """
+    least = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.least))])
+    key = ["blob", "kind", "version"]
+    each = scanned.where(F.size("cuts") > 0).select(*key, F.posexplode("cuts").alias("n", "c"))
+    before = Window.partitionBy(*key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("c.gap") + F.col("c.len")).over(before).cast("int"))
+    span = F.struct((F.col("end") - F.col("c.len")).alias("start"), F.col("end"))
+    found = placed.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("c.counted") >= least[F.col("kind")], span))).alias("found"))
+    none = scanned.where("size(cuts) = 0")
+    return found.unionByName(none.select(*key, F.array().cast(FINDINGS).alias("found")))
+
+
+def _scanned(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, kind, version, cuts) of blobs(blob, body) for the rules that the ledger lacks, in one pass over the bodies."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), cuts(F.col("body"), r).alias("cuts")) for i, r in enumerate(rules)])
+    if ledger is not None:
+        done = [((F.col("kind") == r.kind) & (F.col("version") == r.version)) for r in rules]
+        seen = ledger.groupBy("blob").agg(*[F.bool_or(d).alias(f"done{i}") for i, d in enumerate(done)])
+        blobs = blobs.join(seen, "blob", "left")
+        each = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(f"done{i}"), F.lit(False)), each[i]) for i in range(len(rules))]))
+    return blobs.select("blob", F.inline(each)).select("blob", "kind", "version", "cuts")
 
 
 def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, kind, version, found) for blobs(blob, body) and rules not in the ledger."""
-    fresh = []
-    for rule in rules:
-        unseen = blobs
-        if ledger is not None:
-            seen = ledger.where((F.col("kind") == rule.kind) & (F.col("version") == rule.version)).select("blob")
-            unseen = blobs.join(seen, "blob", "left_anti")
-        fresh.append(unseen.select("blob", F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), find(F.col("body"), rule).alias("found")))
-    if ledger is None:  # one pass over the bodies for all rules
-        each = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), find(F.col("body"), r).alias("found")) for r in rules]
-        return blobs.select("blob", F.inline(F.array(*each)))
-    out = fresh[0]
-    for part in fresh[1:]:
-        out = out.unionByName(part)
+    return _found(_scanned(blobs, ledger, rules), rules)
+
+
+def _scan(texts: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """New ledger rows for texts(body), each distinct one scanned once.
+
+    A first pass takes digests only. Those that several rows hold, or the ledger knows, are marked in a bit
+    table: a text that is not marked is new and alone, and is scanned where it lies; only marked ones are shuffled.
+    """
+    spark = texts.sparkSession
+    blob = F.sha2("body", 256)
+    digests = texts.groupBy(blob.alias("blob")).agg(F.count("*").alias("n"))
+    several = digests.where("n > 1").select("blob")
+    if ledger is not None:
+        several = several.unionByName(ledger.select("blob").distinct())
+    marks = bit_table(several, F.xxhash64("blob"), "several", table_words(texts.count()))
+    known = texts.select(blob.alias("blob"), "body").withColumn("_marked", marked(marks, F.xxhash64("blob")))
+    alone = _scanned(known.where("NOT _marked").select("blob", "body"), None, rules)
+    shared = known.where("_marked").groupBy("blob").agg(F.first("body").alias("body"))
+    scanned = materialize(alone.unionByName(_scanned(shared, ledger, rules)), "scanned")
+    out = materialize(_found(scanned, rules), "ledger")
+    discard(spark, scanned)
+    discard(spark, marks)
     return out
 
 
@@ -98,61 +125,69 @@ def scan_secrets(
     ``spans`` is an array of (start, end, rank, kind) sorted by start, then by the rules' order.
     """
     rows = narrowed(docs, id_col, text_col).withColumn("_text", F.coalesce("_text", F.lit("")))
-    blob = F.sha2("_text", 256)
-    blobs = rows.groupBy(blob.alias("blob")).agg(F.first("_text").alias("body"))
-    ledger_rows = materialize(scan_blobs(blobs, ledger, rules), "ledger")
+    ledger_rows = _scan(rows.select(F.col("_text").alias("body")), ledger, rules)
     if ledger is not None:
         ledger_rows = ledger.unionByName(ledger_rows)
-    paths = rows.select("_id", blob.alias("blob"))
+    paths = rows.select("_id", F.sha2("_text", 256).alias("blob"))
     findings = paths.join(current_spans(ledger_rows, rules), "blob", "left")
     return findings.select(F.col("_id").alias("doc_id"), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), ledger_rows
 
 
-def current_spans(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob, spans`` for the blobs in which the rules, at their present versions, found something."""
+def _current(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, rank, kind, found`` of the rules at their present versions."""
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    current = F.lit(False)
+    now = F.lit(False)
     for r in rules:
-        current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    return (
-        ledger.where(current & (F.size("found") > 0))
-        .withColumn("rank", rank[F.col("kind")])
-        .groupBy("blob")
-        .agg(
-            F.sort_array(
-                F.flatten(F.collect_list(F.transform("found", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind")))))
-            ).alias("spans")
-        )
-    )
+        now = now | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    return ledger.where(now & (F.size("found") > 0)).select("blob", rank[F.col("kind")].alias("rank"), "kind", "found")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with every code point inside a span replaced, as one mark for each run of spans."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.when(
-        s["end"] <= acc["at"], acc
-    ).otherwise(
-        F.struct(
-            s["end"].alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("[secret:"), s["kind"], F.lit("]"))))
-            .alias("out"),
-        )
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    )
+def current_spans(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob, spans`` for the blobs in which the rules, at their present versions, found something."""
+    span = lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind"))
+    return _current(ledger, rules).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(F.transform("found", span)))).alias("spans"))
+
+
+def _runs(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, runs``: overlapping spans joined, each run (prev, start, end, kind) with the end of the run before."""
+    each = _current(ledger, rules).select("blob", "rank", "kind", F.inline("found"))
+    order = Window.partitionBy("blob").orderBy("start", "rank", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    headed = each.withColumn("head", (F.col("start") >= F.coalesce(reach, F.lit(0))).cast("int"))
+    number = F.sum("head").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = headed.withColumn("run", number).groupBy("blob", "run").agg(F.min(F.struct("start", "rank", "end", "kind")).alias("h"), F.max("end").alias("end"))
+    prev = F.lag("end", 1, 0).over(Window.partitionBy("blob").orderBy("run"))
+    runs = runs.select("blob", prev.alias("prev"), F.col("h.start").alias("start"), "end", F.col("h.kind").alias("kind"))
+    return runs.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("prev", "start", "end", "kind"))).alias("runs"))
+
+
+def redact(text: Column, runs: Column) -> Column:
+    """The text with each run replaced by a mark of its kind.
+
+    Pieces are cut from the text in four bytes a code point, where a place is found without counting.
+    """
+
+    def joined(wide: Column) -> Column:
+        part = lambda a, n: F.decode(F.substring(wide, 4 * a + 1, 4 * n), "UTF-32")
+        pieces = F.transform(runs, lambda r: F.concat(part(r["prev"], r["start"] - r["prev"]), F.lit("[secret:"), r["kind"], F.lit("]")))
+        last = F.element_at(runs, -1)["end"]
+        return F.concat(F.array_join(pieces, ""), part(last, F.floor(F.octet_length(wide) / 4).cast("int") - last))
+
+    return F.when(F.size(runs) == 0, text).otherwise(F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), joined), 1))
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows with every finding replaced by a mark of its kind; all columns stay, null texts too."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    blob = F.sha2(F.coalesce("_text", F.lit("")), 256)
-    blobs = rows.groupBy(blob.alias("blob")).agg(F.first(F.coalesce("_text", F.lit(""))).alias("body"))
-    spans = current_spans(materialize(scan_blobs(blobs, None, rules), "ledger"), rules)
-    found = rows.withColumn("blob", blob).join(spans, "blob", "left")
-    text = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(redact(F.col("_text"), F.coalesce("spans", F.array().cast(SPANS))))
-    return found.select(F.col("_row").withField(f"`{text_col}`", text).alias("_row")).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    runs = _runs(_scan(rows.select(F.col("_text").alias("body")), None, rules), rules)
+    # Texts without findings stay where they are; the bit table sends the others to their runs.
+    runs = materialize(runs, "runs")
+    marks = bit_table(runs, F.xxhash64("blob"), "found", table_words(docs.count()))
+    known = rows.withColumn("blob", F.sha2("_text", 256)).withColumn("_marked", marked(marks, F.xxhash64("blob")))
+    clean = known.where("NOT _marked").select("_row")
+    found = known.where("_marked").join(runs, "blob", "left")
+    text = F.when(F.col("runs").isNull(), F.col(f"_row.`{text_col}`")).otherwise(redact(F.col("_text"), F.col("runs")))
+    return clean.unionByName(found.select(F.col("_row").withField(f"`{text_col}`", text).alias("_row"))).select("_row.*")
 
 
 def op3_secret_ledger(spark, sf_dir: str) -> DataFrame:

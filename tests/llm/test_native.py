@@ -112,3 +112,14 @@ def test_redaction(odd):
     got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(odd).collect()}
     assert got[9] == "[secret:assign]' [secret:access] [secret:hex] ünd" and got[3] is None and got[10].startswith("日本語")
     assert secrets.redact_secrets(odd).columns == odd.columns
+
+
+def test_very_many_findings(spark):
+    """Work grows with the findings of a text, not with their square."""
+    text = " ".join(f"ü{i} password=abcdef{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found, _ = secrets.scan_secrets(docs)
+    spans = found.first()["spans"]
+    want = [(m.start(), m.end()) for m in re.finditer(r"password=\w+", text)]
+    assert [(s["start"], s["end"]) for s in spans] == want
+    assert secrets.redact_secrets(docs).first()["text"] == re.sub(r"password=\w+", "[secret:assign]", text)
