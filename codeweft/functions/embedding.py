@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,12 +42,70 @@ def embed_text(text: str | None, dim: int = DIM) -> np.ndarray:
     return vector / norm if norm else vector
 
 
+def _code(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Embedder:
+    """Embeds many texts at once: each distinct feature of a worker's batches is hashed once."""
+
+    MOST_KNOWN = 1_000_000
+
+    def __init__(self, dim: int = DIM) -> None:
+        self.dim = dim
+        self.windows: dict[int, int] = {}
+        self.tokens: dict[str, list[int]] = {}
+
+    def _of_token(self, token: str) -> list[int]:
+        found = self.tokens.get(token)
+        if found is None:
+            found = self.tokens[token] = [_code(token), *(_code(p) for p in re.split(r"[_\d]+", token) if len(p) > 2)]
+        return found
+
+    def _of_windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, code) of the three-sign windows at every second place."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        counts = np.maximum(0, sizes - 1) // 2
+        row = np.repeat(np.arange(len(texts)), counts)
+        at = (np.cumsum(sizes) - sizes)[row] + 2 * (np.arange(counts.sum()) - (np.cumsum(counts) - counts)[row])
+        keys, which = np.unique(signs[at] << 42 | signs[at + 1] << 21 | signs[at + 2], return_inverse=True)
+        mask, codes = (1 << 21) - 1, []
+        for k in keys.tolist():
+            code = self.windows.get(k)
+            if code is None:
+                code = self.windows[k] = _code(chr(k >> 42) + chr(k >> 21 & mask) + chr(k & mask))
+            codes.append(code)
+        return row, np.array(codes, dtype=np.uint64)[which]
+
+    def embed(self, texts: list[str | None]) -> np.ndarray:
+        """One row for each text; see :func:`embed_text`."""
+        if len(self.windows) + len(self.tokens) > self.MOST_KNOWN:
+            self.windows.clear()
+            self.tokens.clear()
+        lowered = [(t or "").lower() for t in texts]
+        rows, codes = zip(self._of_windows([re.sub(r"\s+", " ", t) for t in lowered]), strict=True)
+        rows, codes = [*rows], [*codes]
+        for i, t in enumerate(lowered):
+            own = [c for token in re.findall(r"[A-Za-z0-9_]+", t) for c in self._of_token(token)]
+            rows.append(np.full(len(own), i))
+            codes.append(np.array(own, dtype=np.uint64))
+        row, code = np.concatenate(rows), np.concatenate(codes)
+        place = row * self.dim + ((code >> np.uint64(1)) % np.uint64(self.dim)).astype(np.int64)
+        out = np.bincount(place, np.where(code & np.uint64(1), 1.0, -1.0), len(texts) * self.dim).reshape(len(texts), self.dim)
+        norm = np.sqrt((out * out).sum(axis=1))
+        return out / np.where(norm > 0, norm, 1.0)[:, None]
+
+
 def hashing_embedding(text: Column, dim: int = DIM) -> Column:
     """The embedding as an Arrow-batched function of whole texts."""
 
     @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed_text(t, dim))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Embedder(dim)
+        for texts in batches:
+            parts = [own.embed(texts.iloc[i : i + 256].tolist()) for i in range(0, len(texts), 256)]
+            yield pd.Series([row for part in parts for row in part], dtype=object)
 
     return embed(text)
 

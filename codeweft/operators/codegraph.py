@@ -1,0 +1,81 @@
+"""The whole graph of a source tree: Java declarations and references, web, Spark and SQL facts."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from codeweft.operators import frameworks
+from codeweft.operators.graph import first_edges, merge_nodes
+from codeweft.operators.javagraph import JavaTables, java_graph
+from codeweft.sources import sqltext
+from codeweft.storage import materialize
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _id(kind: str, column: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), column)
+
+
+def code_graph(j: JavaTables, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed Java tables and of sources(relative_path, content), whose ``.sql`` files are read too.
+
+    Facts about a node that is there already are merged into it; an end that nothing describes becomes a placeholder.
+    """
+    nodes, edges = java_graph(j)
+    high, real = F.lit("HIGH"), F.lit(False).alias("placeholder")
+
+    def edge(df: DataFrame, kind: str, src: Column, dst: Column, confidence: Column = high) -> DataFrame:
+        return df.select(F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"), confidence.alias("confidence"), "file", F.col("line").cast("int").alias("line"))
+
+    # Web facts.
+    e = frameworks.endpoints(j)
+    note = lambda name: F.exists("annotations", lambda a: F.substring_index(a["name"], ".", -1) == name)
+    component = j.methods.join(frameworks.stereotypes(j).select(F.col("fqn").alias("owner_fqn")), "owner_fqn", "left_semi")
+    facts = [
+        frameworks.stereotypes(j).select(_id("type", "fqn").alias("id"), "stereotype", real),
+        e.select("id", F.lit("Endpoint").alias("kind"), F.concat_ws(" ", "http_method", "path").alias("name"), "http_method", "path", "controller", "handler", "file", F.col("line").alias("line_start"), "line_end", real),
+        component.where(note("Bean")).select(_id("method", "fqn").alias("id"), F.lit(True).alias("bean"), real),
+        component.where(note("ExceptionHandler")).select(_id("method", "fqn").alias("id"), F.lit(True).alias("exception_handler"), real),
+    ]
+    injected = frameworks.injections(j).join(j.types.select(F.col("fqn").alias("src"), "file", F.col("location.line_start").alias("line")), "src")
+    handled = frameworks.handles(j)
+    links = [
+        edge(e, "EXPOSES", _id("type", "controller"), F.col("id")),
+        edge(e, "MAPPED_TO", F.col("id"), _id("method", "handler")),
+        edge(injected, "INJECTS", _id("type", "src"), _id("type", "dst"), F.col("confidence")),
+        edge(handled, "HANDLES", F.col("src"), F.col("dst"), F.col("confidence")),
+    ]
+
+    # Spark facts.
+    jobs = frameworks.spark_jobs(j)
+    placed = jobs.join(j.methods.select(F.col("fqn").alias("method"), "file", F.col("location.line_start").alias("line")), "method")
+    facts.append(jobs.select(_id("method", "method").alias("id"), F.lit(True).alias("spark_job"), F.col("transformations").alias("spark_transformations"), F.col("actions").alias("spark_actions"), real))
+    for kind, tables in (("READS_TABLE", "reads_tables"), ("WRITES_TABLE", "writes_tables")):
+        links.append(edge(placed.select("method", "file", "line", F.explode(tables).alias("t")), kind, _id("method", "method"), _id("table", "t"), F.lit("MEDIUM")))
+
+    # SQL facts.
+    files = sources.where(F.lower("relative_path").endswith(".sql"))
+    hits = sqltext.java_statements(j.parsed).unionByName(sqltext.file_statements(files))
+    methods = j.methods.select("fqn", "file", F.col("location.line_start").alias("lo"), F.col("location.line_end").alias("hi"))
+    found, uses = sqltext.statements(materialize(hits, "sql-hits"), methods)
+    facts += [
+        files.select(_id("file", "relative_path").alias("id"), F.lit("SourceFile").alias("kind"), F.col("relative_path").alias("name"), F.col("relative_path").alias("file"), F.lit("sql").alias("file_kind"), real),
+        found.select("id", F.lit("SQLStatement").alias("kind"), F.col("id").alias("name"), "statement_type", "parsed_ok", "text", "tables_read", "tables_written", "origins", real),
+    ]
+    links.append(uses.select("type", "src", "dst", "confidence", F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line")))
+
+    more = materialize(first_edges(_union(links), F.struct("file", "line")), "more-edges")
+    nodes = materialize(nodes, "java-nodes")
+    known = nodes.select("id").unionByName(_union(facts).select("id"))
+    ends = more.select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
+    name = F.regexp_replace("id", "^[^:]*:", "")
+    table = F.col("id").startswith("table:")
+    ends = ends.select("id", F.when(table, "Table").otherwise("Type").alias("kind"), F.when(table, name).otherwise(F.substring_index(name, ".", -1)).alias("name"), (~table).alias("placeholder"))
+    nodes = merge_nodes(_union([nodes, *facts, ends]).withColumn("ordinal", F.coalesce("file", F.lit(""))))
+    return nodes, first_edges(_union([edges, more]), F.struct("file", "line"))

@@ -13,8 +13,6 @@ from codeweft.operators.resolution import link_constructors, resolve_calls, reso
 from codeweft.sources.java import entities
 from codeweft.storage import materialize
 
-MOST_LEVELS = 16
-
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -74,8 +72,9 @@ class JavaTables:
         """``fqn, super, depth`` for declared supertypes, extended ones first."""
         direct = self.resolved.where("use IN ('EXTENDS', 'IMPLEMENTS') AND declared").select(F.col("src").alias("fqn"), F.col("target").alias("super")).distinct()
         found, frontier = [], direct.withColumn("depth", F.lit(1))
-        seen = None
-        for depth in range(1, MOST_LEVELS + 1):
+        seen, depth = None, 0
+        while True:  # a pair is met once, so this ends
+            depth += 1
             frontier = materialize(frontier, "supers")
             if frontier.isEmpty():
                 break
@@ -160,7 +159,7 @@ def java_graph(j: JavaTables) -> tuple[DataFrame, DataFrame]:
         _call_edges(j),
         edge(linked, "CALLS", _id("method", "method_fqn"), F.col("target"), F.col("confidence"), F.col("line"), F.col("ref_ordinal")),
     ])
-    edges = first_edges(edges, F.struct("ordinal", "file", "line"))
+    edges = materialize(first_edges(edges, F.struct("ordinal", "file", "line")), "java-edges")  # read for the ends of edges and as the result
 
     def node(df: DataFrame, id_: Column, kind: Column, name: Column, **more: Column) -> DataFrame:
         return df.select(id_.alias("id"), kind.alias("kind"), name.alias("name"), *[c.alias(k) for k, c in more.items()])
@@ -168,9 +167,9 @@ def java_graph(j: JavaTables) -> tuple[DataFrame, DataFrame]:
     real = _union([
         node(files, _id("file", "file"), F.lit("SourceFile"), F.col("file"), file=F.col("file"), parse_status=F.col("status")),
         node(packaged, _id("package", "package"), F.lit("Package"), F.col("package")),
-        node(j.types, _id("type", "fqn"), F.initcap("kind"), F.col("name"), fqn=F.col("fqn"), owner=F.col("enclosing_fqn"), file=F.col("file"), line_start=line, line_end=F.col("location.line_end"), annotations=F.transform("annotations", lambda a: a["name"])),
+        node(j.types, _id("type", "fqn"), F.initcap("kind"), F.col("name"), fqn=F.col("fqn"), package=F.col("package"), owner=F.col("enclosing_fqn"), file=F.col("file"), line_start=line, line_end=F.col("location.line_end"), annotations=F.transform("annotations", lambda a: a["name"])),
         node(j.fields, _id("field", "fqn"), F.lit("Field"), F.col("name"), fqn=F.col("fqn"), owner=F.col("owner_fqn"), file=F.col("file"), line_start=line, line_end=F.col("location.line_end")),
-        node(j.methods, _id("method", "fqn"), F.initcap("kind"), F.col("name"), fqn=F.col("fqn"), owner=F.col("owner_fqn"), file=F.col("file"), line_start=line, line_end=F.col("location.line_end"), annotations=F.transform("annotations", lambda a: a["name"])),
+        node(j.methods, _id("method", "fqn"), F.initcap("kind"), F.col("name"), fqn=F.col("fqn"), owner=F.col("owner_fqn"), return_type=F.col("return_type"), file=F.col("file"), line_start=line, line_end=F.col("location.line_end"), annotations=F.transform("annotations", lambda a: a["name"])),
     ]).withColumn("placeholder", F.lit(False))
     ends = edges.select(F.col("dst").alias("id"))
     kind = F.when(F.col("id").startswith("extmethod:"), "Method").when(F.col("id").startswith("package:"), "Package").otherwise("Type")

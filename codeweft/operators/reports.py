@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.text import short_id
+from codeweft.functions.text import short_id, simple_name
 from codeweft.operators.graph import IMPACT_TYPES, entrypoints, impact_related
+from codeweft.operators.spans import overlapping_spans
 from codeweft.operators.traversal import call_flow, khop
+from codeweft.sources.files import application_style, java_lines
+from codeweft.storage import materialize
+
+# Fixed values of the data model: layers in order, each with the stereotypes and the parts of package names that put a type there.
+LAYERS = [
+    ("Controller/API", ["RestController", "Controller"], ["controller", "web", "rest", "api", "resource", "endpoint"]),
+    ("Service", ["Service"], ["service", "svc", "usecase", "application"]),
+    ("Repository/DAO", ["Repository"], ["repository", "repo", "dao", "persistence", "store", "mapper"]),
+    ("Configuration", ["Configuration"], ["config", "configuration"]),
+    ("ETL/Spark", [], ["etl", "job", "spark", "pipeline", "batch"]),
+    ("Domain/Model", [], ["domain", "model", "entity", "dto", "dbo", "vo", "pojo"]),
+    ("Integration", [], ["client", "gateway", "integration", "external", "adapter"]),
+    ("Utility", [], ["util", "utils", "helper", "common", "support"]),
+]
+SPARK_LAYER, NO_LAYER = "ETL/Spark", "Unclassified"
+TEST_ANNOTATIONS = ["Test", "ParameterizedTest"]
+
+
+def layer_of(package: Column, stereotype: Column, spark_job: Column) -> Column:
+    """The first layer whose stereotypes or parts of package names hold; a Spark job's type is of the Spark layer at its turn."""
+    low, out = F.lower(F.coalesce(package, F.lit(""))), F.lit(NO_LAYER)
+    for name, labels, parts in reversed(LAYERS):
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | F.contains(low, F.lit(part))
+        if labels:
+            hit = hit | F.coalesce(stereotype.isin(labels), F.lit(False))
+        if name == SPARK_LAYER:
+            hit = hit | F.coalesce(spark_job, F.lit(False))
+        out = F.when(hit, name).otherwise(out)
+    return out
+
 
-# Fixed values of the data model: layers by stereotype, then by parts of package names, in order.
-LAYERS_BY_STEREOTYPE = {"RestController": "web", "Controller": "web", "ControllerAdvice": "web", "Service": "service", "Repository": "data", "Configuration": "config", "SpringBootApplication": "config"}
-LAYERS_BY_PACKAGE = {"controller": "web", "web": "web", "api": "web", "service": "service", "repository": "data", "dao": "data", "config": "config", "model": "domain", "entity": "domain", "domain": "domain", "util": "util", "common": "util"}
+def looks_like_test() -> Column:
+    """Whether a node is a test: by a part of its name before the ``#``, or an annotation."""
+    name = F.split_part(F.coalesce("fqn", "owner", "id"), F.lit("#"), F.lit(1))
+    noted = F.exists(F.coalesce("annotations", F.array().cast("array<string>")), lambda a: simple_name(a).isin(TEST_ANNOTATIONS))
+    return F.contains(name, F.lit("Test")) | F.contains(name, F.lit("test")) | noted
 
 
 def find_impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> dict[str, DataFrame]:
     """Callers and callees of each seed within some calls, tests among the callers, and related ids by edge type."""
     callers, callees = khop(edges, seeds, max_depth, "in", ["CALLS"]), khop(edges, seeds, max_depth, "out", ["CALLS"])
-    name = F.coalesce("fqn", "owner", "id")
-    noted = F.exists(F.coalesce("annotations", F.array().cast("array<string>")), lambda a: a.isin("Test", "ParameterizedTest"))
-    tests = nodes.where(F.contains(F.lower(F.split_part(name, F.lit("#"), F.lit(1))), F.lit("test")) | F.contains(name, F.lit("Test")) | noted)
+    tests = nodes.where(looks_like_test())
     return {
         "direct_callers": callers.where("depth = 1"),
         "callers": callers,
@@ -66,23 +99,23 @@ def table_statements(edges: DataFrame) -> DataFrame:
 
 
 def exception_pages(edges: DataFrame, most: int = 6) -> DataFrame:
-    """``exception, thrown_by, caught_by``: the first methods of each, in order."""
-    side = lambda kind: F.slice(F.sort_array(F.collect_set(F.when(F.col("type") == kind, F.col("src")))), 1, most)
-    return edges.where(F.col("type").isin("THROWS", "CATCHES")).groupBy(F.col("dst").alias("exception")).agg(side("THROWS").alias("thrown_by"), side("CATCHES").alias("caught_by"))
+    """``exception, thrown_by, caught_by``: the first methods of each, in order. Ranked first, so no list outgrows ``most``."""
+    own = edges.where(F.col("type").isin("THROWS", "CATCHES")).select("type", F.col("dst").alias("exception"), "src").distinct()
+    first = own.withColumn("k", F.row_number().over(Window.partitionBy("type", "exception").orderBy("src"))).where(F.col("k") <= most)
+    side = lambda kind: F.sort_array(F.collect_list(F.when(F.col("type") == kind, F.col("src"))))
+    return first.groupBy("exception").agg(side("THROWS").alias("thrown_by"), side("CATCHES").alias("caught_by"))
 
 
-def layers(types: DataFrame, stereotypes: DataFrame, most: int = 60) -> DataFrame:
-    """``layer, status, types, members``: observed where a stereotype says so, else inferred from packages."""
-    j = types.join(stereotypes, "fqn", "left")
-    by_label = F.lit(None).cast("string")
-    for label, layer in LAYERS_BY_STEREOTYPE.items():
-        by_label = F.when(F.col("stereotype") == label, layer).otherwise(by_label)
-    by_package = F.lit("other")
-    for part, layer in reversed(LAYERS_BY_PACKAGE.items()):
-        by_package = F.when(F.contains(F.lower("package"), F.lit(part)), layer).otherwise(by_package)
-    placed = j.select("fqn", F.coalesce(by_label, by_package).alias("layer"), by_label.isNotNull().alias("seen"))
-    status = F.when(F.bool_or("seen"), "observed").when(F.col("layer") == "other", "unknown").otherwise("inferred")
-    return placed.groupBy("layer").agg(status.alias("status"), F.count("*").alias("types"), F.slice(F.sort_array(F.collect_set("fqn")), 1, most).alias("members"))
+def layers(types: DataFrame, most: int = 60) -> DataFrame:
+    """``layer, status, types, members`` of types(fqn, package, stereotype, spark_job).
+
+    A layer is observed if a stereotype stands in it, else inferred; types of no layer are unknown.
+    """
+    placed = types.select("fqn", layer_of(F.col("package"), F.col("stereotype"), F.col("spark_job")).alias("layer"), F.col("stereotype").isNotNull().alias("seen"))
+    ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("layer").orderBy("fqn")))
+    status = F.when(F.col("layer") == NO_LAYER, "unknown").when(F.bool_or("seen"), "observed").otherwise("inferred")
+    members = F.sort_array(F.collect_list(F.when(F.col("k") <= most, F.col("fqn"))))
+    return ranked.groupBy("layer").agg(status.alias("status"), F.count("*").alias("types"), members.alias("members"))
 
 
 def unresolved(nodes: DataFrame) -> DataFrame:
@@ -92,6 +125,101 @@ def unresolved(nodes: DataFrame) -> DataFrame:
 def test_coverage(nodes: DataFrame, edges: DataFrame, max_depth: int = 4, most: int = 80) -> DataFrame:
     """Methods outside tests that no test reaches, the first in order; external placeholders do not count."""
     methods = nodes.where(F.col("kind").isin("Method", "Constructor") & ~F.coalesce("placeholder", F.lit(False)))
-    is_test = F.contains(F.lower(F.coalesce("owner", F.lit(""))), F.lit("test"))
+    is_test = looks_like_test()
     reached = khop(edges, methods.where(is_test).select("id"), max_depth, "out", ["CALLS"])
     return methods.where(~is_test).join(reached.select("id").distinct(), "id", "left_anti").select("id").orderBy("id").limit(most)
+
+
+def long_rows(**parts: tuple[DataFrame, Column, Column]) -> DataFrame:
+    """``what, key, n`` rows of several aggregates."""
+    out = None
+    for what, (df, key, n) in parts.items():
+        part = df.select(F.lit(what).alias("what"), key.cast("string").alias("key"), n.cast("long").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _counted(df: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
+    return df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")), F.col("_k"), F.col("_n")
+
+
+def _total(df: DataFrame) -> tuple[DataFrame, Column, Column]:
+    return df.agg(F.count("*").alias("_n")), F.lit(""), F.col("_n")
+
+
+def sql_counts(nodes: DataFrame) -> DataFrame:
+    """``what, key, n``: statements, those by type, those that parsed, and tables."""
+    own = nodes.where("kind = 'SQLStatement'")
+    return long_rows(statements=_total(own), by_type=_counted(own, "statement_type"), parsed_ok=_total(own.where("parsed_ok")), tables=_total(nodes.where("kind = 'Table'")))
+
+
+def spring_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``what, key, n``: components by stereotype, endpoints, beans, exception handlers, injections."""
+    return long_rows(
+        stereotypes=_counted(nodes.where("stereotype IS NOT NULL"), "stereotype"), endpoints=_total(edges.where("type = 'MAPPED_TO'")), beans=_total(nodes.where("bean")),
+        exception_handlers=_total(nodes.where("exception_handler")), injections=_total(edges.where("type = 'INJECTS'")),
+    )
+
+
+def spark_counts(jobs: DataFrame) -> DataFrame:
+    """``jobs, sql_calls, input_tables, output_tables``: over all Spark jobs, tables sorted and each once."""
+    tables = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
+    return jobs.agg(F.count("*").alias("jobs"), F.coalesce(F.sum("sql_calls"), F.lit(0)).alias("sql_calls"), tables("reads_tables").alias("input_tables"), tables("writes_tables").alias("output_tables"))
+
+
+def scan_stats(files: DataFrame, parsed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``what, key, n`` of a scan: files by kind, parsed files by status, nodes, edges, SQL and framework facts."""
+    own = long_rows(files=_counted(files, "kind"), parsed=_counted(parsed, "status"), nodes=_counted(nodes, "kind"), edges=_counted(edges, "type"), unresolved=_total(nodes.where("placeholder")))
+    part = lambda df, name: df.withColumn("what", F.concat(F.lit(name), "what"))
+    return own.unionByName(part(sql_counts(nodes), "sql_")).unionByName(part(spring_counts(nodes, edges), "spring_"))
+
+
+def sql_dashboard(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """``id, statement_type, tables_read, tables_written, callers``: each statement with the first of those that run it."""
+    runs = edges.where("type = 'EXECUTES_SQL'").select(F.col("dst").alias("id"), "src").distinct()
+    first = runs.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("src"))).where(F.col("k") <= most)
+    callers = first.groupBy("id").agg(F.sort_array(F.collect_list("src")).alias("callers"))
+    own = nodes.where("kind = 'SQLStatement'").select("id", "statement_type", "tables_read", "tables_written")
+    return own.join(callers, "id", "left").withColumn("callers", F.coalesce("callers", F.array().cast("array<string>")))
+
+
+def endpoint_dashboard(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """``id, http_method, path, handler, steps``: endpoints by path and method, each with the first steps of its flow."""
+    steps = endpoint_flows(nodes, edges, 8, most).groupBy(F.col("endpoint").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]).alias("steps"))
+    own = nodes.where("kind = 'Endpoint'").select("id", "http_method", "path", "handler")
+    return own.join(steps, "id", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<string>"))).orderBy("path", "http_method")
+
+
+def overview(files: DataFrame, build: DataFrame) -> DataFrame:
+    """The one row of build facts with the style of the application, files and lines of Java."""
+    own = java_lines(files)
+    configured = files.agg(F.count_if(F.col("kind") == "spark_config").alias("n")).scalar() > 0
+    row = build.withColumns({"files": own.select("files").scalar(), "java_lines": own.select("java_lines").scalar(), "_configured": configured})
+    return application_style(row.withColumn("_spark", F.col("spark_version").isNotNull() | F.col("_configured"))).drop("_spark", "_configured")
+
+
+def change_impact(nodes: DataFrame, edges: DataFrame, hunks: DataFrame, max_depth: int = 4) -> DataFrame:
+    """``what, id``: what a diff(path, status, lo, hi) touches.
+
+    Symbols whose lines it changes, callers of these within some calls, tests among them, SQL statements and endpoints
+    next to them; files that are new, deleted, or hold no known symbol.
+    """
+    kinds = ["Method", "Constructor", "Class", "Interface", "Enum", "Record"]
+    known = nodes.where(F.col("kind").isin(kinds) & F.col("line_start").isNotNull() & ~F.coalesce("placeholder", F.lit(False)))
+    known = known.select(F.col("id").alias("span_id"), "file", F.col("line_start").alias("lo"), F.col("line_end").alias("hi"))
+    ranges = hunks.where("status <> 'A'").select(F.concat_ws("|", "path", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("range_id"), F.col("path").alias("file"), "lo", "hi")
+    changed = materialize(overlapping_spans(ranges, known).select(F.col("span_id").alias("id")).distinct(), "changed")
+    impact = find_impact(nodes, edges, changed, max_depth)
+    related = impact["related"].select(F.explode("related").alias("id"))
+    mapped = edges.where("type = 'MAPPED_TO'").join(changed.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+    unmapped = hunks.where("status NOT IN ('A', 'D')").join(known.select(F.col("file").alias("path")), "path", "left_anti")
+    parts = {
+        "changed_symbol": changed, "impacted_caller": impact["callers"], "impacted_test": impact["tests"], "impacted_sql": related.where(F.col("id").startswith("sql:")),
+        "impacted_endpoint": related.where(F.col("id").startswith("endpoint:")).unionByName(mapped), "new_file": hunks.where("status = 'A'").select(F.col("path").alias("id")),
+        "deleted_file": hunks.where("status = 'D'").select(F.col("path").alias("id")), "unmapped_file": unmapped.select(F.col("path").alias("id")),
+    }
+    out = None
+    for what, df in parts.items():
+        part = df.select(F.lit(what).alias("what"), "id").distinct()
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -9,9 +9,10 @@ from codeweft.functions.text import bare_type, simple_name
 
 # Fixed values of the data model: simple names that the language imports by itself.
 LANGUAGE_TYPES = [
-    "String", "Object", "Integer", "Long", "Double", "Float", "Boolean", "Character", "Byte", "Short", "Void", "Number",
-    "Exception", "RuntimeException", "Throwable", "Error", "Iterable", "Comparable", "Runnable", "Thread", "Class",
-    "Enum", "Record", "Override", "Deprecated", "FunctionalInterface", "SuppressWarnings", "Math", "System",
+    "String", "Object", "Integer", "Long", "Double", "Float", "Boolean", "Byte", "Short", "Character", "Number", "Void",
+    "Math", "System", "Thread", "Runnable", "Exception", "RuntimeException", "Error", "Throwable", "Iterable", "Comparable",
+    "CharSequence", "Class", "Override", "Deprecated", "SuppressWarnings", "FunctionalInterface", "SafeVarargs", "StringBuilder",
+    "IllegalArgumentException", "IllegalStateException", "NullPointerException", "Cloneable",
 ]
 
 

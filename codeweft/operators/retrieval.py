@@ -1,15 +1,23 @@
 """Vector, lexical and symbol search, rank fusion and reranking, for many queries at once.
 
-A query set is a table ``queries(query_id, query)``. Lexical search joins the queries' tokens with the
-texts' tokens and counts, so only pairs with a token in common ever exist.
+A query set is a table ``queries(query_id, query)``. It meets the texts or vectors in blocks of ``QUERY_BLOCK``
+queries, which are sent to all tasks; a task keeps its own best ``k`` of each query, so no pair of a query and a row
+is ever a row of a table and only k rows of a task and query are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeweft.functions.text import identifier_terms_of, rerank_tokens, tokens
+from codeweft.storage import materialize
 
 # Fixed values of the data model: what a source adds to the fused score, and the fusion constant.
 SOURCE_BONUS = {"symbol": 0.30, "vector": 0.0, "lexical": 0.05, "graph-caller": 0.12, "graph-callee": 0.10}
@@ -19,16 +27,7 @@ RERANK_WEIGHT = 0.35
 POOL = 30
 SMALL_POOL = 20
 GRAPH_SEEDS = 5
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    """The length of a vector; 1 for a zero vector."""
-    n = F.sqrt(dot(a, a))
-    return F.when(n == 0, 1.0).otherwise(n)
+QUERY_BLOCK = 1024
 
 
 def best(df: DataFrame, k: int, by: list[Column], partition: list[str]) -> DataFrame:
@@ -37,42 +36,142 @@ def best(df: DataFrame, k: int, by: list[Column], partition: list[str]) -> DataF
     return df.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+class TaskBest:
+    """The best ``k`` (score, id) of each query of a block, among the rows that a task has seen."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.scores = [np.zeros(0)] * queries
+        self.ids: list[np.ndarray] = [np.zeros(0, object)] * queries
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        floor = self.scores[query][-1] if len(self.scores[query]) >= self.k else -np.inf
+        if len(scores) > self.k:
+            floor = max(floor, np.partition(scores, -self.k)[-self.k])
+        at = np.flatnonzero(scores >= floor)
+        if not len(at):
+            return
+        every, own = np.concatenate([self.scores[query], scores[at]]), np.concatenate([self.ids[query], ids[at]])
+        order = sorted(range(len(own)), key=lambda i: (-every[i], own[i]))[: self.k]
+        self.scores[query], self.ids[query] = every[order], own[order]
+
+    def rows(self, names: list, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+        query = [n for n, s in zip(names, self.scores, strict=True) for _ in s]
+        columns = [pa.array(query, types[0]), pa.array([i for own in self.ids for i in own], types[1]), pa.array(np.concatenate([np.zeros(0), *self.scores]))]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+
+
+def _in_blocks(queries: DataFrame, make: Callable[[list[Row]], DataFrame]) -> DataFrame:
+    """The union of ``make(block)`` over the blocks of a query set."""
+    out, block = None, []
+    for row in queries.toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            out, block = (make(block) if out is None else out.unionByName(make(block))), []
+    if block or out is None:
+        out = make(block) if out is None else out.unionByName(make(block))
+    return out
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    return pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()
+
+
 def vector_topk(vectors: DataFrame, query: DataFrame, k: int = POOL, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """``query_id, id, score, rank``: exact cosine of every vector with each of a few query vectors.
+    """``query_id, id, score, rank``: exact cosine of every vector with each vector of query(query_id, query_vector).
 
-    ``query(query_id, query_vector)`` is a handful of rows and is sent to the vectors; each task keeps
-    its own ``k`` best before anything is shuffled.
+    Vectors meet queries of their own dimension; those that are null or hold a null take no part; a zero vector counts as
+    of length 1. Scores are rounded to twelve places; ties go to the smaller id.
     """
-    n = query.count()
-    if n > 1024:
-        raise ValueError("at most 1024 query vectors at a time")
-    lengths = query.withColumn("_qn", norm(F.col("query_vector")))
-    scored = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")).join(F.broadcast(lengths), F.size("_v") == F.size("query_vector"))
-    scored = scored.select("query_id", "id", (dot(F.col("_v"), F.col("query_vector")) / (norm(F.col("_v")) * F.col("_qn"))).alias("score"))
-    return best(scored, k, [F.desc("score"), F.col("id")], ["query_id"])
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    kinds = (query.schema["query_id"].dataType, rows.schema["id"].dataType)
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id", kinds[1]), T.StructField("score", T.DoubleType())])
+    types = (_arrow(kinds[0]), _arrow(kinds[1]))
+
+    def make(block: list[Row]) -> DataFrame:
+        names = [r["query_id"] for r in block]
+        sides: dict[int, tuple[list[int], np.ndarray]] = {}
+        for dim in {len(r["query_vector"]) for r in block if r["query_vector"] is not None}:
+            at = [i for i, r in enumerate(block) if r["query_vector"] is not None and len(r["query_vector"]) == dim]
+            own = np.array([block[i]["query_vector"] for i in at], dtype=np.float64).reshape(len(at), dim)
+            size = np.sqrt((own * own).sum(axis=1))
+            sides[dim] = at, own / np.where(size > 0, size, 1.0)[:, None]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = TaskBest(len(names), k)
+            for batch in batches:
+                lists = batch.column("v")
+                sizes, ids = pc.list_value_length(lists).to_numpy(zero_copy_only=False), np.array(batch.column("id").to_pylist(), dtype=object)
+                for dim, (at, own) in sides.items():
+                    here = np.flatnonzero(sizes == dim)
+                    if not len(here):
+                        continue
+                    v = lists.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(len(here), dim)
+                    size = np.sqrt((v * v).sum(axis=1))
+                    scores = np.round(v @ own.T / np.where(size > 0, size, 1.0)[:, None], 12)
+                    for j, q in enumerate(at):
+                        best.add(q, ids[here], scores[:, j])
+            yield best.rows(names, types)
+
+        return rows.mapInArrow(run, schema)
+
+    return best(_in_blocks(query.select("query_id", "query_vector"), make), k, [F.desc("score"), F.col("id")], ["query_id"])
 
 
 def lexical_topk(texts: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
     """``query_id, id, score, rank``: share of a query's tokens that a text(id, text) or its id holds."""
-    asked = queries.select("query_id", tokens(F.col("query")).alias("t")).withColumn("n", F.size("t"))
-    asked = asked.select("query_id", "n", F.explode("t").alias("token"))
-    held = texts.select("id", F.explode(tokens(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.col("id").cast("string")))).alias("token"))
-    shared = held.join(asked, "token").groupBy("query_id", "n", "id").agg(F.count("*").alias("c"))
-    return best(shared.select("query_id", "id", (F.col("c") / F.col("n")).alias("score")), k, [F.desc("score"), F.col("id")], ["query_id"])
+    rows = texts.select("id", tokens(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.col("id").cast("string"))).alias("t"))
+    kinds = (queries.schema["query_id"].dataType, rows.schema["id"].dataType)
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id", kinds[1]), T.StructField("score", T.DoubleType())])
+    types = (_arrow(kinds[0]), _arrow(kinds[1]))
+
+    def make(block: list[Row]) -> DataFrame:
+        names, sets = [r["query_id"] for r in block], [r["t"] for r in block]
+        words = sorted({w for s in sets for w in s})
+        place = {w: i for i, w in enumerate(words)}
+        asked = np.zeros((len(words), len(block)), dtype=np.float32)
+        for j, s in enumerate(sets):
+            asked[[place[w] for w in s], j] = 1.0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, known = TaskBest(len(names), k), pa.array(words, pa.string())
+            most = max(16, (1 << 24) // max(1, len(words)))  # texts at a time: 64 MB
+            for batch in batches if words else ():
+                for first in range(0, batch.num_rows, most):
+                    part = batch.slice(first, most)
+                    lists, ids = part.column("t"), np.array(part.column("id").to_pylist(), dtype=object)
+                    row = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                    word = pc.fill_null(pc.index_in(lists.flatten(), known), -1).to_numpy(zero_copy_only=False)
+                    held = np.zeros((len(ids), len(words)), dtype=np.float32)
+                    held[row[word >= 0], word[word >= 0]] = 1.0
+                    counts = held @ asked
+                    for j, s in enumerate(sets):
+                        some = np.flatnonzero(counts[:, j])
+                        best.add(j, ids[some], counts[some, j].astype(np.float64) / max(1, len(s)))
+            yield best.rows(names, types)
+
+        return rows.mapInArrow(run, schema)
+
+    found = _in_blocks(queries.select("query_id", tokens(F.col("query")).alias("t")), make)
+    return best(found, k, [F.desc("score"), F.col("id")], ["query_id"])
 
 
 def symbol_pool(nodes: DataFrame, queries: DataFrame, k: int = SMALL_POOL) -> DataFrame:
     """``query_id, id, score, rank``: nodes whose id, name or fqn holds a term of the query.
 
-    Terms are at most six a query; a node found by two terms is there twice. A part of a name can
-    stand anywhere, so each term meets each distinct name once.
+    Terms are at most six a query; a node found by two terms is there twice. A term is made of letters, digits and
+    underscores, so it stands inside one such run of a name: terms meet the distinct runs, and runs lead to nodes.
     """
     terms = queries.select("query_id", F.posexplode(identifier_terms_of(F.col("query"))).alias("term_no", "term"))
     distinct = terms.select(F.lower("term").alias("part")).distinct()
-    names = nodes.select("id", F.lower(F.concat_ws("\n", "id", "name", "fqn")).alias("names"))
-    # Every run of three signs of a part is in a name that holds the part: join on the first one.
-    grams = names.select("id", "names", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("names") - 2)), lambda i: F.substr("names", i, F.lit(3))))).alias("gram"))
-    hits = grams.join(distinct.withColumn("gram", F.substring("part", 1, 3)), "gram").where(F.contains("names", F.col("part"))).select("id", "part")
+    held = nodes.select("id", F.explode(tokens(F.concat_ws(" ", "id", "name", "fqn"))).alias("token"))
+    # Every window of a part is in a token that holds the part: join on its first one, of three signs or of two.
+    window = lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - (n - 1)), lambda i: F.substr("token", i, F.lit(n)))
+    both = F.when(F.length("token") >= 3, F.concat(window(2), window(3))).when(F.length("token") == 2, F.array("token"))
+    grams = held.select("token").distinct().select("token", F.explode(F.array_distinct(both)).alias("gram"))
+    holds = grams.join(distinct.withColumn("gram", F.substring("part", 1, 3)), "gram").where(F.contains("token", F.col("part"))).select("part", "token")
+    hits = held.join(holds, "token").select("part", "id").distinct()
     found = terms.join(hits, F.lower("term") == F.col("part")).select("query_id", "term_no", "id", F.lit(1.0).alias("score"))
     return best(found, k, [F.col("term_no"), F.col("id")], ["query_id"]).drop("term_no")
 
@@ -143,3 +242,35 @@ def incremental_vectors(chunks: DataFrame, old: DataFrame, embed) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """New rows, and the old ones whose key is not among them."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def hydrate(fused: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Adds ``text, kind, file, line, fqn`` from nodes(id, kind, name, fqn, file, line_start) and chunks(node_id, text, ...).
+
+    The node's own values come first, the text is the chunk's; what is neither node nor chunk falls away.
+    """
+    n = nodes.select("id", *[F.col(c).alias(f"n_{c}") for c in ("kind", "name", "fqn", "file", "line_start")], F.lit(True).alias("is_node"))
+    c = chunks.select(F.col("node_id").alias("id"), *[F.col(c).alias(f"c_{c}") for c in ("text", "kind", "fqn", "file", "line_start")], F.lit(True).alias("is_chunk")).dropDuplicates(["id"])
+    both = fused.join(n, "id", "left").join(c, "id", "left").where("is_node OR is_chunk")
+    first = lambda name: F.coalesce(f"n_{name}", f"c_{name}")
+    return both.select(*fused.columns, F.coalesce("c_text", "n_name", F.lit("")).alias("text"), first("kind").alias("kind"), first("file").alias("file"), first("line_start").alias("line"), first("fqn").alias("fqn"))
+
+
+def hybrid_retrieve(
+    chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 10, vector_k: int = POOL, kind: str | None = None
+) -> DataFrame:
+    """``query_id, id, score, sources, rank, text, kind, file, line, fqn``: all pools, fused, hydrated and reranked.
+
+    ``chunks(node_id, text, kind, fqn, file, line_start)``; ``vectors(node_id, vector)``; ``queries(query_id, query)``;
+    ``query_vectors(query_id, query_vector)``. ``kind`` restricts the vector pool.
+    """
+    wanted = vectors if kind is None else vectors.join(chunks.where(F.col("kind") == kind).select("node_id").distinct(), "node_id", "left_semi")
+    texts = chunks.select(F.col("node_id").alias("id"), "text")
+    # Read by the fusion and, for their seeds, by the graph pools.
+    vector = materialize(vector_topk(wanted, query_vectors, vector_k, "node_id"), "vector-pool")
+    symbol = materialize(symbol_pool(nodes, queries), "symbol-pool")
+    callers, callees = graph_pools(edges, vector, symbol)
+    fused = fuse({"vector": vector, "lexical": lexical_topk(texts, queries, vector_k), "symbol": symbol, "graph-caller": callers, "graph-callee": callees})
+    found = hydrate(fused, nodes, chunks)
+    ranked = jaccard_rerank(found, found.select("id", "text").dropDuplicates(["id"]), queries, k)
+    return ranked.join(found.select("query_id", "id", "text", "kind", "file", "line", "fqn"), ["query_id", "id"])

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators import frameworks, reports, spans
+from codeweft.operators import frameworks, graph, reports, spans
+from codeweft.operators.codegraph import code_graph
 from codeweft.operators.javagraph import JavaTables, java_graph as build_graph
+from codeweft.plans import tablecode
 from codeweft.plans.samples import DIFF, FILES
 from codeweft.sources import build, config, files, git, java, sqltext
 from codeweft.storage import materialize
@@ -36,6 +38,12 @@ def tables(spark: SparkSession) -> JavaTables:
     return JavaTables(java.parse_files(sources(spark, ".java")))
 
 
+def whole(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all samples, with the facts of every analyzer."""
+    nodes, edges = code_graph(tables(spark), sources(spark))
+    return materialize(nodes, "nodes"), materialize(edges, "edges")
+
+
 @query("col0 AS relative_path, col1 AS kind, CAST(col2 AS INTEGER) AS lines", """('src/main/java/shop/web/OrderController.java', 'java_main', 31), ('src/main/java/shop/core/OrderService.java', 'java_main', 36),
 ('src/main/java/shop/core/BaseService.java', 'java_main', 29), ('src/main/java/shop/data/OrderStore.java', 'java_main', 18), ('src/main/java/shop/batch/DailyJob.java', 'java_main', 20),
 ('db/schema.sql', 'sql', 8), ('src/main/resources/application.yml', 'app_config', 7), ('src/main/resources/extra.properties', 'resource', 7), ('pom.xml', 'maven_pom', 7)""")
@@ -104,14 +112,14 @@ def spark_job_summary(spark, sf):
 
 @query("col0 AS level, CAST(col1 AS BIGINT) AS calls", "('info', 1)")
 def log_levels(spark, sf):
-    return frameworks.log_levels(tables(spark))
+    return frameworks.log_levels(tables(spark)).select("level", "calls")
 
 
 @query("col0 AS statement_type, col1 AS tables_read, col2 AS tables_written, col3 AS origins", """('SELECT', ['customers', 'orders'], [], ['jpa-query-native']), ('SELECT', ['order'], [], ['jpa-query']), ('INSERT', [], ['orders'], ['java-literal']),
 ('SELECT', ['people'], [], ['java-literal']), ('CREATE', [], ['orders'], ['sql-file']), ('INSERT', ['staging.orders_in'], ['orders'], ['sql-file']), ('DELETE', [], ['old_orders'], ['sql-file'])""")
 def sql_statements(spark, sf):
     j = tables(spark)
-    hits = sqltext.java_statements(sources(spark, ".java")).unionByName(sqltext.file_statements(sources(spark, ".sql")))
+    hits = sqltext.java_statements(j.parsed).unionByName(sqltext.file_statements(sources(spark, ".sql")))
     methods = j.methods.select("fqn", "file", F.col("location.line_start").alias("lo"), F.col("location.line_end").alias("hi"))
     found, _ = sqltext.statements(hits, methods)
     return found.select("statement_type", "tables_read", "tables_written", "origins")
@@ -121,7 +129,7 @@ def sql_statements(spark, sf):
 ('method:shop.data.OrderStore#save(Order)', 'table:orders', 'HIGH'), ('method:shop.batch.DailyJob#run(SparkSession)', 'table:people', 'HIGH'), ('file:db/schema.sql', 'table:orders', 'HIGH'), ('file:db/schema.sql', 'table:staging.orders_in', 'HIGH'), ('file:db/schema.sql', 'table:old_orders', 'HIGH')""")
 def sql_owners(spark, sf):
     j = tables(spark)
-    hits = sqltext.java_statements(sources(spark, ".java")).unionByName(sqltext.file_statements(sources(spark, ".sql")))
+    hits = sqltext.java_statements(j.parsed).unionByName(sqltext.file_statements(sources(spark, ".sql")))
     methods = j.methods.select("fqn", "file", F.col("location.line_start").alias("lo"), F.col("location.line_end").alias("hi"))
     _, edges = sqltext.statements(hits, methods)
     runs = edges.where("type = 'EXECUTES_SQL'").select("src", F.col("dst").alias("statement"))
@@ -167,7 +175,7 @@ def change_impact(spark, sf):
 
 @query()
 def code_chunks(spark, sf):
-    return frameworks.chunks(tables(spark), sources(spark, ".java"))
+    return frameworks.chunks(whole(spark)[0], sources(spark, ".java"))
 
 
 @query("col0 AS package, CAST(col1 AS BIGINT) AS files, CAST(col2 AS BIGINT) AS types", "('shop.web', 1, 1), ('shop.core', 2, 5), ('shop.data', 1, 1), ('shop.batch', 1, 1)")
@@ -185,18 +193,19 @@ def impact_summary(spark, sf):
 
 
 @query("col0 AS exception, col1 AS thrown_by, col2 AS caught_by", """('type:shop.core.OrderError', ['method:shop.core.OrderService#place(String,int)', 'method:shop.web.OrderController#add(String)'], ['method:shop.core.OrderService#place(String,int)']),
-('type:IllegalStateException', [], ['method:shop.core.OrderService#place(String,int)'])""")
+('type:java.lang.IllegalStateException', [], ['method:shop.core.OrderService#place(String,int)'])""")
 def exception_pages(spark, sf):
     return reports.exception_pages(build_graph(tables(spark))[1])
 
 
-@query("col0 AS layer, col1 AS status, CAST(col2 AS BIGINT) AS types", "('web', 'observed', 1), ('service', 'observed', 1), ('data', 'observed', 1), ('other', 'unknown', 5)")
+@query("col0 AS layer, col1 AS status, CAST(col2 AS BIGINT) AS types", "('Controller/API', 'observed', 1), ('Service', 'observed', 1), ('Repository/DAO', 'observed', 1), ('ETL/Spark', 'inferred', 1), ('Unclassified', 'unknown', 4)")
 def code_layers(spark, sf):
-    j = tables(spark)
-    return reports.layers(j.types, frameworks.stereotypes(j)).select("layer", "status", "types")
+    nodes, _ = whole(spark)
+    types = nodes.where("kind IN ('Class', 'Interface') AND NOT placeholder").withColumn("spark_job", F.lit(False))
+    return reports.layers(types).select("layer", "status", "types")
 
 
-@query("col0 AS id", "('type:IllegalStateException')")
+@query("col0 AS id", "('type:java.lang.IllegalStateException')")
 def unresolved_types(spark, sf):
     nodes, edges = build_graph(tables(spark))
     named = edges.where("type IN ('CATCHES', 'THROWS')").select(F.col("dst").alias("id"))
@@ -205,8 +214,151 @@ def unresolved_types(spark, sf):
 
 @query("col0 AS endpoint, CAST(col1 AS BIGINT) AS steps, CAST(col2 AS INTEGER) AS deepest", "('endpoint:GET /orders/{id}', 2, 1), ('endpoint:POST /orders', 9, 2)")
 def endpoint_flows(spark, sf):
-    j = tables(spark)
-    nodes, edges = build_graph(j)
-    mapped = frameworks.endpoints(j).select(F.lit("MAPPED_TO").alias("type"), F.col("id").alias("src"), F.concat(F.lit("method:"), "handler").alias("dst"), F.lit("HIGH").alias("confidence"))
-    flows = reports.endpoint_flows(nodes, materialize(edges.select(*mapped.columns).unionByName(mapped), "edges"))
+    nodes, edges = whole(spark)
+    flows = reports.endpoint_flows(nodes, edges)
     return flows.groupBy("endpoint").agg(F.count("*").alias("steps"), F.max("depth").alias("deepest"))
+
+
+@query("col0 AS fqn", "('shop.core.OrderService#place(String,int)'), ('shop.data.OrderStore#save(Order)'), ('shop.web.OrderController#add(String)'), ('shop.web.OrderController#failed(OrderError)'), ('shop.web.OrderController#one(long)'), ('shop.batch.DailyJob#run(SparkSession)')")
+def unlogged_methods(spark, sf):
+    return frameworks.unlogged(tables(spark))
+
+
+@query("col0 AS id, col1 AS name_hint, CAST(col2 AS BIGINT) AS call_count", "('method:shop.core.OrderService#main()', true, 1), ('method:shop.batch.DailyJob#main(String[])', true, 1)")
+def code_entrypoints(spark, sf):
+    nodes, edges = whole(spark)
+    return graph.entrypoints(nodes, edges)
+
+
+@query("col0 AS id", "('type:shop.core.OrderService')")
+def type_implementations(spark, sf):
+    return graph.sources_of(whole(spark)[1], ["EXTENDS", "IMPLEMENTS"], "type:shop.core.Audited")
+
+
+@query("col0 AS id", "('method:shop.core.OrderService#check(Order)')")
+def method_overrides(spark, sf):
+    return graph.sources_of(whole(spark)[1], ["OVERRIDES"], "method:shop.core.BaseService#check(Order)")
+
+
+@query("col0 AS src, col1 AS dst, col2 AS confidence", "('method:shop.web.OrderController#failed(OrderError)', 'type:shop.core.OrderError', 'HIGH')")
+def handler_edges(spark, sf):
+    return whole(spark)[1].where("type = 'HANDLES'").select("src", "dst", "confidence")
+
+
+@query("CAST(col0 AS BIGINT) AS jobs, CAST(col1 AS BIGINT) AS sql_calls, col2 AS input_tables, col3 AS output_tables", "(1, 1, ['raw.sales'], ['mart.daily'])")
+def spark_counts(spark, sf):
+    return reports.spark_counts(frameworks.spark_jobs(tables(spark)))
+
+
+@query("col0 AS build_system, col1 AS style, CAST(col2 AS BIGINT) AS files, CAST(col3 AS BIGINT) AS java_lines", "('maven', 'mixed', 9, 134)")
+def project_overview(spark, sf):
+    found = files.inventory(sources(spark))
+    return reports.overview(found, build.build_info(build.build_facts(sources(spark, "pom.xml")))).select("build_system", "style", "files", "java_lines")
+
+
+@query("col0 AS what, col1 AS id", """('changed_symbol', 'type:shop.core.BaseService'), ('changed_symbol', 'method:shop.core.BaseService#check(Order)'), ('impacted_caller', 'method:shop.core.OrderService#check(Order)'),
+('impacted_caller', 'method:shop.core.OrderService#place(String,int)'), ('impacted_caller', 'method:shop.core.OrderService#main()'), ('impacted_caller', 'method:shop.web.OrderController#add(String)'),
+('new_file', 'src/main/java/New.java'), ('deleted_file', 'src/main/java/Gone.java'), ('unmapped_file', 'src/main/java/Plain.java')""")
+def diff_impact(spark, sf):
+    """The changed lines of a diff, the symbols there, and what calls them."""
+    nodes, edges = whole(spark)
+    rows = [("src/main/java/shop/core/BaseService.java", "M", 5, 5), ("src/main/java/New.java", "A", 1, 9), ("src/main/java/Gone.java", "D", 0, 0), ("src/main/java/Plain.java", "M", 1, 1)]
+    return reports.change_impact(nodes, edges, spark.createDataFrame(rows, "path string, status string, lo int, hi int"))
+
+
+# -- code written from the rows of part, of any size ---------------------------------------------
+
+
+def from_tables(sql: str):
+    """Register with an oracle that derives the same rows from ``part``."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = f"WITH {tablecode.CODE_SQL} {sql}"
+        return f
+
+    return add
+
+
+RUN, STATEMENT = "'method:' || fqn || '#run(int)'", "'SELECT a FROM t' || s || ' WHERE id = ' || k"
+SQL_ID = f"'sql:' || substr(sha1(lower({STATEMENT})), 1, 12)"
+
+
+@from_tables(f"""SELECT 'CALLS' AS type, {RUN} AS src, CASE WHEN known THEN 'method:' || fqn2 || '#run(int)' ELSE 'extmethod:' || fqn2 || '.run' END AS dst, CASE WHEN known THEN 'HIGH' ELSE 'UNKNOWN' END AS confidence FROM d
+UNION ALL SELECT 'CALLS', 'method:' || fqn || '#get()', {RUN}, 'HIGH' FROM d WHERE s % 5 = 1
+UNION ALL SELECT 'CALLS', 'method:' || fqn || '#load()', 'extmethod:jdbc.query', 'UNKNOWN' FROM d WHERE s % 4 = 0
+UNION ALL SELECT 'THROWS', {RUN}, 'type:java.lang.IllegalStateException', 'MEDIUM' FROM d
+UNION ALL SELECT 'RETURNS_TYPE', {RUN}, 'type:java.lang.String', 'MEDIUM' FROM d UNION ALL SELECT 'RETURNS_TYPE', 'method:' || fqn || '#get()', 'type:java.lang.String', 'MEDIUM' FROM d WHERE s % 5 = 1
+UNION ALL SELECT 'USES_TYPE', 'field:' || fqn || '#next', 'type:' || fqn2, CASE WHEN known THEN 'HIGH' ELSE 'MEDIUM' END FROM d
+UNION ALL SELECT 'INJECTS', 'type:' || fqn, 'type:' || fqn2, CASE WHEN s2 % 5 IN (0, 1) THEN 'HIGH' ELSE 'MEDIUM' END FROM d WHERE s % 5 = 0 AND known
+UNION ALL SELECT 'EXPOSES', 'type:' || fqn, 'endpoint:GET /p/' || k, 'HIGH' FROM d WHERE s % 5 = 1 UNION ALL SELECT 'MAPPED_TO', 'endpoint:GET /p/' || k, 'method:' || fqn || '#get()', 'HIGH' FROM d WHERE s % 5 = 1
+UNION ALL SELECT 'EXECUTES_SQL', 'method:' || fqn || '#load()', {SQL_ID}, 'HIGH' FROM d WHERE s % 4 = 0 UNION ALL SELECT 'READS_TABLE', {SQL_ID}, 'table:t' || s, 'HIGH' FROM d WHERE s % 4 = 0
+UNION ALL SELECT 'CONTAINS', 'package:shop.g' || k % 10, 'file:' || file, 'HIGH' FROM d UNION ALL SELECT 'IMPORTS', 'file:' || file, 'type:' || fqn2, 'HIGH' FROM d""")
+def table_code_edges(spark, sf):
+    """Edges of parsed code, all of their types but declarations and annotations."""
+    edges = tablecode.graph(spark, sf)[2]
+    return edges.where("type NOT IN ('DECLARES', 'ANNOTATED_WITH')").select("type", "src", "dst", "confidence")
+
+
+@from_tables("""SELECT fqn, 'Class' AS kind, file FROM d UNION ALL SELECT fqn || '#next', 'Field', file FROM d UNION ALL SELECT fqn || '#run(int)', 'Method', file FROM d
+UNION ALL SELECT fqn || '#get()', 'Method', file FROM d WHERE s % 5 = 1 UNION ALL SELECT fqn || '#load()', 'Method', file FROM d WHERE s % 4 = 0""")
+def table_code_entities(spark, sf):
+    return tablecode.graph(spark, sf)[1].where("NOT placeholder AND kind IN ('Class', 'Field', 'Method')").select("fqn", "kind", "file")
+
+
+@from_tables(f"SELECT {RUN} AS id, true AS name_hint, CAST(1 AS BIGINT) AS call_count FROM d WHERE known AND s % 5 <> 1 AND k NOT IN (SELECT k2 FROM d)")
+def table_code_entrypoints(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return graph.entrypoints(nodes, edges)
+
+
+@from_tables("""SELECT 'endpoint:GET /p/' || k AS endpoint, i + 1 AS position, 'method:shop.g' || (k >> i) % 10 || '.P' || (k >> i) || '#run(int)' AS id, CAST(i AS INTEGER) AS depth
+FROM d, range(4) r(i) WHERE s % 5 = 1 AND (k >> i > 0 OR i = 0 OR k >> (i - 1) > 0)""")
+def table_endpoint_flows(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return reports.endpoint_flows(nodes, edges)
+
+
+@from_tables("""SELECT 'table:t' || s AS "table", list_sort(list('method:' || fqn || '#load()')) AS read_by, CAST([] AS VARCHAR[]) AS written_by FROM d WHERE s % 4 = 0 GROUP BY s""")
+def table_code_usage(spark, sf):
+    return graph.table_usage(tablecode.graph(spark, sf)[2])
+
+
+@from_tables(f"""SELECT 'endpoint:GET /p/' || k AS node_id, 'HTTP endpoint GET /p/' || k || ' handled by ' || fqn || '#get() in controller ' || fqn || '.' AS text FROM d WHERE s % 5 = 1
+UNION ALL SELECT {SQL_ID}, 'SQL SELECT statement. reads tables: t' || s || '. writes tables: -.' || chr(10) || {STATEMENT} FROM d WHERE s % 4 = 0
+UNION ALL SELECT 'method:' || fqn || '#get()', 'Method ' || fqn || '#get() returns String. Annotations: GetMapping.' || chr(10) || '    @GetMapping("/p/' || k || '")' || chr(10) || '    public String get() {{' || chr(10) || '        return run(1);' || chr(10) || '    }}' FROM d WHERE s % 5 = 1""")
+def table_code_chunks(spark, sf):
+    _, nodes, _, own = tablecode.graph(spark, sf)
+    return frameworks.chunks(nodes, own).where("kind IN ('Endpoint', 'SQLStatement') OR node_id LIKE '%#get()'").select("node_id", "text")
+
+
+@from_tables("""SELECT CASE s % 5 WHEN 0 THEN 'Service' WHEN 1 THEN 'Controller/API' ELSE 'Unclassified' END AS layer, CASE WHEN s % 5 < 2 THEN 'observed' ELSE 'unknown' END AS status, count(*) AS types FROM d GROUP BY 1, 2""")
+def table_code_layers(spark, sf):
+    nodes = tablecode.graph(spark, sf)[1].where("kind = 'Class'")
+    return reports.layers(nodes.withColumn("spark_job", F.lit(False))).select("layer", "status", "types")
+
+
+@from_tables("""SELECT 'stereotypes' AS what, CASE s % 5 WHEN 0 THEN 'Service' ELSE 'RestController' END AS key, count(*) AS n FROM d WHERE s % 5 < 2 GROUP BY 2
+UNION ALL SELECT 'endpoints', '', count(*) FROM d WHERE s % 5 = 1 UNION ALL SELECT 'beans', '', 0 UNION ALL SELECT 'exception_handlers', '', 0 UNION ALL SELECT 'injections', '', count(*) FROM d WHERE s % 5 = 0 AND known""")
+def table_spring_counts(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return reports.spring_counts(nodes, edges)
+
+
+@from_tables("""SELECT 'statements' AS what, '' AS key, count(*) AS n FROM d WHERE s % 4 = 0 UNION ALL SELECT 'by_type', 'SELECT', count(*) FROM d WHERE s % 4 = 0
+UNION ALL SELECT 'parsed_ok', '', count(*) FROM d WHERE s % 4 = 0 UNION ALL SELECT 'tables', '', count(DISTINCT s) FROM d WHERE s % 4 = 0""")
+def table_sql_counts(spark, sf):
+    return reports.sql_counts(tablecode.graph(spark, sf)[1])
+
+
+@from_tables(f"SELECT {SQL_ID} AS id, 'SELECT' AS statement_type, ['t' || s] AS tables_read, ['method:' || fqn || '#load()'] AS callers FROM d WHERE s % 4 = 0")
+def table_sql_dashboard(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return reports.sql_dashboard(nodes, edges).select("id", "statement_type", "tables_read", "callers")
+
+
+@from_tables(f"SELECT 'method:' || fqn || '#' || m AS id FROM d, (VALUES ('run(int)', 5, 9), ('get()', 5, 1), ('load()', 4, 0)) v(m, a, b) WHERE b = 9 OR s % a = b ORDER BY 1 LIMIT 80")
+def table_uncovered_methods(spark, sf):
+    """No class there is a test, so every method is uncovered; the first 80 in order are reported."""
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return reports.test_coverage(nodes, edges)

@@ -12,7 +12,7 @@ from codeweft.functions.classify import case_sql, classify_path
 from codeweft.functions.embedding import hashing_embedding
 from codeweft.operators import context, graph, resolution, retrieval, snapshot, spans, traversal
 from codeweft.plans import starschema as star
-from codeweft.storage import table
+from codeweft.storage import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -401,17 +401,18 @@ def chunk_snippets(spark, sf):
 
 # -- retrieval --------------------------------------------------------------------------------
 
-COSINE = "SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, q"
+#: The queries of a search by vector: every row whose id is divisible by 20, against all rows.
+COSINE = "SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) AS score FROM embeddings e, q"
 
 
 def _cosine_sql(where: str = "") -> str:
-    return f"""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), s AS ({COSINE} {where})
-SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < 30"""
+    return f"""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS ({COSINE} {where})
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < 30"""
 
 
 def _cosine(spark, sf, kind=None):
     vectors = table(spark, sf, "embeddings")
-    query = vectors.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    query = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     vectors = vectors if kind is None else vectors.where(F.col("label") == kind)
     found = retrieval.vector_topk(vectors, query, 30, "vec_id", "embedding")
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
@@ -446,43 +447,80 @@ def lexical_topk(spark, sf):
     return retrieval.lexical_topk(_texts(spark, sf), _queries(spark, sf)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-TERMS = "list_filter(regexp_extract_all(text, '([A-Za-z0-9_]+)', 1), lambda t: length(t) >= 4 OR regexp_matches(t, '[a-z][A-Z]'))[1:6]"
-SYMBOL = f"""terms AS (SELECT item_id AS query_id, unnest(t) AS term, unnest(range(len(t))) AS term_no FROM (SELECT item_id, {TERMS} AS t FROM benchmark)),
-symbol AS (SELECT * FROM (SELECT query_id, id, 1.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY term_no, id) - 1 AS rank FROM terms JOIN names ON contains(lower(name), lower(term))) WHERE rank < 20)"""
-NAMES = "names AS (SELECT CAST(doc_id AS VARCHAR) AS id, regexp_extract(text, '^[^.]*') AS name FROM documents)"
+TERMS = "list_filter(regexp_extract_all({0}, '([A-Za-z0-9_]+)', 1), lambda t: length(t) >= 4 OR regexp_matches(t, '[a-z][A-Z]'))[1:6]"
 
 
-def _names(spark, sf):
-    name = F.regexp_extract("text", "^[^.]*", 0)
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), name.alias("name"), F.lit(None).cast("string").alias("fqn"))
+def _symbol_sql(asked: str, query: str, names: str, fields: list[str]) -> str:
+    hit = " OR ".join(f"contains(lower({f}), lower(term))" for f in fields)
+    return f"""terms AS (SELECT {asked}, unnest(t) AS term, unnest(range(len(t))) AS term_no FROM (SELECT *, {TERMS.format(query)} AS t FROM {names.split(' ')[0]})),
+symbol AS (SELECT * FROM (SELECT query_id, id, 1.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY term_no, id) - 1 AS rank FROM terms JOIN {names.split(' ')[1]} ON {hit}) WHERE rank < 20)"""
 
 
-@query(f"WITH {NAMES}, {SYMBOL} SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM symbol")
+SYMBOLS = _symbol_sql("p_partkey AS query_id", "'find ' || p_name || ' aX of ' || p_brand", "part nodes", ["id", "name", "fqn"])
+
+
+@query(f"WITH {GRAPH}, {SYMBOLS} SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM symbol")
 def symbol_pool(spark, sf):
-    return retrieval.symbol_pool(_names(spark, sf), _queries(spark, sf)).select("query_id", "id", "rank")
+    """Terms of a sentence about each part, sought in the ids, names and full names of all nodes."""
+    queries = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("find "), "p_name", F.lit(" aX of "), "p_brand").alias("query"))
+    return retrieval.symbol_pool(star.nodes(spark, sf), queries).select("query_id", "id", "rank")
 
 
-FUSED = f"""WITH {LEXICAL}, {NAMES}, {SYMBOL}, parts AS (SELECT query_id, id, 1.0 / (rank + 10) + 0.05 AS part, 'lexical' AS source FROM lexical UNION ALL SELECT query_id, id, 1.0 / (rank + 10) + 0.30, 'symbol' FROM symbol),
+#: Documents as methods: a document's vector is the one of its id, a query's vector the one of the query's id, and each calls a third of its id.
+RETRIEVE = f"""chunk AS (SELECT 'method:' || doc_id AS id, text, lang, source FROM documents),
+vector AS (SELECT * FROM (SELECT item_id AS query_id, 'method:' || e.vec_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) DESC, 'method:' || e.vec_id) - 1 AS rank
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id JOIN embeddings e ON true JOIN documents ON doc_id = e.vec_id) WHERE rank < 30),
+asked AS (SELECT item_id AS query_id, len(t) AS n, unnest(t) AS token FROM (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark)),
+held AS (SELECT id, unnest(t) AS token FROM (SELECT id, {TOKENS.format("text || ' ' || id")} AS t FROM chunk)),
+lex AS (SELECT query_id, id, count(*) / n AS score FROM held JOIN asked USING (token) GROUP BY query_id, n, id),
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM lex) WHERE rank < 30),
+{_symbol_sql("item_id AS query_id", "text", "benchmark named", ["id", "name"])},
+seeds AS (SELECT query_id, id, min(pool * 100 + rank) AS seed FROM (SELECT query_id, id, 0 AS pool, rank FROM vector WHERE rank < 5 UNION ALL SELECT query_id, id, 1, rank FROM symbol WHERE rank < 5) GROUP BY query_id, id),
+calls AS (SELECT 'method:' || doc_id AS src, 'method:' || doc_id // 3 AS dst FROM documents),
+callers AS (SELECT * FROM (SELECT query_id, src AS id, row_number() OVER (PARTITION BY query_id ORDER BY seed, src) - 1 AS rank FROM seeds JOIN calls ON dst = seeds.id) WHERE rank < 20),
+callees AS (SELECT * FROM (SELECT query_id, dst AS id, row_number() OVER (PARTITION BY query_id ORDER BY seed, dst) - 1 AS rank FROM seeds JOIN calls ON src = seeds.id) WHERE rank < 20),
+parts AS (SELECT query_id, id, 1.0 / (rank + 10) AS part, 'vector' AS source FROM vector UNION ALL SELECT query_id, id, 1.0 / (rank + 10) + 0.05, 'lexical' FROM lexical UNION ALL SELECT query_id, id, 1.0 / (rank + 10) + 0.30, 'symbol' FROM symbol
+  UNION ALL SELECT query_id, id, 1.0 / (rank + 10) + 0.12, 'graph-caller' FROM callers UNION ALL SELECT query_id, id, 1.0 / (rank + 10) + 0.10, 'graph-callee' FROM callees),
 fused AS (SELECT query_id, id, sum(CAST(part AS DOUBLE)) AS fused, list_sort(list(DISTINCT source)) AS sources FROM parts GROUP BY query_id, id)"""
+NAMED = "named AS (SELECT 'method:' || doc_id AS id, coalesce(source, '') || '_' || coalesce(lang, '') || ' ' || coalesce(text, '') AS name FROM documents)"
 
 
-def _fused(spark, sf):
-    texts, queries = _texts(spark, sf), _queries(spark, sf)
-    return retrieval.fuse({"lexical": retrieval.lexical_topk(texts, queries), "symbol": retrieval.symbol_pool(_names(spark, sf), queries)})
+def _retrieval_inputs(spark, sf):
+    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    node = lambda c: F.concat(F.lit("method:"), c.cast("string"))
+    chunks = docs.select(node(F.col("doc_id")).alias("node_id"), "text", F.col("lang").alias("kind"), F.lit(None).cast("string").alias("fqn"), F.col("source").alias("file"), F.lit(1).alias("line_start"))
+    nodes = docs.select(node(F.col("doc_id")).alias("id"), F.lit("Method").alias("kind"), F.concat(F.coalesce("source", F.lit("")), F.lit("_"), F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("name"), F.lit(None).cast("string").alias("fqn"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line_start"))
+    of_docs = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id").select(node(F.col("vec_id")).alias("node_id"), F.col("embedding").alias("vector"))
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = vectors.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    edges = docs.select(F.lit("CALLS").alias("type"), node(F.col("doc_id")).alias("src"), node(F.floor(F.col("doc_id") / 3)).alias("dst"))
+    return chunks, of_docs, nodes, edges, queries, asked
 
 
-@query(f"{FUSED} SELECT query_id, id, round(fused, 6) AS fused, sources FROM fused")
+@query(f"WITH {NAMED}, {RETRIEVE} SELECT query_id, id, round(fused + 1e-9, 6) AS fused, sources FROM fused")
 def rrf_fuse(spark, sf):
-    return _fused(spark, sf).select("query_id", "id", F.round("fused", 6).alias("fused"), "sources")
+    """All five pools of the benchmark passages, fused."""
+    chunks, vectors, nodes, edges, queries, asked = _retrieval_inputs(spark, sf)
+    vector = materialize(retrieval.vector_topk(vectors, asked, 30, "node_id"), "vector-pool")
+    symbol = materialize(retrieval.symbol_pool(nodes, queries), "symbol-pool")
+    callers, callees = retrieval.graph_pools(edges, vector, symbol)
+    lexical = retrieval.lexical_topk(chunks.select(F.col("node_id").alias("id"), "text"), queries)
+    found = retrieval.fuse({"vector": vector, "lexical": lexical, "symbol": symbol, "graph-caller": callers, "graph-callee": callees})
+    return found.select("query_id", "id", F.round(F.col("fused") + 1e-9, 6).alias("fused"), "sources")
+
+
+HYBRID = f"""{NAMED}, {RETRIEVE},
+q AS (SELECT item_id AS query_id, {RERANK_TOKENS.format(TOKENS.format('text'))} AS q FROM benchmark),
+t AS (SELECT id, source, {RERANK_TOKENS.format(TOKENS.format("text || ' ' || id"))} AS t FROM chunk),
+s AS (SELECT query_id, id, source, 0.65 * fused + 0.35 * len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))) AS score, sources FROM fused JOIN q USING (query_id) JOIN t USING (id))
+SELECT query_id, id, round(score + 1e-9, 6) AS score, sources, CAST(rank AS INTEGER) AS rank, 'Method' AS kind, source AS file FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < 10"""
 
 
-@query(f"""{FUSED}, q AS (SELECT item_id AS query_id, {RERANK_TOKENS.format(TOKENS.format('text'))} AS q FROM benchmark),
-t AS (SELECT CAST(doc_id AS VARCHAR) AS id, {RERANK_TOKENS.format(TOKENS.format("text || ' ' || doc_id"))} AS t FROM documents),
-s AS (SELECT query_id, id, 0.65 * fused + 0.35 * len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))) AS score, sources FROM fused JOIN q USING (query_id) JOIN t USING (id))
-SELECT query_id, id, round(score, 6) AS score, sources, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < 10""")
+@query(f"WITH {HYBRID}")
 def hybrid_search(spark, sf):
-    found = retrieval.jaccard_rerank(_fused(spark, sf), _texts(spark, sf), _queries(spark, sf), 10)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), "sources", "rank")
+    found = retrieval.hybrid_retrieve(*_retrieval_inputs(spark, sf), k=10)
+    # Sums differ in their last bits with their order; the small shift keeps decimal ties from rounding both ways.
+    return found.select("query_id", "id", F.round(F.col("score") + 1e-9, 6).alias("score"), "sources", "rank", "kind", "file")
 
 
 @query("""WITH cur AS (SELECT doc_id, sha1(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 17 <> 0), old AS (SELECT DISTINCT sha1(text) AS h FROM documents)

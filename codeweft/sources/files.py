@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +13,58 @@ MAX_BYTES = 10 * 1024 * 1024
 EXCLUDED_DIRS = [".git", ".idea", ".gradle", "target", "build", "node_modules", "out", "dist", ".venv", "__pycache__"]
 
 
+def list_tree(spark: SparkSession, root: str, excluded: list[str] | None = None) -> list[tuple[str, str, int]]:
+    """(path, path below the root, size) of all files, by the file system's own listing.
+
+    Folders of excluded names are not entered and links are not followed; a folder that cannot be listed is left out.
+    """
+    names = set(EXCLUDED_DIRS if excluded is None else excluded)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(top).toUri().getPath().rstrip("/")
+    out, stack = [], [top]
+    while stack:
+        try:
+            found = list(system.listStatus(stack.pop()))
+        except Py4JJavaError:
+            continue
+        for f in found:
+            path = f.getPath()
+            if f.isSymlink():
+                continue
+            if f.isDirectory():
+                if path.getName() not in names:
+                    stack.append(path)
+            else:
+                out.append((path.toString(), path.toUri().getPath()[len(base) + 1 :], f.getLen()))
+    return sorted(out)
+
+
 def read_tree(spark: SparkSession, root: str, excluded: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``relative_path, size_bytes, content`` of files below a folder of any file system Spark reads.
+    """``relative_path, size_bytes, content`` of files below a folder of any file system Spark reads, in order of paths.
 
-    Folders of excluded names and files beyond the size are dropped on their metadata. Empty files
-    hold nothing to read and Spark's reader leaves them out.
+    Only files that are listed and not too large are opened; empty files come from the listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/")
-    start = F.regexp_replace("path", "^.*?" + base.replace("file://", "").replace(".", r"\.") + "/", "")
-    files = files.select(start.alias("relative_path"), F.col("length").alias("size_bytes"), "content").where(F.col("size_bytes") <= max_bytes)
-    names = F.split("relative_path", "/")
-    folders = F.slice(names, 1, F.size(names) - 1)
-    return files.where(~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in (EXCLUDED_DIRS if excluded is None else excluded)])))
+    listed = [f for f in list_tree(spark, root, excluded) if f[2] <= max_bytes]
+    rows = spark.createDataFrame([(r, 0, bytearray()) for _, r, n in listed if n == 0], "relative_path string, size_bytes long, content binary")
+    below = [(p, r) for p, r, n in listed if n]
+    if below:
+        base = len(below[0][0]) - len(below[0][1])  # what stands before the path below the root
+        read = spark.read.format("binaryFile").load([glob_quoted(p) for p, _ in below])
+        rows = rows.unionByName(read.select(F.substring("path", F.lit(base + 1), F.length("path")).alias("relative_path"), F.col("length").alias("size_bytes"), "content"))
+    return rows
+
+
+def glob_quoted(path: str) -> str:
+    """A path as the reader takes it literally."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def oversized(spark: SparkSession, root: str, excluded: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``relative_path, size_bytes, warning`` of the files that :func:`read_tree` leaves out."""
+    rows = [(r, n, f"larger than {max_bytes} bytes") for _, r, n in list_tree(spark, root, excluded) if n > max_bytes]
+    return spark.createDataFrame(rows, "relative_path string, size_bytes long, warning string")
 
 
 def inventory(files: DataFrame, tests: bool = True, resources: bool = True) -> DataFrame:
@@ -46,6 +86,6 @@ def java_lines(files: DataFrame) -> DataFrame:
 
 
 def application_style(build: DataFrame) -> DataFrame:
-    """``style`` of build(spring_boot, spark, java_files): one of four."""
-    style = F.when(F.col("spring_boot").isNotNull() & F.col("spark").isNotNull(), "spring-spark").when(F.col("spring_boot").isNotNull(), "spring-boot").when(F.col("spark").isNotNull(), "spark-job")
-    return build.withColumn("style", style.otherwise("plain-java"))
+    """Adds ``style`` to build(spring_boot_version, _spark): mixed, spark, spring or plain."""
+    spring, spark = F.col("spring_boot_version").isNotNull(), F.col("_spark")
+    return build.withColumn("style", F.when(spark & spring, "mixed").when(spark, "spark").when(spring, "spring").otherwise("plain"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeweft.sources.javaparser import parse
 
 LOCATION = "struct<relative_path:string,line_start:int,line_end:int,byte_start:int,byte_end:int>"
-NOTES = "array<struct<name:string,arguments_text:string>>"
+NOTES = "array<struct<name:string,arguments_text:string,words:array<string>,texts:array<string>>>"
 PARSED = (
     "relative_path string, status string, package string, "
     "imports array<struct<relative_path:string,fqn:string,static:boolean,wildcard:boolean,ordinal:int>>, "
@@ -22,7 +22,7 @@ PARSED = (
     f"parameters:array<struct<name:string,type_text:string,index:int,varargs:boolean>>,throws:array<string>,modifiers:array<string>,annotations:{NOTES},"
     f"type_parameters:array<string>,location:{LOCATION}>>, "
     "refs array<struct<method_fqn:string,kind:string,name:string,receiver_text:string,arg_count:int,type_text:string,line:int,first_string_arg:string,ref_ordinal:int>>, "
-    "errors array<string>"
+    "errors array<string>, texts array<struct<text:string,line:int,origin:string>>"
 )
 
 
@@ -37,7 +37,7 @@ def parse_files(sources: DataFrame) -> DataFrame:
 
 
 def entities(parsed: DataFrame, what: str) -> DataFrame:
-    """The rows of ``types``, ``fields``, ``methods``, ``refs`` or ``imports``, with their file."""
+    """The rows of ``types``, ``fields``, ``methods``, ``refs``, ``imports`` or ``texts``, with their file."""
     return parsed.select(F.col("relative_path").alias("file"), F.col("package").alias("file_package"), F.explode(what).alias("_x")).select("file", "file_package", "_x.*")
 
 

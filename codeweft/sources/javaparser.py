@@ -2,7 +2,7 @@
 
 It reads tokens and matches brackets; it does not check the language. What it cannot read it skips up
 to the next member, and the file's status is then ``partial``. Result of :func:`parse`: a dict with
-``package``, ``imports``, flat lists ``types``, ``fields``, ``methods``, ``refs`` and ``errors``.
+``package``, ``imports``, flat lists ``types``, ``fields``, ``methods``, ``refs``, ``texts`` and ``errors``.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ KINDS = {"class": "class", "interface": "interface", "enum": "enum", "record": "
 NOT_CALLS = {"if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "new", "super", "this", "try", "assert", "else", "do", "case"}
 PRIMITIVES = {"int", "long", "double", "float", "boolean", "char", "byte", "short", "var"}
 STATEMENT_WORDS = NOT_CALLS | {"break", "continue", "yield", "instanceof", "package", "import", "throws", "extends", "implements"}
+#: What a backslash and a sign stand for in a literal, where it is not the sign itself.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -163,12 +165,78 @@ class Parser:
         while self.peek() == "." and self.kind(1) == "name":
             self.i += 1
             parts.append(self.name())
-        arguments = None
+        arguments, words, texts = None, [], []
         if self.peek() == "(":
             end = self.closing(self.i)
             arguments = self.text(self.i, end + 1)
+            words, texts = self.words(self.i + 1, end), [t.text.strip('"') for t in self.tokens[self.i : end] if t.kind in ("string", "block")]
             self.i = end + 1
-        return {"name": ".".join(parts), "arguments_text": arguments}
+        return {"name": ".".join(parts), "arguments_text": arguments, "words": words, "texts": texts}
+
+    def words(self, a: int, b: int) -> list[str]:
+        """Dotted names among tokens a..b, ``.class`` included."""
+        out: list[str] = []
+        for k in range(a, b):
+            if self.tokens[k].kind == "name":
+                if k > a + 1 and self.tokens[k - 1].text == "." and self.tokens[k - 2].kind == "name":
+                    out[-1] += "." + self.tokens[k].text
+                else:
+                    out.append(self.tokens[k].text)
+        return out
+
+    # -- literals -------------------------------------------------------------------------
+
+    def run(self, k: int, end: int) -> tuple[str, int]:
+        """(text of the literals joined by plus signs from token ``k`` on, place behind them).
+
+        The pieces are stripped and joined by one blank; a text block stands alone.
+        """
+        if self.tokens[k].kind == "block":
+            return self.tokens[k].text[3:-3].strip(), k + 1
+        pieces = []
+        while k < end and self.tokens[k].kind == "string":
+            pieces.append(self.tokens[k].text[1:-1].strip())
+            k += 1
+            if k + 1 < end and self.tokens[k].text == "+" and self.tokens[k + 1].kind == "string":
+                k += 1
+            else:
+                break
+        joined, out, at = " ".join(pieces), [], 0
+        while at < len(joined):
+            if joined[at] == "\\" and at + 1 < len(joined):
+                at += 1
+                out.append(ESCAPES.get(joined[at], joined[at]))
+            else:
+                out.append(joined[at])
+            at += 1
+        return "".join(out).strip(), k
+
+    def literals(self) -> list[dict]:
+        """``text, line, origin`` of each run of literals; what a query annotation holds is found once, as its query."""
+        out, k, n = [], 0, len(self.tokens)
+        while k < n:
+            t = self.tokens[k]
+            if t.text == "@" and k + 2 < n and self.tokens[k + 1].text == "Query" and self.tokens[k + 2].text == "(":
+                try:
+                    end = self.closing(k + 2)
+                except Unreadable:
+                    k += 1
+                    continue
+                first = k + 5 if [x.text for x in self.tokens[k + 3 : k + 5]] == ["value", "="] else k + 3
+                if first < end and self.tokens[first].kind in ("string", "block"):
+                    text, _ = self.run(first, end)
+                    rest = [x.text for x in self.tokens[first:end]]
+                    native = any(rest[i : i + 3] == ["nativeQuery", "=", "true"] for i in range(len(rest)))
+                    out.append({"text": text, "line": self.line(t.start), "origin": "jpa-query-native" if native else "jpa-query"})
+                    k = end + 1
+                    continue
+            if t.kind in ("string", "block"):
+                text, after = self.run(k, n)
+                out.append({"text": text, "line": self.line(t.start), "origin": "java-literal"})
+                k = after
+                continue
+            k += 1
+        return out
 
     def modifiers(self) -> tuple[list[str], list[dict]]:
         words, notes = [], []
@@ -535,6 +603,7 @@ def parse(path: str, source: str | bytes) -> dict:
         parser.unit()
     except (Unreadable, IndexError, RecursionError) as e:
         parser.errors.append(str(e))
+    texts = parser.literals()
     status = "success" if not parser.errors else ("partial" if parser.types else "failed")
     rows = {k: getattr(parser, k) for k in ("imports", "types", "fields", "methods", "refs", "errors")}
-    return {"relative_path": path, "status": status, "package": parser.package or None, **rows}
+    return {"relative_path": path, "status": status, "package": parser.package or None, **rows, "texts": texts}

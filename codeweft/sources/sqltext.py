@@ -3,57 +3,28 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.text import normal_sql, sql_identity
+from codeweft.functions.text import normal_sql, sql_identity, starts_like_sql
 from codeweft.operators.spans import innermost_span
+from codeweft.sources.java import entities
+from codeweft.storage import materialize
 
-LITERAL = r'"(?:\\.|[^"\\])*"'
-BLOCK = r'""".*?"""'
-RUN = rf"{LITERAL}(?:\s*\+\s*{LITERAL})*"
-ANY_TEXT = re.compile(rf"(?P<anno>@Query\s*\(\s*(?:value\s*=\s*)?(?P<text>{BLOCK}|{RUN})(?P<rest>[^)]*)\))|(?P<block>{BLOCK})|(?P<run>{RUN})", re.S)
-STARTS = re.compile(r"\s*(?:--[^\n]*\n|\s)*(?:WITH|SELECT|INSERT|UPDATE|DELETE|MERGE\s+INTO|REPLACE\s+INTO|CREATE\s+(?:TABLE|OR\s+REPLACE|VIEW|TEMPORARY|GLOBAL)|DROP\s+TABLE|TRUNCATE|ALTER\s+TABLE)\b", re.I)
-WORD = re.compile(r"'(?:''|[^'])*'|--[^\n]*|/\*.*?\*/|[`\"\[]?[A-Za-z_][\w$]*[`\"\]]?(?:\s*\.\s*[`\"\[]?[A-Za-z_*][\w$]*[`\"\]]?)*|\S", re.S)
-PARAMETER = re.compile(r"\?\d+|(?<!:):[A-Za-z_]\w*|#\{[^}]+\}|\$\{[^}]+\}")
+#: Words of a statement: texts, comments, a template's or a statement's parameters, dotted names, single signs.
+WORD = re.compile(r"'[^']*'|--.*|/\*(?s:.*?)\*/|[#$]\{[^{}]*\}|:{1,2}[\w.]+|(?:[\w$]+|`[^`]*`|\"[^\"]*\"|\[[^\]]*\])(?:\s*\.\s*(?:[\w$*]+|`[^`]*`|\"[^\"]*\"|\[[^\]]*\]))*|\S")
 KINDS = {"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "DROP", "TRUNCATE", "ALTER", "REPLACE"}
 NOT_TABLES = {"select", "values", "set", "where", "on", "using", "table", "lateral", "unnest", "if", "only", "as", "inner", "left", "right", "full", "cross", "natural"}
 
 
-def decoded(text: str) -> str:
-    """The value of a text block or of a run of literals; pieces are joined by one blank."""
-    if text.startswith('"""'):
-        return text[3:-3].strip()
-    pieces = [p[1:-1].strip() for p in re.findall(LITERAL, text, re.S)]
-    plain = " ".join(pieces)
-    return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(m[1], m[1]), plain).strip()
-
-
-def in_java(source: str) -> list[dict]:
-    """``sql, line, origin`` of each statement; one text is found once, as the widest form that holds it."""
-    out = []
-    for m in ANY_TEXT.finditer(source):
-        sql = decoded(m["text"] or m["block"] or m["run"])
-        if m["anno"] and sql:
-            origin = "jpa-query-native" if re.search(r"nativeQuery\s*=\s*true", m["rest"]) else "jpa-query"
-        elif STARTS.match(sql):
-            origin = "java-literal"
-        else:
-            continue
-        out.append({"sql": sql, "line": source.count("\n", 0, m.start()) + 1, "origin": origin})
-    return out
-
-
 def tables_of(sql: str) -> dict:
     """``statement_type, tables_read, tables_written, parsed_ok`` by a walk over the statement's words.
 
     Names of common table expressions count as tables. A table that is written is not read as well.
     """
-    text = PARAMETER.sub("?", sql)
-    words = [w for w in WORD.findall(text) if not w.startswith(("--", "/*", "'"))]
+    words = [w for w in WORD.findall(sql) if not w.startswith(("--", "/*", "'"))]
     upper = [w.upper() for w in words]
     depth, kind, kind_at = 0, None, 0
     for i, w in enumerate(upper):
@@ -61,8 +32,8 @@ def tables_of(sql: str) -> dict:
         if depth == 0 and w in KINDS:
             kind, kind_at = w, i
             break
-    clean = lambda w: re.sub(r"[`\"\[\]\s]", "", w).lower()
-    is_name = lambda i: i < len(words) and re.match(r"[`\"\[]?[A-Za-z_]", words[i]) is not None and clean(words[i]) not in NOT_TABLES and not (upper[i] in ("ORDER", "GROUP") and upper[i + 1 : i + 2] == ["BY"])
+    clean = lambda w: "".join(c for c in w if c not in '`"[]' and not c.isspace()).lower()
+    is_name = lambda i: i < len(words) and (clean(words[i])[:1].isalpha() or clean(words[i])[:1] == "_") and clean(words[i]) not in NOT_TABLES and not (upper[i] in ("ORDER", "GROUP") and upper[i + 1 : i + 2] == ["BY"])
     reads, writes = set(), set()
 
     def after(i: int, *skip: str) -> int:
@@ -97,41 +68,34 @@ def tables_of(sql: str) -> dict:
                         k += 1
                         continue
                 break
-    ok = kind is not None and text.count("(") == text.count(")") and bool(reads or writes or kind in ("SELECT",))
+    ok = kind is not None and upper.count("(") == upper.count(")") and bool(reads or writes or kind in ("SELECT",))
     name = {"REPLACE": "INSERT", None: "UNKNOWN"}.get(kind, kind)
     return {"statement_type": name, "tables_read": sorted(reads - writes), "tables_written": sorted(writes), "parsed_ok": ok}
 
 
-def split_statements(text: Column) -> Column:
-    """Array of (sql, line) of a file: cut at every semicolon, leading comment lines left out."""
-    pieces = F.split(text, ";")
-    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    numbered = F.transform(pieces, lambda s, i: F.struct(s.alias("s"), (F.aggregate(F.slice(pieces, 1, i), F.lit(1), lambda n, p: (n + newlines(p)).cast("int"))).alias("line")))
-
-    def cleaned(x: Column) -> Column:
-        body = F.regexp_replace(x["s"], r"^\s+|\s+$", "")
-        plain = F.regexp_replace(F.regexp_replace(body, r"^(?:[ \t]*--[^\n]*(?:\n|$))+", ""), r"^\s+|\s+$", "")
-        dropped = F.regexp_extract(body, r"^((?:[ \t]*--[^\n]*(?:\n|$))+)", 1)
-        return F.struct(plain.alias("sql"), (x["line"] + newlines(dropped)).cast("int").alias("line"))
-
-    return F.filter(F.transform(numbered, cleaned), lambda x: x["sql"] != "")
-
-
-def java_statements(sources: DataFrame) -> DataFrame:
-    """``file, sql, line, origin`` of sources(relative_path, content)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"file": p, **hit} for p, c in zip(frame["relative_path"], frame["content"], strict=True) for hit in in_java(bytes(c).decode("utf-8", "replace") if not isinstance(c, str) else c)]
-            yield pd.DataFrame(rows, columns=["file", "sql", "line", "origin"])
-
-    return sources.select("relative_path", "content").mapInPandas(run, "file string, sql string, line int, origin string")
+def java_statements(parsed: DataFrame) -> DataFrame:
+    """``file, sql, line, origin`` of the statements in parsed Java files: queries, and literals that begin like one."""
+    found = entities(parsed, "texts").where((F.col("text") != "") & ((F.col("origin") != "java-literal") | starts_like_sql(F.col("text"))))
+    return found.select("file", F.col("text").alias("sql"), "line", "origin")
 
 
 def file_statements(sources: DataFrame) -> DataFrame:
-    """The same of files that hold nothing but SQL."""
-    cut = sources.select(F.col("relative_path").alias("file"), F.explode(split_statements(F.decode("content", "utf-8"))).alias("x"))
-    return cut.select("file", "x.sql", "x.line", F.lit("sql-file").alias("origin"))
+    """The same of sources(relative_path, content) that hold nothing but SQL.
+
+    A file is cut at every semicolon; a piece's line follows from the newlines of the pieces before it.
+    """
+    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    cut = sources.select(F.col("relative_path").alias("file"), F.posexplode(F.split(F.decode("content", "utf-8"), ";")).alias("n", "piece"))
+    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("first", F.coalesce(F.sum(newlines(F.col("piece"))).over(before), F.lit(0)) + 1)
+    # Whole comment lines before a statement are no part of it.
+    body = cut.withColumn("lines", F.split(F.regexp_replace("piece", r"^\s+|\s+$", ""), "\n"))
+    note = lambda x: F.ltrim(x).startswith("--")
+    kept = F.array_position(F.transform("lines", lambda x: ~note(x)), F.lit(True)).cast("int")
+    body = body.withColumn("kept", kept).where("kept > 0")
+    text = F.regexp_replace(F.array_join(F.slice("lines", F.col("kept"), F.size("lines")), "\n"), r"^\s+|\s+$", "")
+    found = body.select("file", text.alias("sql"), (F.col("first") + F.col("kept") - 1).cast("int").alias("line"), F.lit("sql-file").alias("origin"))
+    return found.where("sql <> ''")
 
 
 def statements(hits: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,6 +113,7 @@ def statements(hits: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFram
         F.sort_array(F.collect_set("origin")).alias("origins"),
     )
     found = grouped.select("id", F.substring(normal_sql(F.col("sql")), 1, 500).alias("text"), read("sql").alias("p"), "sources", "origins").select("id", "p.*", "text", "sources", "origins")
+    found = materialize(found, "statements")
     sure = F.when(~F.col("parsed_ok") | (F.array_contains("origins", "jpa-query") & (F.size("origins") == 1)), "MEDIUM").otherwise("HIGH")
     runs = found.select(F.lit("EXECUTES_SQL").alias("type"), F.explode("sources.src").alias("src"), F.col("id").alias("dst"), F.lit("HIGH").alias("confidence")).distinct()
     uses = [found.select(F.lit(t).alias("type"), F.col("id").alias("src"), F.explode(F.transform(c, lambda x: F.concat(F.lit("table:"), x))).alias("dst"), sure.alias("confidence")) for t, c in (("READS_TABLE", "tables_read"), ("WRITES_TABLE", "tables_written"))]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,36 +15,55 @@ ARTIFACTS = "scan_id string, path string, kind string, size_bytes long, created_
 
 
 class Versioned:
-    """A table whose state is the folder that ``CURRENT`` names: readers never see half a write."""
+    """A table whose state is the newest mark ``current-N``, which names a version folder.
+
+    A version is complete before its mark appears, and marks are never changed, so readers never see half a write.
+    The version before the current one stays for those who read it at that moment; older ones go.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str | None = None) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _current(self) -> str | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        mark = hadoop.Path(f"{self.path}/CURRENT")
-        files = mark.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(mark):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()["value"]
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _files(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _marks(self) -> list[int]:
+        files = self._files()
+        if not files.exists(self._path("")):
+            return []
+        return sorted(int(f.getPath().getName().removeprefix("current-")) for f in files.listStatus(self._path("")) if f.getPath().getName().startswith("current-"))
 
     def read(self) -> DataFrame:
-        now = self._current()
-        if now is None:
+        marks = self._marks()
+        if not marks:
             if self.schema is None:
                 raise FileNotFoundError(self.path)
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.path}/{now}")
+        return self.spark.read.parquet(f"{self.path}/v-{marks[-1]}")
 
     def replace(self, df: DataFrame) -> None:
-        """Write a new version, then point to it."""
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+        """Write a new version, then its mark."""
+        marks, files = self._marks(), self._files()
+        now = marks[-1] + 1 if marks else 0
+        df.write.mode("overwrite").parquet(f"{self.path}/v-{now}")
+        files.create(self._path(f"current-{now}"), False).close()
+        for old in marks[:-1]:
+            files.delete(self._path(f"current-{old}"), False)
+            files.delete(self._path(f"v-{old}"), True)
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows to the current version without rewriting it."""
+        marks = self._marks()
+        if not marks:
+            self.replace(df)
+        else:
+            df.write.mode("append").parquet(f"{self.path}/v-{marks[-1]}")
 
     def clear(self) -> None:
-        now = self.read()
-        self.replace(now.limit(0))
+        self.replace(self.read().limit(0))
 
 
 class GraphStore:
@@ -104,14 +121,15 @@ class Metadata:
         row = self.spark.range(1).select(F.lit(scan_id).alias("scan_id"), F.lit(project).alias("project"), F.lit(mode).alias("mode"), F.lit("running").alias("status"), F.current_timestamp().alias("started_at"), F.lit(scanner_version).alias("scanner_version"))
         self.scans.replace(self.scans.read().unionByName(row, allowMissingColumns=True))
 
-    def finish_scan(self, scan_id: str, status: str, **counts: int) -> None:
+    def finish_scan(self, scan_id: str, status: str, branch: str | None = None, commit: str | None = None, **counts: int) -> None:
         own = F.col("scan_id") == scan_id
-        new = {"status": F.lit(status), "finished_at": F.current_timestamp(), **{k: F.lit(v).cast("long") for k, v in counts.items()}}
+        named = {k: F.lit(v) for k, v in (("branch", branch), ("commit", commit)) if v is not None}
+        new = {**named, "status": F.lit(status), "finished_at": F.current_timestamp(), **{k: F.lit(v).cast("long") for k, v in counts.items()}}
         self.scans.replace(self.scans.read().withColumns({k: F.when(own, v).otherwise(F.col(k)) for k, v in new.items()}))
 
     def record_event(self, scan_id: str, level: str, stage: str, message: str, path: str | None = None) -> None:
         row = self.spark.range(1).select(F.uuid().alias("event_id"), F.lit(scan_id).alias("scan_id"), F.current_timestamp().alias("ts"), F.lit(level).alias("level"), F.lit(stage).alias("stage"), F.lit(message).alias("message"), F.lit(path).cast("string").alias("path"))
-        self.events.replace(self.events.read().unionByName(row))
+        self.events.append(row)
 
     def record_artifact(self, scan_id: str, path: str, kind: str, size_bytes: int) -> None:
         """One row for each scan and path; a second call replaces it."""
