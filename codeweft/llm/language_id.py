@@ -1,7 +1,7 @@
 """Language ID by language-bitmask n-gram filters.
 
 The model is a bit-sliced Bloom filter: a table of slots, each a bit mask with one bit per
-language. An n-gram (3 and 4 letters, words padded by one blank) sets its languages' bits in each
+language (in as many words of 64 bits as the languages need). An n-gram (3 and 4 letters, words padded by one blank) sets its languages' bits in each
 of its slots; the AND of an n-gram's slots is the set of all languages that hold it, found in one
 look-up for every language at once. A text's score for a language is the number of its n-grams
 whose mask has the language's bit, corrected for the filter's false positives: of N look-ups a
@@ -9,10 +9,9 @@ share p = fill**hashes hits by chance, so (hits - N * p) / (1 - p) remain. The m
 ties go to the language with more n-grams held by no other language, then to the first by name.
 
 Which n-grams a language holds is learned from a bounded sample: about ``sample_docs`` labelled
-texts of each language, chosen by a hash, and of these the ``max_ngrams`` most frequent n-grams,
-for the 64 most frequent languages at most; stray n-grams, which another language uses ten times as
-often, are left out. The table has a fixed size and is the only thing sent to
-executors. Prediction reads every whole text in one pass, without a shuffle.
+texts of each language, chosen by a hash, and of these every n-gram that occurs twice or more; stray
+n-grams, which another language uses ten times as often, are left out. The table has a fixed number of
+slots and is the only thing sent to executors. Prediction reads every whole text in one pass, without a shuffle.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; a text with
 letters but no known n-gram gets the most frequent language with score 0; with no labelled text
@@ -24,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +31,11 @@ from codeweft.llm.arrays import U64, mixed, over_slices, signed
 from codeweft.llm.common import crc32_of_id, table
 
 LENGTHS = (3, 4)
-SLOTS = 1 << 20
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
 HASHES = 2
 SAMPLE_DOCS = 1000
-MAX_NGRAMS = 20_000
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 #: A language holds an n-gram if it uses it at this share, at least, of the rate of the language that uses it most.
 LEAST_SHARE = 0.1
 
@@ -85,35 +84,53 @@ class NGrams:
 
 
 def slots_of(grams: np.ndarray) -> list[np.ndarray]:
-    return [((grams >> U64(20 * k)) & U64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
+    return [((grams >> U64(SLOT_BITS * k)) & U64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 class Model:
     """The filter, the languages by bit, and each bit's false-positive rate."""
 
     def __init__(self, languages: list[str], first: str, grams: list[np.ndarray]) -> None:
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(k).bits)
         self.languages, self.first = languages, first
-        self.table = np.zeros(SLOTS, dtype=kind)
-        for bit, own in enumerate(grams):
-            for slot in slots_of(own):
-                self.table[slot] |= kind(1 << bit)
-        self.false_rate = np.array([np.mean((self.table >> kind(b)) & kind(1)) ** HASHES for b in range(len(languages))])
+        self.tables: list[np.ndarray] = []  # one for each word of WORD_BITS languages, in the least type that holds it
+        self.false_rate = np.zeros(len(languages))
+        for at in range(0, len(languages), WORD_BITS):
+            own = grams[at : at + WORD_BITS]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(own) <= np.iinfo(k).bits)
+            table = np.zeros(SLOTS, dtype=kind)
+            for bit, held in enumerate(own):
+                for slot in slots_of(held):
+                    table[slot] |= kind(1 << bit)
+                self.false_rate[at + bit] = np.mean((table >> kind(bit)) & kind(1)) ** HASHES
+            self.tables.append(table)
+
+    def masks(self, grams: np.ndarray) -> list[np.ndarray]:
+        """For each word of languages, the mask of those that hold each n-gram."""
+        slots, out = slots_of(grams), []
+        for table in self.tables:
+            mask = table[slots[0]]
+            for slot in slots[1:]:
+                mask &= table[slot]
+            out.append(mask)
+        return out
 
     def predict(self, ngrams: NGrams, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and the share of the text's n-grams that the language holds."""
         grams, row = ngrams.of(texts)
-        n, kind = len(texts), self.table.dtype.type
-        mask = self.table[slots_of(grams)[0]]
-        for slot in slots_of(grams)[1:]:
-            mask &= self.table[slot]
+        n = len(texts)
+        masks = self.masks(grams)
+        several = len(masks) > 1
+        holders = sum(np.bitwise_count(m).astype(np.int64) for m in masks) if several else None
         looked = np.bincount(row, minlength=n)
         known = np.zeros((len(self.languages), n))
         alone = np.zeros_like(known)
         for b, p in enumerate(self.false_rate):
-            hits = np.bincount(row[(mask >> kind(b)) & kind(1) != 0], minlength=n)
+            mask, kind = masks[b // WORD_BITS], masks[b // WORD_BITS].dtype.type
+            own = kind(1 << b % WORD_BITS)
+            held = (mask & own) != 0
+            hits = np.bincount(row[held], minlength=n)
             known[b] = np.maximum(0.0, (hits - looked * p) / max(1e-9, 1 - p))
-            alone[b] = np.bincount(row[mask == kind(1 << b)], minlength=n)
+            alone[b] = np.bincount(row[held & (holders == 1) if several else mask == own], minlength=n)
         rank = known + alone / (1.0 + 2 * looked)  # under one half: decides ties of whole hits only
         best = rank.argmax(axis=0)
         most = known[best, np.arange(n)]
@@ -124,10 +141,10 @@ class Model:
         return names, np.clip(score, 0, 1), np.clip(held, 0, 1)
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_ngrams: int = MAX_NGRAMS) -> Model | None:
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from labelled(_text, _lang); None if there is no labelled text."""
     labelled = labelled.where("_lang IS NOT NULL AND _text IS NOT NULL")
-    found = labelled.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
+    found = labelled.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").collect()  # one row for each language
     if not found:
         return None
     languages = sorted(r["_lang"] for r in found)
@@ -152,8 +169,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_ngrams: int = M
 
     counted = chosen.select(bit[F.col("_lang")].alias("bit"), "_text").mapInArrow(over_slices("_text", make), "bit int, gram long, n long")
     counted = counted.groupBy("bit", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    order = Window.partitionBy("bit").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_ngrams).select("bit", "gram", "n").toPandas()
+    # Bounded by the sample: ``sample_docs`` texts of each language.
+    kept = counted.toPandas()
     kept["rate"] = kept["n"] / kept.groupby("bit")["n"].transform("sum")
     kept = kept[kept["rate"] >= LEAST_SHARE * kept.groupby("gram")["rate"].transform("max")]
     grams = [kept["gram"].to_numpy()[kept["bit"].to_numpy() == i].astype(np.int64).view(U64) for i in range(len(languages))]

@@ -246,3 +246,13 @@ def test_search_with_few_and_many_holders_is_exact():
         full[without] = 0
         found, cosine = index.nearest(own, w, 9, without)
         assert found.tolist() == np.lexsort((np.arange(n), -full))[:9].tolist() and np.allclose(cosine, full[found])
+
+
+def test_filter_of_more_than_64_languages():
+    """Languages beyond one mask word are as good as the others."""
+    ngrams = language_id.NGrams()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[i // 26] * 3 + letters[i % 26] * 3 for i in range(150)]
+    model = language_id.Model([f"l{i:03}" for i in range(150)], "l000", [np.unique(ngrams.of([w])[0]) for w in words])
+    names, score, _ = model.predict(ngrams, [f"{w} {w}" for w in words])
+    assert names == model.languages and len(model.tables) == 3 and score.min() > 0.2
