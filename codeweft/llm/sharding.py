@@ -1,19 +1,18 @@
 """Sharding by minimax contiguous partition over ordered atomic groups.
 
-A group is all rows with equal texts; it never crosses shards. Groups stand in a fixed order,
-largest first, equal sizes by digest. A group's size is taken with 13 significant bits, rounded
-up, so that the run-length table (size, groups) that the search works on has at most 4096 rows
-per power of two whatever the input holds: the driver gets a few thousand rows, never the groups.
+A group is all rows with equal texts; it never crosses shards. Groups stand in order of their digests and are
+taken together by the leading digits of these: a unit is all groups with one beginning, at most
+``UNITS_PER_SHARD`` units for each shard, so the driver gets a bounded number of unit sizes and never the groups.
+With few groups nearly every unit is one group; with many, a unit is a small part of a shard.
 
-The smallest shard capacity for which a greedy left-to-right cut needs no more than the given
-number of shards is found by binary search; the check walks the run-length table. A group as
-large as an even share takes a shard of its own first and the search goes on over the rest, so
-one huge group neither raises the capacity of the other shards nor leaves shards empty.
+The smallest shard capacity for which a greedy left-to-right cut needs no more than the given number of shards is
+found by binary search over the units. A group as large as an even share of what is left takes a shard of its own
+first and the search goes on over the rest, so one huge group neither raises the capacity of the other shards nor
+leaves shards empty.
 
-A cut inside a run of equal sizes is turned into a digest by counting digests of that run in
-4096 ranges and ranking one range only. Shards then follow from comparing (size, digest) with
-at most ``n_shards`` literals. Slots count from 0 within a shard: rows are numbered inside
-(shard, one of 4096 id ranges) and the ranges' counts, 4096 per shard at most, are summed up.
+Shards then follow from comparing beginnings of digests with at most ``n_shards`` literals. Slots count from 0
+within a shard: rows are dealt to 4096 parts by a hash of all they have and a number of their own, numbered inside
+(shard, part), and the parts' counts are summed up; no part grows with a hot id or text.
 
 Defined results: a null text has size 1, like the empty text, and is equal to it. Repeated rows
 each get a slot of their own. Fewer groups than shards leave shards empty. Empty tables give no
@@ -22,73 +21,53 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import materialize, narrowed, table
+from codeweft.llm.common import discard, materialize, narrowed, table
 
-SIGNIFICANT_BITS = 13
-DIGEST_RANGES = 4096
+UNITS_PER_SHARD = 4096
 SLOT_RANGES = 4096
 
 
-def rounded_size(size: Column) -> Column:
-    """Round up to 13 significant bits; sizes below 8192 stay exact."""
-    digits = F.length(F.bin(size))
-    drop = F.greatest(F.lit(0), digits - SIGNIFICANT_BITS).cast("int")
-    unit = F.call_function("shiftleft", F.lit(1).cast("long"), drop)
-    return (F.floor((size + unit - 1) / unit) * unit).cast("long")
-
-
-def greedy_cuts(runs: list[tuple[int, int]], shards: int, capacity: int) -> list[tuple[int, int]] | None:
-    """Cuts (run, groups of it before the cut) of a greedy walk, or None if it needs more shards."""
-    cuts: list[tuple[int, int]] = []
-    left = capacity
-    for i, (size, count) in enumerate(runs):
+def greedy_cuts(sizes: list[int], shards: int, capacity: int) -> list[int] | None:
+    """Places before which a greedy walk begins the next shard, or None if it needs more shards."""
+    cuts: list[int] = []
+    held = 0
+    for i, size in enumerate(sizes):
         if size > capacity:
             return None
-        done = 0
-        while True:
-            take = min(count - done, left // size)
-            done += take
-            left -= take * size
-            if done == count:
-                break
-            per_shard = capacity // size
-            whole = max(1, (count - done) // per_shard) if count - done > per_shard else 1
-            if len(cuts) + whole >= shards:
+        if held + size > capacity:
+            cuts.append(i)
+            held = 0
+            if len(cuts) >= shards:
                 return None
-            for k in range(whole):
-                cuts.append((i, done + k * per_shard))
-            done += (whole - 1) * per_shard
-            left = capacity
+        held += size
     return cuts
 
 
-def minimax_cuts(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, int]]:
-    """Cuts of the smallest feasible capacity; groups as large as an even share go first, alone."""
-    cuts: list[tuple[int, int]] = []
-    first, used = 0, 0  # runs before `first` and `used` groups of it have shards of their own
-    total = sum(s * n for s, n in runs)
-    while first < len(runs) and shards > 1 and runs[first][0] * shards >= total:
-        used += 1
-        total -= runs[first][0]
-        shards -= 1
-        cuts.append((first, used))
-        if used == runs[first][1]:
-            first, used = first + 1, 0
-    rest = [(s, n - used * (i == 0)) for i, (s, n) in enumerate(runs[first:])]
-    if not rest:
-        return cuts
-    low, high = max(rest[0][0], -(-total // shards)) - 1, total
+def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
+    """Cuts of the smallest feasible capacity."""
+    if not sizes:
+        return []
+    low, high = max(max(sizes), -(-sum(sizes) // shards)) - 1, sum(sizes)
     while high - low > 1:
         middle = (low + high) // 2
-        low, high = (low, middle) if greedy_cuts(rest, shards, middle) is not None else (middle, high)
-    return cuts + [(first + i, n + used * (i == 0)) for i, n in greedy_cuts(rest, shards, high)]
+        low, high = (low, middle) if greedy_cuts(sizes, shards, middle) is not None else (middle, high)
+    return greedy_cuts(sizes, shards, high) or []
+
+
+def alone(largest: list[int], total: int, shards: int) -> int:
+    """How many of the largest sizes, in descending order, take a shard of their own."""
+    n = 0
+    while n < len(largest) and shards > 1 and largest[n] * shards >= total:
+        total, shards, n = total - largest[n], shards - 1, n + 1
+    return n
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, shard, slot``."""
+    spark = docs.sparkSession
     rows = narrowed(docs, id_col, text_col).withColumn("_text", F.coalesce("_text", F.lit("")))
     rows = materialize(
         rows.select(
@@ -99,73 +78,37 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         ),
         "shard-rows",
     )
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("total")).select("digest", rounded_size(F.col("total")).alias("total"))
-    groups = materialize(groups, "shard-groups")
-    found = groups.groupBy("total").agg(F.count("*").alias("n")).collect()
-    runs = sorted(((r["total"], r["n"]) for r in found), reverse=True)
-    cuts = minimax_cuts(runs, n_shards)
-    shard = F.lit(0)
-    for size, digest in _cut_points(groups, runs, cuts):
-        after = F.col("total") < size
-        if digest is not None:
-            after = after | ((F.col("total") == size) & (F.col("digest") >= digest))
-        shard = shard + after.cast("int")
-    placed = rows.join(groups.select("digest", shard.alias("shard")), "digest")
-
-    part = F.pmod(F.xxhash64("_id"), F.lit(SLOT_RANGES)).cast("int").alias("part")
-    placed = placed.select("_id", "size", "text_crc32", "shard", part)
-    placed = materialize(placed, "shard-placed")
+    digits = max(1, -(-((UNITS_PER_SHARD * n_shards - 1).bit_length()) // 4))  # hexadecimal digits of a beginning
+    groups = materialize(rows.groupBy("digest").agg(F.sum("size").alias("total")), "shard-groups")
+    # At most n_shards groups and UNITS_PER_SHARD * 16 * n_shards units come to the driver.
+    total = groups.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    large = groups.orderBy(F.desc("total"), "digest").limit(n_shards).collect()
+    own = large[: alone([r["total"] for r in large], total, n_shards)]
+    is_own = F.col("digest").isin([r["digest"] for r in own]) if own else F.lit(False)
+    units = groups.where(~is_own).groupBy(F.substring("digest", 1, digits).alias("unit")).agg(F.sum("total").alias("total")).collect()
+    units = sorted((r["unit"], r["total"]) for r in units)
+    cuts = [units[i][0] for i in minimax_cuts([n for _, n in units], n_shards - len(own))]
+    shard = F.lit(len(own))
+    for beginning in cuts:
+        shard = shard + (F.substring("digest", 1, digits) >= beginning).cast("int")
+    for i, r in reversed(list(enumerate(own))):
+        shard = F.when(F.col("digest") == r["digest"], i).otherwise(shard)
+
+    part = F.pmod(F.xxhash64("_id", "text_crc32", "size", F.monotonically_increasing_id()), F.lit(SLOT_RANGES)).cast("int").alias("part")
+    placed = materialize(rows.select("_id", "size", "text_crc32", shard.alias("shard"), part), "shard-placed")
+    discard(spark, groups)
+    discard(spark, rows)
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     number = Window.partitionBy("shard", "part").orderBy("_id", "text_crc32", "size")
-    # The table of starts has n_shards * SLOT_RANGES rows at most, about 1 MB for 16 shards.
     return (
         placed.withColumn("within", F.row_number().over(number) - 1)
-        .join(F.broadcast(starts), ["shard", "part"])
+        .join(starts, ["shard", "part"])
         .select(F.col("_id").alias("doc_id"), "size", "text_crc32", "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"))
     )
 
 
-def _cut_points(groups: DataFrame, runs, cuts) -> list[tuple[int, str | None]]:
-    """For each cut the size, and the digest from which groups of that size lie behind it."""
-    inside = {(runs[i][0], k) for i, k in cuts if 0 < k < runs[i][1]}
-    digests: dict[tuple[int, int], str] = {}
-    if inside:
-        sizes = sorted({s for s, _ in inside})
-        spread = F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")
-        own = groups.where(F.col("total").isin(sizes)).withColumn("range", spread)
-        counts: dict[int, list[int]] = {s: [0] * DIGEST_RANGES for s in sizes}
-        for r in own.groupBy("total", "range").agg(F.count("*").alias("n")).collect():
-            counts[r["total"]][r["range"]] = r["n"]
-        wanted = []
-        for size, k in inside:
-            at, left = 0, k
-            while left >= counts[size][at]:
-                left -= counts[size][at]
-                at += 1
-            wanted.append((size, k, at, left + 1))
-        near = F.lit(False)
-        for size, _, at, _ in wanted:
-            near = near | ((F.col("total") == size) & (F.col("range") == at))
-        ranks = own.where(near).withColumn("rank", F.row_number().over(Window.partitionBy("total", "range").orderBy("digest")))
-        hit = F.lit(False)
-        for size, _, at, rank in wanted:
-            hit = hit | ((F.col("total") == size) & (F.col("range") == at) & (F.col("rank") == rank))
-        got = {(r["total"], r["range"], r["rank"]): r["digest"] for r in ranks.where(hit).collect()}
-        digests = {(size, k): got[size, at, rank] for size, k, at, rank in wanted}
-    points: list[tuple[int, str | None]] = []
-    for i, k in cuts:
-        size, count = runs[i]
-        if k >= count:
-            points.append((size, None))  # behind the whole run
-        elif k == 0:
-            points.append((size + 1, None))
-        else:
-            points.append((size, digests[size, k]))
-    return points
-
-
 def op2_minimax_shards(spark, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
     return placed.select(

@@ -1,6 +1,8 @@
 """Exact dedup, sharding and secret scans: odd rows, laws, and the ledger."""
 
+import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm import queries, secrets
 from codeweft.llm.exact_dedup import exact_dedup
-from codeweft.llm.sharding import greedy_cuts, minimax_cuts, shard_documents
+from codeweft.llm.sharding import alone, greedy_cuts, minimax_cuts, shard_documents
 from tests.compare import oracle, rows
 from tests.llm.conftest import SF
 
@@ -29,22 +31,19 @@ def test_exact_dedup_odd_rows(odd, none):
 
 
 def test_greedy_and_minimax():
-    runs = [(50, 1), (7, 3), (3, 10), (1, 40)]
-    groups = [s for s, n in runs for _ in range(n)]
-
-    def shards(cuts):
-        at, out, last = {c for c in cuts}, [], 0
-        places = sorted(sum(n for _, n in runs[:i]) + k for i, k in at)
-        for p in [*places, len(groups)]:
-            out.append(sum(groups[last:p]))
-            last = p
-        return out
-
-    got = shards(minimax_cuts(runs, 4))
-    assert sum(got) == sum(groups) and got[0] == 50
-    best = next(c for c in range(1, 200) if greedy_cuts(runs[1:], 3, c) is not None)
-    assert max(got[1:]) <= best
-    assert greedy_cuts([(5, 1)], 1, 4) is None and greedy_cuts([(5, 10)], 5, 10) is not None and greedy_cuts([(5, 10)], 4, 10) is None
+    rng = random.Random(2)
+    for shards in (1, 3, 4, 7):
+        sizes = [rng.choice([1, 3, 7, 50]) for _ in range(40)]
+        places = [0, *minimax_cuts(sizes, shards), len(sizes)]
+        parts = [sum(sizes[a:b]) for a, b in zip(places, places[1:])]
+        best = next(c for c in range(1, sum(sizes) + 1) if greedy_cuts(sizes, shards, c) is not None)
+        # The least capacity of any contiguous partition, by trying all of them step by step.
+        reach = [0] + [sum(sizes)] * len(sizes)
+        for k in range(shards):
+            reach = [min([max(reach[a] if k else (0 if a == 0 else 10**9), sum(sizes[a:b])) for a in range(b + 1)]) for b in range(len(sizes) + 1)]
+        assert len(parts) <= shards and sum(parts) == sum(sizes) and max(parts) == best == reach[-1]
+    assert greedy_cuts([5], 1, 4) is None and greedy_cuts([5] * 10, 5, 10) is not None and greedy_cuts([5] * 10, 4, 10) is None
+    assert alone([50, 7], 90, 4) == 1 and alone([20, 20], 90, 4) == 0 and minimax_cuts([], 4) == []
 
 
 def test_shards_hold_the_law(docs):
@@ -63,8 +62,8 @@ def test_shards_hold_the_law(docs):
         groups[t or ""] += sizes[i]
     per = got.groupby("shard")["size"].sum().reindex(range(16), fill_value=0)
     even = sum(sizes.values()) / 16
-    alone = max(groups.values()) if max(groups.values()) > even else 0
-    assert per.max() <= max(alone, even + max(g for g in groups.values() if g <= even)) * 1.001
+    single = max(groups.values()) if max(groups.values()) > even else 0
+    assert per.max() <= max(single, even + max(g for g in groups.values() if g <= even)) * 1.001
 
 
 def test_shards_odd_rows(odd, none):
@@ -123,3 +122,14 @@ def test_very_many_findings(spark):
     want = [(m.start(), m.end()) for m in re.finditer(r"password=\w+", text)]
     assert [(s["start"], s["end"]) for s in spans] == want
     assert secrets.redact_secrets(docs).first()["text"] == re.sub(r"password=\w+", "[secret:assign]", text)
+
+
+def test_registered_shards(spark, docs):
+    """The contract's columns of the registered query, against plain Python."""
+    got = queries.QUERIES["op2_minimax_shards"](spark, SF).toPandas()
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert len(got) == len(text) and set(got.law) == {"bytes"} and got.grown_shard.isna().all() and got["shard"].between(0, 15).all()
+    for i, size, crc in zip(got.doc_id, got["size"], got.text_crc32):
+        assert size == len(text[i]) + 1 and crc == zlib.crc32(text[i])
+    per = got.groupby("shard")["size"].sum()
+    assert per.max() <= 1.1 * per.sum() / 16
