@@ -256,3 +256,19 @@ def test_filter_of_more_than_64_languages():
     model = language_id.Model([f"l{i:03}" for i in range(150)], "l000", [np.unique(ngrams.of([w])[0]) for w in words])
     names, score, _ = model.predict(ngrams, [f"{w} {w}" for w in words])
     assert names == model.languages and len(model.tables) == 3 and score.min() > 0.2
+
+
+def test_topk_in_rounds_and_slices(spark, monkeypatch):
+    """Lengths over several doublings: two rounds, many slices and blocks, the same ten as by brute force."""
+    monkeypatch.setattr(topk, "SLICE_VECTORS", 40)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(400, 6)) * rng.lognormal(0, 1.0, (400, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.topk(df, F.col("vec_id") % 40 == 0, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    ints = np.floor(1024 * vectors).astype(np.int64)
+    for q in range(0, 400, 40):
+        full = ints @ ints[q]
+        assert got[q] == [(i, full[i]) for i in np.lexsort((np.arange(400), -full)) if i != q][:10]
