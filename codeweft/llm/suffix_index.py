@@ -12,12 +12,18 @@ anchor and of its context, which is all bytes that any window with this anchor c
   the task has built so far; then it becomes a level itself, and levels of equal size merge, so a
   task keeps few levels and sorts each entry a logarithmic number of times. A context met before is
   wholly repeated; only the first is kept. This combines hot passages before anything is shuffled.
-* The kept entries are dealt by fingerprint range; each range runs the same family over the batches
-  of all tasks. Contexts met before are wholly repeated. Anchors with two or more different
-  contexts are where repeats begin and end: the bytes of these contexts are fetched, and their
-  windows are compared one by one.
+* The kept entries are dealt by fingerprint range, in as many ranges as their volume asks for; each range
+  runs the same family over the batches of all tasks. Contexts met before are wholly repeated. Anchors with
+  two or more different contexts are where repeats begin and end: the bytes of these contexts are fetched and
+  ordered, once by what follows the anchor and once by what precedes it, read backwards. Common prefixes of
+  neighbours in both orders tell which windows are equal, byte by byte and without hashes. An anchor with more than
+  ``HOT_CONTEXTS`` contexts is not held by one task; its windows are grouped by all executors instead.
 * Repeats become byte ranges per document, and one join with the texts cuts them out.
 
+:class:`SuffixFamily` keeps the family between batches of documents: levels of entries and texts in a folder. A new
+batch gets its arrays, meets the stored levels, loses what they hold already and becomes a level; levels of about
+equal size merge, so there are few and each entry is rewritten a logarithmic number of times.
+
 Defined results: a null or empty text keeps nothing and loses nothing; texts under ``length`` bytes
 stay whole; ids are integers, a null id counts as the smallest; rows that repeat an id and its text
 are one document and get the same result (rows with one id but different texts are compared by their
@@ -30,19 +36,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm.arrays import U64, Powers, mixed, over_slices, slices, text_bytes
-from codeweft.llm.common import materialize, table
+from codeweft.llm.common import discard, materialize, table
 
 LENGTH = 100
 GRAM = 32
 #: Entries held by a task before they are sent on.
 HELD = 1 << 20
+#: Bytes of text whose entries make one range; entries weigh nearly as much.
+RANGE_BYTES = 32 << 20
+#: Contexts of one anchor that a task may hold: 20 MB of bytes.
+HOT_CONTEXTS = 100_000
+#: Ranges of a stored family, and how much larger an older level stays than the next.
+STORED_RANGES = 256
+GROWTH = 2
 NO_ID = -(1 << 63)
 
-ENTRY = np.dtype([("key", "<u8"), ("full", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("left", "<u2"), ("right", "<u2")])
+#: ``gen`` is the batch of documents; of earlier batches every place comes before those of later ones.
+ENTRY = np.dtype([("key", "<u8"), ("full", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("gen", "<u2"), ("left", "u1"), ("right", "u1")])
+MARK = "gen int, doc long, pos int, left int, right int, key long"
 
 
 def sliding(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -59,8 +75,10 @@ def sliding(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """Finds the anchors of many texts at once."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM) -> None:
-        self.length, self.gram = length, gram
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, gen: int = 0) -> None:
+        if not gram < length < 256:
+            raise ValueError(f"length must lie between {gram} and 256")
+        self.length, self.gram, self.gen = length, gram, gen
         self.powers = Powers()
 
     def of(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -88,18 +106,19 @@ class Anchors:
         out["key"] = hashes[at]
         out["full"] = self.powers.of_spans(prefix, start, end) + mixed((at - start).astype(U64) + U64(1))
         out["doc"], out["pos"] = docs[row], at - offsets[row]
-        out["left"], out["right"] = at - start, end - at
+        out["left"], out["right"], out["gen"] = at - start, end - at, self.gen
         return out
 
 
 def earlier(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether entries of ``a`` start before those of ``b``."""
-    return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & (a["pos"] < b["pos"]))
+    inside = (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & (a["pos"] < b["pos"]))
+    return (a["gen"] < b["gen"]) | ((a["gen"] == b["gen"]) & inside)
 
 
 def suffix_array(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(entries in order, first of each context; the rest, which repeat one of these)."""
-    entries = entries[np.lexsort((entries["pos"], entries["doc"], entries["full"], entries["key"]))]
+    entries = entries[np.lexsort((entries["pos"], entries["doc"], entries["gen"], entries["full"], entries["key"]))]
     again = np.zeros(len(entries), dtype=bool)
     again[1:] = (entries["key"][1:] == entries["key"][:-1]) & (entries["full"][1:] == entries["full"][:-1])
     first = np.maximum.accumulate(np.where(again, 0, np.arange(len(entries))))
@@ -151,36 +170,47 @@ class Family:
 
 
 def as_ranges(entries: np.ndarray) -> pa.RecordBatch:
-    """Rows (doc, pos, left, right, key) of wholly repeated contexts: key is null."""
+    """Rows of wholly repeated contexts: key is null."""
     return _rows(entries, pa.nulls(len(entries), pa.int64()))
 
 
 def _rows(entries: np.ndarray, key: pa.Array) -> pa.RecordBatch:
-    columns = [pa.array(np.ascontiguousarray(entries["doc"]))] + [pa.array(entries[c].astype(np.int32)) for c in ("pos", "left", "right")]
-    return pa.RecordBatch.from_arrays([*columns, key], ["doc", "pos", "left", "right", "key"])
+    columns = [pa.array(entries[c].astype(np.int64 if c == "doc" else np.int32)) for c in ("gen", "doc", "pos", "left", "right")]
+    return pa.RecordBatch.from_arrays([*columns, key], ["gen", "doc", "pos", "left", "right", "key"])
+
 
+def _by_range(entries: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, its entries) for the ranges that have some."""
+    of = ((entries["key"] >> U64(32)) * U64(ranges)) >> U64(32)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(ranges + 1).astype(U64))
+    entries = entries[order]
+    for b in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
+        yield b, entries[cuts[b] : cuts[b + 1]].tobytes()
 
-def _collect(length: int, buckets: int):
-    """For mapInArrow over (_id, _text): entries by bucket, and repeats found within the task."""
 
-    def rows(bucket: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "gen", "entries"])
 
-    def send(held: list[np.ndarray], repeats: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        entries = np.concatenate([np.zeros(0, ENTRY), *held])
-        bucket = ((entries["key"] >> U64(32)) * U64(buckets)) >> U64(32)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(U64))
-        entries = entries[order]
-        names = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        yield rows(names, [entries[cuts[b] : cuts[b + 1]].tobytes() for b in names])
-        late = np.concatenate([np.zeros(0, ENTRY), *repeats])
-        parts = [late[i : i + 50_000] for i in range(0, len(late), 50_000)]
-        yield rows([-1 - i % buckets for i in range(len(parts))], [p.tobytes() for p in parts])
+
+def _collect(length: int, ranges: int, gen: int):
+    """For mapInArrow over (_id, _text): entries by range, and repeats found within the task under negative numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, family = Anchors(length), Family()
+        anchors, family = Anchors(length, gen=gen), Family()
         held, repeats, count = [], [], 0
+        turn = TaskContext.get().partitionId() * 7919  # so that tasks deal their repeats out differently
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
+            yield _blobs([(b, gen, x) for b, x in _by_range(np.concatenate([np.zeros(0, ENTRY), *held]), ranges)])
+            late = np.concatenate([np.zeros(0, ENTRY), *repeats])
+            parts = [late[i : i + 50_000].tobytes() for i in range(0, len(late), 50_000)]
+            yield _blobs([(-1 - (turn + i) % ranges, gen, p) for i, p in enumerate(parts)])
+            turn += len(parts)
+
         for batch in batches:
             for part in slices(batch, "_text"):
                 own, late = family.add(anchors.of(*text_bytes(part.column("_text")), part.column("_id").to_numpy(zero_copy_only=False)))
@@ -188,103 +218,155 @@ def _collect(length: int, buckets: int):
                 repeats.append(late)
                 count += len(own) + len(late)
                 if count >= HELD:
-                    yield from send(held, repeats)
+                    yield from send()
                     family, held, repeats, count = Family(), [], [], 0
-        yield from send(held, repeats)
+        yield from send()
 
     return run
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over rows sorted by bucket: repeats, and contexts that need their bytes."""
-
-    def finish(family: Family) -> Iterator[pa.RecordBatch]:
-        entries, late = family.all()
-        yield as_ranges(late)
-        several = np.zeros(len(entries), dtype=bool)
-        several[1:] = entries["key"][1:] == entries["key"][:-1]
-        several[:-1] |= several[1:]
-        asked = entries[several]
-        yield _rows(asked, pa.array(np.ascontiguousarray(asked["key"]).view(np.int64)))
-
-    now, family = None, Family()
-    for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-            entries = np.frombuffer(blob, dtype=ENTRY)
-            if bucket < 0:
-                yield as_ranges(entries)
-                continue
-            if bucket != now:
-                yield from finish(family)
-                now, family = bucket, Family()
-            yield as_ranges(family.add(entries)[1])
-    yield from finish(family)
+def _over_ranges(finish):
+    """For mapInArrow over rows sorted by range: one family for each, then ``finish(range, family)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, family = None, Family()
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                entries = np.frombuffer(blob, dtype=ENTRY)
+                if bucket < 0:
+                    yield from finish(None, None, entries)
+                    continue
+                if bucket != now:
+                    if now is not None:
+                        yield from finish(now, family, None)
+                    now, family = bucket, Family()
+                yield from finish(None, None, family.add(entries)[1])
+        if now is not None:
+            yield from finish(now, family, None)
+
+    return run
+
+
+def _resolve(gen: int):
+    """Repeats of batch ``gen``, and contexts that need their bytes: those of anchors with several, one of that batch."""
+
+    def finish(bucket: int | None, family: Family | None, repeats: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if family is not None:
+            entries, repeats = family.all()
+            starts = np.flatnonzero(np.diff(entries["key"], prepend=~entries["key"][:1]) != 0) if len(entries) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(entries)))
+            newest = np.maximum.reduceat(entries["gen"], starts) if len(entries) else np.zeros(0, np.uint16)
+            asked = entries[np.repeat((sizes > 1) & (newest == gen), sizes)]
+            yield _rows(asked, pa.array(np.ascontiguousarray(asked["key"]).view(np.int64)))
+        yield as_ranges(repeats[repeats["gen"] == gen])
+
+    return _over_ranges(finish)
+
+
+def _merge(bucket: int | None, family: Family | None, repeats: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The first entries of each range as one array."""
+    if family is not None:
+        entries, _ = family.all()
+        yield _blobs([(bucket, int(entries["gen"].max()), entries.tobytes())])
 
 
 def _contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(key, doc, pos, left, bytes) of each asked context of each text."""
+    """(key, gen, doc, pos, left, bytes) of each asked context of each text."""
     out: list[tuple] = []
-    for doc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "asked")), strict=True):
+    for gen, doc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("gen", "_id", "_text", "asked")), strict=True):
         data = text.encode("utf-8")
-        out += [(a["key"], doc, a["pos"], a["left"], data[a["pos"] - a["left"] : a["pos"] + a["right"]]) for a in asked]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "doc", "pos", "left", "context"])
-
-
-def repeated_windows(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray, left: np.ndarray, contexts: list[bytes], powers: Powers, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the context, window start in its document) of windows that an earlier context holds too."""
-    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    counts = np.maximum(0, sizes - length + 1)
-    row = np.repeat(np.arange(len(contexts)), counts)
-    shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = offsets[row] + shift
-    prefix = powers.prefix(data)
-    code = powers.of_spans(prefix, at, at + length) + mixed(keys[row] + mixed((shift - left[row]).astype(U64)))
-    start = pos[row] - left[row] + shift
-    order = np.lexsort((start, docs[row], code))
-    again = np.zeros(len(order), dtype=bool)
-    again[1:] = code[order][1:] == code[order][:-1]
-    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-    a, b = order[first], order
-    later = again & ((docs[row[a]] != docs[row[b]]) | (start[a] != start[b]))
-    return row[order[later]], start[order[later]]
-
-
-def _compare(length: int):
-    """For mapInArrow over contexts sorted by key: ranges of repeated windows; one key is held at a time."""
-
-    def ranges(unit: list[tuple], powers: Powers) -> pa.RecordBatch:
-        keys, docs, pos, left, contexts = zip(*unit, strict=True) if unit else ((), (), (), (), ())
-        docs, pos, left = np.array(docs, np.int64), np.array(pos, np.int64), np.array(left, np.int64)
-        row, start = repeated_windows(np.array(keys, np.int64).view(U64), docs, pos, left, list(contexts), powers, length)
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        begin = np.ones(len(row), dtype=bool)
-        begin[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(begin)
-        last = np.append(first[1:], len(row)) - 1 if len(row) else first
-        out = np.zeros(len(first), ENTRY)
-        out["doc"], out["pos"], out["right"] = docs[row[first]], start[first], start[last] - start[first] + length
+        out += [(a["key"], gen, doc, a["pos"], a["left"], data[a["pos"] - a["left"] : a["pos"] + a["right"]]) for a in asked]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "gen", "doc", "pos", "left", "context"])
+
+
+class Ordered:
+    """Byte strings in order within their keys, with the lengths of common prefixes of neighbours."""
+
+    def __init__(self, keys: np.ndarray, strings: list[bytes], width: int) -> None:
+        n, wide = len(strings), -(-width // 8) * 8
+        data = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in strings), dtype=np.uint8).reshape(n, wide)
+        words = data.view(">u8")
+        self.size = np.array([len(s) for s in strings], dtype=np.int64)
+        self.order = np.lexsort((self.size, *(words[:, w] for w in range(words.shape[1] - 1, -1, -1)), keys))
+        a, b = self.order[:-1], self.order[1:]
+        differ = data[a] != data[b]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
+        common = np.minimum(common, np.minimum(self.size[a], self.size[b]))
+        self.common = np.where(keys[a] == keys[b], common, -1)
+
+    def classes(self, length: int) -> np.ndarray:
+        """A number for each string, equal for strings of one key that share their first ``length`` bytes."""
+        out = np.zeros(len(self.order), dtype=np.int64)
+        out[self.order[1:]] = np.cumsum(self.common < length)
+        return out
+
+
+def repeated_windows(keys: np.ndarray, places: np.ndarray, left: np.ndarray, contexts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, most and least bytes before the anchor) of the windows that an earlier context of the key holds too.
+
+    ``places`` rank the contexts; equal ranks are one place. A window has the anchor at some offset; the windows of
+    a context all hold the anchor, so the repeated ones cover one stretch, from the greatest offset to the least.
+    """
+    after = Ordered(keys, [c[n:] for c, n in zip(contexts, left.tolist(), strict=True)], length)
+    before = Ordered(keys, [c[:n][::-1] for c, n in zip(contexts, left.tolist(), strict=True)], length - gram)
+    by_place = np.argsort(places, kind="stable")
+    most, least = np.full(len(contexts), -1), np.full(len(contexts), length)
+    for offset in range(length - gram + 1):
+        has = by_place[(before.size[by_place] >= offset) & (after.size[by_place] >= length - offset)]
+        code = after.classes(length - offset)[has] * len(contexts) + before.classes(offset)[has]
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        again = has[places[has] > places[has[first[which]]]]
+        most[again] = np.maximum(most[again], offset)
+        least[again] = np.minimum(least[again], offset)
+    found = np.flatnonzero(most >= 0)
+    return found, most[found], least[found]
+
+
+def _compare(length: int, gen: int):
+    """For mapInArrow over contexts sorted by key: ranges of repeated windows of one batch; whole keys are held at a time."""
+
+    def ranges(unit: list[tuple]) -> pa.RecordBatch:
+        keys, gens, docs, pos, left, contexts = zip(*unit, strict=True) if unit else [()] * 6
+        place = np.zeros(len(unit), dtype=[("gen", "<i4"), ("doc", "<i8"), ("pos", "<i4")])
+        place["gen"], place["doc"], place["pos"] = gens, docs, pos
+        _, ranks = np.unique(place, return_inverse=True)
+        found, most, least = repeated_windows(np.array(keys, np.int64), ranks, np.array(left, np.int64), list(contexts), length)
+        own = place["gen"][found] == gen
+        found, most, least = found[own], most[own], least[own]
+        out = np.zeros(len(found), ENTRY)
+        out["gen"], out["doc"], out["pos"] = gen, place["doc"][found], place["pos"][found]
+        out["left"], out["right"] = most, length - least
         return as_ranges(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if len(held) >= 2000 and row[0] != held[-1][0]:
-                    yield ranges(held, powers)
+                    yield ranges(held)
                     held = []
                 held.append(row)
         if held:
-            yield ranges(held, powers)
+            yield ranges(held)
 
     return run
 
 
+def _compare_hot(contexts: DataFrame, length: int, gen: int, gram: int = GRAM) -> DataFrame:
+    """The same ranges for anchors of very many contexts: windows are grouped by what they hold, by all executors."""
+    starts = F.sequence(F.lit(0), F.octet_length("context") - length)
+    windows = contexts.where(F.octet_length("context") >= length).withColumn("s", F.explode(starts)).withColumn("offset", F.col("left") - F.col("s"))
+    windows = windows.where(F.col("offset").between(0, length - gram)).withColumn("held", F.sha2(F.substring("context", F.col("s") + 1, F.lit(length)), 256))
+    place = F.struct("gen", "doc", "pos")
+    windows = windows.select("key", "offset", "held", place.alias("place"))
+    first = windows.groupBy("key", "offset", "held").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = windows.join(first, ["key", "offset", "held"]).where((F.col("place") > F.col("first")) & (F.col("place.gen") == gen))
+    found = again.groupBy("place").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
+    return found.select("place.gen", "place.doc", "place.pos", F.col("most").cast("int").alias("left"), (F.lit(length) - F.col("least")).cast("int").alias("right"), F.lit(None).cast("long").alias("key"))
+
+
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     """(doc_id, n_bytes, spans, kept) of each text, given its repeated ranges."""
     sizes, spans, kept = [], [], []
@@ -310,30 +392,114 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, spans, kept``; spans are the removed byte ranges."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = rows.where(F.octet_length("_text") >= length).mapInArrow(_collect(length, buckets), "bucket int, entries binary")
-    ordered = entries.repartition("bucket").sortWithinPartitions("bucket")
-    marks = materialize(ordered.mapInArrow(_resolve, "doc long, pos int, left int, right int, key long"), "marks")
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+
+
+def _cut_batch(rows: DataFrame, entries: DataFrame, ranges: int, length: int, gen: int, old_texts: DataFrame | None = None) -> DataFrame:
+    """The batch ``gen`` of rows(_id, _text) without what ``entries`` of it and of earlier batches hold earlier."""
+    spark = rows.sparkSession
+    ordered = entries.repartition(ranges, "bucket").sortWithinPartitions("bucket", "gen")
+    marks = materialize(ordered.mapInArrow(_resolve(gen), MARK), "marks")
 
     texts = rows.repartition("_id")
-    asked = marks.where("key IS NOT NULL").groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("key", "pos", "left", "right")).alias("asked"))
-    contexts = texts.where("_text IS NOT NULL").join(asked, "_id").mapInArrow(over_slices("_text", lambda: _contexts), "key long, doc long, pos int, left int, context binary")
-    contexts = contexts.repartition("key").sortWithinPartitions("key", "doc", "pos")
-    windows = contexts.mapInArrow(_compare(length), "doc long, pos int, left int, right int, key long")
-    ranges = materialize(marks.where("key IS NULL").unionByName(windows).select("doc", "pos", "left", "right"), "ranges")
+    wanted = marks.where("key IS NOT NULL")
+    asked = wanted.groupBy("gen", F.col("doc").alias("_id")).agg(F.collect_list(F.struct("key", "pos", "left", "right")).alias("asked"))
+    every = texts.select(F.lit(gen).alias("gen"), "_id", "_text")
+    every = every if old_texts is None else every.unionByName(old_texts)
+    contexts = every.where("_text IS NOT NULL").join(asked, ["gen", "_id"]).mapInArrow(over_slices("_text", lambda: _contexts), "key long, gen int, doc long, pos int, left int, context binary")
+    hot = wanted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTEXTS).select("key")
+    repeats = marks.where("key IS NULL")
+    if not hot.isEmpty():
+        contexts = materialize(contexts, "contexts")
+        repeats = repeats.unionByName(_compare_hot(contexts.join(hot, "key", "left_semi"), length, gen))
+        contexts = contexts.join(hot, "key", "left_anti")
+    contexts = contexts.repartition("key").sortWithinPartitions("key")
+    windows = contexts.mapInArrow(_compare(length, gen), MARK)
+    found = materialize(repeats.unionByName(windows).select("doc", "pos", "left", "right"), "ranges")
+    discard(spark, marks)
     start = F.col("pos") - F.col("left")
     packed = F.call_function("shiftleft", start.cast("long"), F.lit(32)) + (F.col("right") + F.col("left")).cast("long")
-    of_doc = ranges.groupBy(F.col("doc").alias("_id")).agg(F.collect_set(packed).alias("ranges"))
+    of_doc = found.groupBy(F.col("doc").alias("_id")).agg(F.collect_set(packed).alias("ranges"))
     cut = texts.join(of_doc, "_id", "left").select("_id", "_text", "ranges").mapInArrow(
         over_slices("_text", lambda: _cut), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     )
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_bytes, spans, kept``; spans are the removed byte ranges."""
+    rows = _narrow(docs, id_col, text_col)
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES)
+    entries = rows.where(F.octet_length("_text") >= length).mapInArrow(_collect(length, ranges, 0), "bucket int, gen int, entries binary")
+    return _cut_batch(rows, entries, ranges, length, 0)
+
+
+class SuffixFamily:
+    """A family kept in a folder: ``level-a-b`` holds the entries and texts of the batches a to b."""
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, ranges: int = STORED_RANGES) -> None:
+        self.spark, self.path, self.length, self.ranges = spark, path.rstrip("/"), length, ranges
+
+    def _folder(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _files(self):
+        return self._folder().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def levels(self) -> list[tuple[int, int]]:
+        """(first, last batch) of each whole level; one that a merged level contains does not count."""
+        files = self._files()
+        if not files.exists(self._folder()):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(self._folder())]
+        found = [tuple(map(int, n.split("-")[1:])) for n in names if n.startswith("level-") and files.exists(self._folder(f"{n}/entries/_SUCCESS"))]
+        return sorted(x for x in found if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in found))
+
+    def _entries(self, level: tuple[int, int]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/level-{level[0]}-{level[1]}/entries")
+
+    def _texts(self, level: tuple[int, int]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/level-{level[0]}-{level[1]}/texts")
+
+    def size(self, level: tuple[int, int]) -> int:
+        return self._entries(level).agg(F.coalesce(F.sum(F.octet_length("entries")), F.lit(0))).first()[0] // ENTRY.itemsize
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Cut a new batch by what it and all batches before it hold earlier; then keep it as a level.
+
+        The result is that of :func:`remove_repeats` for the batch's rows; batches before stay as they were.
+        """
+        rows, old = _narrow(docs, id_col, text_col), self.levels()
+        gen = old[-1][1] + 1 if old else 0
+        long = rows.where(F.octet_length("_text") >= self.length)
+        entries = materialize(long.mapInArrow(_collect(self.length, self.ranges, gen), "bucket int, gen int, entries binary"), "entries")
+        both, old_texts = entries, None
+        for level in old:
+            both = both.unionByName(self._entries(level))
+            old_texts = self._texts(level) if old_texts is None else old_texts.unionByName(self._texts(level))
+        cut = materialize(_cut_batch(rows, both, self.ranges, self.length, gen, old_texts), "cut")
+        self._write((gen, gen), entries.where("bucket >= 0"), long.select(F.lit(gen).alias("gen"), "_id", "_text"))
+        discard(self.spark, entries)
+        levels = self.levels()
+        while len(levels) > 1 and self.size(levels[-2]) < GROWTH * self.size(levels[-1]):
+            small, large = levels.pop(), levels.pop()
+            merged = (large[0], small[1])
+            self._write(merged, self._entries(large).unionByName(self._entries(small)), self._texts(large).unionByName(self._texts(small)))
+            for part in (large, small):
+                self._files().delete(self._folder(f"level-{part[0]}-{part[1]}"), True)
+            levels.append(merged)
+        return cut
+
+    def _write(self, level: tuple[int, int], entries: DataFrame, texts: DataFrame) -> None:
+        """Texts first: a level counts when its entries are whole."""
+        folder = f"{self.path}/level-{level[0]}-{level[1]}"
+        texts.write.mode("overwrite").parquet(f"{folder}/texts")
+        ordered = entries.repartition("bucket").sortWithinPartitions("bucket", "gen")
+        ordered.mapInArrow(_over_ranges(_merge), "bucket int, gen int, entries binary").write.mode("overwrite").parquet(f"{folder}/entries")
+
+
 def op6_suffix_family(spark, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])

@@ -129,6 +129,38 @@ def test_repeats_of_tables(spark, docs):
     assert result(suffix_index.remove_repeats(docs)) == brute_repeats(rows, 100)
 
 
+def repeating_rows(n=80, seed=3):
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(90, 400))) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        parts = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(150))) for _ in range(3)]
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(passages)
+            parts.insert(rng.randrange(3), p[rng.randrange(40) :])
+        rows.append((i, "".join(parts)))
+    return rows
+
+
+def test_hot_anchors_are_compared_by_all_executors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_index, "HOT_CONTEXTS", 3)
+    rows = repeating_rows(60, 5) + [(200, "a" * 500), (201, "ab" * 300), (202, "a" * 130)]
+    assert result(suffix_index.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute_repeats(rows, 100)
+
+
+def test_stored_family_meets_later_batches(spark, tmp_path):
+    """Five batches, one after the other, give what all of them give at once; few levels stay."""
+    rows = repeating_rows(75, 9)
+    family = suffix_index.SuffixFamily(spark, tmp_path.as_uri(), ranges=8)
+    got = {}
+    for b in range(5):
+        batch = spark.createDataFrame(rows[15 * b : 15 * b + 15], "doc_id long, text string").repartition(2)
+        got |= result(family.add(batch))
+    assert got == brute_repeats(rows, 100)
+    sizes = [family.size(x) for x in family.levels()]
+    assert 0 < len(sizes) <= 3 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
 def test_family_keeps_few_levels():
     import numpy as np
 
