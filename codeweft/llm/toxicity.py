@@ -7,11 +7,13 @@ counted over all documents, and the relevance log2(2 + rate among toxic / rate a
 is at least 1. Every term of a text counts in its norm; one that no example holds weighs as if it were in
 one document.
 
-The index holds, for each term, the examples with their weights, and a table of examples and the terms that
-many of them hold. Of the latter a single-precision product gives, for a slice of texts at once, sums whose
-error is bounded by ``ROUGH``; with the exact sums of the other terms they bound every cosine, and the examples
-whose bound reaches the k-th best are taken exactly, so the neighbours are exact. They vote with weight
-1 / (1.05 - cosine), each class scaled to its share of all labelled rows, and the vote is calibrated by
+The index is an inverted list for each term, over examples that are ordered so that alike ones stand together and cut
+into blocks of ``BLOCK``. Lists of terms that few examples hold are taken whole and summed up exactly; for terms that
+many hold there is the greatest weight in each block. Both together bound every cosine of a block. The blocks with the
+highest bounds are scored first and give each text its k-th best cosine; of the others only blocks whose bound
+reaches it are scored, the rest is passed over. Scoring is a single-precision product for a slice of texts whose error
+is bounded by ``ROUGH``; examples that may be among the k best are taken exactly, so the neighbours are exact. They vote
+with weight 1 / (1.05 - cosine), each class scaled to its share of all labelled rows, and the vote is calibrated by
 isotonic regression on the examples themselves, each scored without itself. The neighbours are the evidence.
 
 Defined results: texts without a term of an example (null and empty ones too) have no neighbour
@@ -39,6 +41,9 @@ NEIGHBOURS = 31
 #: A term is one of many examples if more than this share of them hold it.
 MANY = 0.08
 ROUGH = 1e-4
+#: Examples of a block, and the blocks of a text that are scored before any is passed over.
+BLOCK = 64
+FIRST_BLOCKS = 8
 SLICE_TEXTS = 512
 THRESHOLD = 0.3
 
@@ -140,9 +145,11 @@ class BlockMaxIndex:
         self.full = np.zeros((self.n, len(many)))
         self.full[self.rows[column >= 0], column[column >= 0]] = self.values[column >= 0]
         self.single = self.full.T.astype(np.float32)
+        self.starts = np.arange(0, max(1, self.n), BLOCK)
+        self.most = np.maximum.reduceat(self.full, self.starts, axis=0).T.astype(np.float32) if self.n else np.zeros((len(many), 1), np.float32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("many", "full", "single")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("many", "full", "single", "starts", "most")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -157,40 +164,78 @@ class BlockMaxIndex:
         return weight / np.sqrt(norm)[row]
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each (terms, weights): :meth:`nearest`, if asked without the example of its own number."""
+        """For each (terms, weights): (examples, cosines) of the k nearest with a term in common, best first, ties by number.
+
+        If asked, each is searched without the example of its own number.
+        """
         for first in range(0, len(vectors), SLICE_TEXTS):
             part = vectors[first : first + SLICE_TEXTS]
-            table = np.zeros((len(part), len(self.single)), dtype=np.float32)
-            for i, (term, weight) in enumerate(part):
-                held = self.many[term] >= 0
-                table[i, self.many[term[held]]] = weight[held]
-            for i, ((term, weight), rough) in enumerate(zip(part, table @ self.single, strict=True)):
-                yield self._nearest(term, weight, k, first + i if leave_out else -1, rough)
+            without = np.arange(first, first + len(part)) if leave_out else np.full(len(part), -1)
+            yield from self._nearest(part, k, without)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a term in common, best first, ties by number."""
-        held = self.many[term] >= 0
-        return self._nearest(term, weight, k, without, weight[held].astype(np.float32) @ self.single[self.many[term[held]]])
-
-    def _nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        held = self.many[term] >= 0
-        start = self.term_start[term[~held]]
-        size = self.term_start[term[~held] + 1] - start
+        return next(self._nearest([(term, weight)], k, np.array([without])))
+
+    def _rare(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """For every example the exact sum over the terms that few examples hold."""
+        rare = self.many[term] < 0
+        start = self.term_start[term[rare]]
+        size = self.term_start[term[rare] + 1] - start
         at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-        total = np.bincount(self.rows[at], self.values[at] * np.repeat(weight[~held], size), minlength=self.n)
-        about = total + rough
-        if without >= 0:
-            about[without] = 0.0
-        slack = ROUGH * max(1.0, float(rough.max(initial=0.0)))
-        floor = np.partition(about, -k)[-k] - 2 * slack if len(about) > k else 0.0
-        found = np.flatnonzero((about > 0) & (about >= floor))
-        cosine = total[found]
-        if held.any():
-            cosine = cosine + (self.full[np.ix_(found, self.many[term[held]])] * weight[held]).sum(axis=1)
-        good = found != without
-        found, cosine = found[good], cosine[good]
-        order = np.lexsort((found, -cosine))[:k]
-        return found[order], cosine[order]
+        return np.bincount(self.rows[at], self.values[at] * np.repeat(weight[rare], size), minlength=self.n)
+
+    def _nearest(self, part: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        table = np.zeros((len(part), len(self.single)), dtype=np.float32)
+        total = np.zeros((len(part), self.n))
+        for i, (term, weight) in enumerate(part):
+            held = self.many[term] >= 0
+            table[i, self.many[term[held]]] = weight[held]
+            total[i] = self._rare(term, weight)
+        if not self.n:
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in part)
+            return
+        slack = ROUGH * np.maximum(1.0, table.sum(axis=1))
+        bound = table @ self.most + np.maximum.reduceat(total, self.starts, axis=1) + 2 * slack[:, None]
+        about = np.full((len(part), self.n), -1.0)  # of examples in blocks that were scored
+
+        def score(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                at, own = np.flatnonzero(wanted[:, b]), slice(self.starts[b], min(self.n, self.starts[b] + BLOCK))
+                about[at, own] = total[at, own] + table[at] @ self.single[:, own]
+
+        out = np.flatnonzero(without >= 0)
+        m = min(FIRST_BLOCKS + -(-k // BLOCK), len(self.starts))
+        early = bound >= np.partition(bound, -m, axis=1)[:, [-m]]
+        score(early)
+        about[out, without[out]] = -1.0
+        enough = self.n > k
+        floor = (np.partition(about, -k, axis=1)[:, -k] if enough else np.zeros(len(part))) - 2 * slack
+        score(~early & (bound >= floor[:, None]) & (bound > 2 * slack[:, None]))
+        about[out, without[out]] = -1.0
+        floor = (np.partition(about, -k, axis=1)[:, -k] if enough else np.zeros(len(part))) - 2 * slack
+        for i, (term, weight) in enumerate(part):
+            found = np.flatnonzero((about[i] > 0) & (about[i] >= floor[i]))
+            cosine, held = total[i, found], self.many[term] >= 0
+            if held.any():
+                cosine = cosine + (self.full[np.ix_(found, self.many[term[held]])] * weight[held]).sum(axis=1)
+            order = np.lexsort((found, -cosine))[:k]
+            yield found[order], cosine[order]
+
+
+def alike_together(row: np.ndarray, term: np.ndarray, n: int, n_terms: int, most: int = 256) -> np.ndarray:
+    """An order of examples in which those with the same frequent terms stand together: by their leading component."""
+    frequent = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:most]
+    place = np.full(n_terms, -1)
+    place[frequent] = np.arange(len(frequent))
+    held = np.zeros((n, len(frequent)))
+    some = place[term] >= 0
+    held[row[some], place[term[some]]] = 1.0
+    held -= held.mean(axis=0)
+    lead = np.linspace(1.0, 2.0, len(frequent))
+    for _ in range(20):
+        lead = held.T @ (held @ lead)
+        lead /= max(1e-12, np.abs(lead).max(initial=0.0))
+    return np.argsort(np.round(held @ lead, 9), kind="stable")
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,6 +315,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     row = np.repeat(np.arange(len(rows)), [len(r["times"]) // 4 for r in rows])
     hashes, term = np.unique(np.frombuffer(b"".join(r["term"] for r in rows), U64), return_inverse=True)
     times = np.frombuffer(b"".join(r["times"] for r in rows), np.int32).astype(np.float64)
+    order = alike_together(row, term, len(rows), len(hashes))
+    number = np.argsort(order)
+    rows, toxic, scale, row = [rows[i] for i in order], toxic[order], scale[order], number[row]
+    by_row = np.argsort(row, kind="stable")
+    row, term, times = row[by_row], term[by_row], times[by_row]
     vocabulary = Vocabulary(hashes)
 
     n_docs, frequency = _frequencies(texts, vocabulary)
