@@ -13,9 +13,11 @@ the label c made by merge number m, arcs into c copy those into a as of m, arcs
 those out of b as of m, and single arcs (a, b) were cut at their merge's number. ``arc(x, y)`` is
 read off these tables, and answers are kept in a bounded table of transitions.
 
-Encoding a word walks its symbols from left to right. At each place exactly one label ends an
-accepted path of the symbols so far; it is the label, of those that spell the symbols before that
-place, whose arc leaves the state reached where it begins. Decoding emits the labels of the arcs.
+Encoding a word walks its symbols from left to right through a second table, compiled from the labels' spellings:
+from the state of the symbols so far and the next symbol it leads to the state that knows the longest label ending
+there, and each label knows the next shorter one that ends it (both deterministic, one step a symbol). At each place
+exactly one label ends an accepted path; it is the first of these whose arc leaves the state reached where it begins.
+Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -34,14 +36,62 @@ class Automaton:
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        symbols = lambda s: len(s) - len(word_end) * (len(s) > len(word_end) and s.endswith(word_end))
-        self.base = {i for s, i in vocab.items() if symbols(s) == 1}
+        self.base = {i for s, i in vocab.items() if len(self.symbols(s)) == 1}
         for number, (a, b) in enumerate(merges):
             self._gadget(number, vocab[a], vocab[b], vocab[a + b])
         #: Labels that some arc has: base symbols, and what a gadget made.
         self.live = {s: i for s, i in vocab.items() if i in self.made or i in self.base}
-        self.longest = max(map(symbols, self.live), default=1)
         self.table: dict[tuple[int, int], bool] = {}
+        self._spell()
+
+    def symbols(self, spelling: str) -> list[str]:
+        """The symbols of a word or label; a word's end goes with its last symbol."""
+        end = self.word_end
+        if end and spelling.endswith(end) and len(spelling) > len(end):
+            plain = spelling[: -len(end)]
+            return [*plain[:-1], plain[-1] + end]
+        return list(spelling)
+
+    def _spell(self) -> None:
+        """Compile the spellings: ``step[state, symbol]``, the longest label at each state, the next shorter of each label."""
+        self.step: dict[tuple[int, str], int] = {}
+        parent, ends = [(0, "")], [-1]
+        self.size: dict[int, int] = {}
+        for spelling, label in self.live.items():
+            state, own = 0, self.symbols(spelling)
+            for symbol in own:
+                key = (state, symbol)
+                if key not in self.step:
+                    self.step[key] = len(parent)
+                    parent.append(key)
+                    ends.append(-1)
+                state = self.step[key]
+            ends[state] = label
+            self.size[label] = len(own)
+        depth = [0] * len(parent)
+        for state in range(1, len(parent)):
+            depth[state] = depth[parent[state][0]] + 1
+        self.back = [0] * len(parent)  # the state of the longest proper ending
+        self.shorter: dict[int, int] = {}
+        for state in sorted(range(1, len(parent)), key=depth.__getitem__):
+            above, symbol = parent[state]
+            self.back[state] = self.next(self.back[above], symbol) if above else 0
+            below = ends[self.back[state]]
+            if ends[state] < 0:
+                ends[state] = below
+            else:
+                self.shorter[ends[state]] = below
+        self.ends = ends
+
+    def next(self, state: int, symbol: str) -> int:
+        """The state after one more symbol; answers found by shorter endings are kept in the table."""
+        key = (state, symbol)
+        found = self.step.get(key)
+        if found is None:
+            found = self.next(self.back[state], symbol) if state else 0
+            if state and len(self.step) < MOST_ARCS:
+                self.step[key] = found
+        return found
 
     def _gadget(self, number: int, a: int, b: int, c: int) -> None:
         """Add one merge: cut the arc a-b and record what c's arcs copy."""
@@ -87,27 +137,30 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """Labels of the one accepted path that spells ``word`` (its last symbol ends the word)."""
-        n, live, table = len(word), self.live, self.table
+        n, table, step, size, shorter = len(word), self.table, self.step, self.size, self.shorter
         last: list[int] = [-1] * (n + 1)  # by place: the label that ends the accepted path there
-        back: list[int] = [0] * (n + 1)
+        state = 0
         for stop in range(1, n + 1):
-            spelt = word[:stop] + self.word_end if stop == n else word[:stop]
-            for start in range(max(0, stop - self.longest), stop):
-                label = live.get(spelt[start:])
-                if label is None:
-                    continue
-                if start:
-                    key = (last[start], label)
-                    ok = table.get(key)
-                    if not (self.arc(*key) if ok is None else ok):
-                        continue
-                last[stop], back[stop] = label, start
-                break
-        out = []
-        place = n
+            symbol = word[stop - 1] + self.word_end if stop == n else word[stop - 1]
+            found = step.get((state, symbol))
+            state = self.next(state, symbol) if found is None else found
+            label = self.ends[state]
+            while label >= 0:
+                start = stop - size[label]
+                if not start:
+                    break
+                key = (last[start], label)
+                ok = table.get(key)
+                if self.arc(*key) if ok is None else ok:
+                    break
+                label = shorter[label]
+            if label < 0:
+                raise ValueError(f"no label spells {symbol!r}")
+            last[stop] = label
+        out, place = [], n
         while place:
             out.append(last[place])
-            place = back[place]
+            place -= size[last[place]]
         out.reverse()
         return out
 
