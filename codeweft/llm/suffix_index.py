@@ -180,8 +180,8 @@ def _rows(entries: np.ndarray, key: pa.Array) -> pa.RecordBatch:
 
 
 def _by_range(entries: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """(range, its entries) for the ranges that have some."""
-    of = ((entries["key"] >> U64(32)) * U64(ranges)) >> U64(32)
+    """(range, its entries) for the ranges that have some; anchors are least hashes, so they are mixed again first."""
+    of = ((mixed(entries["key"]) >> U64(32)) * U64(ranges)) >> U64(32)
     order = np.argsort(of, kind="stable")
     cuts = np.searchsorted(of[order], np.arange(ranges + 1).astype(U64))
     entries = entries[order]
