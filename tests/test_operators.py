@@ -12,7 +12,7 @@ from codeweft.functions.embedding import embed_text, features, hashing_embedding
 from codeweft.operators import context, graph, resolution, retrieval, snapshot, traversal
 from codeweft.sources import build, git, sqltext
 from codeweft.sources.config import flatten_yaml
-from codeweft.sources.files import inventory, read_tree
+from codeweft.sources.files import inventory, oversized, read_tree
 from codeweft.sources.javaparser import parse
 
 
@@ -129,10 +129,17 @@ def test_java_parser_is_tolerant():
     assert parse("C.java", "")["types"] == []
 
 
-def test_yaml_and_build():
+def test_yaml_and_build(spark):
     assert flatten_yaml("a: [1, {b: 2}]\nc:") == [("a[0]", "1"), ("a[1].b", "2"), ("c", "")]
     assert flatten_yaml("a: [") == []
-    assert build.maven_facts("<not xml") == []
+    pom = "<project><version>1</version><properties><v>7</v></properties><dependencies><dependency><groupId>org.scala-lang</groupId><artifactId>scala-library</artifactId><version>2.12.${x}</version></dependency><dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency></dependencies></project>"
+    files = spark.createDataFrame([("pom.xml", "<not xml"), ("m/pom.xml", pom), ("n/pom.xml", None)], "relative_path string, text string")
+    got = {(r["file"], r["fact"], r["artifact"], r["value"]) for r in build.maven_facts(files).collect()}
+    assert ("m/pom.xml", "version", "", "1") in got and ("m/pom.xml", "dependency", "a", "7") in got and {g[0] for g in got} == {"m/pom.xml"}
+    info = build.build_info(build.build_facts(files.where("relative_path LIKE 'm/%'"))).first()
+    assert info["build_system"] == "maven" and info["scala_version"] == "2.12"
+    assert ("java_version", "", "", "21") in build.gradle_facts("# x\njavaVersion=21\n") and ("java_version", "", "", "17") in build.gradle_facts("java { toolchain { languageVersion = JavaLanguageVersion.of(17) } }")
+    assert ("java_version", "", "", "1.8") in build.gradle_facts("sourceCompatibility = JavaVersion.VERSION_1_8 // note")
     facts = build.gradle_facts("plugins { id 'org.springframework.boot' version '3.1.0' }\nsourceCompatibility = '17'\ndependencies { implementation 'g:a:1.0'\n testImplementation(\"g:b\") }")
     assert ("spring_boot_version", "", "", "3.1.0") in facts and ("java_version", "", "", "17") in facts and ("dependency", "g", "b", "") in facts
 
@@ -155,6 +162,11 @@ def test_read_tree(spark, tmp_path):
         (tmp_path / p).write_text(t)
     got = {r["relative_path"]: (r["kind"], r["lines"]) for r in inventory(read_tree(spark, tmp_path.as_uri(), max_bytes=40)).collect()}
     assert got == {"src/main/java/A.java": ("java_main", 2), "a.txt": ("other", 1)}
+    (tmp_path / "Empty.java").write_text("")
+    (tmp_path / "odd [name]*.sql").write_text("SELECT 1")
+    got = {r["relative_path"]: r["size_bytes"] for r in read_tree(spark, tmp_path.as_uri(), max_bytes=40).collect()}
+    assert got == {"src/main/java/A.java": 11, "a.txt": 1, "Empty.java": 0, "odd [name]*.sql": 8}
+    assert [r["relative_path"] for r in oversized(spark, tmp_path.as_uri(), max_bytes=40).collect()] == ["big.txt"]
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -172,3 +184,58 @@ def test_streaming_ingest(spark, tmp_path):
     assert [r["change"] for r in spark.read.parquet(str(tmp_path / "out" / "changes" / "v=1")).collect()] == ["modified"]
     events = spark.createDataFrame([("x", "2024-01-01 00:10:00")], "event_type string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert level_counts(events).collect()[0]["n"] == 1
+
+
+def test_short_terms_are_found(spark):
+    nodes = spark.createDataFrame([("method:a", "getaXbValue", None), ("method:b", "other", None)], "id string, name string, fqn string")
+    queries = spark.createDataFrame([(1, "call aX now")], "query_id int, query string")
+    assert [r["id"] for r in retrieval.symbol_pool(nodes, queries).collect()] == ["method:a"]
+
+
+def test_searches_in_blocks(spark, monkeypatch):
+    """More queries than a block holds give the rows of single queries."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(60, None), (61, [0.0] * 4), (62, [1.0])]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = vectors.where("id % 5 = 0 AND vector IS NOT NULL").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    whole = sorted(map(tuple, retrieval.vector_topk(vectors, asked, 7).collect()))
+    texts = spark.createDataFrame([(str(i), f"w{i % 3} w{i % 7} common") for i in range(50)], "id string, text string")
+    words = spark.createDataFrame([(i, f"w{i} common") for i in range(6)] + [(9, None)], "query_id long, query string")
+    lexical = sorted(map(tuple, retrieval.lexical_topk(texts, words, 5).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, retrieval.vector_topk(vectors, asked, 7).collect())) == whole
+    assert sorted(map(tuple, retrieval.lexical_topk(texts, words, 5).collect())) == lexical and len(lexical) == 30
+    by = {(q, r): (i, s) for q, i, s, r in whole}
+    for q, v in rows[:60:5]:
+        cosine = sorted(((-np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), i) for i, w in rows[:60]))[:7]
+        assert [by[q, r][0] for r in range(7)] == [i for _, i in cosine]
+
+
+def test_scan_end_to_end(spark, tmp_path):
+    """A folder becomes a graph with all facts; a second scan reuses vectors, records changes and answers searches."""
+    from codeweft.plans.samples import FILES
+    from codeweft.plans.scan import Project
+
+    root, store = tmp_path / "code", (tmp_path / "store").as_uri()
+    for p, t in FILES.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(t)
+    project = Project(spark, str(root), store, dim=512)
+    first = project.scan()
+    assert {r["change"] for r in first.changes.collect()} == {"added"} and first.vectors["reused"] == 0 and first.vectors["embedded"] == first.vectors["chunks"] > 20
+    nodes, edges = project.graph.read()
+    kinds = {r["type"] for r in edges.select("type").distinct().collect()}
+    assert {"EXPOSES", "MAPPED_TO", "INJECTS", "HANDLES", "EXECUTES_SQL", "READS_TABLE", "WRITES_TABLE", "CALLS", "OVERRIDES"} <= kinds
+    assert nodes.where("spark_job").count() == 1 and nodes.where("stereotype = 'Service'").count() == 1
+    (root / "db/schema.sql").unlink()
+    store_file = root / "src/main/java/shop/data/OrderStore.java"
+    store_file.write_text(store_file.read_text().replace("String load(long id);", "String load(long id, int more);"))
+    second = project.scan()
+    changes = {r["relative_path"]: r["change"] for r in second.changes.where("change <> 'unchanged'").collect()}
+    assert changes == {"db/schema.sql": "deleted", "src/main/java/shop/data/OrderStore.java": "modified"}
+    assert 0 < second.vectors["embedded"] < 6 and second.vectors["pruned"] >= 3 and second.vectors["reused"] > 15
+    assert project.metadata.latest_scan().first()["status"] == "success" and project.metadata.files.read().count() == len(FILES) - 1
+    found = project.search(spark.createDataFrame([(1, "place an order and save it in the OrderStore")], "query_id int, query string"))
+    hits = {r["id"]: r["sources"] for r in found.collect()}
+    assert len(hits) == 10 and {"graph-caller", "graph-callee", "symbol", "vector"} <= {s for x in hits.values() for s in x}
+    assert any(r["secret"] for r in project.configuration().collect())

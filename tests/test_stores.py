@@ -54,3 +54,16 @@ def test_json_in_noise():
     assert extract_json('x {"a": {"b": "}"}} y') == {"a": {"b": "}"}}
     assert extract_json('x {"a": 1} and {broken') == {"a": 1}
     assert extract_json("none {at all") is None and extract_json(None) is None
+
+
+def test_versions_are_whole_and_few(spark, tmp_path):
+    from codeweft.sources.stores import Versioned
+
+    t = Versioned(spark, tmp_path.as_uri())
+    for k in range(4):
+        before = t.read() if k else None
+        t.replace(spark.range(k + 1))
+        assert t.read().count() == k + 1 and (before is None or before.count() == k)  # who read before still can
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 2
+    t.append(spark.range(2))
+    assert t.read().count() == 6
