@@ -171,7 +171,9 @@ def symbol_pool(nodes: DataFrame, queries: DataFrame, k: int = SMALL_POOL) -> Da
     both = F.when(F.length("token") >= 3, F.concat(window(2), window(3))).when(F.length("token") == 2, F.array("token"))
     grams = held.select("token").distinct().select("token", F.explode(F.array_distinct(both)).alias("gram"))
     holds = grams.join(distinct.withColumn("gram", F.substring("part", 1, 3)), "gram").where(F.contains("token", F.col("part"))).select("part", "token")
-    hits = held.join(holds, "token").select("part", "id").distinct()
+    # Nodes of a term come in order of id, so no term needs more than its first ``k``; tasks drop the rest before the shuffle.
+    first = Window.partitionBy("part").orderBy("id")
+    hits = held.join(holds, "token").select("part", "id", F.dense_rank().over(first).alias("r")).where(F.col("r") <= k).select("part", "id").distinct()
     found = terms.join(hits, F.lower("term") == F.col("part")).select("query_id", "term_no", "id", F.lit(1.0).alias("score"))
     return best(found, k, [F.col("term_no"), F.col("id")], ["query_id"]).drop("term_no")
 
@@ -271,6 +273,7 @@ def hybrid_retrieve(
     symbol = materialize(symbol_pool(nodes, queries), "symbol-pool")
     callers, callees = graph_pools(edges, vector, symbol)
     fused = fuse({"vector": vector, "lexical": lexical_topk(texts, queries, vector_k), "symbol": symbol, "graph-caller": callers, "graph-callee": callees})
-    found = hydrate(fused, nodes, chunks)
+    # Reranking reads it twice, the result once more.
+    found = materialize(hydrate(fused, nodes, chunks), "found")
     ranked = jaccard_rerank(found, found.select("id", "text").dropDuplicates(["id"]), queries, k)
     return ranked.join(found.select("query_id", "id", "text", "kind", "file", "line", "fqn"), ["query_id", "id"])
