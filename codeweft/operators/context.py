@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import CHARS_PER_TOKEN, estimate_tokens
+from codeweft.operators.reports import find_impact
+from codeweft.storage import materialize
 
 # Fixed values of the data model: the default budget.
 BUDGET = {"tokens": 24_000, "files": 30, "methods": 50, "hops": 3, "reranked": 10, "snippet_lines": 60}
@@ -35,10 +39,47 @@ def relevant_files(focus: DataFrame, nodes: DataFrame, most: int = BUDGET["files
     return placed.groupBy("file").agg(F.count("*").alias("symbols")).orderBy(F.desc("symbols"), "file").limit(most)
 
 
-def focus_set(seeds: DataFrame, callers: DataFrame, callees: DataFrame, most: int = BUDGET["methods"]) -> DataFrame:
-    """Seeds(id, rank), then callers and callees of each seed(seed, id, depth), each id once, in order."""
-    own = seeds.select("id", "rank", F.lit(0).alias("role"), F.lit(0).alias("depth"))
-    around = [p.join(seeds.select(F.col("id").alias("seed"), "rank"), "seed").select("id", "rank", F.lit(role).alias("role"), "depth") for role, p in ((1, callers), (2, callees))]
-    every = own.unionByName(around[0]).unionByName(around[1])
-    first = every.groupBy("id").agg(F.min(F.struct("role", "rank", "depth")).alias("place"))
-    return first.orderBy("place", "id").limit(most).select("id", "place.role", "place.rank", "place.depth")
+def focus_set(seeds: DataFrame, callers: DataFrame, callees: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """``id, role, rank, depth``: each id once, in the first role it has, with the rank of the seed that led there.
+
+    Roles in order: 0 method seeds(id, rank), 1 callers and 2 callees(seed, id, depth), 3 other seeds, 4 related types(seed, id).
+    A seed whose id begins with ``method:`` is a method. Sort by role, rank, depth, id for the order of a context.
+    """
+    ranks = seeds.select(F.col("id").alias("seed"), "rank")
+    own = seeds.select("id", F.when(F.col("id").startswith("method:"), 0).otherwise(3).alias("role"), "rank", F.lit(0).alias("depth"))
+    around = [(1, callers), (2, callees)] + ([(4, related.withColumn("depth", F.lit(1)))] if related is not None else [])
+    for role, part in around:
+        own = own.unionByName(part.join(ranks, "seed").select("id", F.lit(role).alias("role"), "rank", "depth"))
+    return own.groupBy("id").agg(F.min(F.struct("role", "rank", "depth")).alias("place")).select("id", "place.*")
+
+
+def _page(name: str, df: DataFrame, order: list, most: int) -> DataFrame:
+    """The first rows of a page, numbered; cut before they are numbered, so that a page is never larger than ``most``."""
+    first = df.orderBy(*order).limit(most)
+    return first.select(F.lit(name).alias("page"), F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order)).alias("position"), "id")
+
+
+def task_focus(nodes: DataFrame, edges: DataFrame, hits: DataFrame, budget: dict[str, int] = BUDGET) -> dict[str, DataFrame]:
+    """What surrounds retrieved hits(id, rank): ``focus``, ``callers``, ``callees``, ``tests`` and the SQL and tables next to them.
+
+    Only the first method hits, as many as the budget allows, are followed; all hits are in the focus.
+    """
+    methods = hits.where(F.col("id").startswith("method:")).orderBy("rank", "id").limit(budget["methods"])
+    seeds = materialize(methods.select("id"), "seeds")
+    impact = find_impact(nodes, edges, seeds, budget["hops"])
+    related = impact["related"].select(F.col("id").alias("seed"), F.explode("related").alias("id"))
+    of = lambda kind: related.where(F.col("id").startswith(f"{kind}:"))
+    focus = focus_set(hits, impact["direct_callers"], impact["callees"], of("type").distinct())
+    return {"focus": materialize(focus, "focus"), "callers": impact["direct_callers"], "callees": impact["callees"], "tests": impact["tests"], "sql": of("sql"), "tables": of("table")}
+
+
+def task_pack(nodes: DataFrame, edges: DataFrame, hits: DataFrame, budget: dict[str, int] = BUDGET) -> DataFrame:
+    """``page, position, id``: the rows of a task's pages, each page cut to the budget."""
+    found, most = task_focus(nodes, edges, hits, budget), budget["methods"]
+    pages = [
+        _page("symbols", hits, ["rank", "id"], most),
+        _page("files", relevant_files(found["focus"], nodes, budget["files"]).withColumnRenamed("file", "id"), [F.desc("symbols"), "id"], budget["files"]),
+        _page("source", found["focus"].join(nodes.where("file IS NOT NULL").select("id"), "id", "left_semi"), ["role", "rank", "depth", "id"], most),
+    ]
+    pages += [_page(name, found[name].select("id").distinct(), ["id"], most) for name in ("callers", "callees", "tests", "sql", "tables")]
+    return reduce(DataFrame.unionByName, pages)

@@ -59,6 +59,11 @@ def resolution_rate(edges: DataFrame) -> DataFrame:
     return found.select("calls", "resolved", F.round(F.try_divide("resolved", "calls"), 3).alias("rate"))
 
 
+def get_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of ids(id); ids that are no node have no row."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def find_nodes(nodes: DataFrame, kind: str | None = None, name_contains: str | None = None, fqn: str | None = None) -> DataFrame:
     """Nodes for which all given conditions hold; the part of a name is sought in id, name and fqn."""
     if kind is not None:

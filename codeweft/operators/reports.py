@@ -71,11 +71,24 @@ def impact_summary(impact: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _endpoint_steps(edges: DataFrame, max_depth: int) -> DataFrame:
+    """The call flow behind each endpoint's handler, with the ``endpoint``."""
+    mapped = edges.where("type = 'MAPPED_TO'").groupBy(F.col("src").alias("endpoint")).agg(F.min("dst").alias("seed"))
+    return mapped.join(call_flow(edges, mapped.select(F.col("seed").alias("id")), max_depth), "seed")
+
+
 def endpoint_flows(nodes: DataFrame, edges: DataFrame, max_depth: int = 4, most: int = 10) -> DataFrame:
     """``endpoint, position, id, depth`` of the first steps behind each endpoint's handler."""
-    mapped = edges.where("type = 'MAPPED_TO'").groupBy(F.col("src").alias("endpoint")).agg(F.min("dst").alias("seed"))
-    flow = call_flow(edges, mapped.select(F.col("seed").alias("id")), max_depth)
-    return mapped.join(flow, "seed").where(F.col("position") <= most).select("endpoint", "position", "id", "depth")
+    return _endpoint_steps(edges, max_depth).where(F.col("position") <= most).select("endpoint", "position", "id", "depth")
+
+
+def flow_lines(nodes: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
+    """``endpoint, position, line``: each step as text, with the stereotype of its owner (``?`` without one) and its confidence."""
+    owner = nodes.select("id", F.concat(F.lit("type:"), "owner").alias("owner_id"))
+    label = nodes.where("stereotype IS NOT NULL").select(F.col("id").alias("owner_id"), "stereotype")
+    found = _endpoint_steps(edges, max_depth).join(owner, "id", "left").join(label, "owner_id", "left")
+    line = F.format_string("%s-> %s [%s] (%s)", F.repeat(F.lit("  "), F.col("depth")), short_id(F.col("id")), F.coalesce("stereotype", F.lit("?")), F.col("confidence"))
+    return found.select("endpoint", "position", line.alias("line"))
 
 
 def data_flow(nodes: DataFrame, edges: DataFrame, starts: int = 5, max_depth: int = 6, most: int = 10) -> DataFrame:

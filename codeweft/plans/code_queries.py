@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators import frameworks, graph, reports, spans
+from codeweft.operators import context, frameworks, graph, reports, spans
 from codeweft.operators.codegraph import code_graph
 from codeweft.operators.javagraph import JavaTables, java_graph as build_graph
 from codeweft.plans import tablecode
 from codeweft.plans.samples import DIFF, FILES
 from codeweft.sources import build, config, files, git, java, sqltext
-from codeweft.storage import materialize
+from codeweft.storage import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -362,3 +362,76 @@ def table_uncovered_methods(spark, sf):
     """No class there is a test, so every method is uncovered; the first 80 in order are reported."""
     _, nodes, edges, _ = tablecode.graph(spark, sf)
     return reports.test_coverage(nodes, edges)
+
+
+def _run(k: str) -> str:
+    return f"'method:shop.g' || ({k}) % 10 || '.P' || ({k}) || '#run(int)'"
+
+
+@from_tables(f"""SELECT 'endpoint:GET /p/' || d.k AS endpoint, i + 1 AS position, repeat('  ', CAST(i AS INTEGER)) || '-> ' || substr({_run("d.k >> i")}, 8) || ' [' ||
+CASE c.s % 5 WHEN 0 THEN 'Service' WHEN 1 THEN 'RestController' ELSE '?' END || '] (HIGH)' AS line
+FROM d, range(4) r(i), c WHERE c.k = d.k >> i AND d.s % 5 = 1 AND (d.k >> i > 0 OR i = 0 OR d.k >> (i - 1) > 0)""")
+def table_flow_lines(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return reports.flow_lines(nodes, edges)
+
+
+@from_tables("""SELECT 'shop.g' || k % 10 AS package, count(*) AS files, count(*) AS types FROM d GROUP BY 1""")
+def table_package_rollup(spark, sf):
+    return reports.package_rollup(tablecode.graph(spark, sf)[2])
+
+
+@from_tables("""SELECT 'table:t' || s AS "table", count(*) AS reads, CAST(0 AS BIGINT) AS writes FROM d WHERE s % 4 = 0 GROUP BY s""")
+def table_statement_counts(spark, sf):
+    return reports.table_statements(tablecode.graph(spark, sf)[2])
+
+
+@from_tables(f"""SELECT {RUN} AS id, 'Method' AS kind, 'run' AS name, fqn || '#run(int)' AS fqn, file FROM d WHERE k % 20 = 0""")
+def table_get_nodes(spark, sf):
+    """Nodes of a stated set of ids, one of which is unknown."""
+    _, nodes, _, _ = tablecode.graph(spark, sf)
+    asked = _hits(spark, sf).where("id LIKE '%#run(int)'").select("id").unionByName(spark.createDataFrame([("method:none",)], "id string"))
+    return graph.get_nodes(nodes, asked).select("id", "kind", "name", "fqn", "file")
+
+
+@from_tables(f"""SELECT e.id AS seed, i AS position, {_run("e.k >> i")} AS id, CAST(i - 1 AS INTEGER) AS depth
+FROM (SELECT k, {RUN} AS id FROM d WHERE s % 5 <> 1 AND k NOT IN (SELECT k2 FROM d) ORDER BY id LIMIT 5) e, range(1, 7) r(i) WHERE e.k >> (i - 1) > 0""")
+def table_data_flow(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return reports.data_flow(nodes, edges).select("seed", "position", "id", "depth")
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, rank`` of hits: methods and types of every tenth or twentieth part."""
+    k = F.col("p_partkey")
+    fqn = F.format_string("shop.g%s.P%s", (k % 10).cast("string"), k.cast("string"))
+    what = F.when(k % 20 == 0, F.concat(F.lit("method:"), fqn, F.lit("#run(int)"))).when((k % 20 == 5) & (F.col("p_size") % 4 == 0), F.concat(F.lit("method:"), fqn, F.lit("#load()")))
+    what = what.when(k % 20 == 10, F.concat(F.lit("type:"), fqn))
+    return table(spark, sf, "part").select(what.alias("id"), k.alias("rank")).where("id IS NOT NULL")
+
+
+LOAD = "'method:' || fqn || '#load()'"
+FOCUS = f"""h AS (SELECT {RUN} AS id, k, k2, 0 AS role, file, s, fqn FROM d WHERE k % 20 = 0 UNION ALL SELECT {LOAD}, k, k2, 1, file, s, fqn FROM d WHERE k % 20 = 5 AND s % 4 = 0),
+e AS (SELECT * FROM h ORDER BY k LIMIT 50),
+f AS (SELECT id, 0 AS role, file FROM h
+UNION ALL SELECT {RUN.replace("fqn", "d.fqn")}, 1, d.file FROM e JOIN d ON d.k2 = e.k WHERE e.role = 0 UNION ALL SELECT 'method:' || fqn || '#get()', 1, file FROM e WHERE e.role = 0 AND s % 5 = 1
+UNION ALL SELECT {_run("e.k >> i")}, 2, c.file FROM e, range(1, 4) r(i), c WHERE c.k = e.k >> i AND e.role = 0 UNION ALL SELECT 'extmethod:jdbc.query', 2, NULL FROM e WHERE e.role = 1
+UNION ALL SELECT 'type:' || fqn, 3, file FROM d WHERE k % 20 = 10),
+g AS (SELECT id, min(role) AS role, min(file) AS file FROM f GROUP BY id)"""
+
+
+@from_tables(f", {FOCUS} SELECT id, CAST(role AS INTEGER) AS role FROM g")
+def table_focus(spark, sf):
+    """The focus of a task: hits, callers, callees within three calls."""
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return context.task_focus(nodes, edges, _hits(spark, sf))["focus"].select("id", "role")
+
+
+@from_tables(f""", {FOCUS}, p AS (SELECT 'files' AS page, file AS id, -count(*) AS n FROM g WHERE file IS NOT NULL GROUP BY file
+UNION ALL SELECT 'callers', id, 0 FROM f WHERE role = 1 GROUP BY id UNION ALL SELECT 'callees', id, 0 FROM f WHERE role = 2 GROUP BY id
+UNION ALL SELECT 'sql', {SQL_ID}, 0 FROM e WHERE e.role = 1)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY n, id) AS INTEGER) AS position, id FROM p
+QUALIFY position <= CASE page WHEN 'files' THEN 30 ELSE 50 END""")
+def table_task_pack(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return context.task_pack(nodes, edges, _hits(spark, sf)).where("page IN ('files', 'callers', 'callees', 'sql')")
