@@ -213,10 +213,13 @@ def jaccard_rerank(fused: DataFrame, texts: DataFrame, queries: DataFrame, k: in
 
     A query without a token keeps the order of the pools.
     """
-    asked = queries.select("query_id", rerank_tokens(F.col("query")).alias("q"))
-    held = texts.select("id", rerank_tokens(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.col("id").cast("string"))).alias("t"))
-    both = fused.join(held, "id").join(asked, "query_id")
-    overlap = F.size(F.array_intersect("q", "t")) / F.greatest(F.lit(1), F.size(F.array_union("q", "t")))
+    # Tokens are compared by 64-bit hashes: sets of longs are shuffled and met faster than sets of strings.
+    hashes = lambda text: F.array_distinct(F.transform(rerank_tokens(text), lambda t: F.xxhash64(t)))
+    asked = queries.select("query_id", hashes(F.col("query")).alias("q"))
+    held = texts.select("id", hashes(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.col("id").cast("string"))).alias("t"))
+    shared = fused.join(held, "id").join(asked, "query_id").withColumn("n", F.size(F.array_intersect("q", "t")))
+    both = shared.select(*fused.columns, "q", "n", F.size("t").alias("m"))
+    overlap = F.col("n") / F.greatest(F.lit(1), F.size("q") + F.col("m") - F.col("n"))
     score = F.when(F.size("q") == 0, F.col("fused")).otherwise((1 - RERANK_WEIGHT) * F.col("fused") + RERANK_WEIGHT * overlap)
     scored = both.select("query_id", "id", score.alias("score"), "sources", F.when(F.size("q") == 0, F.struct("first_pool", "first_rank")).alias("keep"))
     return best(scored, k, [F.col("keep"), F.desc("score"), F.col("id")], ["query_id"]).drop("keep")
@@ -251,8 +254,9 @@ def hydrate(fused: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
 
     The node's own values come first, the text is the chunk's; what is neither node nor chunk falls away.
     """
-    n = nodes.select("id", *[F.col(c).alias(f"n_{c}") for c in ("kind", "name", "fqn", "file", "line_start")], F.lit(True).alias("is_node"))
-    c = chunks.select(F.col("node_id").alias("id"), *[F.col(c).alias(f"c_{c}") for c in ("text", "kind", "fqn", "file", "line_start")], F.lit(True).alias("is_chunk")).dropDuplicates(["id"])
+    ids = fused.select("id").distinct()
+    n = nodes.join(ids, "id", "left_semi").select("id", *[F.col(c).alias(f"n_{c}") for c in ("kind", "name", "fqn", "file", "line_start")], F.lit(True).alias("is_node"))
+    c = chunks.select(F.col("node_id").alias("id"), *[F.col(c).alias(f"c_{c}") for c in ("text", "kind", "fqn", "file", "line_start")], F.lit(True).alias("is_chunk")).join(ids, "id", "left_semi").dropDuplicates(["id"])
     both = fused.join(n, "id", "left").join(c, "id", "left").where("is_node OR is_chunk")
     first = lambda name: F.coalesce(f"n_{name}", f"c_{name}")
     return both.select(*fused.columns, F.coalesce("c_text", "n_name", F.lit("")).alias("text"), first("kind").alias("kind"), first("file").alias("file"), first("line_start").alias("line"), first("fqn").alias("fqn"))
@@ -273,7 +277,8 @@ def hybrid_retrieve(
     symbol = materialize(symbol_pool(nodes, queries), "symbol-pool")
     callers, callees = graph_pools(edges, vector, symbol)
     fused = fuse({"vector": vector, "lexical": lexical_topk(texts, queries, vector_k), "symbol": symbol, "graph-caller": callers, "graph-callee": callees})
-    # Reranking reads it twice, the result once more.
-    found = materialize(hydrate(fused, nodes, chunks), "found")
-    ranked = jaccard_rerank(found, found.select("id", "text").dropDuplicates(["id"]), queries, k)
-    return ranked.join(found.select("query_id", "id", "text", "kind", "file", "line", "fqn"), ["query_id", "id"])
+    # Read for the ids to hydrate and by the reranking; a text is fetched once however many queries found it.
+    fused = materialize(fused, "fused")
+    found = materialize(hydrate(fused.select("id").distinct(), nodes, chunks), "found")
+    ranked = jaccard_rerank(fused, found.select("id", "text"), queries, k).join(found, "id")
+    return ranked.select("query_id", "id", "score", "sources", "rank", "text", "kind", "file", "line", "fqn")

@@ -12,7 +12,7 @@ from codeweft.functions.classify import case_sql, classify_path
 from codeweft.functions.embedding import hashing_embedding
 from codeweft.operators import context, graph, resolution, retrieval, snapshot, spans, traversal
 from codeweft.plans import starschema as star
-from codeweft.storage import materialize, table
+from codeweft.storage import materialize, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -433,7 +433,7 @@ def _queries(spark, sf):
 
 
 def _texts(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("id"), "text")
 
 
 LEXICAL = f"""asked AS (SELECT item_id AS query_id, len(t) AS n, unnest(t) AS token FROM (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark)),
@@ -486,7 +486,7 @@ NAMED = "named AS (SELECT 'method:' || doc_id AS id, coalesce(source, '') || '_'
 
 
 def _retrieval_inputs(spark, sf):
-    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    docs, vectors = spread(table(spark, sf, "documents")), table(spark, sf, "embeddings")
     node = lambda c: F.concat(F.lit("method:"), c.cast("string"))
     chunks = docs.select(node(F.col("doc_id")).alias("node_id"), "text", F.col("lang").alias("kind"), F.lit(None).cast("string").alias("fqn"), F.col("source").alias("file"), F.lit(1).alias("line_start"))
     nodes = docs.select(node(F.col("doc_id")).alias("id"), F.lit("Method").alias("kind"), F.concat(F.coalesce("source", F.lit("")), F.lit("_"), F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("name"), F.lit(None).cast("string").alias("fqn"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line_start"))
@@ -536,4 +536,4 @@ def incremental_reuse(spark, sf):
 
 @query()
 def hash_embedding(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", hashing_embedding(F.col("text")).alias("vector"))
+    return spread(table(spark, sf, "documents")).select("doc_id", hashing_embedding(F.col("text")).alias("vector"))

@@ -34,3 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, so any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table as read, dealt to all cores if its files give these fewer than two splits each.
+
+    Files of one large row group are read by one task, which then does all that follows. A table of more splits is
+    left as it is, so what is dealt is at most two splits of each core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
