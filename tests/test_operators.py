@@ -14,6 +14,7 @@ from codeweft.sources import build, git, sqltext
 from codeweft.sources.config import flatten_yaml
 from codeweft.sources.files import inventory, oversized, read_tree
 from codeweft.sources.javaparser import parse
+from codeweft.storage import spread
 
 
 def edges(spark, pairs, kind="CALLS"):
@@ -239,3 +240,27 @@ def test_scan_end_to_end(spark, tmp_path):
     hits = {r["id"]: r["sources"] for r in found.collect()}
     assert len(hits) == 10 and {"graph-caller", "graph-callee", "symbol", "vector"} <= {s for x in hits.values() for s in x}
     assert any(r["secret"] for r in project.configuration().collect())
+
+
+def test_hybrid_retrieve_hydrates_what_several_queries_found(spark):
+    """Nodes without a chunk show their name, chunks without a node their text; what is neither falls away."""
+    none = "CAST(NULL AS STRING)"
+    chunks = spark.sql(f"SELECT 'type:A' AS node_id, 'alpha beta' AS text, 'Class' AS kind, {none} AS fqn, 'A.java' AS file, 3 AS line_start UNION ALL SELECT 'type:gone', 'alpha', 'Class', {none}, 'G.java', 1")
+    nodes = spark.sql(f"SELECT 'type:A' AS id, 'Class' AS kind, 'A' AS name, 'x.A' AS fqn, {none} AS file, 9 AS line_start UNION ALL SELECT 'method:m', 'Method', 'alphaM', 'x.A#alphaM()', 'A.java', 5")
+    edges = spark.sql("SELECT 'CALLS' AS type, 'method:lost' AS src, 'method:m' AS dst")
+    vectors = spark.sql("SELECT 'type:A' AS node_id, array(1.0D, 0.0D) AS vector")
+    queries = spark.sql("SELECT 1 AS query_id, 'alpha' AS query UNION ALL SELECT 2, 'alpha' UNION ALL SELECT 3, '...'")
+    asked = queries.selectExpr("query_id", "array(1.0D, 0.0D) AS query_vector")
+    found = {(r["query_id"], r["id"]): r for r in retrieval.hybrid_retrieve(chunks, vectors, nodes, edges, queries, asked).collect()}
+    assert set(found) == {(q, i) for q in (1, 2) for i in ("type:A", "type:gone", "method:m")} | {(3, "type:A")}
+    for q in (1, 2):
+        assert (found[q, "type:A"]["text"], found[q, "type:A"]["file"], found[q, "type:A"]["line"]) == ("alpha beta", "A.java", 9)
+        assert (found[q, "method:m"]["text"], found[q, "type:gone"]["text"]) == ("alphaM", "alpha")
+        # Four tokens in all, one shared: alpha; alpha, beta, type, a.
+        assert found[q, "type:A"]["score"] == pytest.approx(0.65 * (1 / 10 + 1 / 10 + 0.05) + 0.35 / 4)
+
+
+def test_spread_keeps_rows_and_leaves_wide_tables(spark):
+    few, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, 64)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(few).count() == 100
+    assert spread(many) is many
