@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from codeweft.llm import (
+    divergence,
     exact_dedup,
     jaccard_join,
     language_id,
     packing,
+    phrases,
     secrets,
     sharding,
     suffix_index,
+    token_files,
     tokenizing,
     topk,
     toxicity,
@@ -26,10 +29,15 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_bpe_automaton": tokenizing.op9_bpe_automaton,
     "op10_toxicity_neighbours": toxicity.op10_toxicity_neighbours,
+    "op11_row_accumulation": divergence.op11_row_accumulation,
+    "op12_elias_fano_files": token_files.op12_elias_fano_files,
+    "op13_toivonen_phrases": phrases.op13_toivonen_phrases,
 }
 
 ORACLES = {
     "op3_secret_ledger": secrets.SQL,
     "op7_norm_bucket_topk": topk.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_row_accumulation": divergence.SQL,
+    "op13_toivonen_phrases": phrases.SQL,
 }
