@@ -29,25 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Names of the folders that this process has written; each holds a random id of its own.
+_WRITTEN: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read of shared files, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeweft-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"codeweft-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(f"{shared_dir(spark)}/{folder}")
+    _WRITTEN.add(folder)
+    return spark.read.schema(df.schema).parquet(f"{shared_dir(spark)}/{folder}")
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that :func:`materialize` wrote and that no later plan reads."""
+    """Delete a table that :func:`materialize` wrote here and that no later plan reads; any other table stays."""
     for file in df.inputFiles()[:1]:
         folder = file.rpartition("/")[0]
-        if "/codeweft-" in folder:
+        if (name := folder.rpartition("/")[2]) in _WRITTEN:
             jvm = spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _WRITTEN.discard(name)
 
 
 def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

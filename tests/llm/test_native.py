@@ -133,3 +133,29 @@ def test_registered_shards(spark, docs):
         assert size == len(text[i]) + 1 and crc == zlib.crc32(text[i])
     per = got.groupby("shard")["size"].sum()
     assert per.max() <= 1.1 * per.sum() / 16
+
+
+def test_discard_leaves_what_others_wrote(spark, tmp_path):
+    """Only folders that ``materialize`` wrote in this process go, whatever an input's folder is called."""
+    from codeweft.llm.common import discard, materialize
+
+    path = (tmp_path / "codeweft-mine-0" / "documents.parquet").as_uri()
+    spark.range(3).write.parquet(path)
+    mine = spark.read.parquet(path)
+    discard(spark, mine)
+    assert spark.read.parquet(path).count() == 3
+    made = materialize(mine, "made")
+    folder = made.inputFiles()[0].rpartition("/")[0]
+    discard(spark, made)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder).count()
+
+
+def test_pipeline_keeps_its_input(spark, docs, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    sf = tmp_path / "codeweft-two" / "sf"
+    docs.limit(20).write.parquet((sf / "documents.parquet").as_uri())
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:2])
+    corpus_pipeline.run(spark, sf.as_uri())
+    assert spark.read.parquet((sf / "documents.parquet").as_uri()).count() == 20
