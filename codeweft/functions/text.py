@@ -70,6 +70,11 @@ def is_text_name(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(TEXT_ENDINGS)
 
 
+def decoded(content: Column | str) -> Column:
+    """Bytes as text; what is not UTF-8 becomes replacement signs, so no file ends a scan."""
+    return F.make_valid_utf8(F.col(content).cast("string") if isinstance(content, str) else content.cast("string"))
+
+
 def line_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions.embedding import DIM, hashing_embedding
+from codeweft.functions.text import decoded
 from codeweft.operators import frameworks, graph, reports, retrieval
 from codeweft.operators.codegraph import code_graph
 from codeweft.operators.javagraph import JavaTables
 from codeweft.operators.snapshot import snapshot_diff
-from codeweft.sources import config, files, git, java
+from codeweft.sources import config, files, git, java, tree
 from codeweft.sources.stores import GraphStore, Metadata, VectorStore
 from codeweft.storage import materialize
 
@@ -29,38 +30,45 @@ class Scan:
 
 
 class Project:
-    """A source tree and the folder that keeps its graph, vectors and records."""
+    """A source tree and the folder that keeps its graph, vectors and records.
+
+    What a scan finds (nodes, edges, chunks, vectors) becomes visible in one commit; file records follow it, so
+    a scan that fails leaves the old state and the next one sees the same changes again.
+    """
 
     def __init__(self, spark: SparkSession, root: str, store: str, embed=hashing_embedding, embedding: str = "hashing", dim: int = DIM) -> None:
         self.spark, self.root, self.embed = spark, root, embed
         self.graph, self.metadata = GraphStore(spark, f"{store}/graph"), Metadata(spark, f"{store}/metadata")
-        self.vectors, self.chunks = VectorStore(spark, f"{store}/vectors", embedding, dim), f"{store}/chunks"
+        self.vectors = VectorStore(spark, f"{store}/graph", embedding, dim, self.graph.log)
 
     def scan(self, mode: str = "incremental") -> Scan:
-        """Read the tree, record what changed, rebuild the graph, embed only texts that have no vector yet."""
-        spark, own = self.spark, str(uuid.uuid4())
+        """Read the tree, record what changed, rebuild the graph, embed only texts that have no vector yet.
+
+        With mode ``full`` every text is embedded anew. Files that cannot be read and folders that cannot be listed are warnings.
+        """
+        spark, own, base = self.spark, str(uuid.uuid4()), self.graph.log.newest()
         where = git.head(self.root) if self.root.startswith("/") else {"branch": None, "commit": None}
         self.metadata.start_scan(own, self.root.rstrip("/").rpartition("/")[2], mode)
         try:
-            found = materialize(files.read_tree(spark, self.root), "tree")
+            tree_rows = materialize(tree.scan_tree(spark, self.root), "tree")
+            found = tree_rows.where("warning IS NULL").drop("warning")
+            warnings = tree_rows.where("warning IS NOT NULL").select("relative_path", "size_bytes", "warning").orderBy("relative_path")
             inventory = materialize(files.inventory(found), "inventory")
             changes = materialize(snapshot_diff(inventory, self.metadata.known_hashes()), "changes")
-            warnings = files.oversized(spark, self.root)
-            self.metadata.upsert_files(inventory, own)
-            self.metadata.delete_files(changes.where("change = 'deleted'"))
 
             parsed = JavaTables(java.parse_files(found.where(F.col("relative_path").endswith(".java"))))
             nodes, edges = code_graph(parsed, found)
-            self.graph.replace(nodes, edges)
-            nodes, edges = self.graph.read()
-            chunks = frameworks.chunks(nodes, found)
-            chunks.write.mode("overwrite").parquet(self.chunks)
-            counts = self.index(spark.read.parquet(self.chunks))
-
-            for row in warnings.toLocalIterator():
-                self.metadata.record_event(own, "warning", "inventory", row["warning"], row["relative_path"])
-            for row in parsed.files.where("status <> 'success'").toLocalIterator():
-                self.metadata.record_event(own, "warning", "parse", row["status"], row["relative_path"])
+            nodes = materialize(nodes, "scan-nodes")
+            chunks = materialize(frameworks.chunks(nodes, found), "scan-chunks")
+            vectors, counts = self.vectors_of(chunks, mode == "full")
+            self.graph.replace(nodes, edges, base, chunks=chunks, vectors=vectors, inventory=inventory)
+            self.metadata.upsert_files(inventory, own)
+            self.metadata.delete_files(changes.where("change = 'deleted'"))
+            self.metadata.record_artifact(own, f"{self.graph.log.path}/commit-{base + 1}", "graph", 0)
+
+            failed = parsed.files.where("status <> 'success'").select(F.col("status").alias("message"), F.col("relative_path").alias("path"))
+            self.metadata.record_events(own, "warning", "inventory", warnings.select(F.col("warning").alias("message"), F.col("relative_path").alias("path")))
+            self.metadata.record_events(own, "warning", "parse", failed)
             by = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
             done = {"files": sum(n for c, n in by.items() if c != "deleted"), **{k: by.get(k, 0) for k in ("added", "modified", "deleted")}}
             self.metadata.finish_scan(own, "partial" if not warnings.isEmpty() else "success", where.get("branch"), where.get("commit"), **done)
@@ -70,21 +78,20 @@ class Project:
             raise
         return Scan(own, changes, warnings, counts)
 
-    def index(self, chunks: DataFrame) -> dict[str, int]:
-        """Keep a vector for each chunk: reuse by text, embed the rest, prune what vanished; numbers of each."""
+    def vectors_of(self, chunks: DataFrame, anew: bool = False) -> tuple[DataFrame, dict[str, int]]:
+        """(vectors to keep, numbers): one for each chunk, reused by text, the rest embedded; vanished chunks are pruned."""
         old = self.vectors.read()
         pruned = old.join(chunks.select("id"), "id", "left_anti").count()
-        found = materialize(retrieval.incremental_vectors(chunks.select("id", "text"), old.select("text_hash", "vector"), self.embed), "vectors")
-        self.vectors.upsert(found)
-        self.vectors.prune_to(chunks)
+        known = old.select("text_hash", "vector")
+        found = materialize(retrieval.incremental_vectors(chunks.select("id", "text"), known.limit(0) if anew else known, self.embed), "vectors")
         count = found.agg(F.count("*").alias("chunks"), F.count_if(~F.col("reused")).alias("embedded"), F.count_if("reused").alias("reused")).first()
-        return {**count.asDict(), "pruned": pruned}
+        return self.vectors.rows(found), {**count.asDict(), "pruned": pruned}
 
     def search(self, queries: DataFrame, k: int = 10, kind: str | None = None) -> DataFrame:
         """Hybrid retrieval of queries(query_id, query) over the stored graph, chunks and vectors."""
-        nodes, edges = self.graph.read()
-        chunks = self.spark.read.parquet(self.chunks)
-        vectors = self.vectors.read().join(chunks.select("id", "node_id"), "id").select("node_id", "vector")
+        at = self.graph.log.newest()
+        nodes, edges, chunks = self.graph.log.read("nodes", "edges", "chunks", at=at)
+        vectors = self.vectors.read(at).join(chunks.select("id", "node_id"), "id").select("node_id", "vector")
         asked = queries.select("query_id", self.embed(F.col("query")).alias("query_vector"))
         return retrieval.hybrid_retrieve(chunks, vectors, nodes, edges, queries, asked, k, kind=kind)
 
@@ -97,7 +104,7 @@ class Project:
         """Configuration rows of the tree, secrets redacted."""
         kinds: Column = F.lower("relative_path").rlike(r"\.(ya?ml|properties)$")
         found = files.read_tree(self.spark, self.root).where(kinds)
-        return config.config_rows(found.select("relative_path", F.decode("content", "utf-8").alias("text")), markers)
+        return config.config_rows(found.select("relative_path", decoded("content").alias("text")), markers)
 
     def statistics(self) -> DataFrame:
         nodes, edges = self.graph.read()

@@ -2,81 +2,37 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions.classify import classify_path
-from codeweft.functions.text import is_text_name, line_count
-
-MAX_BYTES = 10 * 1024 * 1024
-EXCLUDED_DIRS = [".git", ".idea", ".gradle", "target", "build", "node_modules", "out", "dist", ".venv", "__pycache__"]
-
-
-def list_tree(spark: SparkSession, root: str, excluded: list[str] | None = None) -> list[tuple[str, str, int]]:
-    """(path, path below the root, size) of all files, by the file system's own listing.
-
-    Folders of excluded names are not entered and links are not followed; a folder that cannot be listed is left out.
-    """
-    names = set(EXCLUDED_DIRS if excluded is None else excluded)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(root)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = system.makeQualified(top).toUri().getPath().rstrip("/")
-    out, stack = [], [top]
-    while stack:
-        try:
-            found = list(system.listStatus(stack.pop()))
-        except Py4JJavaError:
-            continue
-        for f in found:
-            path = f.getPath()
-            if f.isSymlink():
-                continue
-            if f.isDirectory():
-                if path.getName() not in names:
-                    stack.append(path)
-            else:
-                out.append((path.toString(), path.toUri().getPath()[len(base) + 1 :], f.getLen()))
-    return sorted(out)
+from codeweft.functions.text import decoded, is_text_name, line_count
+from codeweft.sources.tree import MAX_BYTES, list_tree, scan_tree
 
 
 def read_tree(spark: SparkSession, root: str, excluded: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``relative_path, size_bytes, content`` of files below a folder of any file system Spark reads, in order of paths.
-
-    Only files that are listed and not too large are opened; empty files come from the listing.
-    """
-    listed = [f for f in list_tree(spark, root, excluded) if f[2] <= max_bytes]
-    rows = spark.createDataFrame([(r, 0, bytearray()) for _, r, n in listed if n == 0], "relative_path string, size_bytes long, content binary")
-    below = [(p, r) for p, r, n in listed if n]
-    if below:
-        base = len(below[0][0]) - len(below[0][1])  # what stands before the path below the root
-        read = spark.read.format("binaryFile").load([glob_quoted(p) for p, _ in below])
-        rows = rows.unionByName(read.select(F.substring("path", F.lit(base + 1), F.length("path")).alias("relative_path"), F.col("length").alias("size_bytes"), "content"))
-    return rows
-
-
-def glob_quoted(path: str) -> str:
-    """A path as the reader takes it literally."""
-    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+    """``relative_path, size_bytes, content`` of the files below a folder that can be read and are not too large."""
+    return scan_tree(spark, root, excluded, max_bytes).where("warning IS NULL").drop("warning")
 
 
 def oversized(spark: SparkSession, root: str, excluded: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``relative_path, size_bytes, warning`` of the files that :func:`read_tree` leaves out."""
-    rows = [(r, n, f"larger than {max_bytes} bytes") for _, r, n in list_tree(spark, root, excluded) if n > max_bytes]
-    return spark.createDataFrame(rows, "relative_path string, size_bytes long, warning string")
+    """``relative_path, size_bytes, warning`` of what :func:`read_tree` leaves out by its listing, in order of paths."""
+    return list_tree(spark, root, excluded, max_bytes).where("warning IS NOT NULL").orderBy("relative_path")
 
 
 def inventory(files: DataFrame, tests: bool = True, resources: bool = True) -> DataFrame:
-    """``relative_path, kind, size_bytes, sha256, lines`` of files(relative_path, size_bytes, content)."""
+    """``relative_path, kind, size_bytes, sha256, lines`` of files(relative_path, size_bytes, content), in order of paths.
+
+    Lines are counted for names of text files, whatever their bytes.
+    """
     kind = classify_path("relative_path")
-    lines = F.when(is_text_name(F.col("relative_path")), line_count(F.decode("content", "utf-8")))
+    lines = F.when(is_text_name(F.col("relative_path")), line_count(decoded("content")))
     found = files.select("relative_path", kind.alias("kind"), "size_bytes", F.sha2("content", 256).alias("sha256"), lines.cast("int").alias("lines"))
     if not tests:
         found = found.where(~F.col("kind").isin("java_test", "test_resource"))
     if not resources:
         found = found.where(~F.col("kind").isin("resource", "test_resource"))
-    return found
+    return found.orderBy("relative_path")
 
 
 def java_lines(files: DataFrame) -> DataFrame:

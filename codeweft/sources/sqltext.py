@@ -2,75 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.text import normal_sql, sql_identity, starts_like_sql
+from codeweft.functions.text import decoded, normal_sql, sql_identity, starts_like_sql
 from codeweft.operators.spans import innermost_span
 from codeweft.sources.java import entities
+from codeweft.sources.sqlread import tables_of
 from codeweft.storage import materialize
 
-#: Words of a statement: texts, comments, a template's or a statement's parameters, dotted names, single signs.
-WORD = re.compile(r"'[^']*'|--.*|/\*(?s:.*?)\*/|[#$]\{[^{}]*\}|:{1,2}[\w.]+|(?:[\w$]+|`[^`]*`|\"[^\"]*\"|\[[^\]]*\])(?:\s*\.\s*(?:[\w$*]+|`[^`]*`|\"[^\"]*\"|\[[^\]]*\]))*|\S")
-KINDS = {"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "DROP", "TRUNCATE", "ALTER", "REPLACE"}
-NOT_TABLES = {"select", "values", "set", "where", "on", "using", "table", "lateral", "unnest", "if", "only", "as", "inner", "left", "right", "full", "cross", "natural"}
-
-
-def tables_of(sql: str) -> dict:
-    """``statement_type, tables_read, tables_written, parsed_ok`` by a walk over the statement's words.
-
-    Names of common table expressions count as tables. A table that is written is not read as well.
-    """
-    words = [w for w in WORD.findall(sql) if not w.startswith(("--", "/*", "'"))]
-    upper = [w.upper() for w in words]
-    depth, kind, kind_at = 0, None, 0
-    for i, w in enumerate(upper):
-        depth += (w == "(") - (w == ")")
-        if depth == 0 and w in KINDS:
-            kind, kind_at = w, i
-            break
-    clean = lambda w: "".join(c for c in w if c not in '`"[]' and not c.isspace()).lower()
-    is_name = lambda i: i < len(words) and (clean(words[i])[:1].isalpha() or clean(words[i])[:1] == "_") and clean(words[i]) not in NOT_TABLES and not (upper[i] in ("ORDER", "GROUP") and upper[i + 1 : i + 2] == ["BY"])
-    reads, writes = set(), set()
+FACTS = "statement_type string, tables_read array<string>, tables_written array<string>, parsed_ok boolean"
 
-    def after(i: int, *skip: str) -> int:
-        while i < len(words) and upper[i] in skip:
-            i += 1
-        return i
 
-    i = kind_at
-    target = None
-    if kind in ("INSERT", "REPLACE", "MERGE"):
-        target = after(i + 1, "INTO", "OVERWRITE", "TABLE", "IGNORE")
-    elif kind == "UPDATE":
-        target = after(i + 1, "ONLY")
-    elif kind == "DELETE":
-        target = after(i + 1, "FROM", "ONLY")
-    elif kind in ("CREATE", "DROP", "ALTER", "TRUNCATE"):
-        target = after(i + 1, "OR", "REPLACE", "TEMPORARY", "TEMP", "GLOBAL", "EXTERNAL", "TABLE", "VIEW", "MATERIALIZED", "IF", "NOT", "EXISTS")
-    if target is not None and is_name(target):
-        writes.add(clean(words[target]))
-    for i, w in enumerate(upper):
-        if w in ("FROM", "JOIN") or (w == "USING" and kind == "MERGE"):
-            k = i + 1
-            while True:
-                k = after(k, "ONLY", "LATERAL")
-                if is_name(k):
-                    reads.add(clean(words[k]))
-                    k += 1
-                    k = k + 1 if k < len(words) and upper[k] == "AS" else k
-                    if is_name(k) and upper[k] not in ("JOIN", "WHERE", "ON", "WHEN", "UNION", "HAVING", "LIMIT") and k + 1 < len(words) and words[k + 1] == ",":
-                        k += 1
-                    if w == "FROM" and k < len(words) and words[k] == ",":
-                        k += 1
-                        continue
-                break
-    ok = kind is not None and upper.count("(") == upper.count(")") and bool(reads or writes or kind in ("SELECT",))
-    name = {"REPLACE": "INSERT", None: "UNKNOWN"}.get(kind, kind)
-    return {"statement_type": name, "tables_read": sorted(reads - writes), "tables_written": sorted(writes), "parsed_ok": ok}
+def statement_facts(sql: Column | str) -> Column:
+    """What :func:`tables_of` finds in each statement; a null is an unknown one."""
+    names = [c.split(" ")[0] for c in FACTS.split(", ")]
+    return F.pandas_udf(lambda texts: pd.DataFrame([tables_of(x or "") for x in texts], columns=names), FACTS)(sql)
 
 
 def java_statements(parsed: DataFrame) -> DataFrame:
@@ -85,7 +33,7 @@ def file_statements(sources: DataFrame) -> DataFrame:
     A file is cut at every semicolon; a piece's line follows from the newlines of the pieces before it.
     """
     newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    cut = sources.select(F.col("relative_path").alias("file"), F.posexplode(F.split(F.decode("content", "utf-8"), ";")).alias("n", "piece"))
+    cut = sources.select(F.col("relative_path").alias("file"), F.posexplode(F.split(decoded("content"), ";")).alias("n", "piece"))
     before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("first", F.coalesce(F.sum(newlines(F.col("piece"))).over(before), F.lit(0)) + 1)
     # Whole comment lines before a statement are no part of it.
@@ -103,7 +51,6 @@ def statements(hits: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFram
 
     A hit belongs to the innermost of methods(fqn, file, lo, hi) around its line, else to its file.
     """
-    read = F.pandas_udf(lambda s: pd.DataFrame([tables_of(x) for x in s], columns=["statement_type", "tables_read", "tables_written", "parsed_ok"]), "statement_type string, tables_read array<string>, tables_written array<string>, parsed_ok boolean")
     hits = hits.withColumn("id", sql_identity(F.col("sql"))).withColumn("point_id", F.concat_ws("|", "file", F.col("line").cast("string")))
     owners = innermost_span(hits.select("point_id", "file", "line").distinct(), methods.select(F.col("fqn").alias("span_id"), "file", "lo", "hi"))
     placed = hits.join(owners, "point_id", "left").withColumn("src", F.coalesce(F.concat(F.lit("method:"), "span_id"), F.concat(F.lit("file:"), "file")))
@@ -112,7 +59,7 @@ def statements(hits: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFram
         F.sort_array(F.collect_set(F.struct("src", "file", "line"))).alias("sources"),
         F.sort_array(F.collect_set("origin")).alias("origins"),
     )
-    found = grouped.select("id", F.substring(normal_sql(F.col("sql")), 1, 500).alias("text"), read("sql").alias("p"), "sources", "origins").select("id", "p.*", "text", "sources", "origins")
+    found = grouped.select("id", F.substring(normal_sql(F.col("sql")), 1, 500).alias("text"), statement_facts("sql").alias("p"), "sources", "origins").select("id", "p.*", "text", "sources", "origins")
     found = materialize(found, "statements")
     sure = F.when(~F.col("parsed_ok") | (F.array_contains("origins", "jpa-query") & (F.size("origins") == 1)), "MEDIUM").otherwise("HIGH")
     runs = found.select(F.lit("EXECUTES_SQL").alias("type"), F.explode("sources.src").alias("src"), F.col("id").alias("dst"), F.lit("HIGH").alias("confidence")).distinct()

@@ -5,6 +5,8 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as X
@@ -14,7 +16,7 @@ from codeweft.sources import build, git, sqltext
 from codeweft.sources.config import flatten_yaml
 from codeweft.sources.files import inventory, oversized, read_tree
 from codeweft.sources.javaparser import parse
-from codeweft.storage import spread
+from codeweft.storage import materialize, spread
 
 
 def edges(spark, pairs, kind="CALLS"):
@@ -120,6 +122,36 @@ def test_sql_tables():
     assert t("TRUNCATE TABLE z")["tables_written"] == ["z"] and t("hello")["statement_type"] == "UNKNOWN"
 
 
+def test_sql_scopes_dialects_and_fallback():
+    t = lambda q: tuple(sqltext.tables_of(q).values())
+    assert t("SELECT extract(year FROM ts), trim(both FROM z), substring(x FROM 2) FROM orders") == ("SELECT", ["orders"], [], True)
+    assert t("SELECT 1 FROM a WHERE x IS NOT DISTINCT FROM y") == ("SELECT", ["a"], [], True)
+    assert t("DELETE a FROM t a JOIN u b ON a.id = b.id") == ("DELETE", ["u"], ["t"], True)
+    assert t("DELETE FROM s USING x, y WHERE s.a = x.a") == ("DELETE", ["x", "y"], ["s"], True)
+    assert t("UPDATE a SET x = 1 FROM tt a JOIN q ON 1 = 1") == ("UPDATE", ["q"], ["tt"], True)
+    assert t("WITH c AS (WITH d AS (SELECT * FROM x) SELECT * FROM d) SELECT * FROM c JOIN (SELECT 1 FROM u) z ON 1=1") == ("SELECT", ["c", "d", "u", "x"], [], True)
+    assert t("WITH c AS (SELECT 1 FROM x) INSERT INTO t (a) SELECT * FROM c") == ("INSERT", ["c", "x"], ["t"], True)
+    assert t("CREATE OR REPLACE VIEW v AS SELECT * FROM (a JOIN b ON 1=1) LEFT JOIN c USING (id)") == ("CREATE", ["a", "b", "c"], ["v"], True)
+    assert t("SELECT * FROM generate_series(1, (SELECT max(i) FROM n)) g, x") == ("SELECT", ["n", "x"], [], True)
+    # Quotes of four dialects, with texts that hold a FROM.
+    assert t("""SELECT "from a" FROM "S"."T" -- FROM b""") == ("SELECT", ["s.t"], [], True)
+    assert t("""SELECT 'it\\'s from a', "from b" FROM `db`.`t` # from c""") == ("SELECT", ["db.t"], [], True)
+    assert t("SELECT $x$ from a $x$::text FROM t WHERE b[1] = E'\\' from c'") == ("SELECT", ["t"], [], True)
+    assert t("SELECT [a from b] FROM [dbo].[t] WITH (NOLOCK) CROSS APPLY [dbo].f(1) z") == ("SELECT", ["dbo.t"], [], True)
+    # What no dialect explains is read without grammar, and says so.
+    assert t("SELECT (a FROM t JOIN u") == ("SELECT", ["t", "u"], [], False)
+    assert t("INSERT INTO t SELECT 'open FROM u") == ("INSERT", ["u"], ["t"], False)
+    assert t("DELETE FROM t WHERE ((a)") == ("DELETE", [], ["t"], False)
+    assert t("SELECT * FROM weird `backtick`.tbl SAMPLE (10)")[3] is False and t("")[0] == "UNKNOWN"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("SELECT FROM JOIN ( ) , . ; ' \" ` [ ] -- /* */ WITH AS a b INSERT INTO UPDATE DELETE USING MERGE CREATE TABLE ON $$ # : ? \n".split(" ")), max_size=25))
+def test_any_words_are_read(words):
+    found = sqltext.tables_of(" ".join(words))
+    assert set(found) == {"statement_type", "tables_read", "tables_written", "parsed_ok"}
+
+
 def test_java_parser_is_tolerant():
     r = parse("A.java", "package p; class A { int x = ; void f() { g(h(1), \"a\"); } void broken( { } } class B { }")
     assert r["status"] == "partial" and {t["fqn"] for t in r["types"]} >= {"p.A"}
@@ -170,6 +202,49 @@ def test_read_tree(spark, tmp_path):
     assert [r["relative_path"] for r in oversized(spark, tmp_path.as_uri(), max_bytes=40).collect()] == ["big.txt"]
 
 
+def test_tree_of_odd_files(spark, tmp_path):
+    """Files that are not UTF-8, files and folders that vanish, links: rows and warnings, in order of paths."""
+    from codeweft.sources import tree
+
+    root = tmp_path / "t"
+    for p, b in {"e.java": b"class E {}", "a b/{x}/y.sql": b"SELECT 1", "a b/q.java": b"class \xe9 {\n}", "deep/1/2/3/4/5/6/7/z.txt": b"", "gone.txt": b"x", "big.bin": b"x" * 99, "build/no": b""}.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_bytes(b)
+    (root / "link").symlink_to(root)
+    listed = materialize(tree.list_tree(spark, str(root), max_bytes=50, folders=3), "listed")
+    (root / "gone.txt").unlink()
+    got = {r["relative_path"]: (r["warning"], r["content"]) for r in tree.with_contents(listed, str(root), 3).collect()}
+    assert got["gone.txt"] == ("cannot be read: FileNotFoundError", None) and got["big.bin"] == ("larger than 50 bytes", None)
+    assert got["a b/q.java"] == (None, b"class \xe9 {\n}") and got["deep/1/2/3/4/5/6/7/z.txt"] == (None, b"") and len(got) == 6
+    reader = tree._Reader(str(root), [], 50, 3)
+    parts = reader.partitions()
+    parts[0].value.append(("nowhere", True))
+    assert ("nowhere", None, "folder cannot be listed: FileNotFoundError") in [r for p in parts for r in reader.read(p)]
+    found = inventory(read_tree(spark, str(root)).where("relative_path <> 'big.bin'")).collect()
+    assert [(r["relative_path"], r["lines"]) for r in found] == [("a b/q.java", 2), ("a b/{x}/y.sql", 1), ("deep/1/2/3/4/5/6/7/z.txt", 1), ("e.java", 1)]
+    assert list(read_tree(spark, (tmp_path / "t/deep/1/2/3/4/5/6/7").as_uri()).columns) == ["relative_path", "size_bytes", "content"]
+    (tmp_path / "empty").mkdir()
+    assert read_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_scan_survives_odd_files(spark, tmp_path):
+    """Bad bytes and files that are too large leave a scan partial, with one warning each."""
+    from codeweft.plans.scan import Project
+
+    root = tmp_path / "code"
+    root.mkdir()
+    (root / "A.java").write_bytes(b"class A { String s = \"\xe9\"; }")
+    (root / "b.sql").write_bytes(b"SELECT '\xff' FROM t")
+    (root / "c.bin").write_bytes(b"0" * (11 << 20))
+    project = Project(spark, str(root), (tmp_path / "store").as_uri(), dim=64)
+    scan = project.scan()
+    assert [r["relative_path"] for r in scan.warnings.collect()] == ["c.bin"]
+    assert project.metadata.latest_scan().first()["status"] == "partial"
+    assert project.metadata.events.read().where("level = 'warning'").count() == 1
+    nodes, edges = project.graph.read()
+    assert nodes.where("id = 'type:A'").count() == 1 and edges.where("type = 'READS_TABLE' AND dst = 'table:t'").count() == 1
+
+
 def test_streaming_ingest(spark, tmp_path):
     from codeweft.streaming.ingest import level_counts, start_ingest
 

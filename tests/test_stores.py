@@ -67,3 +67,50 @@ def test_versions_are_whole_and_few(spark, tmp_path):
     assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 2
     t.append(spark.range(2))
     assert t.read().count() == 6
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    """The loser changes nothing; nodes and edges of one commit stay together."""
+    import pytest
+
+    from codeweft.sources.stores import Committed, ConcurrentCommit
+
+    store, other = GraphStore(spark, tmp_path.as_uri()), GraphStore(spark, tmp_path.as_uri())
+    rows = lambda n: spark.range(n).select(F.lit(n).alias("scan"))
+    store.replace(rows(1), rows(1))
+    base = other.log.newest()
+    store.replace(rows(2), rows(2))
+    with pytest.raises(ConcurrentCommit):
+        other.replace(rows(3), rows(3), base)
+    nodes, edges = other.read()
+    assert {r["scan"] for r in nodes.collect()} == {r["scan"] for r in edges.collect()} == {2}
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("draft")]
+    assert tuple(store.summary().first()) == (2, 2)
+    # Appends meet no one; a table that nobody named stays as it was.
+    log = Committed(spark, tmp_path.as_uri())
+    log.append("events", rows(1))
+    log.append("events", rows(1))
+    assert log.read("events")[0].count() == 2 and log.read("nodes")[0].count() == 2
+    assert {r["scan"] for r in log.read("nodes", at=1)[0].collect()} == {2}
+
+
+def test_a_write_that_fails_is_not_seen(spark, tmp_path):
+    import pytest
+
+    store = GraphStore(spark, tmp_path.as_uri())
+    good = spark.range(2).select(F.col("id"))
+    store.replace(good, good)
+    with pytest.raises(Exception):
+        store.replace(good.limit(1), good.select(F.raise_error(F.lit("no")).alias("id")))
+    assert [df.count() for df in store.read()] == [2, 2]
+
+
+def test_old_folders_go(spark, tmp_path):
+    from codeweft.sources.stores import Committed
+
+    log = Committed(spark, tmp_path.as_uri())
+    for k in range(4):
+        log.commit(a=spark.range(k))
+        log.append("b", spark.range(1))
+    folders = [p.name for p in tmp_path.iterdir() if p.is_dir()]
+    assert sum(f.startswith("data-a") for f in folders) <= 2 and log.read("b")[0].count() == 4 and log.read("a")[0].count() == 3
