@@ -105,6 +105,12 @@ def sources_of(edges: DataFrame, types: list[str], target: str) -> DataFrame:
     return edges.where(F.col("type").isin(types) & (F.col("dst") == target)).select(F.col("src").alias("id")).distinct()
 
 
+def sources_of_each(edges: DataFrame, types: list[str], targets: DataFrame) -> DataFrame:
+    """``target, id``: distinct sources of edges into each of targets(id)."""
+    into = edges.where(F.col("type").isin(types)).select(F.col("dst").alias("target"), F.col("src").alias("id")).distinct()
+    return into.join(targets.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
+
+
 def targets_of(edges: DataFrame, types: list[str], source: str) -> DataFrame:
     return edges.where(F.col("type").isin(types) & (F.col("src") == source)).select(F.col("dst").alias("id")).distinct()
 

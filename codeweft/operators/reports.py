@@ -175,9 +175,10 @@ def spring_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def spark_counts(jobs: DataFrame) -> DataFrame:
-    """``jobs, sql_calls, input_tables, output_tables``: over all Spark jobs, tables sorted and each once."""
-    tables = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
-    return jobs.agg(F.count("*").alias("jobs"), F.coalesce(F.sum("sql_calls"), F.lit(0)).alias("sql_calls"), tables("reads_tables").alias("input_tables"), tables("writes_tables").alias("output_tables"))
+    """``what, key, n``: Spark jobs, their SQL calls, and the jobs that read or write each table."""
+    uses = lambda c: jobs.select(F.explode(c).alias("t"))
+    calls = jobs.agg(F.coalesce(F.sum("sql_calls"), F.lit(0)).alias("_n")), F.lit(""), F.col("_n")
+    return long_rows(jobs=_total(jobs), sql_calls=calls, input_tables=_counted(uses("reads_tables"), "t"), output_tables=_counted(uses("writes_tables"), "t"))
 
 
 def scan_stats(files: DataFrame, parsed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def _id(kind: str, column: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), column)
 
 
-def code_graph(j: JavaTables, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def whole_graph(j: JavaTables, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of parsed Java tables and of sources(relative_path, content), whose ``.sql`` files are read too.
 
     Facts about a node that is there already are merged into it; an end that nothing describes becomes a placeholder.

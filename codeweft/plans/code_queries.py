@@ -1,4 +1,4 @@
-"""Queries of the operators that read source code, over the samples; oracles state the known rows."""
+"""Queries of the operators that read source code, over code written from the rows of ``part``; SQL derives the same facts."""
 
 from __future__ import annotations
 
@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators import context, frameworks, graph, reports, spans
-from codeweft.operators.codegraph import code_graph
-from codeweft.operators.javagraph import JavaTables, java_graph as build_graph
-from codeweft.plans import tablecode
-from codeweft.plans.samples import DIFF, FILES
+from codeweft.operators.javagraph import java_graph as build_graph
+from codeweft.plans import tablecode, tabletree as tree
 from codeweft.sources import build, config, files, git, java, sqltext
 from codeweft.storage import materialize, table
 
@@ -19,251 +17,346 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(columns: str | None = None, rows: str = ""):
+def from_tree(sql: str):
+    """Register with an oracle that derives the rows from ``part``, for the tree of :mod:`codeweft.plans.tabletree`."""
+
     def add(f):
         QUERIES[f.__name__] = f
-        if columns:
-            ORACLES[f.__name__] = f"SELECT {columns} FROM (VALUES {rows}) AS t"
+        ORACLES[f.__name__] = f"WITH {tree.TREE_SQL} {sql}"
         return f
 
     return add
 
 
-def sources(spark: SparkSession, ending: str = "") -> DataFrame:
-    rows = [(p, len(t.encode()), bytearray(t.encode()), t) for p, t in FILES.items() if p.endswith(ending)]
-    return spark.createDataFrame(rows, "relative_path string, size_bytes long, content binary, text string")
-
-
-def tables(spark: SparkSession) -> JavaTables:
-    return JavaTables(java.parse_files(sources(spark, ".java")))
+def _tables(spark, sf):
+    return tree.java_tables(spark, sf)
 
 
-def whole(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all samples, with the facts of every analyzer."""
-    nodes, edges = code_graph(tables(spark), sources(spark))
-    return materialize(nodes, "nodes"), materialize(edges, "edges")
+#: Lines of a class file: nine line ends, those of its parts, and the last line.
+LINES = "10 + (s % 6 = 0)::INT * 6 + (s % 7 < 3)::INT + (s % 2 = 0)::INT + (s % 4 = 1)::INT + (s % 3 = 0)::INT * 5 + (s % 5 = 0)::INT * 4 + (s % 7 = 0)::INT * 8"
+YML, PROPERTIES_FILE = "'conf/g' || k % 10 || '/application-' || k || '.yml'", "'conf/g' || k % 10 || '/extra-' || k || '.properties'"
+INVENTORY = f"""SELECT file AS relative_path, 'java_main' AS kind, {LINES} AS lines FROM d UNION ALL SELECT test, 'java_test', 11 FROM d WHERE s % 8 = 0
+UNION ALL SELECT {YML}, 'app_config', 7 FROM d WHERE s % 9 = 0 UNION ALL SELECT {PROPERTIES_FILE}, 'build_other', 7 FROM d WHERE s % 9 = 1
+UNION ALL SELECT 'db/f' || k || '.sql', 'sql', 8 FROM d WHERE s % 10 = 0 UNION ALL SELECT 'm' || k || '/pom.xml', 'maven_pom', 7 FROM d WHERE s % 11 = 0
+UNION ALL SELECT 'm' || k || '/build.gradle', 'gradle_build', 10 FROM d WHERE s % 11 = 1"""
 
 
-@query("col0 AS relative_path, col1 AS kind, CAST(col2 AS INTEGER) AS lines", """('src/main/java/shop/web/OrderController.java', 'java_main', 31), ('src/main/java/shop/core/OrderService.java', 'java_main', 36),
-('src/main/java/shop/core/BaseService.java', 'java_main', 29), ('src/main/java/shop/data/OrderStore.java', 'java_main', 18), ('src/main/java/shop/batch/DailyJob.java', 'java_main', 20),
-('db/schema.sql', 'sql', 8), ('src/main/resources/application.yml', 'app_config', 7), ('src/main/resources/extra.properties', 'resource', 7), ('pom.xml', 'maven_pom', 7)""")
+@from_tree(f"SELECT relative_path, kind, lines::INT AS lines FROM ({INVENTORY})")
 def file_inventory(spark, sf):
-    return files.inventory(sources(spark)).select("relative_path", "kind", "lines")
+    return files.inventory(tree.files(spark, sf)).select("relative_path", "kind", "lines")
 
 
-@query()
+@from_tree("""SELECT 'types' AS entity, file, fqn FROM d UNION ALL SELECT 'types', file, pkg || '.Trouble' || k FROM d WHERE s % 7 = 0 UNION ALL SELECT 'types', test, fqn || 'Test' FROM d WHERE s % 8 = 0
+UNION ALL SELECT 'fields', test, fqn || 'Test#own' FROM d WHERE s % 8 = 0 UNION ALL SELECT 'methods', test, fqn || 'Test#runs()' FROM d WHERE s % 8 = 0
+UNION ALL SELECT 'methods', file, fqn || '#code(int)' FROM d UNION ALL SELECT 'methods', file, fqn || '#save(String)' FROM d WHERE s % 5 = 0
+UNION ALL SELECT 'methods', file, fqn || '#job(SparkSession)' FROM d WHERE s % 6 = 0 UNION ALL SELECT 'methods', file, fqn || '#failed(Trouble' || k || ')' FROM d WHERE s % 7 = 0
+UNION ALL SELECT 'imports', file, fqn2 FROM d UNION ALL SELECT 'imports', file, 'org.apache.spark.sql.SparkSession' FROM d WHERE s % 6 = 0""")
 def java_entities(spark, sf):
-    parsed = java.parse_files(sources(spark, ".java"))
+    parsed = materialize(java.parse_files(tree.files(spark, sf, "class", "test")), "parsed")
     part = lambda what, name: java.entities(parsed, what).select(F.lit(what).alias("entity"), "file", F.col(name).alias("fqn"))
     return part("types", "fqn").unionByName(part("fields", "fqn")).unionByName(part("methods", "fqn")).unionByName(part("imports", "fqn"))
 
 
-@query("CAST(col0 AS BIGINT) AS files, CAST(col1 AS BIGINT) AS success, CAST(col2 AS BIGINT) AS partial, CAST(col3 AS BIGINT) AS failed, CAST(col4 AS DOUBLE) AS rate", "(5, 5, 0, 0, 100.0)")
+@from_tree("""SELECT n + t + b AS files, n + t AS success, b AS partial, CAST(0 AS BIGINT) AS failed, round(100.0::DOUBLE * (n + t) / (n + t + b), 1) AS rate
+FROM (SELECT count(*) AS n, count(*) FILTER (s % 8 = 0) AS t, count(*) FILTER (s % 13 = 0) AS b FROM d)""")
 def parse_report(spark, sf):
-    return java.parse_report(java.parse_files(sources(spark, ".java")))
+    both = tree.files(spark, sf, "class", "test").select("relative_path", "content").unionByName(tree.broken(spark, sf))
+    return java.parse_report(java.parse_files(both))
+
+
+JOB, SAVE, FAILED = "'method:' || fqn || '#job(SparkSession)'", "'method:' || fqn || '#save(String)'", "'method:' || fqn || '#failed(Trouble' || k || ')'"
+RUNS, TROUBLE = "'method:' || fqn || 'Test#runs()'", "'type:' || pkg || '.Trouble' || k"
+CALLS = f"""SELECT 'CALLS' AS type, code AS src, 'method:' || above || '#code(int)' AS dst, CASE WHEN k2 = 1 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM a
+UNION ALL SELECT 'CALLS', code, 'extmethod:super.code', 'UNKNOWN' FROM d WHERE NOT known UNION ALL SELECT 'CALLS', code, 'extmethod:log.warn', 'UNKNOWN' FROM d WHERE s % 4 = 1
+UNION ALL SELECT 'CALLS', {SAVE}, 'extmethod:jdbc.update', 'UNKNOWN' FROM d WHERE s % 5 = 0
+UNION ALL SELECT 'CALLS', {RUNS}, code, CASE WHEN known THEN 'LOW' ELSE 'HIGH' END FROM d WHERE s % 8 = 0 UNION ALL SELECT 'CALLS', {RUNS}, 'method:' || above || '#code(int)', 'LOW' FROM a WHERE s % 8 = 0"""
+
+
+@from_tree(f""", o AS (SELECT a.*, c.s AS s2 FROM a JOIN c ON c.k = a.k >> a.i) {CALLS} UNION ALL SELECT 'CONTAINS', 'package:' || pkg, 'file:' || file, 'HIGH' FROM d UNION ALL SELECT 'CONTAINS', 'package:' || pkg, 'file:' || test, 'HIGH' FROM d WHERE s % 8 = 0
+UNION ALL SELECT 'IMPORTS', 'file:' || file, 'type:' || fqn2, 'HIGH' FROM d UNION ALL SELECT 'IMPORTS', 'file:' || file, 'type:org.apache.spark.sql.SparkSession', 'HIGH' FROM d WHERE s % 6 = 0
+UNION ALL SELECT 'DECLARES', 'file:' || file, 'type:' || fqn, 'HIGH' FROM d UNION ALL SELECT 'DECLARES', 'file:' || file, {TROUBLE}, 'HIGH' FROM d WHERE s % 7 = 0
+UNION ALL SELECT 'DECLARES', 'file:' || test, 'type:' || fqn || 'Test', 'HIGH' FROM d WHERE s % 8 = 0 UNION ALL SELECT 'DECLARES', 'type:' || fqn || 'Test', {RUNS}, 'HIGH' FROM d WHERE s % 8 = 0
+UNION ALL SELECT 'DECLARES', 'type:' || fqn || 'Test', 'field:' || fqn || 'Test#own', 'HIGH' FROM d WHERE s % 8 = 0 UNION ALL SELECT 'DECLARES', 'type:' || fqn, code, 'HIGH' FROM d
+UNION ALL SELECT 'DECLARES', 'type:' || fqn, {SAVE}, 'HIGH' FROM d WHERE s % 5 = 0 UNION ALL SELECT 'DECLARES', 'type:' || fqn, {JOB}, 'HIGH' FROM d WHERE s % 6 = 0
+UNION ALL SELECT 'DECLARES', 'type:' || fqn, {FAILED}, 'HIGH' FROM d WHERE s % 7 = 0
+UNION ALL SELECT 'EXTENDS', 'type:' || fqn, 'type:' || fqn2, CASE WHEN known THEN 'HIGH' ELSE 'MEDIUM' END FROM d UNION ALL SELECT 'EXTENDS', {TROUBLE}, 'type:java.lang.Exception', 'MEDIUM' FROM d WHERE s % 7 = 0
+UNION ALL SELECT 'ANNOTATED_WITH', 'type:' || fqn, 'type:' || ['RestControllerAdvice', 'Service', 'Repository'][s % 7 + 1], 'UNKNOWN' FROM d WHERE s % 7 < 3
+UNION ALL SELECT 'ANNOTATED_WITH', code, 'type:java.lang.Override', 'MEDIUM' FROM d WHERE s % 2 = 0 UNION ALL SELECT 'ANNOTATED_WITH', {FAILED}, 'type:ExceptionHandler', 'UNKNOWN' FROM d WHERE s % 7 = 0
+UNION ALL SELECT 'ANNOTATED_WITH', {RUNS}, 'type:Test', 'UNKNOWN' FROM d WHERE s % 8 = 0 UNION ALL SELECT 'THROWS', {SAVE}, 'type:Problem', 'UNKNOWN' FROM d WHERE s % 5 = 0
+UNION ALL SELECT 'USES_TYPE', {SAVE}, 'type:java.lang.String', 'MEDIUM' FROM d WHERE s % 5 = 0 UNION ALL SELECT 'USES_TYPE', {JOB}, 'type:org.apache.spark.sql.SparkSession', 'MEDIUM' FROM d WHERE s % 6 = 0
+UNION ALL SELECT 'USES_TYPE', {FAILED}, {TROUBLE}, 'HIGH' FROM d WHERE s % 7 = 0 UNION ALL SELECT 'USES_TYPE', 'field:' || fqn || 'Test#own', 'type:' || fqn, 'HIGH' FROM d WHERE s % 8 = 0
+UNION ALL SELECT 'RETURNS_TYPE', {FAILED}, 'type:java.lang.String', 'MEDIUM' FROM d WHERE s % 7 = 0 UNION ALL SELECT 'CREATES', code, 'type:java.lang.IllegalStateException', 'MEDIUM' FROM d WHERE s % 3 = 0
+UNION ALL SELECT 'CATCHES', code, 'type:java.lang.IllegalArgumentException', 'MEDIUM' FROM d WHERE s % 3 = 0
+UNION ALL SELECT 'CATCHES', code, CASE WHEN s % 7 = 0 THEN {TROUBLE} ELSE 'type:Trouble' || k END, CASE WHEN s % 7 = 0 THEN 'HIGH' ELSE 'UNKNOWN' END FROM d WHERE s % 3 = 0
+UNION ALL SELECT 'OVERRIDES', code, 'method:' || above || '#code(int)', CASE WHEN s % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END FROM a
+UNION ALL SELECT 'OVERRIDES', {JOB}, 'method:' || above || '#job(SparkSession)', 'MEDIUM' FROM o WHERE s % 6 = 0 AND s2 % 6 = 0 UNION ALL SELECT 'OVERRIDES', {SAVE}, 'method:' || above || '#save(String)', 'MEDIUM' FROM o WHERE s % 5 = 0 AND s2 % 5 = 0
+UNION ALL SELECT 'OVERRIDES', {FAILED}, 'method:' || above || '#failed(Trouble' || (k >> i) || ')', 'MEDIUM' FROM o WHERE s % 7 = 0 AND s2 % 7 = 0""")
+def java_graph(spark, sf):
+    """Every edge of the Java files but the calls inside jobs, whose receivers are chains of calls."""
+    edges = build_graph(_tables(spark, sf))[1]
+    return edges.where("NOT (type = 'CALLS' AND contains(src, '#job('))").select("type", "src", "dst", "confidence")
 
 
-@query()
-def java_graph(spark, sf):
-    nodes, edges = build_graph(tables(spark))
-    return edges.select("type", "src", "dst", "confidence")
-
-
-@query("col0 AS src, col1 AS dst, col2 AS confidence", """('method:shop.web.OrderController#one(long)', 'method:shop.core.OrderService#find(long)', 'HIGH'),
-('method:shop.web.OrderController#add(String)', 'method:shop.core.OrderService#place(String,int)', 'HIGH'),
-('method:shop.core.OrderService#find(long)', 'method:shop.data.OrderStore#load(long)', 'HIGH'), ('method:shop.core.OrderService#find(long)', 'extmethod:log.info', 'UNKNOWN'),
-('method:shop.core.OrderService#place(String,int)', 'method:shop.data.OrderStore#save(Order)', 'HIGH'), ('method:shop.core.OrderService#place(String,int)', 'extmethod:Clock.now', 'UNKNOWN'),
-('method:shop.core.OrderService#place(String,int)', 'method:shop.core.Order#Order(String)', 'HIGH'),
-('method:shop.core.OrderService#place(String,int)', 'method:shop.core.OrderService#check(Order)', 'LOW'), ('method:shop.core.OrderService#place(String,int)', 'method:shop.core.BaseService#check(Order)', 'LOW'),
-('method:shop.core.OrderService#check(Order)', 'method:shop.core.BaseService#check(Order)', 'HIGH'), ('method:shop.core.OrderService#check(Order)', 'method:shop.core.Order#touch()', 'HIGH'),
-('method:shop.core.OrderService#main()', 'method:shop.core.OrderService#place(String,int)', 'HIGH'),
-('method:shop.core.BaseService#check(Order)', 'method:shop.core.BaseService#helper()', 'HIGH'), ('method:shop.core.BaseService#check(Order)', 'method:shop.core.BaseService#helper(int)', 'LOW'),
-('method:shop.core.BaseService#check(Order)', 'method:shop.core.BaseService#helper(String)', 'LOW'), ('method:shop.data.OrderStore#save(Order)', 'extmethod:jdbc.update', 'UNKNOWN')""")
+@from_tree(f"SELECT src, dst, confidence FROM ({CALLS})")
 def java_calls(spark, sf):
-    _, edges = build_graph(tables(spark))
-    return edges.where("type = 'CALLS' AND NOT contains(src, 'shop.batch')").select("src", "dst", "confidence")
+    edges = tree.graph(spark, sf)[1]
+    return edges.where("type = 'CALLS' AND NOT contains(src, '#job(')").select("src", "dst", "confidence")
 
 
-@query("col0 AS fqn, col1 AS stereotype", "('shop.web.OrderController', 'RestController'), ('shop.core.OrderService', 'Service'), ('shop.data.OrderStore', 'Repository')")
+@from_tree("SELECT fqn, ['ControllerAdvice', 'Service', 'Repository'][s % 7 + 1] AS stereotype FROM d WHERE s % 7 < 3")
 def stereotypes(spark, sf):
-    return frameworks.stereotypes(tables(spark))
+    return frameworks.stereotypes(_tables(spark, sf))
 
 
-@query("col0 AS id, col1 AS handler", "('endpoint:GET /orders/{id}', 'shop.web.OrderController#one(long)'), ('endpoint:POST /orders', 'shop.web.OrderController#add(String)')")
-def web_endpoints(spark, sf):
-    return frameworks.endpoints(tables(spark)).select("id", "handler")
+@from_tree("SELECT fqn || '#failed(Trouble' || k || ')' AS method, 'Trouble' || k AS raw FROM d WHERE s % 7 = 0")
+def handled_exceptions(spark, sf):
+    return frameworks.handled_exceptions(_tables(spark, sf))
 
 
-@query("col0 AS src, col1 AS dst, col2 AS confidence", "('shop.web.OrderController', 'shop.core.OrderService', 'HIGH'), ('shop.core.OrderService', 'shop.data.OrderStore', 'HIGH')")
-def injections(spark, sf):
-    return frameworks.injections(tables(spark))
+@from_tree("""SELECT fqn || '#job(SparkSession)' AS method, ['filter', 'groupBy'] AS transformations, ['count', 'saveAsTable', 'write'] AS actions, ['raw.r' || s] AS reads_tables,
+['mart.m' || s] AS writes_tables, CAST([] AS VARCHAR[]) AS paths, CAST(1 AS BIGINT) AS sql_calls FROM d WHERE s % 6 = 0""")
+def spark_job_summary(spark, sf):
+    return frameworks.spark_jobs(_tables(spark, sf))
 
 
-@query("col0 AS method, col1 AS raw", "('shop.web.OrderController#failed(OrderError)', 'OrderError')")
-def handled_exceptions(spark, sf):
-    return frameworks.handled_exceptions(tables(spark))
+@from_tree("SELECT 'warn' AS level, count(*) AS calls, count(DISTINCT fqn) AS methods FROM d WHERE s % 4 = 1 HAVING count(*) > 0")
+def log_levels(spark, sf):
+    return frameworks.log_levels(_tables(spark, sf))
 
 
-@query("col0 AS method, col1 AS transformations, col2 AS actions, col3 AS reads_tables, col4 AS writes_tables, col5 AS paths, CAST(col6 AS BIGINT) AS sql_calls",
-       "('shop.batch.DailyJob#run(SparkSession)', ['filter', 'groupBy', 'join'], ['count', 'saveAsTable', 'write'], ['raw.sales'], ['mart.daily'], ['s3://bucket/daily'], 1)")
-def spark_job_summary(spark, sf):
-    return frameworks.spark_jobs(tables(spark))
+@from_tree("SELECT fqn || '#code(int)' AS fqn, 'warn' AS level, CAST(1 AS BIGINT) AS calls FROM d WHERE s % 4 = 1")
+def logged_methods(spark, sf):
+    return frameworks.logged(_tables(spark, sf))
 
 
-@query("col0 AS level, CAST(col1 AS BIGINT) AS calls", "('info', 1)")
-def log_levels(spark, sf):
-    return frameworks.log_levels(tables(spark)).select("level", "calls")
+def _statements(spark, sf):
+    j = _tables(spark, sf)
+    hits = sqltext.java_statements(j.parsed).unionByName(sqltext.file_statements(tree.files(spark, sf, "sql")))
+    methods = j.methods.select("fqn", "file", F.col("location.line_start").alias("lo"), F.col("location.line_end").alias("hi"))
+    return sqltext.statements(hits, methods)
 
 
-@query("col0 AS statement_type, col1 AS tables_read, col2 AS tables_written, col3 AS origins", """('SELECT', ['customers', 'orders'], [], ['jpa-query-native']), ('SELECT', ['order'], [], ['jpa-query']), ('INSERT', [], ['orders'], ['java-literal']),
-('SELECT', ['people'], [], ['java-literal']), ('CREATE', [], ['orders'], ['sql-file']), ('INSERT', ['staging.orders_in'], ['orders'], ['sql-file']), ('DELETE', [], ['old_orders'], ['sql-file'])""")
+@from_tree("""SELECT 'INSERT' AS statement_type, CAST([] AS VARCHAR[]) AS tables_read, ['w' || s] AS tables_written, ['java-literal'] AS origins FROM d WHERE s % 5 = 0
+UNION ALL SELECT DISTINCT 'SELECT', ['people' || s], CAST([] AS VARCHAR[]), ['java-literal'] FROM d WHERE s % 6 = 0 UNION ALL SELECT DISTINCT 'CREATE', CAST([] AS VARCHAR[]), ['c' || s], ['sql-file'] FROM d WHERE s % 10 = 0
+UNION ALL SELECT 'INSERT', ['st.i' || k], ['c' || s], ['sql-file'] FROM d WHERE s % 10 = 0 UNION ALL SELECT DISTINCT 'DELETE', CAST([] AS VARCHAR[]), ['old' || k % 10], ['sql-file'] FROM d WHERE s % 10 = 0""")
 def sql_statements(spark, sf):
-    j = tables(spark)
-    hits = sqltext.java_statements(j.parsed).unionByName(sqltext.file_statements(sources(spark, ".sql")))
-    methods = j.methods.select("fqn", "file", F.col("location.line_start").alias("lo"), F.col("location.line_end").alias("hi"))
-    found, _ = sqltext.statements(hits, methods)
-    return found.select("statement_type", "tables_read", "tables_written", "origins")
+    return _statements(spark, sf)[0].select("statement_type", "tables_read", "tables_written", "origins")
 
 
-@query("col0 AS src, col1 AS dst, col2 AS confidence", """('method:shop.data.OrderStore#load(long)', 'table:orders', 'HIGH'), ('method:shop.data.OrderStore#load(long)', 'table:customers', 'HIGH'), ('method:shop.data.OrderStore#byBody(String)', 'table:order', 'MEDIUM'),
-('method:shop.data.OrderStore#save(Order)', 'table:orders', 'HIGH'), ('method:shop.batch.DailyJob#run(SparkSession)', 'table:people', 'HIGH'), ('file:db/schema.sql', 'table:orders', 'HIGH'), ('file:db/schema.sql', 'table:staging.orders_in', 'HIGH'), ('file:db/schema.sql', 'table:old_orders', 'HIGH')""")
+@from_tree(f"""SELECT {SAVE} AS src, 'table:w' || s AS dst, 'HIGH' AS confidence FROM d WHERE s % 5 = 0 UNION ALL SELECT {JOB}, 'table:people' || s, 'HIGH' FROM d WHERE s % 6 = 0
+UNION ALL SELECT 'file:db/f' || k || '.sql', unnest(['table:c' || s, 'table:st.i' || k, 'table:old' || k % 10]), 'HIGH' FROM d WHERE s % 10 = 0""")
 def sql_owners(spark, sf):
-    j = tables(spark)
-    hits = sqltext.java_statements(j.parsed).unionByName(sqltext.file_statements(sources(spark, ".sql")))
-    methods = j.methods.select("fqn", "file", F.col("location.line_start").alias("lo"), F.col("location.line_end").alias("hi"))
-    _, edges = sqltext.statements(hits, methods)
+    edges = _statements(spark, sf)[1]
     runs = edges.where("type = 'EXECUTES_SQL'").select("src", F.col("dst").alias("statement"))
     uses = edges.where("type <> 'EXECUTES_SQL'").select(F.col("src").alias("statement"), "dst", "confidence")
     return runs.join(uses, "statement").select("src", "dst", "confidence").distinct()
 
 
-@query("col0 AS sql, CAST(col1 AS INTEGER) AS line", "('CREATE TABLE orders (id BIGSERIAL, body TEXT)', 2), ('INSERT INTO orders SELECT * FROM staging.orders_in', 2), ('DELETE FROM old_orders', 6)")
+@from_tree("""SELECT 'CREATE TABLE c' || s || ' (id INT)' AS sql, 2 AS line FROM d WHERE s % 10 = 0 UNION ALL SELECT 'INSERT INTO c' || s || ' SELECT * FROM st.i' || k, 2 FROM d WHERE s % 10 = 0
+UNION ALL SELECT 'DELETE FROM old' || k % 10, 6 FROM d WHERE s % 10 = 0""")
 def sql_split(spark, sf):
-    return sqltext.file_statements(sources(spark, ".sql")).select("sql", "line")
+    return sqltext.file_statements(tree.files(spark, sf, "sql")).select("sql", "line")
+
+
+#: Statements by size modulo eight: what each says, and what it reads, writes and is.
+FORMS = [
+    ("SELECT extract(year FROM ts) FROM t<s> x, u<k2> WHERE trim(both FROM x.z) = 'from q'", "SELECT", ["t<s>", "u<k2>"], [], True),
+    ("DELETE a FROM t<s> a JOIN u<k2> b ON a.id = b.id", "DELETE", ["u<k2>"], ["t<s>"], True),
+    ("WITH c AS (WITH d AS (SELECT * FROM t<s>) SELECT * FROM d) SELECT * FROM c JOIN (SELECT 1 FROM u<k2>) z ON 1 = 1", "SELECT", ["c", "d", "t<s>", "u<k2>"], [], True),
+    ("INSERT INTO t<s> (a) SELECT x FROM `db`.`u<k2>` # FROM nothing", "INSERT", ["db.u<k2>"], ["t<s>"], True),
+    ("MERGE INTO t<s> AS m USING (SELECT max(y) FROM u<k2>) q ON 1 = 1 WHEN MATCHED THEN UPDATE SET x = 1", "MERGE", ["u<k2>"], ["t<s>"], True),
+    ("UPDATE t<s> SET x = (SELECT y FROM u<k2> WHERE k IS NOT DISTINCT FROM t<s>.k)", "UPDATE", ["u<k2>"], ["t<s>"], True),
+    ("SELECT [a from b] FROM [dbo].[t<s>] WITH (NOLOCK) LEFT JOIN [u<k2>] ON 1 = 1", "SELECT", ["dbo.t<s>", "u<k2>"], [], True),
+    ("SELECT (a FROM t<s> JOIN u<k2>", "SELECT", ["t<s>", "u<k2>"], [], False),
+]
+
+
+def _sql_text(text: str) -> str:
+    """The DuckDB expression of a text with <names>."""
+    return "'" + text.replace("'", "''").replace("<s>", "' || s || '").replace("<k2>", "' || k2 || '") + "'"
+
+
+def _sql_list(names: list[str]) -> str:
+    return f"list_sort([{', '.join(_sql_text(n) for n in names)}]::VARCHAR[])"
+
+
+@from_tree("SELECT sql, statement_type, tables_read, tables_written, parsed_ok FROM (" + " UNION ALL ".join(
+    f"SELECT {_sql_text(q)} AS sql, '{kind}' AS statement_type, {_sql_list(r)} AS tables_read, {_sql_list(w)} AS tables_written, {ok} AS parsed_ok FROM d WHERE s % 8 = {i}" for i, (q, kind, r, w, ok) in enumerate(FORMS)
+) + ")")
+def table_sql_parse(spark, sf):
+    """Statements with scopes, aliases, quotes of four dialects, and one that only the reading without grammar takes."""
+    sql = tree.by_size([(i, 8, tree.filled(q)) for i, (q, *_) in enumerate(FORMS)], F.lit(None))
+    return tree.parts(spark, sf).select(sql.alias("sql")).select("sql", sqltext.statement_facts("sql").alias("p")).select("sql", "p.*")
 
 
-@query("col0 AS file, col1 AS key, col2 AS value, col3 AS secret", """('src/main/resources/application.yml', 'db.url', 'jdbc:x', false), ('src/main/resources/application.yml', 'db.password', '***REDACTED***', true),
-('src/main/resources/application.yml', 'ports[0]', '80', false), ('src/main/resources/application.yml', 'ports[1].name', 'a', false), ('src/main/resources/extra.properties', 'a.b', '1', false),
-('src/main/resources/extra.properties', 'api_key', '***REDACTED***', true), ('src/main/resources/extra.properties', 'empty', '', false), ('src/main/resources/extra.properties', 'url', 'http://h:1', false)""")
+@from_tree(f"""SELECT {YML} AS file, unnest(['db.url', 'db.password', 'ports[0]', 'ports[1].name']) AS key, unnest(['jdbc:x' || k, '***REDACTED***', s::VARCHAR, 'n' || k]) AS value, unnest([false, true, false, false]) AS secret FROM d WHERE s % 9 = 0
+UNION ALL SELECT {PROPERTIES_FILE}, unnest(['a.b', 'api_key', 'empty', 'url']), unnest([s::VARCHAR, '***REDACTED***', '', 'http://h:' || k]), unnest([false, true, false, false]) FROM d WHERE s % 9 = 1""")
 def config_flatten(spark, sf):
-    return config.config_rows(sources(spark).where("relative_path RLIKE 'yml$|properties$'"))
+    return config.config_rows(tree.files(spark, sf, "yaml", "properties"))
 
 
-@query('col0 AS "artifactId", col1 AS java_version, col2 AS spring_boot_version, col3 AS spark_version, col4 AS scala_version', "('shop', '21', '3.2.1', '4.0.0', '2.13')")
+@from_tree("""SELECT (SELECT 'shop' || k FROM d WHERE s % 11 = 0 ORDER BY 'm' || k || '/pom.xml' LIMIT 1) AS "artifactId", '21' AS java_version,
+(SELECT '3.' || s || '.1' FROM d WHERE s % 11 = 0 ORDER BY 'm' || k || '/pom.xml' LIMIT 1) AS spring_boot_version, (SELECT min('4.0.' || s) FROM d WHERE s % 11 = 0) AS spark_version, '2.13' AS scala_version""")
 def build_facts(spark, sf):
-    return build.build_info(build.build_facts(sources(spark, "pom.xml"))).select("artifactId", "java_version", "spring_boot_version", "spark_version", "scala_version")
+    return build.build_info(build.build_facts(tree.files(spark, sf, "pom"))).select("artifactId", "java_version", "spring_boot_version", "spark_version", "scala_version")
 
 
-@query("col0 AS what, col1 AS label", "('database', 'PostgreSQL'), ('testing', 'JUnit 4'), ('testing', 'JUnit 5')")
+@from_tree("""SELECT 'm' || k || '/pom.xml' AS file, unnest(['build_system', 'groupId', 'artifactId', 'version', 'java_version', 'spring_boot_version', 'dependency', 'dependency', 'dependency']) AS fact,
+unnest(['', '', '', '', '', '', 'org.apache.spark', 'org.postgresql', 'org.junit.jupiter']) AS "group", unnest(['', '', '', '', '', '', 'spark-sql_2.13', 'postgresql', 'junit-jupiter']) AS artifact,
+unnest(['maven', 'org.springframework.boot', 'shop' || k, '3.' || s || '.1', '21', '3.' || s || '.1', '4.0.' || s, '', '5.' || s]) AS value FROM d WHERE s % 11 = 0
+UNION ALL SELECT 'm' || k || '/build.gradle', unnest(['build_system', 'spring_boot_version', 'java_version', 'dependency', 'dependency']), unnest(['', '', '', 'org.h2', 'org.mockito']), unnest(['', '', '', 'h2', 'mockito-core']),
+unnest(['gradle', '2.' || s || '.0', '17', '1.' || s, '']) FROM d WHERE s % 11 = 1""")
+def table_build_facts(spark, sf):
+    return build.build_facts(tree.files(spark, sf, "pom", "gradle"))
+
+
+@from_tree("""SELECT DISTINCT unnest(['database', 'testing', 'testing']) AS what, unnest(['PostgreSQL', 'JUnit 4', 'JUnit 5']) AS label FROM d WHERE s % 11 = 0
+UNION ALL SELECT DISTINCT unnest(['database', 'testing']), unnest(['H2', 'Mockito']) FROM d WHERE s % 11 = 1""")
 def dependency_labels(spark, sf):
-    return build.dependency_labels(build.dependencies(build.build_facts(sources(spark, "pom.xml"))))
+    return build.dependency_labels(build.dependencies(build.build_facts(tree.files(spark, sf, "pom", "gradle"))))
 
 
-@query("col0 AS path, col1 AS status, CAST(col2 AS INTEGER) AS lo, CAST(col3 AS INTEGER) AS hi, CAST(col4 AS BIGINT) AS added, CAST(col5 AS BIGINT) AS removed",
-       "('src/A.java', 'M', 3, 4, 2, 3), ('src/A.java', 'M', 12, 12, 2, 3), ('src/C.java', 'R', -1, -1, 0, 0), ('new.sql', 'A', 1, 1, 1, 0), ('gone.txt', 'D', 0, 0, 0, 1)")
+@from_tree("""SELECT file AS path, 'M' AS status, unnest([5, 10]) AS lo, unnest([6, 10]) AS hi, CAST(2 AS BIGINT) AS added, CAST(3 AS BIGINT) AS removed FROM d WHERE s % 12 = 0
+UNION ALL SELECT file, 'R', -1, -1, 0, 0 FROM d WHERE s % 12 = 1 UNION ALL SELECT 'new' || k || '.sql', 'A', 1, 1, 1, 0 FROM d WHERE s % 12 = 2 UNION ALL SELECT 'gone' || k || '.txt', 'D', 0, 0, 0, 1 FROM d WHERE s % 12 = 3""")
 def diff_hunks(spark, sf):
-    return git.hunks(spark, DIFF).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("lo", "hi")})
+    return git.hunks(tree.diffs(spark, sf)).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("lo", "hi")})
 
 
-@query("col0 AS range_id, col1 AS span_id", "('h', 'method:shop.core.OrderService#find(long)'), ('h', 'type:shop.core.OrderService'), ('whole', 'type:shop.data.OrderStore'), ('whole', 'method:shop.data.OrderStore#load(long)'), ('whole', 'method:shop.data.OrderStore#byBody(String)'), ('whole', 'method:shop.data.OrderStore#save(Order)')")
+@from_tree("""SELECT file || '|5' AS range_id, 'type:' || fqn AS span_id FROM d WHERE s % 12 = 0 UNION ALL SELECT file || '|10', unnest(['type:' || fqn, code]) FROM d WHERE s % 12 = 0""")
 def change_impact(spark, sf):
-    nodes, _ = build_graph(tables(spark))
-    known = nodes.where("line_start IS NOT NULL AND kind NOT IN ('Field')").select(F.col("id").alias("span_id"), "file", F.col("line_start").alias("lo"), F.col("line_end").alias("hi"))
-    changed = spark.createDataFrame([("h", "src/main/java/shop/core/OrderService.java", 11, 12), ("whole", "src/main/java/shop/data/OrderStore.java", None, None)], "range_id string, file string, lo int, hi int")
-    return spans.overlapping_spans(changed, known)
+    """Changed ranges of a diff and the symbols that share a line with them."""
+    known = tree.graph(spark, sf)[0].where("line_start IS NOT NULL AND kind IN ('Class', 'Method')")
+    changed = git.hunks(tree.diffs(spark, sf)).where("status = 'M'").select(F.concat_ws("|", "path", F.col("lo").cast("string")).alias("range_id"), F.col("path").alias("file"), "lo", "hi")
+    return spans.overlapping_spans(changed, known.select(F.col("id").alias("span_id"), "file", F.col("line_start").alias("lo"), F.col("line_end").alias("hi")))
+
 
+TEST_BODY = "'    @Test' || chr(10) || '    public void runs() {' || chr(10) || '        own.code(1);' || chr(10) || '    }'"
 
-@query()
+
+@from_tree(f"""SELECT {RUNS} AS node_id, 'Method ' || fqn || 'Test#runs() returns void. Annotations: Test.' || chr(10) || {TEST_BODY} AS text FROM d WHERE s % 8 = 0
+UNION ALL SELECT 'type:' || fqn || 'Test', 'Class ' || fqn || 'Test. ' || chr(10) || 'public class Q' || k || 'Test {{' || chr(10) || '    private Q' || k || ' own;' || chr(10) || chr(10) || {TEST_BODY} || chr(10) || '}}' FROM d WHERE s % 8 = 0""")
 def code_chunks(spark, sf):
-    return frameworks.chunks(whole(spark)[0], sources(spark, ".java"))
+    nodes = tree.graph(spark, sf)[0]
+    return frameworks.chunks(nodes.where("contains(id, 'Test') AND kind IN ('Class', 'Method')"), tree.files(spark, sf, "test")).select("node_id", "text")
 
 
-@query("col0 AS package, CAST(col1 AS BIGINT) AS files, CAST(col2 AS BIGINT) AS types", "('shop.web', 1, 1), ('shop.core', 2, 5), ('shop.data', 1, 1), ('shop.batch', 1, 1)")
+@from_tree("""SELECT pkg AS package, count(*) + count(*) FILTER (s % 8 = 0) AS files, count(*) + count(*) FILTER (s % 8 = 0) + count(*) FILTER (s % 7 = 0) AS types FROM d GROUP BY pkg""")
 def package_rollup(spark, sf):
-    return reports.package_rollup(build_graph(tables(spark))[1])
+    return reports.package_rollup(tree.graph(spark, sf)[1])
+
+
+CALLERS = f"""below AS (SELECT DISTINCT a.code AS id FROM a JOIN seed ON seed.k = a.k >> a.i), checks AS (SELECT {RUNS} AS id FROM d WHERE s % 8 = 0 AND (k IN (SELECT k FROM seed) OR code IN (SELECT id FROM below)))"""
 
 
-@query("col0 AS what, CAST(col1 AS BIGINT) AS n", "('direct_callers', 1), ('callers', 1), ('callees', 1), ('tests', 0)")
+@from_tree(f""", seed AS (SELECT k FROM d WHERE s = 1), {CALLERS}, near AS (SELECT id FROM below UNION SELECT id FROM checks),
+far AS (SELECT DISTINCT above AS id FROM a WHERE k IN (SELECT k FROM seed) UNION SELECT unnest(['log', 'super']) FROM seed)
+SELECT 'direct_callers' AS what, count(*) AS n FROM near UNION ALL SELECT 'callers', count(*) FROM near UNION ALL SELECT 'callees', count(*) FROM far UNION ALL SELECT 'tests', count(*) FROM checks""")
 def impact_summary(spark, sf):
-    nodes, edges = build_graph(tables(spark))
-    nodes, edges = materialize(nodes, "nodes"), materialize(edges, "edges")
-    seed = spark.createDataFrame([("method:shop.core.BaseService#check(Order)",)], "id string")
-    found = reports.find_impact(nodes, edges.where("confidence = 'HIGH'"), seed)
-    return reports.impact_summary(found)
+    """Around the methods of all parts of the least size."""
+    nodes, edges = tree.graph(spark, sf)
+    seeds = tree.parts(spark, sf).where("s = 1").select(tree.filled("method:fam.g<g>.Q<k>#code(int)").alias("id"))
+    return reports.impact_summary(reports.find_impact(nodes, edges, seeds))
 
 
-@query("col0 AS exception, col1 AS thrown_by, col2 AS caught_by", """('type:shop.core.OrderError', ['method:shop.core.OrderService#place(String,int)', 'method:shop.web.OrderController#add(String)'], ['method:shop.core.OrderService#place(String,int)']),
-('type:java.lang.IllegalStateException', [], ['method:shop.core.OrderService#place(String,int)'])""")
+@from_tree(f""", e AS (SELECT 'type:Problem' AS exception, {SAVE} AS src, 't' AS way FROM d WHERE s % 5 = 0 UNION ALL SELECT 'type:java.lang.IllegalArgumentException', code, 'c' FROM d WHERE s % 3 = 0
+UNION ALL SELECT CASE WHEN s % 7 = 0 THEN {TROUBLE} ELSE 'type:Trouble' || k END, code, 'c' FROM d WHERE s % 3 = 0)
+SELECT exception, coalesce(list_sort(list(src) FILTER (way = 't'))[1:6], CAST([] AS VARCHAR[])) AS thrown_by, coalesce(list_sort(list(src) FILTER (way = 'c'))[1:6], CAST([] AS VARCHAR[])) AS caught_by FROM e GROUP BY exception""")
 def exception_pages(spark, sf):
-    return reports.exception_pages(build_graph(tables(spark))[1])
+    return reports.exception_pages(tree.graph(spark, sf)[1])
 
 
-@query("col0 AS layer, col1 AS status, CAST(col2 AS BIGINT) AS types", "('Controller/API', 'observed', 1), ('Service', 'observed', 1), ('Repository/DAO', 'observed', 1), ('ETL/Spark', 'inferred', 1), ('Unclassified', 'unknown', 4)")
+@from_tree("""SELECT layer, CASE WHEN layer = 'Unclassified' THEN 'unknown' WHEN bool_or(seen) THEN 'observed' ELSE 'inferred' END AS status, count(*) AS types FROM (
+SELECT CASE WHEN s % 7 = 1 THEN 'Service' WHEN s % 7 = 2 THEN 'Repository/DAO' WHEN s % 6 = 0 THEN 'ETL/Spark' ELSE 'Unclassified' END AS layer, s % 7 < 3 AS seen FROM d
+UNION ALL SELECT 'Unclassified', false FROM d WHERE s % 7 = 0 UNION ALL SELECT 'Unclassified', false FROM d WHERE s % 8 = 0) GROUP BY layer""")
 def code_layers(spark, sf):
-    nodes, _ = whole(spark)
-    types = nodes.where("kind IN ('Class', 'Interface') AND NOT placeholder").withColumn("spark_job", F.lit(False))
-    return reports.layers(types).select("layer", "status", "types")
+    nodes = tree.graph(spark, sf)[0]
+    jobs = nodes.where("spark_job").select(F.col("owner").alias("fqn"), F.lit(True).alias("job")).distinct()
+    types = nodes.where("kind IN ('Class', 'Interface') AND NOT placeholder").drop("spark_job").join(jobs, "fqn", "left")
+    return reports.layers(types.withColumn("spark_job", F.coalesce("job", F.lit(False)))).select("layer", "status", "types")
 
 
-@query("col0 AS id", "('type:java.lang.IllegalStateException')")
+@from_tree("""SELECT 'type:java.lang.IllegalArgumentException' AS id FROM d WHERE s % 3 = 0 GROUP BY 1 UNION ALL SELECT 'type:Problem' FROM d WHERE s % 5 = 0 GROUP BY 1 UNION ALL SELECT 'type:Trouble' || k FROM d WHERE s % 3 = 0 AND s % 7 <> 0""")
 def unresolved_types(spark, sf):
-    nodes, edges = build_graph(tables(spark))
+    nodes, edges = tree.graph(spark, sf)
     named = edges.where("type IN ('CATCHES', 'THROWS')").select(F.col("dst").alias("id"))
     return reports.unresolved(nodes).join(named, "id", "left_semi").select("id")
 
 
-@query("col0 AS endpoint, CAST(col1 AS BIGINT) AS steps, CAST(col2 AS INTEGER) AS deepest", "('endpoint:GET /orders/{id}', 2, 1), ('endpoint:POST /orders', 9, 2)")
-def endpoint_flows(spark, sf):
-    nodes, edges = whole(spark)
-    flows = reports.endpoint_flows(nodes, edges)
-    return flows.groupBy("endpoint").agg(F.count("*").alias("steps"), F.max("depth").alias("deepest"))
-
-
-@query("col0 AS fqn", "('shop.core.OrderService#place(String,int)'), ('shop.data.OrderStore#save(Order)'), ('shop.web.OrderController#add(String)'), ('shop.web.OrderController#failed(OrderError)'), ('shop.web.OrderController#one(long)'), ('shop.batch.DailyJob#run(SparkSession)')")
+@from_tree("""SELECT fqn FROM (SELECT fqn || '#code(int)' AS fqn FROM d WHERE s % 3 = 0 AND s % 4 <> 1 UNION ALL SELECT fqn || '#save(String)' FROM d WHERE s % 5 = 0
+UNION ALL SELECT fqn || '#job(SparkSession)' FROM d WHERE s % 6 = 0 UNION ALL SELECT fqn || '#failed(Trouble' || k || ')' FROM d WHERE s % 7 = 0) ORDER BY fqn LIMIT 80""")
 def unlogged_methods(spark, sf):
-    return frameworks.unlogged(tables(spark))
+    return frameworks.unlogged(_tables(spark, sf))
 
 
-@query("col0 AS id, col1 AS name_hint, CAST(col2 AS BIGINT) AS call_count", "('method:shop.core.OrderService#main()', true, 1), ('method:shop.batch.DailyJob#main(String[])', true, 1)")
+@from_tree("SELECT code AS id, false AS name_hint, CAST(floor(log2(k)) AS BIGINT) AS call_count FROM d WHERE 2 * k > (SELECT count(*) FROM d) AND s % 8 <> 0 AND k > 1")
 def code_entrypoints(spark, sf):
-    nodes, edges = whole(spark)
+    nodes, edges = tree.graph(spark, sf)
     return graph.entrypoints(nodes, edges)
 
 
-@query("col0 AS id", "('type:shop.core.OrderService')")
+@from_tree("SELECT 'type:' || fqn2 AS target, 'type:' || fqn AS id FROM d WHERE k2 IN (SELECT k FROM d WHERE s % 7 = 1)")
 def type_implementations(spark, sf):
-    return graph.sources_of(whole(spark)[1], ["EXTENDS", "IMPLEMENTS"], "type:shop.core.Audited")
+    """Types below every service type."""
+    nodes, edges = tree.graph(spark, sf)
+    return graph.sources_of_each(edges, ["EXTENDS", "IMPLEMENTS"], nodes.where("stereotype = 'Service'"))
 
 
-@query("col0 AS id", "('method:shop.core.OrderService#check(Order)')")
+@from_tree("SELECT 'method:' || above || '#code(int)' AS target, code AS id FROM a WHERE (k >> i) % 20 = 0")
 def method_overrides(spark, sf):
-    return graph.sources_of(whole(spark)[1], ["OVERRIDES"], "method:shop.core.BaseService#check(Order)")
+    asked = tree.parts(spark, sf).where("k % 20 = 0").select(tree.filled("method:fam.g<g>.Q<k>#code(int)").alias("id"))
+    return graph.sources_of_each(tree.graph(spark, sf)[1], ["OVERRIDES"], asked)
 
 
-@query("col0 AS src, col1 AS dst, col2 AS confidence", "('method:shop.web.OrderController#failed(OrderError)', 'type:shop.core.OrderError', 'HIGH')")
+@from_tree(f"SELECT {FAILED} AS src, {TROUBLE} AS dst, 'HIGH' AS confidence FROM d WHERE s % 7 = 0")
 def handler_edges(spark, sf):
-    return whole(spark)[1].where("type = 'HANDLES'").select("src", "dst", "confidence")
+    return tree.graph(spark, sf)[1].where("type = 'HANDLES'").select("src", "dst", "confidence")
 
 
-@query("CAST(col0 AS BIGINT) AS jobs, CAST(col1 AS BIGINT) AS sql_calls, col2 AS input_tables, col3 AS output_tables", "(1, 1, ['raw.sales'], ['mart.daily'])")
+@from_tree("""SELECT 'jobs' AS what, '' AS key, count(*) AS n FROM d WHERE s % 6 = 0 UNION ALL SELECT 'sql_calls', '', count(*) FROM d WHERE s % 6 = 0
+UNION ALL SELECT 'input_tables', 'raw.r' || s, count(*) FROM d WHERE s % 6 = 0 GROUP BY s UNION ALL SELECT 'output_tables', 'mart.m' || s, count(*) FROM d WHERE s % 6 = 0 GROUP BY s""")
 def spark_counts(spark, sf):
-    return reports.spark_counts(frameworks.spark_jobs(tables(spark)))
+    return reports.spark_counts(frameworks.spark_jobs(_tables(spark, sf)))
 
 
-@query("col0 AS build_system, col1 AS style, CAST(col2 AS BIGINT) AS files, CAST(col3 AS BIGINT) AS java_lines", "('maven', 'mixed', 9, 134)")
+@from_tree(f"SELECT 'maven' AS build_system, 'mixed' AS style, count(*) AS files, sum(CASE WHEN kind LIKE 'java%' THEN lines ELSE 0 END)::BIGINT AS java_lines FROM ({INVENTORY})")
 def project_overview(spark, sf):
-    found = files.inventory(sources(spark))
-    return reports.overview(found, build.build_info(build.build_facts(sources(spark, "pom.xml")))).select("build_system", "style", "files", "java_lines")
+    found = files.inventory(tree.files(spark, sf))
+    return reports.overview(found, build.build_info(build.build_facts(tree.files(spark, sf, "pom")))).select("build_system", "style", "files", "java_lines")
 
 
-@query("col0 AS what, col1 AS id", """('changed_symbol', 'type:shop.core.BaseService'), ('changed_symbol', 'method:shop.core.BaseService#check(Order)'), ('impacted_caller', 'method:shop.core.OrderService#check(Order)'),
-('impacted_caller', 'method:shop.core.OrderService#place(String,int)'), ('impacted_caller', 'method:shop.core.OrderService#main()'), ('impacted_caller', 'method:shop.web.OrderController#add(String)'),
-('new_file', 'src/main/java/New.java'), ('deleted_file', 'src/main/java/Gone.java'), ('unmapped_file', 'src/main/java/Plain.java')""")
+@from_tree(f""", seed AS (SELECT k FROM d WHERE s % 12 < 2), {CALLERS}
+SELECT 'changed_symbol' AS what, unnest(['type:' || fqn, code]) AS id FROM d WHERE s % 12 < 2 UNION ALL SELECT 'changed_symbol', {SAVE} FROM d WHERE s % 12 = 1 AND s % 5 = 0
+UNION ALL SELECT 'changed_symbol', unnest([{FAILED}, {TROUBLE}]) FROM d WHERE s % 12 = 1 AND s % 7 = 0
+UNION ALL SELECT 'impacted_caller', id FROM below UNION ALL SELECT 'impacted_caller', id FROM checks UNION ALL SELECT 'impacted_test', id FROM checks
+UNION ALL SELECT 'impacted_sql', 'sql:' || substr(sha1('insert into w' || s || ' (a) values (' || k || ')'), 1, 12) FROM d WHERE s % 12 = 1 AND s % 5 = 0
+UNION ALL SELECT 'new_file', 'new' || k || '.sql' FROM d WHERE s % 12 = 2 UNION ALL SELECT 'deleted_file', 'gone' || k || '.txt' FROM d WHERE s % 12 = 3""")
 def diff_impact(spark, sf):
-    """The changed lines of a diff, the symbols there, and what calls them."""
-    nodes, edges = whole(spark)
-    rows = [("src/main/java/shop/core/BaseService.java", "M", 5, 5), ("src/main/java/New.java", "A", 1, 9), ("src/main/java/Gone.java", "D", 0, 0), ("src/main/java/Plain.java", "M", 1, 1)]
-    return reports.change_impact(nodes, edges, spark.createDataFrame(rows, "path string, status string, lo int, hi int"))
+    """The changed lines of a diff, the symbols there, and what calls them; a renamed file counts as a whole."""
+    nodes, edges = tree.graph(spark, sf)
+    return reports.change_impact(nodes, edges, materialize(git.hunks(tree.diffs(spark, sf)), "hunks"))
+
+
+@from_tree("""SELECT 'files' AS what, kind AS key, count(*) AS n FROM (""" + INVENTORY + """) GROUP BY kind UNION ALL SELECT 'parsed', 'success', count(*) + count(*) FILTER (s % 8 = 0) FROM d
+UNION ALL SELECT 'sql_statements', '', (SELECT count(*) FROM d WHERE s % 5 = 0) + (SELECT count(DISTINCT s) FROM d WHERE s % 6 = 0) + (SELECT count(DISTINCT s) + count(*) + count(DISTINCT k % 10) FROM d WHERE s % 10 = 0)
+UNION ALL SELECT 'sql_parsed_ok', '', (SELECT count(*) FROM d WHERE s % 5 = 0) + (SELECT count(DISTINCT s) FROM d WHERE s % 6 = 0) + (SELECT count(DISTINCT s) + count(*) + count(DISTINCT k % 10) FROM d WHERE s % 10 = 0)
+UNION ALL SELECT 'sql_by_type', 'INSERT', (SELECT count(*) FROM d WHERE s % 5 = 0) + (SELECT count(*) FROM d WHERE s % 10 = 0) UNION ALL SELECT 'sql_by_type', 'SELECT', count(DISTINCT s) FROM d WHERE s % 6 = 0
+UNION ALL SELECT 'sql_by_type', 'CREATE', count(DISTINCT s) FROM d WHERE s % 10 = 0 UNION ALL SELECT 'sql_by_type', 'DELETE', count(DISTINCT k % 10) FROM d WHERE s % 10 = 0
+UNION ALL SELECT 'sql_tables', '', (SELECT count(DISTINCT s) FROM d WHERE s % 5 = 0) + (SELECT 3 * count(DISTINCT s) FROM d WHERE s % 6 = 0) + (SELECT count(DISTINCT s) + count(*) + count(DISTINCT k % 10) FROM d WHERE s % 10 = 0)
+UNION ALL SELECT 'spring_stereotypes', ['ControllerAdvice', 'Service', 'Repository'][s % 7 + 1], count(*) FROM d WHERE s % 7 < 3 GROUP BY 2
+UNION ALL SELECT 'spring_' || w, '', 0 FROM (VALUES ('endpoints'), ('beans'), ('injections')) v(w) UNION ALL SELECT 'spring_exception_handlers', '', count(*) FROM d WHERE s % 7 = 0""")
+def scan_statistics(spark, sf):
+    """The numbers of a scan, but those of nodes and edges by kind."""
+    nodes, edges = tree.graph(spark, sf)
+    found = reports.scan_stats(files.inventory(tree.files(spark, sf)), _tables(spark, sf).files, nodes, edges)
+    return found.where("what NOT IN ('nodes', 'edges', 'unresolved')")
+
+
+@from_tree(f"""SELECT id FROM (SELECT code AS id, k, s FROM d WHERE k NOT IN (SELECT k FROM d WHERE s % 8 = 0 UNION SELECT a.k >> i FROM a WHERE s % 8 = 0)
+UNION ALL SELECT {SAVE}, k, s FROM d WHERE s % 5 = 0 UNION ALL SELECT {JOB}, k, s FROM d WHERE s % 6 = 0 UNION ALL SELECT {FAILED}, k, s FROM d WHERE s % 7 = 0) ORDER BY id LIMIT 80""")
+def uncovered_methods(spark, sf):
+    """Methods that no test reaches: a test covers its class's method and all above it."""
+    nodes, edges = tree.graph(spark, sf)
+    return reports.test_coverage(nodes, edges)
 
 
 # -- code written from the rows of part, of any size ---------------------------------------------
@@ -435,3 +528,27 @@ QUALIFY position <= CASE page WHEN 'files' THEN 30 ELSE 50 END""")
 def table_task_pack(spark, sf):
     _, nodes, edges, _ = tablecode.graph(spark, sf)
     return context.task_pack(nodes, edges, _hits(spark, sf)).where("page IN ('files', 'callers', 'callees', 'sql')")
+
+
+@from_tables("SELECT 'endpoint:GET /p/' || k AS id, fqn || '#get()' AS handler FROM d WHERE s % 5 = 1")
+def web_endpoints(spark, sf):
+    return frameworks.endpoints(tablecode.graph(spark, sf)[0]).select("id", "handler")
+
+
+@from_tables("SELECT fqn AS src, fqn2 AS dst, CASE WHEN s2 % 5 IN (0, 1) THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM d WHERE s % 5 = 0 AND known AND k <> k2")
+def injections(spark, sf):
+    return frameworks.injections(tablecode.graph(spark, sf)[0])
+
+
+@from_tables("""SELECT endpoint, count(*) AS steps, max(depth) AS deepest FROM (
+SELECT 'endpoint:GET /p/' || k AS endpoint, CAST(i AS INTEGER) AS depth FROM d, range(4) r(i) WHERE s % 5 = 1 AND (k >> i > 0 OR i = 0 OR k >> (i - 1) > 0)) GROUP BY endpoint""")
+def endpoint_flows(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return reports.endpoint_flows(nodes, edges).groupBy("endpoint").agg(F.count("*").alias("steps"), F.max("depth").alias("deepest"))
+
+
+@from_tables(f"""SELECT 'endpoint:GET /p/' || k AS id, 'GET' AS http_method, '/p/' || k AS path, fqn || '#get()' AS handler,
+list_transform(list_filter(range(8), lambda i: i = 0 OR k >> (i - 1) > 0), lambda i: 'method:shop.g' || (k >> i) % 10 || '.P' || (k >> i) || '#run(int)') AS steps FROM d WHERE s % 5 = 1""")
+def endpoint_dashboard(spark, sf):
+    _, nodes, edges, _ = tablecode.graph(spark, sf)
+    return reports.endpoint_dashboard(nodes, edges)

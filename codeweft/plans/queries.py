@@ -12,6 +12,7 @@ from codeweft.functions.classify import case_sql, classify_path
 from codeweft.functions.embedding import hashing_embedding
 from codeweft.operators import context, graph, resolution, retrieval, snapshot, spans, traversal
 from codeweft.plans import starschema as star
+from codeweft.plans import tabletree as tree
 from codeweft.storage import materialize, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,15 +41,18 @@ def classify_path_pages(spark, sf):
     return table(spark, sf, "pages").select("url", classify_path("url").alias("kind"))
 
 
-PATHS = """(VALUES ('src/main/java/a/App.java'), ('src/test/java/a/AppTest.java'), ('a/FooIT.java'), ('a/x.scala'), ('pom.xml'), ('m/build.gradle.kts'),
- ('settings.gradle'), ('gradle.properties'), ('src/main/resources/application-dev.yml'), ('conf/spark-defaults.conf'), ('conf/my-spark.properties'),
- ('db/V1__init.SQL'), ('Dockerfile'), ('docker-compose.yml'), ('README'), ('docs/a.adoc'), ('mvnw'), ('bin/start'), ('scripts/x.txt'), ('.gitignore'),
- ('.settings/org.x'), ('src/test/resources/a.txt'), ('src/main/resources/b.bin'), ('x/config.toml'), ('x/unknown.bin'), ('tests/Bar.java')) AS t(path)"""
+#: Paths of every kind; a part of size s has the one at s modulo their number.
+PATHS = """src/main/java/a/App<k>.java src/test/java/a/App<k>Test.java a/Foo<k>IT.java a/x<k>.scala m<k>/pom.xml m<k>/build.gradle.kts
+m<k>/settings.gradle m<k>/gradle.properties src/main/resources/application-<k>.yml conf<k>/spark-defaults.conf conf/my-spark<k>.properties db/V<k>__init.SQL
+d<k>/Dockerfile d<k>/docker-compose.yml d<k>/README docs/a<k>.adoc d<k>/mvnw bin/start<k> scripts/x<k>.txt d<k>/.gitignore .settings/org.x<k>
+src/test/resources/a<k>.txt src/main/resources/b<k>.bin x/config<k>.toml x/unknown<k>.bin tests/Bar<k>.java""".split()
+PATH_OF_PART = f"replace([{', '.join(f"'{p}'" for p in PATHS)}][p_size % {len(PATHS)} + 1], '<k>', p_partkey + 1)"
 
 
-@query(f"SELECT path, {case_sql('path')} AS kind, {' OR '.join(f'''lower(path) LIKE '%{e}' ''' for e in X.TEXT_ENDINGS)} AS is_text FROM {PATHS}")
+@query(f"SELECT path, {case_sql('path')} AS kind, {' OR '.join(f'''lower(path) LIKE '%{e}' ''' for e in X.TEXT_ENDINGS)} AS is_text FROM (SELECT {PATH_OF_PART} AS path FROM part)".replace("p_partkey + 1)", "(p_partkey + 1)::VARCHAR)"))
 def classify_path_samples(spark, sf):
-    return spark.sql(f"SELECT path FROM {PATHS}").select("path", classify_path("path").alias("kind"), X.is_text_name(F.col("path")).alias("is_text"))
+    path = tree.by_size([(i, len(PATHS), tree.filled(p)) for i, p in enumerate(PATHS)], F.lit(None))
+    return tree.parts(spark, sf).select(path.alias("path")).select("path", classify_path("path").alias("kind"), X.is_text_name(F.col("path")).alias("is_text"))
 
 
 @query(f"SELECT kind, count(*) AS files FROM (SELECT {case_sql('url')} AS kind FROM pages) GROUP BY kind")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.embedding import DIM, hashing_embedding
 from codeweft.functions.text import decoded
 from codeweft.operators import frameworks, graph, reports, retrieval
-from codeweft.operators.codegraph import code_graph
+from codeweft.operators.wholegraph import whole_graph
 from codeweft.operators.javagraph import JavaTables
 from codeweft.operators.snapshot import snapshot_diff
 from codeweft.sources import config, files, git, java, tree
@@ -57,7 +57,7 @@ class Project:
             changes = materialize(snapshot_diff(inventory, self.metadata.known_hashes()), "changes")
 
             parsed = JavaTables(java.parse_files(found.where(F.col("relative_path").endswith(".java"))))
-            nodes, edges = code_graph(parsed, found)
+            nodes, edges = whole_graph(parsed, found)
             nodes = materialize(nodes, "scan-nodes")
             chunks = materialize(frameworks.chunks(nodes, found), "scan-chunks")
             vectors, counts = self.vectors_of(chunks, mode == "full")
@@ -96,9 +96,16 @@ class Project:
         return retrieval.hybrid_retrieve(chunks, vectors, nodes, edges, queries, asked, k, kind=kind)
 
     def impact_of_diff(self, ref: str = "HEAD") -> DataFrame:
-        """``what, id`` of what the changes since a git ref touch; see :func:`reports.change_impact`."""
+        """``what, id`` of what the changes since a git ref touch; see :func:`reports.change_impact`.
+
+        Where git has no answer, one row ``unavailable`` with its message.
+        """
         nodes, edges = self.graph.read()
-        return reports.change_impact(nodes, edges, git.hunks(self.spark, git.read_diff(self.root, ref, "*.java")))
+        try:
+            changed = git.diff_rows(self.spark, git.read_diff(self.root, ref, "*.java"))
+        except git.GitUnavailable as e:
+            return self.spark.createDataFrame([("unavailable", str(e))], "what string, id string")
+        return reports.change_impact(nodes, edges, materialize(git.hunks(changed), "hunks"))
 
     def configuration(self, markers: list[str] | None = None) -> DataFrame:
         """Configuration rows of the tree, secrets redacted."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators.codegraph import code_graph
+from codeweft.operators.wholegraph import whole_graph
 from codeweft.operators.javagraph import JavaTables
+from codeweft.plans.tabletree import once
 from codeweft.sources import java
 from codeweft.storage import materialize, table
 
@@ -35,7 +36,11 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf: str) -> tuple[JavaTables, DataFrame, DataFrame, DataFrame]:
     """(tables, nodes, edges, sources) of that code."""
-    own = sources(spark, sf)
-    parsed = JavaTables(java.parse_files(own))
-    nodes, edges = code_graph(parsed, own)
-    return parsed, materialize(nodes, "nodes"), materialize(edges, "edges"), own
+
+    def make():
+        own = sources(spark, sf)
+        parsed = JavaTables(java.parse_files(own))
+        nodes, edges = whole_graph(parsed, own)
+        return parsed, materialize(nodes, "nodes"), materialize(edges, "edges"), own
+
+    return once(spark, sf, "code-graph", make)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,34 +39,46 @@ def _resolve(folder: Path, ref: str) -> str | None:
     return None
 
 
+class GitUnavailable(RuntimeError):
+    """git is missing, or refuses the ref or the folder; the message says which."""
+
+
 def read_diff(root: str, ref: str = "HEAD", pathspec: str | None = None) -> str:
     """Unified diff without context of a ref, or ``a..b``, as git prints it."""
     command = ["git", "diff", "--unified=0", "--no-color", "--find-renames", ref, *(["--", pathspec] if pathspec else [])]
-    return subprocess.run(command, cwd=root, capture_output=True, text=True, timeout=30, check=True).stdout
+    try:
+        done = subprocess.run(command, cwd=root, capture_output=True, timeout=30)
+    except (OSError, subprocess.TimeoutExpired) as e:
+        raise GitUnavailable(f"git diff: {type(e).__name__}") from e
+    if done.returncode:
+        raise GitUnavailable(done.stderr.decode("utf-8", "replace").strip() or f"git diff ended with {done.returncode}")
+    return done.stdout.decode("utf-8", "replace")
+
+
+def diff_rows(spark: SparkSession, text: str) -> DataFrame:
+    """``text``: the diff of each file, one row each."""
+    return spark.createDataFrame([("diff --git " + x,) for x in re.split(r"(?m)^diff --git ", text)[1:]], "text string")
 
 
-def hunks(spark: SparkSession, text: str) -> DataFrame:
-    """``path, status, lo, hi, added, removed``: one row for each changed range of the new side.
+def hunks(diffs: DataFrame) -> DataFrame:
+    """``path, status, lo, hi, added, removed`` of diffs(text): one row for each changed range of the new side.
 
     A file without ranges (a rename) has one row without them; a pure deletion is a range of one line.
-    Counts of lines are the file's.
+    Counts of lines are the file's. A row may hold the diffs of several files; each file is read by itself.
     """
-    lines = spark.createDataFrame([(text,)], "text string").select(F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    starts = F.col("line").startswith("diff --git ")
-    numbered = lines.withColumn("file_no", F.sum(starts.cast("int")).over(Window.orderBy("n"))).where("file_no > 0")
-    cut = lambda p: F.trim(F.substring("line", len(p) + 1, 1 << 20))
-    has = lambda p: F.col("line").startswith(p)
-    before = F.max(F.when(F.col("line").startswith("@@ "), F.col("n"))).over(Window.partitionBy("file_no").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).isNull()
-    numbered = numbered.withColumn("header", before)
-    of_file = numbered.groupBy("file_no").agg(
-        F.coalesce(
-            F.max(F.when(F.col("header") & has("rename to "), cut("rename to "))), F.max(F.when(F.col("header") & has("+++ b/"), cut("+++ b/"))), F.max(F.when(F.col("header") & has("--- a/"), cut("--- a/")))
-        ).alias("path"),
-        F.when(F.bool_or(has("new file mode")), "A").when(F.bool_or(has("deleted file mode") | has("+++ /dev/null")), "D").when(F.bool_or(has("rename to ")), "R").otherwise("M").alias("status"),
-        F.count_if(~F.col("header") & has("+")).alias("added"),
-        F.count_if(~F.col("header") & has("-")).alias("removed"),
-    )
-    at = F.regexp_extract("line", r"^@@ -\S+ \+(\d+)", 1).cast("int")
-    size = F.coalesce(F.nullif(F.regexp_extract("line", r"^@@ -\S+ \+\d+,(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
-    ranges = numbered.where(F.col("line").startswith("@@ ")).select("file_no", at.alias("lo"), (at + F.greatest(size, F.lit(1)) - 1).alias("hi"))
-    return of_file.where("path IS NOT NULL").join(ranges, "file_no", "left").select("path", "status", "lo", "hi", "added", "removed")
+    one = diffs.select(F.explode(F.split("text", r"(?m)^(?=diff --git )")).alias("piece")).where(F.col("piece").startswith("diff --git "))
+    lines = one.select(F.split("piece", "\n").alias("lines"))
+    is_range = lambda x: x.startswith("@@ ")
+    at = F.array_position(F.transform("lines", is_range), F.lit(True)).cast("int")
+    cut = lines.withColumn("at", F.when(at > 0, at).otherwise(F.size("lines") + 1))
+    cut = cut.select(F.slice("lines", F.lit(1), F.col("at") - 1).alias("head"), F.slice("lines", F.col("at"), F.size("lines")).alias("body"))
+    has = lambda p: F.exists("head", lambda x: x.startswith(p))
+    rest = lambda p: F.get(F.transform(F.filter("head", lambda x: x.startswith(p)), lambda x: F.trim(F.substring(x, F.lit(len(p) + 1), F.length(x)))), F.lit(0))
+    status = F.when(has("new file mode"), "A").when(has("deleted file mode") | has("+++ /dev/null"), "D").when(has("rename to "), "R").otherwise("M")
+    count = lambda p: F.size(F.filter("body", lambda x: x.startswith(p))).cast("long")
+    first = lambda x: F.regexp_extract(x, r"^@@ -\S+ \+(\d+)", 1).cast("int")
+    size = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^@@ -\S+ \+\d+,(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
+    ranges = F.transform(F.filter("body", is_range), lambda x: F.struct(first(x).alias("lo"), (first(x) + F.greatest(size(x), F.lit(1)) - 1).alias("hi")))
+    path = F.coalesce(rest("rename to "), rest("+++ b/"), rest("--- a/"))
+    found = cut.select(path.alias("path"), status.alias("status"), F.explode_outer(ranges).alias("r"), count("+").alias("added"), count("-").alias("removed"))
+    return found.where("path IS NOT NULL").select("path", "status", "r.lo", "r.hi", "added", "removed")

@@ -289,7 +289,7 @@ def test_searches_in_blocks(spark, monkeypatch):
 
 def test_scan_end_to_end(spark, tmp_path):
     """A folder becomes a graph with all facts; a second scan reuses vectors, records changes and answers searches."""
-    from codeweft.plans.samples import FILES
+    from tests.samples import FILES
     from codeweft.plans.scan import Project
 
     root, store = tmp_path / "code", (tmp_path / "store").as_uri()
