@@ -47,7 +47,8 @@ LONGEST = 5
 TOP = 2000
 SAMPLE = 8
 NO_LANGUAGE = "und"
-SLICE = 8 << 20
+#: Bytes of text whose phrases are counted together before they leave a task.
+SLICE = 2 << 20
 #: Signs that end a piece; blanks and tabs only part words.
 ENDS = byte_class([ord(c) for c in ".,;:!?"] + [10, 11, 12, 13])
 WORD_BYTES = ~(ENDS | byte_class([9, 32]))
@@ -82,14 +83,13 @@ class Phrases:
         data, offsets = text_bytes(names)
         return span_hashes(data, offsets[:-1], offsets[1:])
 
-    def codes(self, longest: int = LONGEST) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By length: codes of the phrases that begin at each word, and whether there is one."""
-        out, rolled = [], np.zeros(len(self.hash), U64)
-        for k in range(longest):
+    def codes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, codes of the phrases that begin at each word, whether there is one), from single words on."""
+        rolled = np.zeros(len(self.hash), U64)
+        for k in range(LONGEST):
             n = max(0, len(self.hash) - k)
             rolled = rolled[:n] + self.hash[k:] * FACTORS[k]
-            out.append((mixed(rolled ^ mixed(self.salt[:n] + U64(k + 1))), self.piece[:n] == self.piece[k:]))
-        return out
+            yield k + 1, mixed(rolled ^ mixed(self.salt[:n] + U64(k + 1))), self.piece[:n] == self.piece[k:]
 
     def tallied(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a place of each distinct code, how often it occurs) among the phrases that begin at ``at``."""
@@ -149,10 +149,9 @@ def _marks(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def parts_marked(codes: list[tuple[np.ndarray, np.ndarray]], marks: list[np.ndarray], size: int) -> np.ndarray:
-    """Whether both parts of the phrases of ``size`` words are marked."""
-    n = len(codes[size - 1][0])
-    return marks[size - 2][:n] & marks[size - 2][1 : n + 1]
+def parts_marked(shorter: np.ndarray) -> np.ndarray:
+    """Whether both parts of each phrase are marked, by the marks of the phrases that are one word shorter."""
+    return shorter[:-1] & shorter[1:]
 
 
 def _sampled(bits) -> callable:
@@ -162,13 +161,15 @@ def _sampled(bits) -> callable:
         marks = Marks(bits.value) if bits is not None else None
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
-                own = Phrases(part)
-                codes = own.codes()
-                pairs = marks(codes[1][0]) & codes[1][1] if marks else None
-                for size in range(3, LONGEST + 1) if marks else (1, 2):
-                    code, inside = codes[size - 1]
+                own, whole = Phrases(part), None
+                for size, code, inside in own.codes():
+                    if marks and size == 2:
+                        whole = marks(code) & inside
+                    if (size > 2) != bool(marks):
+                        continue
                     if marks:
-                        inside = inside & np.logical_and.reduce([pairs[k : k + len(code)] for k in range(size - 1)])
+                        whole = parts_marked(whole)  # all pairs of the phrase
+                        inside = inside & whole
                     place, times = own.tallied(code, np.flatnonzero(inside))
                     yield pa.RecordBatch.from_arrays([pa.array(signed(code[place])), pa.array(times.astype(np.int64))], ["code", "c"])
 
@@ -180,36 +181,34 @@ def _counted(passes: list, now: int) -> callable:
     phrases whose border it counts. Rows of size 0 hold the number of words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [(Marks(a.value), Marks(b.value)) for a, b in passes]
+        tables = [(m := Marks(a.value), m if b is a else Marks(b.value)) for a, b in passes]
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
                 own = Phrases(part)
                 if not len(own.word):
                     continue
-                codes = own.codes()
-                members = [[m(code) for code, _ in codes] for m, _ in tables]
-                grown = [x if a is b else [b(code) for code, _ in codes] for (a, b), x in zip(tables, members, strict=True)]
                 if now == 0:
                     times = np.bincount(own.lang)
                     first = np.zeros(len(times), np.int64)
                     first[own.lang[::-1]] = np.arange(len(own.lang))[::-1]
                     held = np.flatnonzero(times)
                     yield own.rows(first[held], 0, np.zeros(len(own.lang), U64), times[held], spelled=False)
-                for size in range(1, LONGEST + 1):
-                    code, inside = codes[size - 1]
+                shorter: list[np.ndarray] = []
+                for size, code, inside in own.codes():
+                    members = [member(code) for member, _ in tables]
                     # A failure of the border was counted before, by its code; now it is as a string.
-                    member = inside & members[now][size - 1]
-                    border = inside & ~member
+                    place, times = own.exactly(code, np.flatnonzero(inside & members[now]), size)
+                    yield own.rows(place, size, code, times, spelled=True)
+                    border = inside & ~members[now]
                     if size > 1:
-                        border &= parts_marked(codes, grown[now], size)
-                        for j in range(now):
-                            border &= ~members[j][size - 1] & ~parts_marked(codes, grown[j], size)
+                        border &= parts_marked(shorter[now])
+                        for j in range(now):  # not counted by an earlier pass
+                            border &= ~members[j] & ~parts_marked(shorter[j])
                     elif now:
                         border[:] = False  # the first pass counts all words
-                    place, times = own.exactly(code, np.flatnonzero(member), size)
-                    yield own.rows(place, size, code, times, spelled=True)
                     place, times = own.tallied(code, np.flatnonzero(border))
                     yield own.rows(place, size, code, times, spelled=False)
+                    shorter = [m if grown is member else grown(code) for (member, grown), m in zip(tables, members, strict=True)]
 
     return run
 
@@ -260,10 +259,9 @@ def _codes_of(phrases: DataFrame) -> DataFrame:
             own = Phrases(batch)
             first = np.searchsorted(own.piece, np.arange(batch.num_rows))
             size = batch.column("size").to_numpy()
-            codes = own.codes()
             out = np.zeros(batch.num_rows, U64)
-            for k in range(1, LONGEST + 1):
-                out[size == k] = codes[k - 1][0][first[size == k]]
+            for k, code, _ in own.codes():
+                out[size == k] = code[first[size == k]]
             yield pa.RecordBatch.from_arrays([pa.array(signed(out))], ["code"])
 
     return phrases.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_text"), "size").mapInArrow(run, "code long")

@@ -234,7 +234,7 @@ def test_shared_codes_are_told_apart(monkeypatch):
     import pyarrow as pa
 
     own = phrases.Phrases(pa.RecordBatch.from_arrays([pa.array(["a b a b c b a b"]), pa.array(["en"])], ["_text", "_lang"]))
-    code, inside = own.codes()[1]
+    _, code, inside = list(own.codes())[1]
     place, times = own.exactly(np.zeros_like(code), np.flatnonzero(inside), 2)
     assert dict(zip(own.spelled(place, 2).to_pylist(), times.tolist())) == {"a b": 3, "b a": 2, "b c": 1, "c b": 1}
 
