@@ -23,23 +23,43 @@ def _id(kind: str, column: str | Column) -> Column:
 
 
 class JavaTables:
-    """Types, methods, fields, references and imports of all files, and resolved type references."""
+    """Types, methods, fields, references and imports of all files, resolved type references, and calls.
 
-    def __init__(self, parsed: DataFrame) -> None:
+    What was resolved before can be given with the files that it is not to be taken for: ``resolved`` and ``stale``
+    (see :mod:`codeweft.operators.incremental`).
+    """
+
+    def __init__(self, parsed: DataFrame, resolved: DataFrame | None = None, stale: DataFrame | None = None) -> None:
         self.parsed = materialize(parsed, "parsed")
         self.files = self.parsed.select("relative_path", "status", "package", F.size("types").alias("type_count"))
         self.types, self.fields, self.methods, self.refs, self.imports = (entities(self.parsed, x) for x in ("types", "fields", "methods", "refs", "imports"))
-        self.resolved = materialize(self._resolve(), "resolved")
+        fresh = self._resolve(stale)
+        if resolved is not None:
+            fresh = resolved.join(stale, "file", "left_anti").unionByName(fresh)
+        self.resolved = materialize(fresh, "resolved")
         self.supertypes = materialize(self._supertypes(), "supertypes")
+        self._calls: DataFrame | None = None
+
+    @property
+    def calls(self) -> DataFrame:
+        """CALLS edges of all files, with constructors; resolved once."""
+        if self._calls is None:
+            self._calls = materialize(call_edges(self, self.refs), "call-edges")
+        return self._calls
 
-    def _asked(self) -> DataFrame:
-        """Every place that names a type: ``use, src, raw, line, ordinal, file, package``."""
+    def patch_calls(self, before: DataFrame, stale: DataFrame) -> None:
+        """Take the calls of before, and resolve only those of the stale files."""
+        fresh = call_edges(self, self.refs.join(stale, "file", "left_semi"))
+        self._calls = materialize(before.join(stale, "file", "left_anti").unionByName(fresh), "call-edges")
+
+    def _asked(self, only: DataFrame | None) -> DataFrame:
+        """Every place that names a type, in some files or in all: ``use, src, raw, line, ordinal, file, package``."""
 
         def part(df: DataFrame, use: str, src: Column, raw: Column, line: Column, ordinal: Column | None = None) -> DataFrame:
             return df.select(F.lit(use).alias("use"), src.alias("src"), raw.alias("raw"), line.alias("line"), (ordinal if ordinal is not None else F.lit(0)).cast("int").alias("ordinal"), "file", F.col("file_package").alias("package"))
 
         line = F.col("location.line_start")
-        t, f, m, r = self.types, self.fields, self.methods, self.refs
+        t, f, m, r = (df if only is None else df.join(only, "file", "left_semi") for df in (self.types, self.fields, self.methods, self.refs))
         each = lambda df, c: df.select("*", F.posexplode(c).alias("_pos", "_one"))
         one, pos = F.col("_one"), F.col("_pos")
         of_ref = r.withColumn("file_package", F.col("file_package"))
@@ -58,8 +78,8 @@ class JavaTables:
         ]
         return _union(parts)
 
-    def _resolve(self) -> DataFrame:
-        asked = self._asked().withColumn("raw", F.regexp_replace("raw", r"^@(\w+)", "$1"))
+    def _resolve(self, only: DataFrame | None) -> DataFrame:
+        asked = self._asked(only).withColumn("raw", F.regexp_replace("raw", r"^@(\w+)", "$1"))
         known = self.types.select("fqn", "package")
         imports = self.imports.select("file", "fqn", "ordinal", "wildcard", "static")
         # A name is resolved once for each file that uses it, however often it does.
@@ -89,9 +109,23 @@ class JavaTables:
         return self.types.select("fqn", F.col("fqn").alias("super"), F.lit(0).alias("depth")).unionByName(self.supertypes)
 
 
-def _call_edges(j: JavaTables) -> DataFrame:
-    """CALLS edges by receiver: own type, supertype, known name, type name, or an external guess."""
-    r = j.refs.where("kind = 'call'").withColumn("call_id", F.concat_ws("|", "method_fqn", F.col("ref_ordinal").cast("string")))
+def call_edges(j: JavaTables, refs: DataFrame) -> DataFrame:
+    """CALLS edges of some references by receiver: own type, supertype, known name, type name, or an external guess; and
+    those of constructors that ``new`` meets."""
+    return _method_calls(j, refs).unionByName(_constructor_calls(j, refs))
+
+
+def _constructor_calls(j: JavaTables, refs: DataFrame) -> DataFrame:
+    creates = refs.where("kind = 'create'").withColumn("call_id", F.concat_ws("|", "method_fqn", F.col("ref_ordinal").cast("string")))
+    of_create = j.resolved.where("use = 'CREATES' AND declared").select(F.col("src").alias("method_fqn"), F.col("ordinal").alias("ref_ordinal"), F.col("target").alias("owner"))
+    made = creates.join(of_create, ["method_fqn", "ref_ordinal"])
+    constructors = j.methods.where("kind = 'constructor'").select(F.col("owner_fqn").alias("owner"), F.lit("new").alias("name"), F.size("parameters").alias("arity"), _id("method", "fqn").alias("id"))
+    linked = link_constructors(made.select("call_id", "owner", F.lit("new").alias("name"), F.col("arg_count").alias("arity")), constructors).join(made.select("call_id", "method_fqn", "file", "line", "ref_ordinal"), "call_id")
+    return linked.select(F.lit("CALLS").alias("type"), _id("method", "method_fqn").alias("src"), F.col("target").alias("dst"), "confidence", "file", F.col("line").cast("int").alias("line"), F.col("ref_ordinal").cast("int").alias("ordinal"))
+
+
+def _method_calls(j: JavaTables, refs: DataFrame) -> DataFrame:
+    r = refs.where("kind = 'call'").withColumn("call_id", F.concat_ws("|", "method_fqn", F.col("ref_ordinal").cast("string")))
     r = r.join(j.methods.select(F.col("fqn").alias("method_fqn"), "owner_fqn"), "method_fqn")
     lineage = j.lineage()
     fields = j.resolved.where("use = 'USES_TYPE/field'").select(F.col("src").alias("fqn"), "target").join(j.fields.select("fqn", "owner_fqn", "name"), "fqn")
@@ -119,7 +153,7 @@ def _call_edges(j: JavaTables) -> DataFrame:
     candidates = lineage.join(j.methods.where("kind = 'method'").select(F.col("owner_fqn").alias("super"), "name", F.size("parameters").alias("arity"), F.col("fqn").alias("id")), "super")
     candidates = candidates.select(F.col("fqn").alias("owner"), "name", "arity", _id("method", "id").alias("id")).distinct()
     found = resolve_calls(calls, candidates).join(r.select("call_id", "method_fqn", "line", "file", "ref_ordinal"), "call_id")
-    return found.select(F.lit("CALLS").alias("type"), _id("method", "method_fqn").alias("src"), F.col("target").alias("dst"), "confidence", "file", "line", F.col("ref_ordinal").alias("ordinal"))
+    return found.select(F.lit("CALLS").alias("type"), _id("method", "method_fqn").alias("src"), F.col("target").alias("dst"), "confidence", "file", F.col("line").cast("int").alias("line"), F.col("ref_ordinal").cast("int").alias("ordinal"))
 
 
 def java_graph(j: JavaTables) -> tuple[DataFrame, DataFrame]:
@@ -141,11 +175,6 @@ def java_graph(j: JavaTables) -> tuple[DataFrame, DataFrame]:
     over = methods_with.select("fqn", "owner_fqn", "name", "arity", "kind", "file", "annotations", "location").alias("m").join(j.supertypes.alias("s"), F.col("m.owner_fqn") == F.col("s.fqn"))
     over = over.join(methods_with.select(F.col("fqn").alias("super_fqn"), F.col("owner_fqn").alias("super"), "name", "arity", "kind").alias("o"), ["super", "name", "arity", "kind"])
     marked = F.when(F.exists("annotations", lambda a: simple_name(a["name"]) == "Override"), "HIGH").otherwise("MEDIUM")
-    creates = j.refs.where("kind = 'create'").withColumn("call_id", F.concat_ws("|", "method_fqn", F.col("ref_ordinal").cast("string")))
-    of_create = j.resolved.where("use = 'CREATES' AND declared").select(F.col("src").alias("method_fqn"), F.col("ordinal").alias("ref_ordinal"), F.col("target").alias("owner"))
-    made = creates.join(of_create, ["method_fqn", "ref_ordinal"])
-    constructors = methods_with.where("kind = 'constructor'").select(F.col("owner_fqn").alias("owner"), F.lit("new").alias("name"), "arity", _id("method", "fqn").alias("id"))
-    linked = link_constructors(made.select("call_id", "owner", F.lit("new").alias("name"), F.col("arg_count").alias("arity")), constructors).join(made.select("call_id", "method_fqn", "file", "line", "ref_ordinal"), "call_id")
     edges = _union([
         edge(packaged, "CONTAINS", _id("package", "package"), _id("file", "file")),
         edge(j.imports.where("NOT wildcard"), "IMPORTS", _id("file", "file"), _id("type", "fqn"), ordinal=F.col("ordinal")),
@@ -156,8 +185,7 @@ def java_graph(j: JavaTables) -> tuple[DataFrame, DataFrame]:
         edge(j.methods, "DECLARES", _id("type", "owner_fqn"), _id("method", "fqn"), at=line),
         by_type,
         edge(over, "OVERRIDES", _id("method", F.col("m.fqn")), _id("method", "super_fqn"), marked, F.col("location.line_start")),
-        _call_edges(j),
-        edge(linked, "CALLS", _id("method", "method_fqn"), F.col("target"), F.col("confidence"), F.col("line"), F.col("ref_ordinal")),
+        j.calls,
     ])
     edges = materialize(first_edges(edges, F.struct("ordinal", "file", "line")), "java-edges")  # read for the ends of edges and as the result
 

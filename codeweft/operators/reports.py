@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.text import short_id, simple_name
 from codeweft.operators.graph import IMPACT_TYPES, entrypoints, impact_related
 from codeweft.operators.spans import overlapping_spans
-from codeweft.operators.traversal import call_flow, khop
+from codeweft.operators.traversal import call_flow, khop, reachable
 from codeweft.sources.files import application_style, java_lines
 from codeweft.storage import materialize
 
@@ -139,8 +139,8 @@ def test_coverage(nodes: DataFrame, edges: DataFrame, max_depth: int = 4, most:
     """Methods outside tests that no test reaches, the first in order; external placeholders do not count."""
     methods = nodes.where(F.col("kind").isin("Method", "Constructor") & ~F.coalesce("placeholder", F.lit(False)))
     is_test = looks_like_test()
-    reached = khop(edges, methods.where(is_test).select("id"), max_depth, "out", ["CALLS"])
-    return methods.where(~is_test).join(reached.select("id").distinct(), "id", "left_anti").select("id").orderBy("id").limit(most)
+    reached = reachable(edges, methods.where(is_test), max_depth, "out", ["CALLS"])
+    return methods.where(~is_test).join(reached.select("id"), "id", "left_anti").select("id").orderBy("id").limit(most)
 
 
 def long_rows(**parts: tuple[DataFrame, Column, Column]) -> DataFrame:

@@ -1,22 +1,25 @@
 """Vector, lexical and symbol search, rank fusion and reranking, for many queries at once.
 
-A query set is a table ``queries(query_id, query)``. It meets the texts or vectors in blocks of ``QUERY_BLOCK``
+A query set is a table ``queries(query_id, query)``. It meets the texts or vectors in passes of ``topk.PASS_QUERIES``
 queries, which are sent to all tasks; a task keeps its own best ``k`` of each query, so no pair of a query and a row
 is ever a row of a table and only k rows of a task and query are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.functions.text import identifier_terms_of, rerank_tokens, tokens
+from codeweft.functions.text import rerank_tokens, tokens
+from codeweft.operators import topk
+from codeweft.operators.indexes import name_index, name_search, text_search, vector_search
+from codeweft.operators.topk import POOL, SMALL_POOL, TaskBest, arrow_type, best, in_passes
 from codeweft.storage import materialize
 
 # Fixed values of the data model: what a source adds to the fused score, and the fusion constant.
@@ -24,57 +27,7 @@ SOURCE_BONUS = {"symbol": 0.30, "vector": 0.0, "lexical": 0.05, "graph-caller":
 SOURCE_ORDER = ["vector", "lexical", "symbol", "graph-caller", "graph-callee"]
 RANK_OFFSET = 10
 RERANK_WEIGHT = 0.35
-POOL = 30
-SMALL_POOL = 20
 GRAPH_SEEDS = 5
-QUERY_BLOCK = 1024
-
-
-def best(df: DataFrame, k: int, by: list[Column], partition: list[str]) -> DataFrame:
-    """The first ``k`` rows of each partition in order, with ``rank`` from 0."""
-    order = Window.partitionBy(*partition).orderBy(*by)
-    return df.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
-
-
-class TaskBest:
-    """The best ``k`` (score, id) of each query of a block, among the rows that a task has seen."""
-
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
-        self.scores = [np.zeros(0)] * queries
-        self.ids: list[np.ndarray] = [np.zeros(0, object)] * queries
-
-    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        floor = self.scores[query][-1] if len(self.scores[query]) >= self.k else -np.inf
-        if len(scores) > self.k:
-            floor = max(floor, np.partition(scores, -self.k)[-self.k])
-        at = np.flatnonzero(scores >= floor)
-        if not len(at):
-            return
-        every, own = np.concatenate([self.scores[query], scores[at]]), np.concatenate([self.ids[query], ids[at]])
-        order = sorted(range(len(own)), key=lambda i: (-every[i], own[i]))[: self.k]
-        self.scores[query], self.ids[query] = every[order], own[order]
-
-    def rows(self, names: list, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
-        query = [n for n, s in zip(names, self.scores, strict=True) for _ in s]
-        columns = [pa.array(query, types[0]), pa.array([i for own in self.ids for i in own], types[1]), pa.array(np.concatenate([np.zeros(0), *self.scores]))]
-        return pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
-
-
-def _in_blocks(queries: DataFrame, make: Callable[[list[Row]], DataFrame]) -> DataFrame:
-    """The union of ``make(block)`` over the blocks of a query set."""
-    out, block = None, []
-    for row in queries.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = (make(block) if out is None else out.unionByName(make(block))), []
-    if block or out is None:
-        out = make(block) if out is None else out.unionByName(make(block))
-    return out
-
-
-def _arrow(kind: T.DataType) -> pa.DataType:
-    return pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()
 
 
 def vector_topk(vectors: DataFrame, query: DataFrame, k: int = POOL, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -87,7 +40,7 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int = POOL, id_col: str
     rows = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     kinds = (query.schema["query_id"].dataType, rows.schema["id"].dataType)
     schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id", kinds[1]), T.StructField("score", T.DoubleType())])
-    types = (_arrow(kinds[0]), _arrow(kinds[1]))
+    types = (arrow_type(kinds[0]), arrow_type(kinds[1]))
 
     def make(block: list[Row]) -> DataFrame:
         names = [r["query_id"] for r in block]
@@ -109,14 +62,15 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int = POOL, id_col: str
                         continue
                     v = lists.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(len(here), dim)
                     size = np.sqrt((v * v).sum(axis=1))
-                    scores = np.round(v @ own.T / np.where(size > 0, size, 1.0)[:, None], 12)
-                    for j, q in enumerate(at):
-                        best.add(q, ids[here], scores[:, j])
+                    for start in range(0, len(at), topk.QUERY_BLOCK):
+                        scores = np.round(v @ own[start : start + topk.QUERY_BLOCK].T / np.where(size > 0, size, 1.0)[:, None], 12)
+                        for j, q in enumerate(at[start : start + topk.QUERY_BLOCK]):
+                            best.add(q, ids[here], scores[:, j])
             yield best.rows(names, types)
 
         return rows.mapInArrow(run, schema)
 
-    return best(_in_blocks(query.select("query_id", "query_vector"), make), k, [F.desc("score"), F.col("id")], ["query_id"])
+    return best(in_passes(query.select("query_id", "query_vector"), make), k, [F.desc("score"), F.col("id")], ["query_id"])
 
 
 def lexical_topk(texts: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
@@ -124,15 +78,13 @@ def lexical_topk(texts: DataFrame, queries: DataFrame, k: int = POOL) -> DataFra
     rows = texts.select("id", tokens(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.col("id").cast("string"))).alias("t"))
     kinds = (queries.schema["query_id"].dataType, rows.schema["id"].dataType)
     schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id", kinds[1]), T.StructField("score", T.DoubleType())])
-    types = (_arrow(kinds[0]), _arrow(kinds[1]))
+    types = (arrow_type(kinds[0]), arrow_type(kinds[1]))
 
     def make(block: list[Row]) -> DataFrame:
         names, sets = [r["query_id"] for r in block], [r["t"] for r in block]
         words = sorted({w for s in sets for w in s})
         place = {w: i for i, w in enumerate(words)}
-        asked = np.zeros((len(words), len(block)), dtype=np.float32)
-        for j, s in enumerate(sets):
-            asked[[place[w] for w in s], j] = 1.0
+        asked = [np.array([place[w] for w in s], dtype=np.int64) for s in sets]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best, known = TaskBest(len(names), k), pa.array(words, pa.string())
@@ -145,37 +97,25 @@ def lexical_topk(texts: DataFrame, queries: DataFrame, k: int = POOL) -> DataFra
                     word = pc.fill_null(pc.index_in(lists.flatten(), known), -1).to_numpy(zero_copy_only=False)
                     held = np.zeros((len(ids), len(words)), dtype=np.float32)
                     held[row[word >= 0], word[word >= 0]] = 1.0
-                    counts = held @ asked
-                    for j, s in enumerate(sets):
-                        some = np.flatnonzero(counts[:, j])
-                        best.add(j, ids[some], counts[some, j].astype(np.float64) / max(1, len(s)))
+                    for start in range(0, len(block), topk.QUERY_BLOCK):
+                        side = np.zeros((len(words), len(block[start : start + topk.QUERY_BLOCK])), dtype=np.float32)
+                        for j, own in enumerate(asked[start : start + topk.QUERY_BLOCK]):
+                            side[own, j] = 1.0
+                        counts = held @ side
+                        for j in range(side.shape[1]):
+                            some = np.flatnonzero(counts[:, j])
+                            best.add(start + j, ids[some], counts[some, j].astype(np.float64) / max(1, len(sets[start + j])))
             yield best.rows(names, types)
 
         return rows.mapInArrow(run, schema)
 
-    found = _in_blocks(queries.select("query_id", tokens(F.col("query")).alias("t")), make)
+    found = in_passes(queries.select("query_id", tokens(F.col("query")).alias("t")), make)
     return best(found, k, [F.desc("score"), F.col("id")], ["query_id"])
 
 
 def symbol_pool(nodes: DataFrame, queries: DataFrame, k: int = SMALL_POOL) -> DataFrame:
-    """``query_id, id, score, rank``: nodes whose id, name or fqn holds a term of the query.
-
-    Terms are at most six a query; a node found by two terms is there twice. A term is made of letters, digits and
-    underscores, so it stands inside one such run of a name: terms meet the distinct runs, and runs lead to nodes.
-    """
-    terms = queries.select("query_id", F.posexplode(identifier_terms_of(F.col("query"))).alias("term_no", "term"))
-    distinct = terms.select(F.lower("term").alias("part")).distinct()
-    held = nodes.select("id", F.explode(tokens(F.concat_ws(" ", "id", "name", "fqn"))).alias("token"))
-    # Every window of a part is in a token that holds the part: join on its first one, of three signs or of two.
-    window = lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - (n - 1)), lambda i: F.substr("token", i, F.lit(n)))
-    both = F.when(F.length("token") >= 3, F.concat(window(2), window(3))).when(F.length("token") == 2, F.array("token"))
-    grams = held.select("token").distinct().select("token", F.explode(F.array_distinct(both)).alias("gram"))
-    holds = grams.join(distinct.withColumn("gram", F.substring("part", 1, 3)), "gram").where(F.contains("token", F.col("part"))).select("part", "token")
-    # Nodes of a term come in order of id, so no term needs more than its first ``k``; tasks drop the rest before the shuffle.
-    first = Window.partitionBy("part").orderBy("id")
-    hits = held.join(holds, "token").select("part", "id", F.dense_rank().over(first).alias("r")).where(F.col("r") <= k).select("part", "id").distinct()
-    found = terms.join(hits, F.lower("term") == F.col("part")).select("query_id", "term_no", "id", F.lit(1.0).alias("score"))
-    return best(found, k, [F.col("term_no"), F.col("id")], ["query_id"]).drop("term_no")
+    """:func:`indexes.name_search` over an index that is made for this one set of queries."""
+    return name_search(name_index(nodes), queries, k)
 
 
 def graph_pools(edges: DataFrame, vector: DataFrame, symbol: DataFrame, prefix: str = "method:", k: int = SMALL_POOL) -> tuple[DataFrame, DataFrame]:
@@ -263,20 +203,28 @@ def hydrate(fused: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def hybrid_retrieve(
-    chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 10, vector_k: int = POOL, kind: str | None = None
-) -> DataFrame:
+    chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 10, vector_k: int = POOL, kind: str | None = None,
+    index: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """``query_id, id, score, sources, rank, text, kind, file, line, fqn``: all pools, fused, hydrated and reranked.
 
     ``chunks(node_id, text, kind, fqn, file, line_start)``; ``vectors(node_id, vector)``; ``queries(query_id, query)``;
-    ``query_vectors(query_id, query_vector)``. ``kind`` restricts the vector pool.
+    ``query_vectors(query_id, query_vector)``. ``kind`` restricts the vector pool. With an ``index`` (the tables of
+    :mod:`codeweft.operators.indexes`, by node id) texts, names and vectors are sought there; results are the same.
     """
-    wanted = vectors if kind is None else vectors.join(chunks.where(F.col("kind") == kind).select("node_id").distinct(), "node_id", "left_semi")
-    texts = chunks.select(F.col("node_id").alias("id"), "text")
+    of_kind = None if kind is None else chunks.where(F.col("kind") == kind).select(F.col("node_id").alias("id")).distinct()
+    vectors = vectors.select(F.col("node_id").alias("id"), "vector")
+    if index is None:
+        found = vector_topk(vectors if of_kind is None else vectors.join(of_kind, "id", "left_semi"), query_vectors, vector_k)
+        names, lexical = symbol_pool(nodes, queries), lexical_topk(chunks.select(F.col("node_id").alias("id"), "text"), queries, vector_k)
+    else:
+        held = index["cell_vectors"] if of_kind is None else index["cell_vectors"].join(of_kind, "id", "left_semi")
+        found = vector_search(index | {"cell_vectors": held}, query_vectors, vector_k)
+        names, lexical = name_search(index, queries), text_search(index, queries, vector_k)
     # Read by the fusion and, for their seeds, by the graph pools.
-    vector = materialize(vector_topk(wanted, query_vectors, vector_k, "node_id"), "vector-pool")
-    symbol = materialize(symbol_pool(nodes, queries), "symbol-pool")
+    vector, symbol = materialize(found, "vector-pool"), materialize(names, "symbol-pool")
     callers, callees = graph_pools(edges, vector, symbol)
-    fused = fuse({"vector": vector, "lexical": lexical_topk(texts, queries, vector_k), "symbol": symbol, "graph-caller": callers, "graph-callee": callees})
+    fused = fuse({"vector": vector, "lexical": lexical, "symbol": symbol, "graph-caller": callers, "graph-callee": callees})
     # Read for the ids to hydrate and by the reranking; a text is fetched once however many queries found it.
     fused = materialize(fused, "fused")
     found = materialize(hydrate(fused.select("id").distinct(), nodes, chunks), "found")

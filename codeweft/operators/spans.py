@@ -1,31 +1,123 @@
-"""Joins of points and ranges with line spans."""
+"""Joins of points and ranges with line spans, by a sweep over the lines of each file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from codeweft.operators.ranking import placed
+
+#: Events (begins of spans, points, begins of ranges) of a file that one sweep takes; a file of more is cut.
+CHUNK = 1 << 16
+
+
+def _chunked(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
+    """Rows (file, lo, hi, _side, ...) of both sides with ``_chunk`` and ``_from``, each in every chunk of lines that it meets.
+
+    A file with more than ``chunk`` rows is cut at the lines of every so many-th one; all other files are one chunk.
+    """
+    both = left.unionByName(right, allowMissingColumns=True).where("file IS NOT NULL AND lo <= hi")
+    counts = both.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    cuts = None
+    if not counts.isEmpty():
+        large = both.join(counts.select("file"), "file", "left_semi").select("file", "lo", F.monotonically_increasing_id().alias("_row"))
+        found = placed(large, "file", ["lo", "_row"]).where((F.col("position") % chunk == 0)).select("file", "lo").distinct()
+        cuts = found.groupBy("file").agg(F.sort_array(F.collect_list("lo")).alias("_cuts"))
+    if cuts is None:
+        return both.select("*", F.lit(0).alias("_chunk"), F.col("lo").alias("_from"))
+    cut = both.join(cuts, "file", "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)))
+    place = lambda line: F.size(F.filter("_cuts", lambda c: c <= line))
+    cut = cut.withColumn("_chunk", F.explode(F.sequence(place(F.col("lo")), place(F.col("hi")))))
+    begin = F.get("_cuts", F.col("_chunk") - 1)
+    return cut.withColumn("_from", F.greatest(F.col("lo"), F.coalesce(begin, F.col("lo")))).drop("_cuts")
+
+
+def _swept(rows: DataFrame, ids: tuple[str, str], make: Callable[[], Callable]) -> DataFrame:
+    """Pairs of ids that the sweep finds; ``make`` gives a fresh state for each file and chunk."""
+    schema = T.StructType([rows.schema[i] for i in ids])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("file", "_chunk", "_from", "lo", "hi", "_side", *ids)]
+            for file, chunk, at, lo, hi, side, a, b in zip(*columns, strict=True):
+                if (file, chunk) != key:
+                    key, step = (file, chunk), make()
+                out.extend(step(at, lo, hi, side, a, b))
+            types = [batch.schema.field(i).type for i in ids]
+            columns = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(ids))
+
+    # What began in an earlier chunk comes first, then spans before points and ranges that begin with them.
+    dealt = rows.repartition("file", "_chunk").sortWithinPartitions("file", "_chunk", "_from", "lo", "_side", *ids)
+    return dealt.select("file", "_chunk", "_from", "lo", "hi", "_side", *ids).mapInArrow(run, schema)
 
-#: Lines per block; spans and points meet block by block, so the join has an equality.
-BLOCK = 256
 
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return left.withColumn("_side", F.lit(1)), right.withColumn("_side", F.lit(0))
 
-def _blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
-    return df.withColumn("_block", F.explode(F.sequence(F.floor(F.col(lo) / BLOCK), F.floor(F.col(hi) / BLOCK))))
 
+def _line(name: str) -> Column:
+    return F.col(name).cast("long")
 
-def innermost_span(points: DataFrame, spans: DataFrame) -> DataFrame:
+
+def innermost_span(points: DataFrame, spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """For points(point_id, file, line) the shortest of spans(span_id, file, lo, hi) around each.
 
-    Of equally short ones the least id; points outside every span are left out.
+    Of equally short ones the least id; points outside every span are left out. The sweep keeps the open spans in order
+    of size; those that have ended are dropped when they come first.
     """
-    near = points.withColumn("_block", F.floor(F.col("line") / BLOCK)).join(_blocks(spans, "lo", "hi"), ["file", "_block"])
-    inside = near.where("line BETWEEN lo AND hi")
-    return inside.groupBy("point_id").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), "span_id")).alias("s")).select("point_id", "s.span_id")
+    left = points.select("point_id", "file", _line("line").alias("lo"), _line("line").alias("hi"))
+    right = spans.select("span_id", "file", _line("lo").alias("lo"), _line("hi").alias("hi")).where("span_id IS NOT NULL")
+
+    def make():
+        open_: list[tuple] = []
+
+        def step(at, lo, hi, side, point, span):
+            if side == 0:
+                heapq.heappush(open_, (hi - lo, span, hi))
+                return ()
+            while open_ and open_[0][2] < lo:
+                heapq.heappop(open_)
+            return ((point, open_[0][1]),) if open_ else ()
+
+        return step
+
+    return _swept(_chunked(*_sides(left, right), chunk), ("point_id", "span_id"), make)
+
 
+def overlapping_spans(ranges: DataFrame, spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Distinct ``range_id, span_id`` that share a line of one file; a range without ends meets all of its file.
 
-def overlapping_spans(ranges: DataFrame, spans: DataFrame) -> DataFrame:
-    """Distinct ``range_id, span_id`` that share a line of one file; a range without ends meets all of its file."""
+    A pair is found where the later of the two begins, so in one chunk only.
+    """
     whole = ranges.where("lo IS NULL").join(spans.select("file", "span_id"), "file").select("range_id", "span_id")
-    some = _blocks(ranges.where("lo IS NOT NULL"), "lo", "hi").select("file", "_block", "range_id", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    near = some.join(_blocks(spans, "lo", "hi"), ["file", "_block"]).where("a <= hi AND lo <= b")
-    return near.select("range_id", "span_id").unionByName(whole).distinct()
+    left = ranges.select("range_id", "file", _line("lo").alias("lo"), _line("hi").alias("hi"))
+    right = spans.select("span_id", "file", _line("lo").alias("lo"), _line("hi").alias("hi"))
+
+    def make():
+        open_: tuple[list, list] = ([], [])  # of spans and of ranges, in order of their ends
+        count = 0
+
+        def step(at, lo, hi, side, range_, span):
+            nonlocal count
+            other = open_[1 - side]
+            while other and other[0][0] < at:
+                heapq.heappop(other)
+            own = range_ if side else span
+            count += 1
+            heapq.heappush(open_[side], (hi, count, own))
+            if at > lo:  # begun in an earlier chunk
+                return ()
+            return [(own, x[2]) if side else (x[2], own) for x in other]
+
+        return step
+
+    found = _swept(_chunked(*_sides(left, right), chunk), ("range_id", "span_id"), make)
+    return found.unionByName(whole).distinct()

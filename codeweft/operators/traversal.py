@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.operators.ranking import placed
 from codeweft.storage import materialize
 
+#: Seeds that share one row of a walk: the bits of a long.
+LANES = 64
+
 
 def steps(edges: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
     """Distinct (id, next) pairs in walking direction."""
@@ -16,87 +22,118 @@ def steps(edges: DataFrame, direction: str = "out", types: list[str] | None = No
     return edges.select(F.col(near).alias("id"), F.col(far).alias("next")).distinct()
 
 
-def khop(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out", types: list[str] | None = None, with_seed: bool = True) -> DataFrame:
-    """``seed, id, depth`` of every node within ``max_depth`` steps, at its least depth.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """``seed, lane, bit``: seeds in order of id, ``LANES`` of them to a lane, numbered range by range."""
+    rows = seeds.select(F.col("id").alias("seed")).distinct().repartitionByRange("seed").sortWithinPartitions("seed")
+    rows = rows.withColumn("n", F.monotonically_increasing_id())
+    return materialize(rows.select("seed", F.shiftright("n", 6).alias("lane"), F.col("n").bitwiseAND(LANES - 1).cast("int").alias("bit")), "lanes")
+
 
-    A seed is in its own result if a cycle leads back to it, unless ``with_seed`` is false. Each
-    step joins the frontier, de-duplicated, with the steps, and drops what was met before; its
-    result is written to the shared folder because the next step and the result both read it.
+def _flag(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def reached_lanes(moves: DataFrame, start: DataFrame, max_depth: int, with_seed: bool = True) -> DataFrame:
+    """``id, lane, bits, depth``: the seeds, as bits of lanes, that first reach a node after so many steps.
+
+    ``start`` holds ``id, lane, bits``. A step joins the frontier with the moves and combines bits by OR, before the
+    shuffle and after, so it has one row for each node and lane, however many seeds come there.
     """
-    moves = materialize(steps(edges, direction, types), "steps")
-    frontier = seeds.select(F.col("id").alias("seed"), "id").distinct()
-    visited = None if with_seed else frontier.withColumn("depth", F.lit(0))
-    found = []
+    frontier, visited, found = start, None if with_seed else start.select("id", "lane", F.col("bits").alias("old")), []
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(moves, "id").select("seed", F.col("next").alias("id")).distinct()
+        arrived = frontier.join(moves, "id").groupBy(F.col("next").alias("id"), "lane").agg(F.bit_or("bits").alias("bits"))
         if visited is not None:
-            reached = reached.join(visited, ["seed", "id"], "left_anti")
-        reached = materialize(reached.withColumn("depth", F.lit(depth)), "hop")
-        if reached.isEmpty():
+            fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+            both = arrived.join(visited, ["id", "lane"], "left").select("id", "lane", fresh.alias("bits"), F.coalesce("old", F.lit(0).cast("long")).alias("old"))
+            arrived = both.where("bits <> 0")
+        arrived = materialize(arrived.select("id", "lane", "bits", F.lit(depth).alias("depth")), "hop")
+        if arrived.isEmpty():
             break
-        found.append(reached)
-        visited = reached if visited is None else visited.unionByName(reached)
-        frontier = reached.select("seed", "id")
-    if not found:
-        return frontier.limit(0).withColumn("depth", F.lit(0))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+        found.append(arrived)
+        frontier = arrived.select("id", "lane", "bits")
+        if depth < max_depth:
+            parts = [x.select("id", "lane", F.col("bits").alias("old")) for x in found]
+            visited = _union([*parts, start.select("id", "lane", F.col("bits").alias("old"))] if not with_seed else parts)
+            visited = visited.groupBy("id", "lane").agg(F.bit_or("old").alias("old"))
+    return _union(found) if found else start.limit(0).withColumn("depth", F.lit(0))
+
+
+def khop(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out", types: list[str] | None = None, with_seed: bool = True) -> DataFrame:
+    """``seed, id, depth`` of every node within ``max_depth`` steps, at its least depth.
+
+    A seed is in its own result if a cycle leads back to it, unless ``with_seed`` is false. Seeds walk together, as bits;
+    pairs of seed and node are rows only in the result.
+    """
+    moves = materialize(steps(edges, direction, types), "steps")
+    lanes = _numbered(seeds)
+    start = materialize(lanes.groupBy(F.col("seed").alias("id"), "lane").agg(F.bit_or(_flag(F.col("bit"))).alias("bits")), "start")
+    found = reached_lanes(moves, start, max_depth, with_seed)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda b: F.col("bits").bitwiseAND(_flag(b)) != 0)
+    return found.select("id", "lane", "depth", F.explode(bits).alias("bit")).join(lanes, ["lane", "bit"]).select("seed", "id", "depth")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out", types: list[str] | None = None) -> DataFrame:
+    """``id, depth`` of every node that any of the seeds reaches: all seeds as one bit."""
+    moves = materialize(steps(edges, direction, types), "steps")
+    start = seeds.select("id", F.lit(0).cast("long").alias("lane"), F.lit(1).cast("long").alias("bits")).distinct()
+    return reached_lanes(moves, start, max_depth).select("id", "depth")
 
 
 def call_flow(edges: DataFrame, seeds: DataFrame, max_depth: int = 8, target_prefix: str = "method:") -> DataFrame:
-    """``seed, id, depth, parent, position``: calls breadth first, each at its first finding.
+    """``seed, id, depth, parent, confidence, position``: calls breadth first, each at its first finding.
 
     Depth counts from 0; the seed is not in its own flow. Callees of one caller come in order of id;
-    callers in the order in which they were found. ``position`` numbers the flow of each seed.
+    callers in the order in which they were found. ``position`` numbers the flow of each seed: what shallower depths hold
+    of it, plus the place at its own depth.
     """
-    from pyspark.sql import Window
-
     calls = edges.where((F.col("type") == "CALLS") & F.col("dst").startswith(target_prefix))
     moves = materialize(calls.select(F.col("src").alias("id"), F.col("dst").alias("next"), "confidence").groupBy("id", "next").agg(F.min("confidence").alias("confidence")), "calls")
-    start = seeds.select(F.col("id").alias("seed"), "id").distinct()
+    start = materialize(seeds.select(F.col("id").alias("seed"), "id").distinct(), "flow-seeds")
     frontier = start.withColumn("position", F.lit(0).cast("long"))
-    visited, found = start, []
-    order = Window.partitionBy("seed").orderBy("parent_position", "id")
+    found = []
     for depth in range(max_depth):
         near = frontier.join(moves, "id").select("seed", F.col("id").alias("parent"), F.col("position").alias("parent_position"), F.col("next").alias("id"), "confidence")
         first = near.groupBy("seed", "id").agg(F.min_by(F.struct("parent", "parent_position", "confidence"), F.struct("parent_position", "parent")).alias("p"))
+        visited = _union([start, *[x.select("seed", "id") for x in found]])
         fresh = first.join(visited, ["seed", "id"], "left_anti").select("seed", "id", "p.*")
-        fresh = materialize(fresh.select("*", F.row_number().over(order).cast("long").alias("position")).withColumn("depth", F.lit(depth)), "flow")
+        fresh = placed(fresh, "seed", ["parent_position", "id"])
+        if found:
+            before = _union([x.select("seed") for x in found]).groupBy("seed").agg(F.count("*").alias("_before"))
+            fresh = fresh.join(before, "seed").withColumn("position", F.col("position") + F.col("_before")).drop("_before")
+        fresh = materialize(fresh.withColumn("depth", F.lit(depth)), "flow")
         if fresh.isEmpty():
             break
         found.append(fresh)
-        visited = visited.unionByName(fresh.select("seed", "id"))
         frontier = fresh.select("seed", "id", "position")
     if not found:
         return start.limit(0).select("seed", "id", F.lit(0).alias("depth"), F.lit("").alias("parent"), F.lit("").alias("confidence"), F.lit(0).cast("long").alias("position"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    whole = Window.partitionBy("seed").orderBy("depth", "position")
-    return out.select("seed", "id", "depth", "parent", "confidence", F.row_number().over(whole).cast("long").alias("position"))
+    return _union(found).select("seed", "id", "depth", "parent", "confidence", "position")
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = 6, types: list[str] | None = None) -> DataFrame:
     """``src, dst, path``: every path without a repeated node from a source to a target, ending there.
 
-    The number of paths is the result's own size; a path is dropped as soon as it meets a target or a
-    node it already holds, so only open paths are carried from one step to the next.
+    The least number of steps from each node to a target is found first, backwards from all targets at once. A path is
+    carried on only over nodes from which a target is still in reach of the steps that are left, and is dropped as soon as
+    it meets a target or a node it already holds. So what is carried is bounded by the walks that do arrive.
     """
     moves = materialize(steps(edges, "out", types or ["CALLS"]), "steps")
-    goal = targets.select("id").distinct().withColumn("goal", F.lit(True))
+    goal = targets.select("id").distinct()
+    left = reachable(edges, goal, max_hops - 1, "in", types or ["CALLS"]).groupBy("id").agg(F.min("depth").alias("left"))
+    # A target ends a path wherever it stands, so it counts as arrived.
+    left = goal.withColumn("left", F.lit(0)).unionByName(left.join(goal, "id", "left_anti"))
+    moves = materialize(moves.join(left.withColumnRenamed("id", "next"), "next"), "moves-that-arrive")
     open_paths = sources.select("id").distinct().select(F.col("id").alias("src"), "id", F.array("id").alias("path"))
     found = []
-    for _ in range(max_hops):
-        grown = open_paths.join(moves, "id").where(~F.array_contains("path", F.col("next")))
-        grown = grown.select("src", F.col("next").alias("id"), F.array_append("path", F.col("next")).alias("path"))
-        grown = materialize(grown.join(goal, "id", "left"), "paths")
+    for hop in range(1, max_hops + 1):
+        grown = open_paths.join(moves.where(F.col("left") <= max_hops - hop), "id").where(~F.array_contains("path", F.col("next")))
+        grown = materialize(grown.select("src", F.col("next").alias("id"), F.array_append("path", F.col("next")).alias("path"), (F.col("left") == 0).alias("goal")), "paths")
         if grown.isEmpty():
             break
         found.append(grown.where("goal").select("src", F.col("id").alias("dst"), "path"))
-        open_paths = grown.where("goal IS NULL").select("src", "id", "path")
-    out = None
-    for part in found:
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else open_paths.limit(0).select("src", F.col("id").alias("dst"), "path")
+        open_paths = grown.where("NOT goal").select("src", "id", "path")
+    return _union(found) if found else open_paths.limit(0).select("src", F.col("id").alias("dst"), "path")

@@ -22,10 +22,10 @@ def _id(kind: str, column: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), column)
 
 
-def whole_graph(j: JavaTables, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def whole_graph(j: JavaTables, sources: DataFrame, statements: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of parsed Java tables and of sources(relative_path, content), whose ``.sql`` files are read too.
 
-    Facts about a node that is there already are merged into it; an end that nothing describes becomes a placeholder.
+    ``statements`` can hold what was read of SQL statements before, by id. Facts about a node that is there already are merged into it; an end that nothing describes becomes a placeholder.
     """
     nodes, edges = java_graph(j)
     high, real = F.lit("HIGH"), F.lit(False).alias("placeholder")
@@ -63,7 +63,7 @@ def whole_graph(j: JavaTables, sources: DataFrame) -> tuple[DataFrame, DataFrame
     files = sources.where(F.lower("relative_path").endswith(".sql"))
     hits = sqltext.java_statements(j.parsed).unionByName(sqltext.file_statements(files))
     methods = j.methods.select("fqn", "file", F.col("location.line_start").alias("lo"), F.col("location.line_end").alias("hi"))
-    found, uses = sqltext.statements(materialize(hits, "sql-hits"), methods)
+    found, uses = sqltext.statements(materialize(hits, "sql-hits"), methods, statements)
     facts += [
         files.select(_id("file", "relative_path").alias("id"), F.lit("SourceFile").alias("kind"), F.col("relative_path").alias("name"), F.col("relative_path").alias("file"), F.lit("sql").alias("file_kind"), real),
         found.select("id", F.lit("SQLStatement").alias("kind"), F.col("id").alias("name"), "statement_type", "parsed_ok", "text", "tables_read", "tables_written", "origins", real),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators import context, frameworks, graph, reports, spans
+from codeweft.operators import context, frameworks, graph, incremental, reports, spans
+from codeweft.operators.graph import first_edges
 from codeweft.operators.javagraph import java_graph as build_graph
 from codeweft.plans import tablecode, tabletree as tree
 from codeweft.sources import build, config, files, git, java, sqltext
@@ -103,6 +104,16 @@ def java_calls(spark, sf):
     return edges.where("type = 'CALLS' AND NOT contains(src, '#job(')").select("src", "dst", "confidence")
 
 
+@from_tree(f"SELECT src, dst, confidence FROM ({CALLS}) WHERE NOT (dst = 'extmethod:jdbc.update' AND src IN (SELECT {SAVE} FROM d WHERE s = 50))")
+def patched_calls(spark, sf):
+    """Calls after the classes of the largest size lost a method: the analysis is patched, not made anew."""
+    rows = tree.parts(spark, sf).where("s = 50").select(tree.filled(tree.FILES["class"][0]).alias("relative_path"), tree.filled(tree.CLASS).alias("text"))
+    edited = rows.select("relative_path", F.encode(F.regexp_replace("text", r"\n    void save[^}]*}\n", ""), "UTF-8").alias("content"))
+    before = incremental.state(_tables(spark, sf))
+    after, _ = incremental.patched(before, java.parse_files(edited), edited.select(F.col("relative_path").alias("file")))
+    return first_edges(after.calls.where("NOT contains(src, '#job(')"), F.col("ordinal")).select("src", "dst", "confidence")
+
+
 @from_tree("SELECT fqn, ['ControllerAdvice', 'Service', 'Repository'][s % 7 + 1] AS stereotype FROM d WHERE s % 7 < 3")
 def stereotypes(spark, sf):
     return frameworks.stereotypes(_tables(spark, sf))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import text as X
 from codeweft.functions.classify import case_sql, classify_path
 from codeweft.functions.embedding import hashing_embedding
-from codeweft.operators import context, graph, resolution, retrieval, snapshot, spans, traversal
+from codeweft.operators import context, graph, indexes, resolution, retrieval, snapshot, spans, traversal
 from codeweft.plans import starschema as star
 from codeweft.plans import tabletree as tree
 from codeweft.storage import materialize, spread, table
@@ -231,10 +231,7 @@ def table_usage(spark, sf):
 def uncovered(spark, sf):
     seeds = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
     # One walk for the whole set of seeds: reachability does not need to know which seed it was.
-    moves = star.edges(spark, sf).withColumn("src", F.when(F.col("src").startswith("customer:"), F.lit("tests")).otherwise(F.col("src")))
-    own = star.edges(spark, sf).where(F.col("src").startswith("customer:")).join(seeds.withColumnRenamed("id", "src"), "src", "left_semi")
-    moves = moves.where("src <> 'tests'").unionByName(own.withColumn("src", F.lit("tests")))
-    reached = traversal.khop(moves, spark.createDataFrame([("tests",)], "id string"), 4, types=["CALLS"])
+    reached = traversal.reachable(star.edges(spark, sf), seeds, 4, types=["CALLS"])
     return graph.uncovered(star.nodes(spark, sf).where(F.col("id").startswith("part:")), reached).select("id")
 
 
@@ -432,6 +429,21 @@ def vector_topk_kind(spark, sf):
     return _cosine(spark, sf, 1)
 
 
+def _stored(tables):
+    """An index as it is kept: written tables."""
+    return {name: materialize(df, name) for name, df in tables.items()}
+
+
+@query(_cosine_sql())
+def vector_index_topk(spark, sf):
+    """The same search over cells of vectors."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    dim = vectors.agg(F.max(F.size("vector")).alias("n")).first()["n"] or 0
+    asked = vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = indexes.vector_search(_stored(indexes.vector_index(vectors, dim)), asked, 30)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def _queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -451,6 +463,13 @@ def lexical_topk(spark, sf):
     return retrieval.lexical_topk(_texts(spark, sf), _queries(spark, sf)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {LEXICAL} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lexical")
+def text_index_topk(spark, sf):
+    """The same search over postings."""
+    found = indexes.text_search(_stored(indexes.text_index(_texts(spark, sf))), _queries(spark, sf))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 TERMS = "list_filter(regexp_extract_all({0}, '([A-Za-z0-9_]+)', 1), lambda t: length(t) >= 4 OR regexp_matches(t, '[a-z][A-Z]'))[1:6]"
 
 

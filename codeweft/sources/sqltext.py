@@ -46,10 +46,11 @@ def file_statements(sources: DataFrame) -> DataFrame:
     return found.where("sql <> ''")
 
 
-def statements(hits: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+def statements(hits: DataFrame, methods: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(statements by identity with their sources, graph edges) of hits(file, sql, line, origin).
 
-    A hit belongs to the innermost of methods(fqn, file, lo, hi) around its line, else to its file.
+    A hit belongs to the innermost of methods(fqn, file, lo, hi) around its line, else to its file. What was read of a
+    statement before can be given: known(id, statement_type, tables_read, tables_written, parsed_ok).
     """
     hits = hits.withColumn("id", sql_identity(F.col("sql"))).withColumn("point_id", F.concat_ws("|", "file", F.col("line").cast("string")))
     owners = innermost_span(hits.select("point_id", "file", "line").distinct(), methods.select(F.col("fqn").alias("span_id"), "file", "lo", "hi"))
@@ -59,7 +60,12 @@ def statements(hits: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFram
         F.sort_array(F.collect_set(F.struct("src", "file", "line"))).alias("sources"),
         F.sort_array(F.collect_set("origin")).alias("origins"),
     )
-    found = grouped.select("id", F.substring(normal_sql(F.col("sql")), 1, 500).alias("text"), statement_facts("sql").alias("p"), "sources", "origins").select("id", "p.*", "text", "sources", "origins")
+    facts = ["statement_type", "tables_read", "tables_written", "parsed_ok"]
+    shown = ["id", F.substring(normal_sql(F.col("sql")), 1, 500).alias("text"), "sources", "origins"]
+    fresh = grouped if known is None else grouped.join(known.select("id"), "id", "left_anti")
+    found = fresh.select(*shown, statement_facts("sql").alias("p")).select("id", "p.*", "text", "sources", "origins")
+    if known is not None:
+        found = found.unionByName(grouped.join(known.select("id", *facts), "id").select("id", *facts, *shown[1:]))
     found = materialize(found, "statements")
     sure = F.when(~F.col("parsed_ok") | (F.array_contains("origins", "jpa-query") & (F.size("origins") == 1)), "MEDIUM").otherwise("HIGH")
     runs = found.select(F.lit("EXECUTES_SQL").alias("type"), F.explode("sources.src").alias("src"), F.col("id").alias("dst"), F.lit("HIGH").alias("confidence")).distinct()

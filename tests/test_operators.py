@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import text as X
 from codeweft.functions.embedding import embed_text, features, hashing_embedding
-from codeweft.operators import context, graph, resolution, retrieval, snapshot, traversal
+from codeweft.operators import context, graph, indexes, resolution, retrieval, snapshot, topk, traversal
+from codeweft.operators.ranking import placed
+from codeweft.operators.spans import innermost_span, overlapping_spans
 from codeweft.sources import build, git, sqltext
 from codeweft.sources.config import flatten_yaml
 from codeweft.sources.files import inventory, oversized, read_tree
@@ -39,6 +42,73 @@ def test_khop_grows_with_depth(spark):
     assert sizes == sorted(sizes)
 
 
+def test_walks_of_many_lanes(spark):
+    """More seeds than bits in a lane: each pair once, at its least depth, as a walk seed by seed finds it."""
+    rng = random.Random(4)
+    pairs = {(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(150)}
+    graph_ = edges(spark, sorted(pairs)).repartition(3)
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(90)] + [("none",)], "id string")
+    for with_seed in (True, False):
+        want = set()
+        for i in range(90):
+            front, seen = {f"n{i}"}, set() if with_seed else {f"n{i}"}
+            for depth in range(1, 5):
+                front = {b for a, b in pairs if a in front} - seen
+                seen |= front
+                want |= {(f"n{i}", x, depth) for x in front}
+        got = [tuple(r) for r in traversal.khop(graph_, seeds, 4, with_seed=with_seed).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    some = seeds.limit(3)
+    one = {r["id"]: r["depth"] for r in traversal.reachable(graph_, some, 4).collect()}
+    all_ = {}
+    for r in traversal.khop(graph_, some, 4).collect():
+        all_[r["id"]] = min(r["depth"], all_.get(r["id"], 9))
+    assert one == all_
+
+
+def test_paths_that_arrive(spark):
+    rng = random.Random(6)
+    pairs = sorted({(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(45)})
+    want = []
+
+    def walk(path):
+        if len(path) > 1 and path[-1] in ("n3", "n7"):
+            want.append(tuple(path))
+        elif len(path) <= 5:
+            for a, b in pairs:
+                if a == path[-1] and b not in path:
+                    walk([*path, b])
+
+    for s in ("n0", "n1", "n3"):
+        walk([s])
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = [tuple(r["path"]) for r in traversal.simple_paths(edges(spark, pairs), ids("n0", "n1", "n3"), ids("n3", "n7"), 5).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 3
+    assert traversal.simple_paths(edges(spark, pairs), ids("n0"), ids("no"), 5).count() == 0
+
+
+def test_places_in_groups(spark):
+    rows = [("a" if i % 3 else "b", i * 7 % 101) for i in range(100)]
+    got = sorted(map(tuple, placed(spark.createDataFrame(rows, "g string, v int").repartition(4), "g", ["v"]).select("g", "position", "v").collect()))
+    assert got == [(g, i, v) for g in "ab" for i, v in enumerate(sorted(v for h, v in rows if h == g), 1)]
+
+
+@pytest.mark.parametrize("chunk", [4, 50, 1 << 16])
+def test_spans_by_sweep(spark, chunk):
+    """Any spans, nested or not, in files that are cut and files that are not."""
+    rng = random.Random(chunk)
+    spans_ = [(f"s{i:03}", rng.choice(["x", "x", "y"]), lo := rng.randrange(60), lo + rng.choice([0, 1, 5, 70])) for i in range(60)] + [("odd", "x", 9, 3), ("none", None, 1, 9)]
+    points = [(i, rng.choice(["x", "x", "y", "z"]), rng.randrange(140)) for i in range(80)] + [(999, None, 4), (998, "x", None)]
+    ranges = [(i, f, line, line + i % 4) for i, f, line in points[:60]] + [(990, "y", None, None)]
+    sp = spark.createDataFrame(spans_, "span_id string, file string, lo int, hi int").repartition(3)
+    got = dict(map(tuple, innermost_span(spark.createDataFrame(points, "point_id long, file string, line int"), sp, chunk).collect()))
+    want = {p: min(found)[1] for p, f, line in points if (found := [(hi - lo, s) for s, g, lo, hi in spans_ if f == g and f and line is not None and lo <= line <= hi])}
+    assert got == want
+    pairs = [tuple(r) for r in overlapping_spans(spark.createDataFrame(ranges, "range_id long, file string, lo int, hi int"), sp, chunk).collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(r, s) for r, f, a, b in ranges for s, g, lo, hi in spans_ if f == g and f and (a is None or (lo <= hi and a <= hi and lo <= b))}
+
+
 def test_call_flow_order(spark):
     e = edges(spark, [("method:m", "method:b"), ("method:m", "method:a"), ("method:a", "method:c"), ("method:b", "method:c"), ("method:b", "extmethod:z"), ("method:c", "method:m")])
     flow = traversal.call_flow(e, spark.createDataFrame([("method:m",)], "id string")).orderBy("position").collect()
@@ -227,6 +297,53 @@ def test_tree_of_odd_files(spark, tmp_path):
     assert read_tree(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_patched_analysis_equals_a_full_one(spark):
+    """Edits of all sorts: patched tables are those of a new analysis, and few files are read again."""
+    from codeweft.operators import incremental
+    from codeweft.operators.javagraph import JavaTables
+    from codeweft.sources import java
+
+    def parsed(code):
+        rows = [(p, f"package {p.split('/')[0]};\n{text}\n".encode()) for p, text in code.items()]
+        return java.parse_files(spark.createDataFrame(rows, "relative_path string, content binary"))
+
+    code = {
+        "a/Base.java": "public class Base { Helper helper; int f(int n) { return 1; } }",
+        "a/Helper.java": "public class Helper { void go() { } }",
+        "b/Mid.java": "import a.Base; public class Mid extends Base { }",
+        "c/Low.java": "import b.Mid; public class Low extends Mid { void x() { helper.go(); f(1); } }",
+        "d/User.java": "import c.Low; public class User { Low low; void y() { low.f(2); new Thing(); } void z(Single s) { s.run(); } }",
+        "e/Single.java": "public class Single { void run() { } }",
+        "f/Far.java": "public class Far { void a() { b(); } void b() { } }",
+    }
+    tables = JavaTables(parsed(code))
+
+    def edit(full, **texts):
+        nonlocal tables
+        changed = {p.replace("__", "/") + ".java": t for p, t in texts.items()}
+        new = {p: t for p, t in changed.items() if t is not None}
+        code.update(new)
+        for p in changed.keys() - new.keys():
+            del code[p]
+        files = spark.createDataFrame([(p,) for p in changed], "file string")
+        tables, numbers = incremental.patched(incremental.state(tables), parsed(new) if new else tables.parsed.limit(0), files)
+        if full:
+            for name, theirs in incremental.state(JavaTables(parsed(code))).items():
+                columns = sorted(c for c in theirs.columns if c not in ("texts",))
+                got, want = (sorted(map(repr, df.select(columns).distinct().collect())) for df in (incremental.state(tables)[name], theirs))
+                assert got == want, name
+        return numbers
+
+    assert edit(False, f__Far="public class Far { void a() { int k = 1; b(); } void b() { } }") == {"parsed": 1, "resolved": 1, "linked": 1}  # inside a body
+    # Members seen through an inherited field and an inherited method: all but Single and Far.
+    found = edit(True, a__Helper="public class Helper { void go() { } void go(int more) { } }", a__Base="public class Base { Helper helper; int f(long n, int m) { return 1; } }")
+    assert found["parsed"] == 2 and found["linked"] == 5
+    # A name that was clear is not any more; a type between two others goes.
+    found = edit(True, g__Single="public class Single { }", b__Mid=None)
+    assert found["parsed"] == 1 and found["linked"] < 6
+    edit(True, h__Mid="public class Mid { int f(int n) { return 3; } class In { } }", c__Low="public class Low { void x() { } }")
+
+
 def test_scan_survives_odd_files(spark, tmp_path):
     """Bad bytes and files that are too large leave a scan partial, with one warning each."""
     from codeweft.plans.scan import Project
@@ -278,7 +395,8 @@ def test_searches_in_blocks(spark, monkeypatch):
     texts = spark.createDataFrame([(str(i), f"w{i % 3} w{i % 7} common") for i in range(50)], "id string, text string")
     words = spark.createDataFrame([(i, f"w{i} common") for i in range(6)] + [(9, None)], "query_id long, query string")
     lexical = sorted(map(tuple, retrieval.lexical_topk(texts, words, 5).collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "PASS_QUERIES", 4)
     assert sorted(map(tuple, retrieval.vector_topk(vectors, asked, 7).collect())) == whole
     assert sorted(map(tuple, retrieval.lexical_topk(texts, words, 5).collect())) == lexical and len(lexical) == 30
     by = {(q, r): (i, s) for q, i, s, r in whole}
@@ -287,6 +405,40 @@ def test_searches_in_blocks(spark, monkeypatch):
         assert [by[q, r][0] for r in range(7)] == [i for _, i in cosine]
 
 
+def test_indexes_equal_plain_searches(spark, monkeypatch):
+    """Cells, blocks and grams change no result: ties, zero vectors, odd dimensions, queries without an answer, large cells."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(6, 5))
+    rows = [(f"v{i:03}", [float(x) for x in np.round(centre[i % 6] + rng.normal(size=5) * 0.1, 3)]) for i in range(180)]
+    rows += [(f"z{i}", [0.0] * 5) for i in range(4)] + [("null", None), ("short", [1.0]), ("hole", [1.0, None, 0.0, 0.0, 0.0]), ("twin", rows[7][1])]
+    vectors = spark.createDataFrame(rows, "id string, vector array<double>").repartition(3)
+    asked = [(i, rows[i * 9][1]) for i in range(12)] + [(50, [0.0] * 5), (51, None), (52, [1.0]), (53, [-1.0, 2.0, 0.5, 0.0, 9.0])]
+    queries = spark.createDataFrame(asked, "query_id int, query_vector array<double>")
+    plain = retrieval.vector_topk(vectors.where("id <> 'short'"), queries, 8)
+    report: dict = {}
+    monkeypatch.setattr(indexes, "PART", 16)
+    index = {k: materialize(v, k) for k, v in indexes.vector_index(vectors, 5).items()}
+    assert sorted(map(tuple, indexes.vector_search(index, queries, 8, report).collect())) == sorted(map(tuple, plain.collect()))
+    assert 0 < report["pairs_met"] < 0.8 * report["pairs"]
+    none = {k: materialize(v, k) for k, v in indexes.vector_index(vectors.limit(0), 5).items()}
+    assert indexes.vector_search(none, queries, 8).count() == 0
+
+    monkeypatch.setattr(indexes, "BLOCK_BITS", 3)
+    monkeypatch.setattr(indexes, "BLOCK", 8)
+    texts = spark.createDataFrame([(f"t{i:02}", f"w{i % 3} w{i % 7} common") for i in range(50)] + [("u", None)], "id string, text string").repartition(3)
+    words = spark.createDataFrame([(i, f"w{i} common") for i in range(6)] + [(9, None), (10, "t07"), (11, "absent words")], "query_id long, query string")
+    index = {k: materialize(v, k) for k, v in indexes.text_index(texts).items()}
+    for blocks in (topk.PASS_QUERIES, 4):
+        monkeypatch.setattr(topk, "PASS_QUERIES", blocks)
+        assert sorted(map(tuple, indexes.text_search(index, words, 5).collect())) == sorted(map(tuple, retrieval.lexical_topk(texts, words, 5).collect()))
+
+    names = [("method:a.OrderStore#save", "save", "a.OrderStore#save"), ("type:xY", "xY", None), ("t", "longer_name_here", "p.Q"), ("n", None, None)]
+    nodes = spark.createDataFrame(names, "id string, name string, fqn string")
+    index = {k: materialize(v, k) for k, v in indexes.name_index(nodes).items()}
+    sought = spark.createDataFrame([(1, "the orderstore saves"), (2, "find xY now"), (3, "name_ or nothere"), (4, None)], "query_id int, query string")
+    assert {(r["query_id"], r["id"]) for r in indexes.name_search(index, sought).collect()} == {(1, "method:a.OrderStore#save"), (2, "type:xY"), (3, "t")}
+
+
 def test_scan_end_to_end(spark, tmp_path):
     """A folder becomes a graph with all facts; a second scan reuses vectors, records changes and answers searches."""
     from tests.samples import FILES
@@ -309,7 +461,7 @@ def test_scan_end_to_end(spark, tmp_path):
     second = project.scan()
     changes = {r["relative_path"]: r["change"] for r in second.changes.where("change <> 'unchanged'").collect()}
     assert changes == {"db/schema.sql": "deleted", "src/main/java/shop/data/OrderStore.java": "modified"}
-    assert 0 < second.vectors["embedded"] < 6 and second.vectors["pruned"] >= 3 and second.vectors["reused"] > 15
+    assert second.reread == {"parsed": 1, "resolved": 2, "linked": 2} and 0 < second.vectors["embedded"] < 6 and second.vectors["pruned"] >= 3 and second.vectors["reused"] > 15
     assert project.metadata.latest_scan().first()["status"] == "success" and project.metadata.files.read().count() == len(FILES) - 1
     found = project.search(spark.createDataFrame([(1, "place an order and save it in the OrderStore")], "query_id int, query string"))
     hits = {r["id"]: r["sources"] for r in found.collect()}
