@@ -12,14 +12,15 @@ row within a piece. Phrases are counted for each language.
 
 The proposed sets grow with the corpus, so they are not sent out: tasks get bit tables of at most 4 MB, which
 mark every proposed phrase and by chance some others. A fuller table only counts more phrases; what is missing from a table is
-surely not proposed, so nothing is lost at any size. Marked phrases are counted as strings, border phrases by 64-bit codes,
-which only ever add up too much: a failure is counted again, as a string. So every result is exact.
+surely not proposed, so nothing is lost at any size. These passes count by 64-bit codes of language and phrase, which only
+ever add up too much. When the border is closed, a last pass counts the phrases whose codes reached the threshold as strings.
+So every result is exact.
 
 A candidate of at least ``LEAST`` occurrences is scored at its weakest cut, score = floor(1000 a n / (l r)), and dropped where
 a longer phrase holds it just as often. (The phrases between the two are then as frequent, so one word more is enough to
 look at.)
 
-Scale: no row per position leaves a task; slices of text are counted in arrays and combined before the shuffle. Parts and
+Scale: no row per position leaves a task; slices of text are counted in arrays. Parts and
 longer phrases are found by joins on equal phrases, whose hot keys adaptive execution splits.
 
 Defined results: a null text has no words; a null language is ``und``; repeated rows count each; equal scores and counts are
@@ -48,12 +49,12 @@ TOP = 2000
 SAMPLE = 8
 NO_LANGUAGE = "und"
 #: Bytes of text whose phrases are counted together before they leave a task.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Signs that end a piece; blanks and tabs only part words.
 ENDS = byte_class([ord(c) for c in ".,;:!?"] + [10, 11, 12, 13])
 WORD_BYTES = ~(ENDS | byte_class([9, 32]))
 FACTORS = [U64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(LONGEST)]
-COUNTS = "lang string, size int, code long, phrase string, c long"
+SPELLED = "lang string, size int, phrase string, c long"
 
 
 def lowered(least: int, part: int) -> int:
@@ -118,16 +119,16 @@ class Phrases:
         parts = [self.words.take(pa.array(self.word[at + k])) for k in range(size)]
         return (pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]).cast(pa.string())
 
-    def rows(self, at: np.ndarray, size: int, code: np.ndarray, times: np.ndarray, spelled: bool) -> pa.RecordBatch:
-        none = pa.nulls(len(at), pa.string())
-        columns = [
-            self.langs.take(pa.array(self.lang[at])),
-            pa.array(np.full(len(at), size, np.int32)),
-            pa.array(np.zeros(len(at), np.int64) if spelled else signed(code[at])),
-            self.spelled(at, size) if spelled else none,
-            pa.array(times.astype(np.int64)),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "code", "phrase", "c"])
+    def counted(self, code: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """(code, c) of the phrases that begin at ``at``."""
+        place, times = self.tallied(code, at)
+        return pa.RecordBatch.from_arrays([pa.array(signed(code[place])), pa.array(times.astype(np.int64))], ["code", "c"])
+
+    def rows(self, at: np.ndarray, size: int, times: np.ndarray) -> pa.RecordBatch:
+        """(lang, size, phrase, c); of size 0, the words of a language."""
+        names = self.spelled(at, size) if size else pa.nulls(len(at), pa.string())
+        columns = [self.langs.take(pa.array(self.lang[at])), pa.array(np.full(len(at), size, np.int32)), names, pa.array(times.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "c"])
 
 
 class Marks:
@@ -157,58 +158,69 @@ def parts_marked(shorter: np.ndarray) -> np.ndarray:
 def _sampled(bits) -> callable:
     """Counts by code: without marks all words and pairs, with marks what is longer and has only marked pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks(bits.value) if bits is not None else None
-        for batch in batches:
-            for part in slices(batch, "_text", SLICE):
-                own, whole = Phrases(part), None
-                for size, code, inside in own.codes():
-                    if marks and size == 2:
-                        whole = marks(code) & inside
-                    if (size > 2) != bool(marks):
-                        continue
-                    if marks:
-                        whole = parts_marked(whole)  # all pairs of the phrase
-                        inside = inside & whole
-                    place, times = own.tallied(code, np.flatnonzero(inside))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(code[place])), pa.array(times.astype(np.int64))], ["code", "c"])
+    def work(own: Phrases, marks: Marks | None) -> Iterator[pa.RecordBatch]:
+        whole = None
+        for size, code, inside in own.codes():
+            if marks and size == 2:
+                whole = marks(code) & inside
+            if (size > 2) == bool(marks):
+                if marks:
+                    whole = parts_marked(whole)  # all pairs of the phrase
+                    inside = inside & whole
+                yield own.counted(code, np.flatnonzero(inside))
 
-    return run
+    return _over_texts(work, bits)
+
+
+def _bordered(known: list) -> callable:
+    """Counts by code of the last of some passes. ``known`` holds for each pass the marks of what it took as frequent: it
+    counts these and their border, as far as no pass before it did."""
+
+    def work(own: Phrases, *marks: Marks) -> Iterator[pa.RecordBatch]:
+        shorter: list[np.ndarray] = []
+        for size, code, inside in own.codes():
+            marked = [m(code) for m in marks]
+            if size == 1:
+                wanted = inside if len(marks) == 1 else np.zeros_like(inside)  # the first pass counts all words
+            else:
+                due = [m | parts_marked(before) for m, before in zip(marked, shorter, strict=True)]
+                wanted = inside & due[-1]
+                for done in due[:-1]:
+                    wanted &= ~done
+            yield own.counted(code, np.flatnonzero(wanted))
+            shorter = marked
+
+    return _over_texts(work, *known)
 
 
-def _counted(passes: list, now: int) -> callable:
-    """Counts of the pass ``now``; ``passes`` holds for every pass so far the marks of phrases counted as strings and of
-    phrases whose border it counts. Rows of size 0 hold the number of words of a language."""
+def _spelled(bits) -> callable:
+    """Counts of the marked phrases by their words, and of all words of a language."""
+
+    def work(own: Phrases, marks: Marks) -> Iterator[pa.RecordBatch]:
+        times = np.bincount(own.lang)
+        first = np.zeros(len(times), np.int64)
+        first[own.lang[::-1]] = np.arange(len(own.lang))[::-1]
+        held = np.flatnonzero(times)
+        yield own.rows(first[held], 0, times[held])
+        for size, code, inside in own.codes():
+            place, times = own.exactly(code, np.flatnonzero(inside & marks(code)), size)
+            yield own.rows(place, size, times)
+
+    return _over_texts(work, bits)
+
+
+def _over_texts(work, *bits) -> callable:
+    """A function for mapInArrow that gives ``work`` the phrases of each slice, and bit tables (None for none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [(m := Marks(a.value), m if b is a else Marks(b.value)) for a, b in passes]
+        marks = [Marks(b.value) if b is not None else None for b in bits]
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
                 own = Phrases(part)
-                if not len(own.word):
-                    continue
-                if now == 0:
-                    times = np.bincount(own.lang)
-                    first = np.zeros(len(times), np.int64)
-                    first[own.lang[::-1]] = np.arange(len(own.lang))[::-1]
-                    held = np.flatnonzero(times)
-                    yield own.rows(first[held], 0, np.zeros(len(own.lang), U64), times[held], spelled=False)
-                shorter: list[np.ndarray] = []
-                for size, code, inside in own.codes():
-                    members = [member(code) for member, _ in tables]
-                    # A failure of the border was counted before, by its code; now it is as a string.
-                    place, times = own.exactly(code, np.flatnonzero(inside & members[now]), size)
-                    yield own.rows(place, size, code, times, spelled=True)
-                    border = inside & ~members[now]
-                    if size > 1:
-                        border &= parts_marked(shorter[now])
-                        for j in range(now):  # not counted by an earlier pass
-                            border &= ~members[j] & ~parts_marked(shorter[j])
-                    elif now:
-                        border[:] = False  # the first pass counts all words
-                    place, times = own.tallied(code, np.flatnonzero(border))
-                    yield own.rows(place, size, code, times, spelled=False)
-                    shorter = [m if grown is member else grown(code) for (member, grown), m in zip(tables, members, strict=True)]
+                if len(own.word):
+                    yield from work(own, *marks)
+                del own
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -221,50 +233,29 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = rows.select("_lang", "_text")
     chosen = rows.where(F.pmod(F.xxhash64("_id"), F.lit(part)) == 0).select("_lang", "_text")
 
-    def mined(marks) -> DataFrame:
-        found = chosen.mapInArrow(_sampled(marks), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-        return materialize(found.where(F.col("c") >= lowered(least, part)).select("code"), "phrase-sample")
+    def reaching(of: DataFrame, how: callable, floor: int, name: str) -> DataFrame:
+        """Codes that occur so often. Most codes of a slice are rare, so combining slices before the shuffle would save little:
+        counts are dealt by code and added there; a code has a row for each slice at most."""
+        found = of.mapInArrow(how, "code long, c long").repartition("code").groupBy("code").agg(F.sum("c").alias("c"))
+        return materialize(found.where(F.col("c") >= floor).select("code"), name)
 
-    def sent(bits: np.ndarray):
-        return spark.sparkContext.broadcast(bits)
+    def sent(codes: DataFrame):
+        return spark.sparkContext.broadcast(_marks(codes))
 
-    short = mined(None)
-    proposed = short.unionByName(mined(sent(_marks(short))))
-    marks = sent(_marks(proposed))
-    passes, found = [(marks, marks)], []
+    short = reaching(chosen, _sampled(None), lowered(least, part), "phrase-sample")
+    proposed = short.unionByName(reaching(chosen, _sampled(sent(short)), lowered(least, part), "phrase-sample"))
+    passes, frequent = [sent(proposed)], None
     while True:
-        counts = texts.mapInArrow(_counted(passes, len(passes) - 1), COUNTS).groupBy("lang", "size", "code", "phrase").agg(F.sum("c").alias("c"))
-        counts = materialize(counts.where((F.col("c") >= least) | (F.col("size") == 0)), "phrase-counts")
-        found.append(counts)
-        failed = counts.where("phrase IS NULL AND size > 0").select("code").distinct()
+        found = reaching(texts, _bordered(passes), least, "phrase-counts")
+        frequent = found if frequent is None else frequent.unionByName(found)
+        # Failures: frequent, but not taken as such so far. What was taken as frequent and is not does not matter.
+        failed = found.join(proposed, "code", "left_anti")
         if failed.isEmpty():
             break
-        known = found[0].where("phrase IS NOT NULL")
-        for more in found[1:]:
-            known = known.unionByName(more.where("phrase IS NOT NULL"))
-        known = failed.unionByName(_codes_of(known))
-        passes.append((sent(_marks(failed)), sent(_marks(known))))
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    # A phrase that two passes count, since a table marked it by chance, has the same count in both.
-    return whole.where("phrase IS NOT NULL OR size = 0").groupBy("lang", "size", "phrase").agg(F.max("c").alias("c"))
-
-
-def _codes_of(phrases: DataFrame) -> DataFrame:
-    """Codes of spelled phrases, as tasks that read texts make them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = Phrases(batch)
-            first = np.searchsorted(own.piece, np.arange(batch.num_rows))
-            size = batch.column("size").to_numpy()
-            out = np.zeros(batch.num_rows, U64)
-            for k, code, _ in own.codes():
-                out[size == k] = code[first[size == k]]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(out))], ["code"])
-
-    return phrases.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_text"), "size").mapInArrow(run, "code long")
+        proposed = frequent
+        passes.append(sent(frequent))
+    counts = texts.mapInArrow(_spelled(sent(frequent)), SPELLED).groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c"))
+    return counts.where((F.col("c") >= least) | (F.col("size") == 0))
 
 
 def collocations(frequent: DataFrame, top: int = TOP) -> DataFrame:
