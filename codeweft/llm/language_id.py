@@ -141,6 +141,12 @@ class Model:
         return names, np.clip(score, 0, 1), np.clip(held, 0, 1)
 
 
+#: An n-gram seen once counts in a language of fewer labelled texts than this; larger samples repeat what matters.
+FEW_TEXTS = 10
+#: Shares of n-grams are taken of so many at least, so that a few texts outweigh no large sample.
+LEAST_GRAMS = 20_000
+
+
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from labelled(_text, _lang); None if there is no labelled text."""
     labelled = labelled.where("_lang IS NOT NULL AND _text IS NOT NULL")
@@ -168,10 +174,12 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
         return work
 
     counted = chosen.select(bit[F.col("_lang")].alias("bit"), "_text").mapInArrow(over_slices("_text", make), "bit int, gram long, n long")
-    counted = counted.groupBy("bit", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = counted.groupBy("bit", "gram").agg(F.sum("n").alias("n"))
+    few = [i for i, k in enumerate(languages) if any(r["_lang"] == k and r["n"] < FEW_TEXTS for r in found)]
+    counted = counted.where((F.col("n") > 1) | F.col("bit").isin(few))
     # Bounded by the sample: ``sample_docs`` texts of each language.
     kept = counted.toPandas()
-    kept["rate"] = kept["n"] / kept.groupby("bit")["n"].transform("sum")
+    kept["rate"] = kept["n"] / kept.groupby("bit")["n"].transform("sum").clip(lower=LEAST_GRAMS)
     kept = kept[kept["rate"] >= LEAST_SHARE * kept.groupby("gram")["rate"].transform("max")]
     grams = [kept["gram"].to_numpy()[kept["bit"].to_numpy() == i].astype(np.int64).view(U64) for i in range(len(languages))]
     model = Model(languages, found[0]["_lang"], grams)

@@ -37,6 +37,16 @@ def test_language_odd_rows(odd, none, docs):
     assert nothing is None and {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def test_a_language_of_one_text_is_found(spark, docs):
+    """One labelled text is enough for its own words, and takes nothing from a language of many texts."""
+    english = docs.where("lang = 'en' AND length(text) > 200").select(F.col("text").alias("_text"), F.col("lang").alias("_lang")).limit(40)
+    own = "zyx qwvk jjrx kzzq wyxv qqkz vvjw xkqy zzwv"
+    labelled = english.unionByName(spark.createDataFrame([(own, "xx")], "_text string, _lang string"))
+    model = language_id.fit(labelled)
+    got = language_id.identify(labelled, model, "_text", [F.col("_lang")]).collect()
+    assert model.languages == ["en", "xx"] and sum(r["lang_pred"] == r["_lang"] for r in got) == 41
+
+
 def test_filter_returns_all_languages_of_an_ngram():
     grams = language_id.NGrams()
     own, _ = grams.of(["shared"])
