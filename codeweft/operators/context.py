@@ -33,6 +33,24 @@ def prompt_reserve(budget: int) -> int:
     return min(3000, max(400, budget // 4))
 
 
+def assemble_prompts(heads: DataFrame, sections: DataFrame, budget: int = BUDGET["tokens"], group: str = "pack") -> DataFrame:
+    """``prompt, tokens, sections`` for each of heads(group, head): the head, then sections(group, ordinal, title, body) in order.
+
+    What the answer needs is kept free of the budget. Blank sections do not count; the section that crosses what is left is
+    cut, and those after it fall away. A group's text is no longer than its budget.
+    """
+    room = max(600, budget - prompt_reserve(budget))
+    first = heads.select(group, "head", (F.lit(room) - estimate_tokens(F.col("head"))).alias("free"))
+    order = Window.partitionBy(group).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    spent = sections.where(F.trim(F.regexp_replace("body", r"\s+", " ")) != "").withColumn("cost", estimate_tokens(F.col("body"))).join(first.select(group, "free"), group)
+    spent = spent.withColumn("left", F.col("free") - F.coalesce(F.sum("cost").over(order), F.lit(0))).where("left > 0")
+    body = F.when(F.col("cost") <= F.col("left"), F.col("body")).otherwise(F.substr("body", F.lit(1), (F.col("left") * CHARS_PER_TOKEN).cast("int")))
+    parts = spent.select(group, "ordinal", F.concat(F.lit("\n\n---\n# "), "title", F.lit("\n\n"), body).alias("part"))
+    told = parts.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "part"))), lambda x: x["part"]), "").alias("rest"), F.count("*").alias("sections"))
+    prompt = F.concat("head", F.coalesce("rest", F.lit("")))
+    return first.join(told, group, "left").select(group, prompt.alias("prompt"), estimate_tokens(prompt).alias("tokens"), F.coalesce("sections", F.lit(0)).alias("sections"))
+
+
 def relevant_files(focus: DataFrame, nodes: DataFrame, most: int = BUDGET["files"]) -> DataFrame:
     """Files by the number of focus symbols in them, most first."""
     placed = focus.join(nodes.select("id", "file"), "id").where("file IS NOT NULL")

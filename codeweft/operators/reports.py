@@ -119,6 +119,23 @@ def exception_pages(edges: DataFrame, most: int = 6) -> DataFrame:
     return first.groupBy("exception").agg(side("THROWS").alias("thrown_by"), side("CATCHES").alias("caught_by"))
 
 
+def dependency_page(facts: DataFrame, most: int = 6) -> DataFrame:
+    """``group, artifact, files, versions``: build files that ask for each dependency, and its first versions in order."""
+    own = facts.where("fact = 'dependency'")
+    files = own.groupBy("group", "artifact").agg(F.countDistinct("file").alias("files"))
+    versions = own.where("value <> ''").select("group", "artifact", "value").distinct()
+    versions = versions.withColumn("k", F.row_number().over(Window.partitionBy("group", "artifact").orderBy("value"))).where(F.col("k") <= most)
+    versions = versions.groupBy("group", "artifact").agg(F.sort_array(F.collect_list("value")).alias("versions"))
+    return files.join(versions, ["group", "artifact"], "left").withColumn("versions", F.coalesce("versions", F.array().cast("array<string>")))
+
+
+def logging_page(logged: DataFrame, interesting: DataFrame) -> DataFrame:
+    """``what, key, n``: logging calls by level, methods that log, and methods worth a log line with and without one."""
+    calls = logged.groupBy(F.col("level").alias("_k")).agg(F.sum("calls").alias("_n"))
+    worth = interesting.groupBy(F.when(F.col("logged"), "logged").otherwise("unlogged").alias("_k")).agg(F.count("*").alias("_n"))
+    return long_rows(calls=(calls, F.col("_k"), F.col("_n")), methods=_total(logged.select("fqn").distinct()), worth=(worth, F.col("_k"), F.col("_n")))
+
+
 def layers(types: DataFrame, most: int = 60) -> DataFrame:
     """``layer, status, types, members`` of types(fqn, package, stereotype, spark_job).
 

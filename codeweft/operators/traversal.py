@@ -43,22 +43,20 @@ def reached_lanes(moves: DataFrame, start: DataFrame, max_depth: int, with_seed:
     ``start`` holds ``id, lane, bits``. A step joins the frontier with the moves and combines bits by OR, before the
     shuffle and after, so it has one row for each node and lane, however many seeds come there.
     """
-    frontier, visited, found = start, None if with_seed else start.select("id", "lane", F.col("bits").alias("old")), []
+    none = F.lit(0).cast("long")
+    frontier, found = start, []
+    before = [] if with_seed else [start]
     for depth in range(1, max_depth + 1):
-        arrived = frontier.join(moves, "id").groupBy(F.col("next").alias("id"), "lane").agg(F.bit_or("bits").alias("bits"))
-        if visited is not None:
-            fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
-            both = arrived.join(visited, ["id", "lane"], "left").select("id", "lane", fresh.alias("bits"), F.coalesce("old", F.lit(0).cast("long")).alias("old"))
-            arrived = both.where("bits <> 0")
-        arrived = materialize(arrived.select("id", "lane", "bits", F.lit(depth).alias("depth")), "hop")
-        if arrived.isEmpty():
+        arrived = frontier.join(moves, "id").select(F.col("next").alias("id"), "lane", "bits", none.alias("old"))
+        met = [x.select("id", "lane", none.alias("bits"), F.col("bits").alias("old")) for x in (*before, *found)]
+        # What arrives and what was there meet in one aggregate, so a step is one join and one shuffle more.
+        both = _union([arrived, *met]).groupBy("id", "lane").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not("old"))
+        arrived = materialize(both.select("id", "lane", fresh.alias("bits")).where("bits <> 0").withColumn("depth", F.lit(depth)), "hop")
+        if depth < max_depth and arrived.isEmpty():
             break
         found.append(arrived)
         frontier = arrived.select("id", "lane", "bits")
-        if depth < max_depth:
-            parts = [x.select("id", "lane", F.col("bits").alias("old")) for x in found]
-            visited = _union([*parts, start.select("id", "lane", F.col("bits").alias("old"))] if not with_seed else parts)
-            visited = visited.groupBy("id", "lane").agg(F.bit_or("old").alias("old"))
     return _union(found) if found else start.limit(0).withColumn("depth", F.lit(0))
 
 

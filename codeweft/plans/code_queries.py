@@ -140,6 +140,14 @@ def logged_methods(spark, sf):
     return frameworks.logged(_tables(spark, sf))
 
 
+@from_tree("""SELECT 'calls' AS what, 'warn' AS key, count(*) AS n FROM d WHERE s % 4 = 1 HAVING count(*) > 0 UNION ALL SELECT 'methods', '', count(*) FROM d WHERE s % 4 = 1
+UNION ALL SELECT 'worth', 'logged', count(*) FROM d WHERE s % 3 = 0 AND s % 4 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'worth', 'unlogged', count(*) FILTER (s % 3 = 0 AND s % 4 <> 1) + count(*) FILTER (s % 5 = 0) + count(*) FILTER (s % 6 = 0) + count(*) FILTER (s % 7 = 0) FROM d""")
+def logging_page(spark, sf):
+    j = _tables(spark, sf)
+    return reports.logging_page(frameworks.logged(j), frameworks.interesting(j))
+
+
 def _statements(spark, sf):
     j = _tables(spark, sf)
     hits = sqltext.java_statements(j.parsed).unionByName(sqltext.file_statements(tree.files(spark, sf, "sql")))
@@ -221,6 +229,13 @@ def table_build_facts(spark, sf):
     return build.build_facts(tree.files(spark, sf, "pom", "gradle"))
 
 
+@from_tree("""SELECT 'org.apache.spark' AS "group", 'spark-sql_2.13' AS artifact, count(*) AS files, list_sort(list(DISTINCT '4.0.' || s))[1:6] AS versions FROM d WHERE s % 11 = 0
+UNION ALL SELECT 'org.postgresql', 'postgresql', count(*), CAST([] AS VARCHAR[]) FROM d WHERE s % 11 = 0 UNION ALL SELECT 'org.junit.jupiter', 'junit-jupiter', count(*), list_sort(list(DISTINCT '5.' || s))[1:6] FROM d WHERE s % 11 = 0
+UNION ALL SELECT 'org.h2', 'h2', count(*), list_sort(list(DISTINCT '1.' || s))[1:6] FROM d WHERE s % 11 = 1 UNION ALL SELECT 'org.mockito', 'mockito-core', count(*), CAST([] AS VARCHAR[]) FROM d WHERE s % 11 = 1""")
+def dependency_page(spark, sf):
+    return reports.dependency_page(build.build_facts(tree.files(spark, sf, "pom", "gradle")))
+
+
 @from_tree("""SELECT DISTINCT unnest(['database', 'testing', 'testing']) AS what, unnest(['PostgreSQL', 'JUnit 4', 'JUnit 5']) AS label FROM d WHERE s % 11 = 0
 UNION ALL SELECT DISTINCT unnest(['database', 'testing']), unnest(['H2', 'Mockito']) FROM d WHERE s % 11 = 1""")
 def dependency_labels(spark, sf):

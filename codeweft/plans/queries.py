@@ -395,6 +395,19 @@ def budget_cut(spark, sf):
     return cut.select("source", F.col("ordinal").alias("doc_id"), F.col("left").cast("long").alias("left"), F.length("body").cast("long").alias("kept"))
 
 
+@query("""WITH c AS (SELECT coalesce(source, '') AS source, doc_id, text, greatest(1, CAST(floor(length(text) / 4) AS BIGINT)) AS cost, 'Task of ' || coalesce(source, '') AS head FROM documents WHERE regexp_matches(text, '[^\\s]')),
+s AS (SELECT *, 21000 - greatest(1, CAST(floor(length(head) / 4) AS BIGINT)) - coalesce(sum(cost) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free FROM c),
+p AS (SELECT source, any_value(head) || string_agg(chr(10) || chr(10) || '---' || chr(10) || '# ' || doc_id || chr(10) || chr(10) || CASE WHEN cost <= free THEN text ELSE substr(text, 1, CAST(4 * free AS BIGINT)) END, '' ORDER BY doc_id) AS prompt,
+ count(*) AS sections FROM s WHERE free > 0 GROUP BY source)
+SELECT source, md5(prompt) AS prompt, greatest(1, CAST(floor(length(prompt) / 4) AS BIGINT)) AS tokens, sections FROM p""")
+def prompt_assembly(spark, sf):
+    """A prompt for each source, of its documents in order, with room for the answer."""
+    docs = table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
+    heads = docs.select("source").distinct().select("source", F.concat(F.lit("Task of "), "source").alias("head"))
+    sections = docs.select("source", F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("title"), F.col("text").alias("body"))
+    return context.assemble_prompts(heads, sections, group="source").withColumn("prompt", F.md5(F.col("prompt").cast("binary")))
+
+
 @query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:40], chr(10)) AS snippet FROM documents")
 def chunk_snippets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.snippet(F.col("text"), F.lit(1), F.lit(40)).alias("snippet"))

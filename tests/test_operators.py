@@ -362,6 +362,26 @@ def test_scan_survives_odd_files(spark, tmp_path):
     assert nodes.where("id = 'type:A'").count() == 1 and edges.where("type = 'READS_TABLE' AND dst = 'table:t'").count() == 1
 
 
+def test_diffs_of_several_files(spark, tmp_path):
+    from tests.samples import DIFF
+
+    want = {("src/A.java", "M", 3, 4, 2, 3), ("src/A.java", "M", 12, 12, 2, 3), ("src/C.java", "R", None, None, 0, 0), ("new.sql", "A", 1, 1, 1, 0), ("gone.txt", "D", 0, 0, 0, 1)}
+    for diffs in (git.diff_rows(spark, DIFF), spark.createDataFrame([(DIFF,)], "text string")):
+        assert set(map(tuple, git.hunks(diffs).collect())) == want
+    assert git.hunks(git.diff_rows(spark, "")).count() == 0
+    with pytest.raises(git.GitUnavailable):
+        git.read_diff(str(tmp_path))
+
+
+def test_prompts_leave_room(spark):
+    heads = spark.createDataFrame([("a", "do it"), ("b", "nothing")], "pack string, head string")
+    sections = [("a", 1, "one", "x" * 400), ("a", 2, "blank", " \n "), ("a", 3, "two", "y" * 4000), ("a", 4, "three", "z")]
+    got = {r["pack"]: r for r in context.assemble_prompts(heads, spark.createDataFrame(sections, "pack string, ordinal int, title string, body string"), budget=800).collect()}
+    # 800 less 400 for the answer is below the least room of 600 tokens.
+    assert got["a"]["prompt"] == "do it\n\n---\n# one\n\n" + "x" * 400 + "\n\n---\n# two\n\n" + "y" * (4 * (600 - 1 - 100)) and got["a"]["sections"] == 2
+    assert (got["b"]["prompt"], got["b"]["sections"]) == ("nothing", 0)
+
+
 def test_streaming_ingest(spark, tmp_path):
     from codeweft.streaming.ingest import level_counts, start_ingest
 
