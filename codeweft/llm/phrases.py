@@ -7,8 +7,9 @@ row within a piece. Phrases are counted for each language.
    proposed.
 2. A full pass counts every proposed phrase and the negative border: every other phrase that occurs and whose parts (all words
    but the last, all but the first) are proposed; every word is in the border.
-3. Border phrases that reach the threshold are failures of the sample. A further pass counts them, and the border of all
-   that are known to be frequent, as far as it has not been counted; this ends when no border phrase fails.
+3. Border phrases that reach the threshold are failures of the sample. A further pass counts whatever can follow from all
+   that is known to be frequent then: pairs of such words and longer phrases of such pairs, as far as they were not
+   counted. If new pairs turn up, another one follows; otherwise nothing is left that could be frequent.
 
 The proposed sets grow with the corpus, so they are not sent out: tasks get bit tables of at most 4 MB, which
 mark every proposed phrase and by chance some others. A fuller table only counts more phrases; what is missing from a table is
@@ -85,12 +86,16 @@ class Phrases:
         return span_hashes(data, offsets[:-1], offsets[1:])
 
     def codes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, codes of the phrases that begin at each word, whether there is one), from single words on."""
+        """(size, codes of the phrases that begin at each word, whether there is one), from single words on.
+
+        The three lowest bits of a code are the size.
+        """
         rolled = np.zeros(len(self.hash), U64)
         for k in range(LONGEST):
             n = max(0, len(self.hash) - k)
             rolled = rolled[:n] + self.hash[k:] * FACTORS[k]
-            yield k + 1, mixed(rolled ^ mixed(self.salt[:n] + U64(k + 1))), self.piece[:n] == self.piece[k:]
+            code = mixed(rolled ^ mixed(self.salt[:n] + U64(k + 1)))
+            yield k + 1, code & ~U64(7) | U64(k + 1), self.piece[:n] == self.piece[k:]
 
     def tallied(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a place of each distinct code, how often it occurs) among the phrases that begin at ``at``."""
@@ -173,20 +178,28 @@ def _sampled(bits) -> callable:
 
 
 def _bordered(known: list) -> callable:
-    """Counts by code of the last of some passes. ``known`` holds for each pass the marks of what it took as frequent: it
-    counts these and their border, as far as no pass before it did."""
+    """Counts by code of the last of some passes. ``known`` holds for each pass the marks of what it took as frequent.
+
+    The first pass counts these and their border. Later ones count all that can follow from what is known, as far as no pass
+    before did: pairs of frequent words, and longer phrases of frequent pairs alone, whatever lies between.
+    """
 
     def work(own: Phrases, *marks: Marks) -> Iterator[pa.RecordBatch]:
         shorter: list[np.ndarray] = []
+        whole: list[np.ndarray] = []
         for size, code, inside in own.codes():
             marked = [m(code) for m in marks]
             if size == 1:
                 wanted = inside if len(marks) == 1 else np.zeros_like(inside)  # the first pass counts all words
             else:
-                due = [m | parts_marked(before) for m, before in zip(marked, shorter, strict=True)]
+                if size > 2:
+                    whole = [parts_marked(w) for w in whole]
+                due = [m | (parts_marked(shorter[j]) if j == 0 or size == 2 else whole[j]) for j, m in enumerate(marked)]
                 wanted = inside & due[-1]
                 for done in due[:-1]:
                     wanted &= ~done
+                if size == 2:
+                    whole = [m & inside for m in marked]
             yield own.counted(code, np.flatnonzero(wanted))
             shorter = marked
 
@@ -248,11 +261,11 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     while True:
         found = reaching(texts, _bordered(passes), least, "phrase-counts")
         frequent = found if frequent is None else frequent.unionByName(found)
-        # Failures: frequent, but not taken as such so far. What was taken as frequent and is not does not matter.
-        failed = found.join(proposed, "code", "left_anti")
+        # Failures: frequent, but not taken as such so far. What was taken as frequent and is not does not matter. After the
+        # first pass only pairs that were not known can lead to phrases that no pass has counted.
+        failed = found.join(proposed, "code", "left_anti") if len(passes) == 1 else found.where(F.col("code").bitwiseAND(7) == 2)
         if failed.isEmpty():
             break
-        proposed = frequent
         passes.append(sent(frequent))
     counts = texts.mapInArrow(_spelled(sent(frequent)), SPELLED).groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c"))
     return counts.where((F.col("c") >= least) | (F.col("size") == 0))
