@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from codeweft.operators.ranking import placed
 
 #: Events (begins of spans, points, begins of ranges) of a file that one sweep takes; a file of more is cut.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 
 
 def _chunked(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:

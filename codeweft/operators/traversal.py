@@ -121,7 +121,8 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_h
     """
     moves = materialize(steps(edges, "out", types or ["CALLS"]), "steps")
     goal = targets.select("id").distinct()
-    left = reachable(edges, goal, max_hops - 1, "in", types or ["CALLS"]).groupBy("id").agg(F.min("depth").alias("left"))
+    start = goal.select("id", F.lit(0).cast("long").alias("lane"), F.lit(1).cast("long").alias("bits"))
+    left = reached_lanes(moves.select(F.col("next").alias("id"), F.col("id").alias("next")), start, max_hops - 1).select("id", F.col("depth").alias("left"))
     # A target ends a path wherever it stands, so it counts as arrived.
     left = goal.withColumn("left", F.lit(0)).unionByName(left.join(goal, "id", "left_anti"))
     moves = materialize(moves.join(left.withColumnRenamed("id", "next"), "next"), "moves-that-arrive")
