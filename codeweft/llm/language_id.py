@@ -8,9 +8,10 @@ whose mask has the language's bit, corrected for the filter's false positives: o
 share p = fill**hashes hits by chance, so (hits - N * p) / (1 - p) remain. The most hits decide;
 ties go to the language with more n-grams held by no other language, then to the first by name.
 
-Which n-grams a language holds is learned from a bounded sample: about ``sample_docs`` labelled
-texts of each language, chosen by a hash, and of these every n-gram that occurs twice or more; stray
-n-grams, which another language uses ten times as often, are left out. The table has a fixed number of
+Which n-grams a language holds is learned from every whole labelled text: those that it uses twice or more,
+and twice or more in each 1000 of its texts, so that a language holds the same n-grams however many texts there
+are; stray n-grams, which another language uses ten times as often, are left out. Tasks count n-grams and
+combine the bits of each slot; the driver gets the marked slots alone. The table has a fixed number of
 slots and is the only thing sent to executors. Prediction reads every whole text in one pass, without a shuffle.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; a text with
@@ -21,20 +22,23 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeweft.llm.arrays import U64, mixed, over_slices, signed
-from codeweft.llm.common import crc32_of_id, table
+from codeweft.llm.common import crc32_of_id, discard, materialize, table
 
 LENGTHS = (3, 4)
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 HASHES = 2
-SAMPLE_DOCS = 1000
+#: A language holds an n-gram that all its labelled texts together use so often for each 1000 of them.
+LEAST_PER_1000 = 2
 WORD_BITS = 64
 #: A language holds an n-gram if it uses it at this share, at least, of the rate of the language that uses it most.
 LEAST_SHARE = 0.1
@@ -90,19 +94,23 @@ def slots_of(grams: np.ndarray) -> list[np.ndarray]:
 class Model:
     """The filter, the languages by bit, and each bit's false-positive rate."""
 
-    def __init__(self, languages: list[str], first: str, grams: list[np.ndarray]) -> None:
+    def __init__(self, languages: list[str], first: str, grams: Sequence[np.ndarray] = (), marks: Iterable[tuple[int, np.ndarray, np.ndarray]] = ()) -> None:
+        """Of each language's ``grams``, or of ``marks``: words of languages, their slots and the bits of these."""
         self.languages, self.first = languages, first
         self.tables: list[np.ndarray] = []  # one for each word of WORD_BITS languages, in the least type that holds it
         self.false_rate = np.zeros(len(languages))
         for at in range(0, len(languages), WORD_BITS):
-            own = grams[at : at + WORD_BITS]
-            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(own) <= np.iinfo(k).bits)
-            table = np.zeros(SLOTS, dtype=kind)
-            for bit, held in enumerate(own):
-                for slot in slots_of(held):
-                    table[slot] |= kind(1 << bit)
-                self.false_rate[at + bit] = np.mean((table >> kind(bit)) & kind(1)) ** HASHES
-            self.tables.append(table)
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages[at : at + WORD_BITS]) <= np.iinfo(k).bits)
+            self.tables.append(np.zeros(SLOTS, dtype=kind))
+        for bit, held in enumerate(grams):
+            table = self.tables[bit // WORD_BITS]
+            for slot in slots_of(held):
+                table[slot] |= table.dtype.type(1 << bit % WORD_BITS)
+        for word, slot, bits in marks:
+            self.tables[word][slot] |= bits.astype(self.tables[word].dtype)
+        for bit in range(len(languages)):
+            table = self.tables[bit // WORD_BITS]
+            self.false_rate[bit] = np.mean((table >> table.dtype.type(bit % WORD_BITS)) & table.dtype.type(1)) ** HASHES
 
     def masks(self, grams: np.ndarray) -> list[np.ndarray]:
         """For each word of languages, the mask of those that hold each n-gram."""
@@ -141,22 +149,22 @@ class Model:
         return names, np.clip(score, 0, 1), np.clip(held, 0, 1)
 
 
-#: An n-gram seen once counts in a language of fewer labelled texts than this; larger samples repeat what matters.
+#: An n-gram seen once counts in a language of fewer labelled texts than this; more texts repeat what matters.
 FEW_TEXTS = 10
-#: Shares of n-grams are taken of so many at least, so that a few texts outweigh no large sample.
+#: Shares of n-grams are taken of so many at least, so that a few texts outweigh no large language.
 LEAST_GRAMS = 20_000
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Learn from labelled(_text, _lang); None if there is no labelled text."""
+def fit(labelled: DataFrame) -> Model | None:
+    """Learn from every row of labelled(_text, _lang); None if there is no labelled text."""
     labelled = labelled.where("_lang IS NOT NULL AND _text IS NOT NULL")
     found = labelled.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").collect()  # one row for each language
     if not found:
         return None
     languages = sorted(r["_lang"] for r in found)
+    texts = {r["_lang"]: r["n"] for r in found}
     bit = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
-    share = F.create_map(*[x for r in found for x in (F.lit(r["_lang"]), F.lit(min(1.0, sample_docs / r["n"])))])
-    chosen = labelled.where(F.col("_lang").isin(languages)).where(_drawn(share))
+    least = F.array(*[F.lit(1 if texts[k] < FEW_TEXTS else max(2, -(-LEAST_PER_1000 * texts[k] // 1000))).cast("long") for k in languages])
 
     def make():
         ngrams = NGrams()
@@ -173,30 +181,35 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
 
         return work
 
-    counted = chosen.select(bit[F.col("_lang")].alias("bit"), "_text").mapInArrow(over_slices("_text", make), "bit int, gram long, n long")
+    counted = labelled.select(bit[F.col("_lang")].alias("bit"), "_text").mapInArrow(over_slices("_text", make), "bit int, gram long, n long")
     counted = counted.groupBy("bit", "gram").agg(F.sum("n").alias("n"))
-    few = [i for i, k in enumerate(languages) if any(r["_lang"] == k and r["n"] < FEW_TEXTS for r in found)]
-    counted = counted.where((F.col("n") > 1) | F.col("bit").isin(few))
-    # Bounded by the sample: ``sample_docs`` texts of each language.
-    kept = counted.toPandas()
-    kept["rate"] = kept["n"] / kept.groupby("bit")["n"].transform("sum").clip(lower=LEAST_GRAMS)
-    kept = kept[kept["rate"] >= LEAST_SHARE * kept.groupby("gram")["rate"].transform("max")]
-    grams = [kept["gram"].to_numpy()[kept["bit"].to_numpy() == i].astype(np.int64).view(U64) for i in range(len(languages))]
-    model = Model(languages, found[0]["_lang"], grams)
-    model.share = {r["_lang"]: min(1.0, sample_docs / r["n"]) for r in found}
-    return model
-
-
-def _drawn(share: Column) -> Column:
-    return F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < share[F.col("_lang")] * (1 << 20)
+    counted = materialize(counted.where(F.col("n") >= F.get(least, F.col("bit"))), "ngrams")
+    sums = {r["bit"]: r["n"] for r in counted.groupBy("bit").agg(F.sum("n").alias("n")).collect()}  # one row for each language
+    total = F.array(*[F.lit(max(LEAST_GRAMS, sums.get(i, 0))).cast("long") for i in range(len(languages))])
+    rated = counted.select("bit", "gram", (F.col("n") / F.get(total, F.col("bit"))).alias("rate"))
+    most = F.max("rate").over(Window.partitionBy("gram"))
+    held = rated.withColumn("most", most).where(F.col("rate") >= LEAST_SHARE * F.col("most"))
+    slots = [F.shiftrightunsigned("gram", SLOT_BITS * k).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for k in range(HASHES)]
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % WORD_BITS)
+    marks = held.select(F.floor(F.col("bit") / WORD_BITS).cast("int").alias("word"), own.alias("bits"), F.explode(F.array(*slots)).alias("slot"))
+    # At most ``SLOTS`` rows for each word of languages, whatever the input.
+    got = marks.groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    discard(labelled.sparkSession, counted)
+    word, slot, bits = (got.column(c).to_numpy() for c in ("word", "slot", "bits"))
+    return Model(languages, found[0]["_lang"], marks=[(w, slot[word == w], bits[word == w].view(U64)) for w in np.unique(word).tolist()])
+
+
+#: Shares of n-grams are rounded down to this part before they are counted, so that their number is bounded.
+COVERAGE_PARTS = 100_000
 
 
 def usual_coverage(labelled: DataFrame, model: Model, low: float = 0.01) -> dict[str, float]:
-    """The coverage that all but a share ``low`` of each language's sampled texts with a letter reach."""
-    share = F.create_map(*[x for k, v in model.share.items() for x in (F.lit(k), F.lit(v))])
-    chosen = labelled.where(F.col("_lang").isin(model.languages) & F.col("_text").isNotNull()).where(_drawn(share))
+    """The coverage that all but a share ``low`` of each language's labelled texts with a letter reach."""
+    chosen = labelled.where(F.col("_lang").isin(model.languages) & F.col("_text").isNotNull())
     found = identify(chosen, model, "_text", [F.col("_lang")]).where("lang_pred = _lang")
-    return {r["_lang"]: r["c"] for r in found.groupBy("_lang").agg(F.percentile("coverage", F.lit(low)).alias("c")).collect()}
+    part = F.floor(F.col("coverage") * COVERAGE_PARTS) / COVERAGE_PARTS
+    counts = found.groupBy("_lang", part.alias("part")).agg(F.count("*").alias("n"))
+    return {r["_lang"]: r["c"] for r in counts.groupBy("_lang").agg(F.percentile("part", F.lit(low), F.col("n")).alias("c")).collect()}
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:

@@ -47,6 +47,29 @@ def test_a_language_of_one_text_is_found(spark, docs):
     assert model.languages == ["en", "xx"] and sum(r["lang_pred"] == r["_lang"] for r in got) == 41
 
 
+def test_language_model_learns_from_every_text(spark):
+    """Counts of n-grams and thresholds are those of all texts of a language, however many it has."""
+    rng = random.Random(5)
+    letters = {"en": "abcdefghij", "de": "ghijklmnop"}
+    words = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12)))
+    rows = [(words(k), k) for k, n in (("en", 2600), ("de", 1300)) for _ in range(n)] + [(None, "en"), ("zzz", None)]
+    labelled = spark.createDataFrame(rows, "_text string, _lang string").repartition(5)
+    model = language_id.fit(labelled)
+    ngrams, rate = language_id.NGrams(), {}
+    for k, least in (("de", 3), ("en", 6)):  # twice in each 1000 texts
+        own, n = np.unique(ngrams.of([t for t, lang in rows if lang == k])[0], return_counts=True)
+        own, n = own[n >= least], n[n >= least]
+        rate[k] = dict(zip(own.tolist(), (n / max(n.sum(), language_id.LEAST_GRAMS)).tolist()))
+    held = [np.array([g for g, r in rate[k].items() if r >= language_id.LEAST_SHARE * max(x.get(g, 0) for x in rate.values())], np.uint64) for k in ("de", "en")]
+    want = language_id.Model(["de", "en"], "en", held)
+    assert model.languages == want.languages and model.first == want.first and (model.false_rate == want.false_rate).all()
+    assert all((a == b).all() for a, b in zip(model.tables, want.tables, strict=True))
+    usual = language_id.usual_coverage(labelled, model)
+    for k in ("de", "en"):
+        names, _, coverage = want.predict(ngrams, [t for t, lang in rows if lang == k])
+        assert usual[k] == pytest.approx(np.quantile([c for c, x in zip(coverage, names) if x == k], 0.01), abs=2 / language_id.COVERAGE_PARTS)
+
+
 def test_filter_returns_all_languages_of_an_ngram():
     grams = language_id.NGrams()
     own, _ = grams.of(["shared"])
@@ -258,6 +281,18 @@ def test_search_with_few_and_many_holders_is_exact():
         assert found.tolist() == np.lexsort((np.arange(n), -full))[:9].tolist() and np.allclose(cosine, full[found])
 
 
+def test_fit_of_more_than_64_languages(spark):
+    """Bits of the second word of languages and the sign bit of the first are learned through Spark as they are from n-grams at hand."""
+    rng = random.Random(3)
+    words = ["".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(40)) for _ in range(70)]
+    names = [f"l{i:02}" for i in range(70)]
+    model = language_id.fit(spark.createDataFrame(list(zip(words, names)), "_text string, _lang string"))
+    want = language_id.Model(names, "l00", [np.unique(language_id.NGrams().of([w])[0]) for w in words])
+    assert all((a == b).all() for a, b in zip(model.tables, want.tables, strict=True)) and (model.false_rate == want.false_rate).all()
+    nothing = language_id.fit(spark.createDataFrame([("1 2", "en")], "_text string, _lang string"))
+    assert nothing.languages == ["en"] and not nothing.tables[0].any()
+
+
 def test_filter_of_more_than_64_languages():
     """Languages beyond one mask word are as good as the others."""
     ngrams = language_id.NGrams()
