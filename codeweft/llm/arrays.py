@@ -15,11 +15,16 @@ SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+#: A column of a batch by its name, or what finds it in the batch.
+Place = str | Callable[[pa.RecordBatch], pa.Array]
+
+
+def slices(batch: pa.RecordBatch, column: Place, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about ``most`` bytes of ``column``."""
     if batch.num_rows == 0:
         return
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    texts = column(batch) if callable(column) else batch.column(column)
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
     start = 0
     while start < len(lengths):
@@ -29,13 +34,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
-def over_slices(column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
+def over_slices(column: Place, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], most: int = SLICE_BYTES) -> Callable:
     """A function for mapInArrow that applies ``make()``'s result to each slice of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield work(part)
 
     return run

@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from codeweft.llm.arrays import U64, mixed, over_slices, signed
 from codeweft.llm.common import crc32_of_id, discard, materialize, table
 
+#: Bytes of text that are worked on at a time; their n-grams take about 100 times as much.
+SLICE = 1 << 18
 LENGTHS = (3, 4)
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
@@ -181,7 +183,7 @@ def fit(labelled: DataFrame) -> Model | None:
 
         return work
 
-    counted = labelled.select(bit[F.col("_lang")].alias("bit"), "_text").mapInArrow(over_slices("_text", make), "bit int, gram long, n long")
+    counted = labelled.select(bit[F.col("_lang")].alias("bit"), "_text").mapInArrow(over_slices("_text", make, SLICE), "bit int, gram long, n long")
     counted = counted.groupBy("bit", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted.where(F.col("n") >= F.get(least, F.col("bit"))), "ngrams")
     sums = {r["bit"]: r["n"] for r in counted.groupBy("bit").agg(F.sum("n").alias("n")).collect()}  # one row for each language
@@ -212,12 +214,22 @@ def usual_coverage(labelled: DataFrame, model: Model, low: float = 0.01) -> dict
     return {r["_lang"]: r["c"] for r in counts.groupBy("_lang").agg(F.percentile("part", F.lit(low), F.col("n")).alias("c")).collect()}
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """``keep`` columns of each row, then ``lang_pred, score, coverage``."""
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None, within: str | None = None) -> DataFrame:
+    """``keep`` columns of each row, then ``lang_pred, score, coverage``.
+
+    ``within`` names the column of ``keep`` that is a struct of whole rows: the text is read there and sent to Python once.
+    """
     keep = keep if keep is not None else [F.col("doc_id")]
-    rows = docs.select(F.struct(*keep).alias("_keep"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    text = F.col(f"`{text_col}`")
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    rows = docs.select(F.struct(*keep).alias("_keep"), *([] if within else [text.alias("_text")]), letters)
     schema = T.StructType([rows.schema.fields[0]] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = rows.schema["_keep"].dataType[within].dataType.names if within else []
+    at = min(range(len(names)), key=lambda i: (names[i] != text_col, names[i].lower() != text_col.lower()), default=0)
+
+    def texts(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column(0).field(within).field(at) if within else batch.column("_text")
 
     def make():
         ngrams = NGrams()
@@ -228,14 +240,14 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             if own is None:
                 lang, score, held = ["und"] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             else:
-                lang, score, held = own.predict(ngrams, batch.column("_text").to_pylist())
+                lang, score, held = own.predict(ngrams, texts(batch).to_pylist())
                 lang = [x if ok else "und" for x, ok in zip(lang, letters, strict=True)]
                 score, held = np.where(letters, score, 0.0), np.where(letters, held, 0.0)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(held)], schema.names)
 
         return work
 
-    return rows.mapInArrow(over_slices("_text", make), schema).select("_keep.*", "lang_pred", "score", "coverage")
+    return rows.mapInArrow(over_slices(texts, make, SLICE), schema).select("_keep.*", "lang_pred", "score", "coverage")
 
 
 def op1_language_bitmask(spark, sf_dir: str) -> DataFrame:

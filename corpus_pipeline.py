@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts of no known language; fills in a missing ``lang``."""
     labelled = docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang"))
     model = language_id.fit(labelled)
-    found = language_id.identify(docs, model, keep=[_row(docs)])
+    found = language_id.identify(docs, model, keep=[_row(docs)], within="_row")
     if model is not None:
         floor = F.lit(LEAST_COVERAGE)
         for name, usual in language_id.usual_coverage(labelled, model).items():

@@ -1,16 +1,19 @@
 """Language ID, toxicity, tokenizers, packing and top-k: held-out accuracy, round trips, brute force."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from codeweft.llm import language_id, packing, queries, topk, toxicity
 from codeweft.llm.automaton import Automaton
 from codeweft.llm.tokenizing import WordTokenizer, decode, encode
@@ -70,6 +73,35 @@ def test_language_model_learns_from_every_text(spark):
         assert usual[k] == pytest.approx(np.quantile([c for c, x in zip(coverage, names) if x == k], 0.01), abs=2 / language_id.COVERAGE_PARTS)
 
 
+def test_language_stage_sends_texts_once_in_small_slices(spark, odd, docs, monkeypatch):
+    """Python gets no text twice, and works on so few at a time that n-grams take little memory."""
+    sent, mapped = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a, **b: sent.append((f, self.schema)) or mapped(self, f, schema, *a, **b))
+    kept = corpus_pipeline.language(spark, docs, SF)
+    (fit, _), whole, _ = sent  # the last is for the usual coverage
+    assert whole[1].simpleString().count("string") == docs.schema.simpleString().count("string")
+    texts = [r["text"] for r in docs.where("length(text) > 200").select("text").limit(150).collect()]
+    texts *= 3_000_000 // sum(map(len, texts)) + 1
+    columns = {"doc_id": range(len(texts)), "text": texts, "lang": ["en"] * len(texts), "source": ["s"] * len(texts), "n_chars": [0] * len(texts)}
+    row = pa.StructArray.from_arrays([pa.array(columns[c]) for c in docs.columns], docs.columns)
+    whole_rows = pa.RecordBatch.from_pydict({"_keep": pa.StructArray.from_arrays([row], ["_row"]), "_text": texts, "_letters": [True] * len(texts)})
+    for f, batch in ((fit, pa.RecordBatch.from_pydict({"bit": [0] * len(texts), "_text": texts})), (whole[0], whole_rows)):
+        tracemalloc.start()
+        rows = sum(part.num_rows for part in f(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 50e6 and rows >= len(texts)
+    # Rows and texts stay together, also where the column is written otherwise and slices begin within a batch.
+    monkeypatch.setattr(language_id, "SLICE", 64)
+    model = language_id.fit(docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang")))
+    for rows in (odd, odd.withColumnRenamed("text", "Text")):
+        apart = language_id.identify(rows.drop("_text", "lang_pred"), model, keep=[F.col("doc_id"), F.xxhash64("text").alias("h")])
+        inside = language_id.identify(rows.drop("_text", "lang_pred"), model, keep=[F.struct("doc_id", *[c for c in rows.columns if c.lower() == "text"]).alias("_row")], within="_row")
+        inside = inside.select("_row.doc_id", F.xxhash64("_row.text").alias("h"), "lang_pred", "score", "coverage")
+        assert sorted(apart.collect(), key=str) == sorted(inside.collect(), key=str) and apart.count() == 12
+    assert kept.count() == corpus_pipeline.language(spark, docs.withColumnRenamed("text", "Text"), SF).count() > 0
+
+
 def test_filter_returns_all_languages_of_an_ngram():
     grams = language_id.NGrams()
     own, _ = grams.of(["shared"])
