@@ -9,7 +9,7 @@ from codeweft.operators.wholegraph import whole_graph
 from codeweft.operators.javagraph import JavaTables
 from codeweft.plans.tabletree import once
 from codeweft.sources import java
-from codeweft.storage import materialize, table
+from codeweft.storage import dealt, materialize, table
 
 #: For each part k of size s: its class, the class of k / 2 that it calls, and what s adds to it.
 CODE_SQL = """
@@ -31,7 +31,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
         F.when(s % 4 == 0, F.format_string("\n    void load() {\n        jdbc.query(\"SELECT a FROM t%s WHERE id = %s\");\n    }\n", text(s), text(k))).otherwise(""),
     )
     path = F.format_string("src/main/java/shop/g%s/P%s.java", text(k % 10), text(k))
-    return table(spark, sf, "part").select(path.alias("relative_path"), F.encode(fill, "UTF-8").alias("content"))
+    return dealt(table(spark, sf, "part").select("p_partkey", "p_size")).select(path.alias("relative_path"), F.encode(fill, "UTF-8").alias("content"))
 
 
 def graph(spark: SparkSession, sf: str) -> tuple[JavaTables, DataFrame, DataFrame, DataFrame]:
@@ -41,6 +41,6 @@ def graph(spark: SparkSession, sf: str) -> tuple[JavaTables, DataFrame, DataFram
         own = sources(spark, sf)
         parsed = JavaTables(java.parse_files(own))
         nodes, edges = whole_graph(parsed, own)
-        return parsed, materialize(nodes, "nodes"), materialize(edges, "edges"), own
+        return parsed, materialize(nodes, "nodes"), edges, own
 
     return once(spark, sf, "code-graph", make)
