@@ -14,6 +14,7 @@ NODES = (wholegraph, "merge_nodes")
 #: By query: what it has no need of.
 SPARED = {
     "change_impact": [RESOLVE, CALLS, STATEMENTS],
+    "code_entrypoints": [STATEMENTS],
 }
 
 
