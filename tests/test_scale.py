@@ -15,6 +15,7 @@ NODES = (wholegraph, "merge_nodes")
 SPARED = {
     "change_impact": [RESOLVE, CALLS, STATEMENTS],
     "code_entrypoints": [STATEMENTS],
+    "scan_statistics": [CALLS],
 }
 
 
