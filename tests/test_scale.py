@@ -16,6 +16,7 @@ SPARED = {
     "change_impact": [RESOLVE, CALLS, STATEMENTS],
     "code_entrypoints": [STATEMENTS],
     "scan_statistics": [CALLS],
+    "type_implementations": [CALLS, STATEMENTS],
 }
 
 
