@@ -17,6 +17,7 @@ SPARED = {
     "code_entrypoints": [STATEMENTS],
     "scan_statistics": [CALLS],
     "type_implementations": [CALLS, STATEMENTS],
+    "uncovered_methods": [STATEMENTS],
 }
 
 
