@@ -3,7 +3,7 @@
 import pytest
 
 import codeweft.plans.code_queries as code
-from codeweft.operators import javagraph, wholegraph
+from codeweft.operators import javagraph, reports, wholegraph
 from codeweft.plans import tabletree
 from codeweft.sources import sqltext
 from tests.compare import oracle, rows
@@ -11,6 +11,7 @@ from tests.compare import oracle, rows
 SF = "/root/testdata/sf0.001"
 STATEMENTS, CALLS, RESOLVE = (sqltext, "statements"), (javagraph, "call_edges"), (javagraph, "resolve_types")
 NODES = (wholegraph, "merge_nodes")
+KHOP = (reports, "khop")
 #: By query: what it has no need of.
 SPARED = {
     "change_impact": [RESOLVE, CALLS, STATEMENTS],
@@ -18,6 +19,7 @@ SPARED = {
     "scan_statistics": [CALLS],
     "type_implementations": [CALLS, STATEMENTS],
     "uncovered_methods": [STATEMENTS],
+    "impact_summary": [STATEMENTS, KHOP],
 }
 
 
