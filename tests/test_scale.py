@@ -20,6 +20,7 @@ SPARED = {
     "type_implementations": [CALLS, STATEMENTS],
     "uncovered_methods": [STATEMENTS],
     "impact_summary": [STATEMENTS, KHOP],
+    "diff_impact": [KHOP],
 }
 
 
