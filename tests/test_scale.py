@@ -21,6 +21,7 @@ SPARED = {
     "uncovered_methods": [STATEMENTS],
     "impact_summary": [STATEMENTS, KHOP],
     "diff_impact": [KHOP],
+    "method_overrides": [CALLS, STATEMENTS],
 }
 
 
