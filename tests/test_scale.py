@@ -22,6 +22,7 @@ SPARED = {
     "impact_summary": [STATEMENTS, KHOP],
     "diff_impact": [KHOP],
     "method_overrides": [CALLS, STATEMENTS],
+    "package_rollup": [RESOLVE, CALLS, STATEMENTS],
 }
 
 
