@@ -23,6 +23,7 @@ SPARED = {
     "diff_impact": [KHOP],
     "method_overrides": [CALLS, STATEMENTS],
     "package_rollup": [RESOLVE, CALLS, STATEMENTS],
+    "exception_pages": [CALLS, STATEMENTS],
 }
 
 
