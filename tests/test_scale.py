@@ -24,6 +24,7 @@ SPARED = {
     "method_overrides": [CALLS, STATEMENTS],
     "package_rollup": [RESOLVE, CALLS, STATEMENTS],
     "exception_pages": [CALLS, STATEMENTS],
+    "java_calls": [STATEMENTS, NODES],
 }
 
 
