@@ -10,7 +10,7 @@ from tests.compare import oracle, rows
 
 SF = "/root/testdata/sf0.001"
 STATEMENTS, CALLS, RESOLVE = (sqltext, "statements"), (javagraph, "call_edges"), (javagraph, "resolve_types")
-NODES = (wholegraph, "merge_nodes")
+NODES, JAVA_NODES = (wholegraph, "merge_nodes"), (javagraph, "merge_nodes")
 KHOP = (reports, "khop")
 #: By query: what it has no need of.
 SPARED = {
@@ -25,6 +25,7 @@ SPARED = {
     "package_rollup": [RESOLVE, CALLS, STATEMENTS],
     "exception_pages": [CALLS, STATEMENTS],
     "java_calls": [STATEMENTS, NODES],
+    "java_graph": [JAVA_NODES],
 }
 
 
