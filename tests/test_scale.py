@@ -5,7 +5,7 @@ import pytest
 import codeweft.plans.code_queries as code
 from codeweft.operators import javagraph, reports, wholegraph
 from codeweft.plans import tabletree
-from codeweft.sources import sqltext
+from codeweft.sources import java, sqltext
 from tests.compare import oracle, rows
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +41,21 @@ def test_parts_are_dealt(spark):
     """One split of narrow rows stands for very much text."""
     cores = spark.sparkContext.defaultParallelism
     assert tabletree.parts(spark, SF).rdd.getNumPartitions() >= cores
+
+
+def test_supertypes_double_their_reach(spark, monkeypatch):
+    """A chain of 40 types over a ring of three: every pair at its least depth, in few rounds."""
+    texts = [f"package p;\n\npublic class T{i} extends T{i - 1 if i else 2} {{\n}}\n" for i in range(40)]
+    sources = spark.createDataFrame([(f"T{i}.java", bytearray(t, "utf-8")) for i, t in enumerate(texts)], "relative_path string, content binary")
+    written = []
+    keep = javagraph.materialize
+    monkeypatch.setattr(javagraph, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    got = {(r["fqn"], r["super"]): r["depth"] for r in javagraph.JavaTables(java.parse_files(sources)).supertypes.collect()}
+    want = {}
+    for i in range(40):
+        at = i
+        for depth in range(1, 45):
+            at = at - 1 if at else 2
+            want.setdefault((f"p.T{i}", f"p.T{at}"), depth)
+    assert got == want
+    assert written.count("supers") <= 8
