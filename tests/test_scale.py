@@ -1,9 +1,12 @@
 """What queries leave undone at any size: each builds no more of the graph than it asks for."""
 
+import random
+
 import pytest
 
 import codeweft.plans.code_queries as code
-from codeweft.operators import javagraph, reports, wholegraph
+import codeweft.plans.queries as plans
+from codeweft.operators import javagraph, reports, spans, wholegraph
 from codeweft.plans import tabletree
 from codeweft.sources import java, sqltext
 from tests.compare import oracle, rows
@@ -59,3 +62,18 @@ def test_supertypes_double_their_reach(spark, monkeypatch):
             want.setdefault((f"p.T{i}", f"p.T{at}"), depth)
     assert got == want
     assert written.count("supers") <= 8
+
+
+@pytest.mark.parametrize("chunk", [4, 50, 1 << 16])
+def test_overlaps_are_counted_without_pairs(spark, chunk, monkeypatch):
+    """Many spans and ranges with the same lines, files that are cut and files that are not; ranges without ends."""
+    rng = random.Random(chunk)
+    own = [(rng.randrange(1000) * 100 + i, rng.choice(["x", "x", "y"]), lo := rng.randrange(40), lo + rng.choice([0, 1, 5, 50])) for i in range(90)] + [(7, "x", 9, 3), (8, None, 1, 9)]
+    ranges = [(i, rng.choice(["x", "y", "z"]), lo := rng.randrange(60), lo + rng.choice([0, 3, 30])) for i in range(90)] + [(990, "y", None, None), (991, None, 1, 2), (992, "x", 5, 2)]
+    monkeypatch.setattr(spans, "overlapping_spans", lambda *_: pytest.fail("pairs"))
+    frame = lambda what, of: spark.createDataFrame(of, f"{what}_id long, file string, lo int, hi int").repartition(3)
+    got = {r["range_id"]: (r["spans"], r["first_span"]) for r in spans.overlap_counts(frame("range", ranges), frame("span", own), chunk).collect()}
+    met = {r: [s for s, g, lo, hi in own if f and f == g and (a is None or a <= b and lo <= hi and a <= hi and lo <= b)] for r, f, a, b in ranges}
+    assert got == {r: (len(x), min(x)) for r, x in met.items() if x and r != 990} | {990: (len([x for x in own if x[1] == "y"]), min(x[0] for x in own if x[1] == "y"))}
+    if chunk == 4:
+        assert rows(plans.hunk_overlap(spark, SF).toPandas()) == rows(oracle(SF, plans.ORACLES["hunk_overlap"]))
