@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import codeweft.plans.code_queries as code
 import codeweft.plans.queries as plans
-from codeweft.operators import javagraph, reports, spans, wholegraph
+from codeweft.operators import javagraph, reports, spans, traversal, wholegraph
 from codeweft.plans import tabletree
 from codeweft.sources import java, sqltext
 from tests.compare import oracle, rows
@@ -77,3 +78,21 @@ def test_overlaps_are_counted_without_pairs(spark, chunk, monkeypatch):
     assert got == {r: (len(x), min(x)) for r, x in met.items() if x and r != 990} | {990: (len([x for x in own if x[1] == "y"]), min(x[0] for x in own if x[1] == "y"))}
     if chunk == 4:
         assert rows(plans.hunk_overlap(spark, SF).toPandas()) == rows(oracle(SF, plans.ORACLES["hunk_overlap"]))
+
+
+def test_counts_of_walks_make_no_pairs(spark, monkeypatch):
+    """More seeds than bits in a word, and few; cycles; only the counts of pairs are made, and the last step is not written."""
+    rng = random.Random(8)
+    pairs = sorted({(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(150)})
+    edges = spark.createDataFrame([("CALLS", a, b) for a, b in pairs], "type string, src string, dst string").repartition(3)
+    for n in (90, 5):
+        seeds = spark.createDataFrame([(f"n{i}",) for i in range(n)] + [("none",)], "id string")
+        want = {(r["seed"], r["depth"]): r["n"] for r in traversal.khop(edges, seeds, 3).groupBy("seed", "depth").agg(F.count("*").alias("n")).collect()}
+        written = []
+        keep = traversal.materialize
+        with monkeypatch.context() as m:
+            m.setattr(traversal, "materialize", lambda df, name: written.append(name) or keep(df, name))
+            got = {(r["seed"], r["depth"]): r["reached"] for r in traversal.khop_counts(edges, seeds, 3).collect()}
+        assert got == want and written.count("hop") == 2
+    monkeypatch.setattr(traversal, "khop", lambda *_, **__: pytest.fail("pairs"))
+    assert rows(plans.transitive_callers(spark, SF).toPandas()) == rows(oracle(SF, plans.ORACLES["transitive_callers"]))
