@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators.wholegraph import whole_graph
+from codeweft.operators.wholegraph import whole_edges, whole_graph
 from codeweft.operators.javagraph import JavaTables
 from codeweft.plans.tabletree import once
 from codeweft.sources import java
@@ -21,7 +21,7 @@ d AS (SELECT c.*, o.s AS s2, o.k IS NOT NULL AS known FROM c LEFT JOIN c o ON o.
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     """``relative_path, content``: one file for each part."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    other = F.floor(k / 2)
+    other = F.expr("p_partkey div 2")  # k / 2 is a double, which is not exact for keys beyond 2^53
     text = lambda c: c.cast("string")
     fill = F.format_string(
         "package shop.g%s;\n\nimport shop.g%s.P%s;\n\n%spublic class P%s {\n%s    private P%s next;\n\n    public String run(int n) throws IllegalStateException {\n        return next.run(%s);\n    }\n%s%s}\n",
@@ -34,12 +34,20 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     return dealt(table(spark, sf, "part").select("p_partkey", "p_size")).select(path.alias("relative_path"), F.encode(fill, "UTF-8").alias("content"))
 
 
+def java_tables(spark: SparkSession, sf: str) -> JavaTables:
+    return once(spark, sf, "code-java", lambda: (JavaTables(java.parse_files(sources(spark, sf))),))[0]
+
+
+def edges(spark: SparkSession, sf: str, *types: str) -> DataFrame:
+    """The whole graph's edges of some types, and no more than these need."""
+    return whole_edges(java_tables(spark, sf), sources(spark, sf), types)
+
+
 def graph(spark: SparkSession, sf: str) -> tuple[JavaTables, DataFrame, DataFrame, DataFrame]:
     """(tables, nodes, edges, sources) of that code."""
 
     def make():
-        own = sources(spark, sf)
-        parsed = JavaTables(java.parse_files(own))
+        own, parsed = sources(spark, sf), java_tables(spark, sf)
         nodes, edges = whole_graph(parsed, own)
         return parsed, materialize(nodes, "nodes"), edges, own
 
